@@ -1,5 +1,452 @@
 """Every registered query of the library and its SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewright.functions.text import language_of, normalised, redacted
+from tracewright.operators import evaluate, feedback, findings, policy, ranking, retrieve, verify
+from tracewright.plans import frames as fr
+from tracewright.plans.frames import FILES, FINDINGS, LEARNINGS, LINES, MATCHES, POINTS, POLICY_SQL, RANKED, TARGETS
+
 FLAGSHIP = "q03_pattern_findings"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def joined(column: str):
+    return F.array_join(column, ",").alias(column)
+
+
+@query("q01_doc_profile", f"with {TARGETS} select language, count(*) as files, sum(loc)::bigint as loc, sum(n_chars)::bigint as chars, sum(len(tags))::bigint as tags from targets group by language")
+def doc_profile(spark, sf):
+    t = fr.targets(spark, sf).join(fr.files(spark, sf).select("path", "n_chars"), "path")
+    return t.groupBy("language").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("n_chars").alias("chars"), F.sum(F.size("tags")).alias("tags"))
+
+
+@query("q02_tag_matrix", f"with {TARGETS} select language, tag, count(*) as files from (select language, unnest(tags) as tag from targets) group by all")
+def tag_matrix(spark, sf):
+    return fr.targets(spark, sf).select("language", F.explode("tags").alias("tag")).groupBy("language", "tag").agg(F.count("*").alias("files"))
+
+
+@query("q03_pattern_findings", f"with {MATCHES} select rule_id, path, line, token from matches")
+def pattern_findings(spark, sf):
+    return findings.find_matches(fr.files(spark, sf), fr.RULES).select("rule_id", "path", F.col("line").cast("long").alias("line"), "token")
+
+
+@query("q04_findings_with_policy", FINDINGS + " select finding_id, rule_id, line, token, severity, reachability, function_name, conditions, round(priority, 2) as priority, array_to_string(tags, ',') as tags, status from findings")
+def findings_with_policy(spark, sf):
+    f = fr.findings(spark, sf)
+    return f.select("finding_id", "rule_id", F.col("line").cast("long").alias("line"), "token", "severity", "reachability", "function_name", F.array_join("conditions", ",").alias("conditions"), F.round("priority", 2).alias("priority"), joined("tags"), "status")
+
+
+_LEDGER = {"text-email": {"status": "shadow"}, "text-licence": {"status": "bogus", "precision_estimate": 0.4}, "text-dotted-quad": {"status": "enabled"}, "text-shouting": {"precision_estimate": 0.2}}
+
+
+@query("q05_rule_overlay", f"""with {MATCHES}, o as (select *, case rule_id when 'text-email' then 'shadow' when 'text-dotted-quad' then 'enabled' else status end as now, case rule_id when 'text-licence' then 0.4 when 'text-shouting' then 0.2 else 0.0 end as precision from matches)
+ select rule_id, now as status, count(*) as findings from o where precision >= 0.0 group by all""")
+def rule_overlay(spark, sf):
+    rules = findings.overlaid(fr.RULES, _LEDGER)
+    return findings.find_matches(fr.files(spark, sf), rules, 0.0).groupBy("rule_id", "status").agg(F.count("*").alias("findings"))
+
+
+@query("q06_rules_unresolved", f"with {MATCHES}, {POLICY_SQL} select rule_id, cwe, count(*) as findings from matches m where status = 'enabled' and not exists (select 1 from policy p where p.cwe = m.cwe) group by all")
+def rules_unresolved(spark, sf):
+    return policy.unresolved(findings.find_matches(fr.files(spark, sf), fr.RULES), fr.policy(spark)).groupBy("rule_id", "cwe").agg(F.count("*").alias("findings"))
+
+
+@query("q07_entry_lines", f"with {LINES} select path, no as line, case when contains(body, 'icense') then 'legal' when contains(body, '@') then 'contact' else 'shout' end as kind, length(body) as size from lines where contains(body, 'icense') or contains(body, '@') or contains(body, '!!')")
+def entry_lines(spark, sf):
+    rows = fr.files(spark, sf).select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "body"))
+    body = F.col("body")
+    kind = F.when(body.contains("icense"), "legal").when(body.contains("@"), "contact").when(body.contains("!!"), "shout")
+    return rows.select("path", (F.col("pos") + 1).cast("long").alias("line"), kind.alias("kind"), F.length("body").cast("long").alias("size")).where("kind is not null")
+
+
+@query("q08_hint_attach", f"with {FILES}, {POINTS} select f.path, count(p.path) as hints, coalesce(max(p.line), 0) as last_line from files f left join points p using (path) group by f.path")
+def hint_attach(spark, sf):
+    t = findings.attach_hints(fr.files(spark, sf).select("path"), fr.entry_points(spark, sf))
+    return t.select("path", F.size("hints").cast("long").alias("hints"), F.coalesce(F.array_max(F.transform("hints", lambda h: h["line"])), F.lit(0)).alias("last_line"))
+
+
+@query("q09_reachability", FINDINGS + " select rule_id, reachability, coalesce(function_name, '') as function_name, conditions, count(*) as findings from findings group by all")
+def reachability(spark, sf):
+    f = fr.findings(spark, sf).withColumn("conditions", F.array_join("conditions", ",")).withColumn("function_name", F.coalesce("function_name", F.lit("")))
+    return f.groupBy("rule_id", "reachability", "function_name", "conditions").agg(F.count("*").alias("findings"))
+
+
+_RANKS = f"with {TARGETS}, {POINTS}, {RANKED}"
+
+
+@query("q10_rank_priority", _RANKS + " select path, surface, influence, reachability, priority, array_to_string(boosts, ',') as boosts from rankings")
+def rank_priority(spark, sf):
+    return fr.rankings(spark, sf).select("path", "surface", "influence", "reachability", "priority", joined("boosts"))
+
+
+@query("q11_rank_merge", _RANKS + """, m as (select r.path, greatest(surface, coalesce(case when l.toxic = 1 then 5 when l.doc_id is not null then 2 end, 0)) as surface, greatest(influence, coalesce(1 + l.quality, 0)) as influence, reachability,
+ case when l.doc_id is null then boosts else list_sort(list_distinct(list_concat(boosts, ['model']))) end as boosts from rankings r left join labels l using (doc_id))
+ select path, surface, influence, reachability, round(surface * 0.5 + influence * 0.2 + reachability * 0.3, 2) as priority, array_to_string(boosts, ',') as boosts from m""")
+def rank_merge(spark, sf):
+    lab = fr.table(spark, sf, "labels").join(fr.files(spark, sf).select("doc_id", "path"), "doc_id")
+    other = lab.select("path", F.when(F.col("toxic") == 1, 5).otherwise(2).alias("surface"), (F.col("quality") + 1).alias("influence"), F.lit(1).alias("reachability"), F.array(F.lit("model")).alias("boosts"))
+    return ranking.merge_rankings(fr.rankings(spark, sf), other).select("path", "surface", "influence", "reachability", "priority", joined("boosts"))
+
+
+@query("q12_tier_schedule", _RANKS + """, t as (select path, priority, case when priority >= 3 then 'A' when priority >= 2 then 'B' else 'C' end as tier from rankings), p as (select *, cast(row_number() over (partition by tier order by priority desc, path) as integer) as place from t)
+ select path, priority, tier, place from p where place <= case tier when 'A' then 20 when 'B' then 40 else 80 end""")
+def tier_schedule(spark, sf):
+    return ranking.schedule(fr.rankings(spark, sf), fr.files(spark, sf))
+
+
+@query("q13_verify", FINDINGS + " select rule_id, verdict, verdict = 'accepted' as is_verified, count(*) as findings from verified group by all")
+def verify_counts(spark, sf):
+    return fr.verified_findings(spark, sf).groupBy("rule_id", "verdict", "is_verified").agg(F.count("*").alias("findings"))
+
+
+_TRIGGERED = FINDINGS + """, fired as (select *, list_sort(list_filter([case when severity in ('critical', 'high') then 'severity:' || severity end, case when verdict = 'rejected' and reachability = 'reachable' then 'evidence_conflict' end,
+ case when reachability = 'reachable' and severity in ('critical', 'high') then 'gates_risky_fix' end], lambda x: x is not null)) as triggers from verified)"""
+
+
+@query("q14_fusion_triggers", _TRIGGERED + " select finding_id, token, array_to_string(triggers, ',') as triggers, len(triggers) > 0 as should_fuse from fired")
+def fusion_triggers(spark, sf):
+    return verify.fusion_triggers(fr.verified_findings(spark, sf)).select("finding_id", "token", joined("triggers"), "should_fuse")
+
+
+@query("q15_fusion_votes", _TRIGGERED + """, d as (select *, verdict = 'accepted' as ok, reachability = 'reachable' as reached, severity in ('critical', 'high') as high from fired),
+ p as (select case when verdict = 'rejected' and not reached then 'rejected' when ok and reached then 'accepted' when reached and high and not ok then 'blocked' else 'deferred' end as decision,
+ case when reached and high and not ok then 'blocked' when reached then 'accepted' else 'deferred' end as a, case when verdict = 'rejected' or not reached then 'rejected' when ok then 'accepted' else 'deferred' end as b from d)
+ select decision, disposition, count(*) as votes from (select decision, unnest([a, b]) as disposition from p) group by all""")
+def fusion_votes(spark, sf):
+    return verify.votes(verify.fused(verify.fusion_triggers(fr.verified_findings(spark, sf))))
+
+
+@query("q16_learnings", LEARNINGS + " select * from learnings")
+def learning_rows(spark, sf):
+    return feedback.learnings(fr.verified_findings(spark, sf))
+
+
+@query("q17_calibrate", LEARNINGS + """, sums as (select r.path, count(*) * 0.5 as demotion, count(*) as n from rankings r join learnings l on r.path = l.path or starts_with(r.path, l.scope || '/') group by r.path)
+ select path, priority, coalesce(demotion, 0.0)::double as demotion, greatest(0.1, least(priority, round(priority - coalesce(demotion, 0), 2)))::double as calibrated, coalesce(n, 0) as learnings from rankings left join sums using (path)""")
+def calibrate(spark, sf):
+    return feedback.calibrated(fr.rankings(spark, sf), feedback.learnings(fr.verified_findings(spark, sf))).select("path", "priority", "demotion", "calibrated", "learnings")
+
+
+@query("q18_fp_override", LEARNINGS + """ select distinct finding_id, round(case reachability when 'reachable' then 1.0 when 'inferred-file-surface' then 0.6 else 0.4 end * 0.4, 3)::double as factor from findings f
+ where exists (select 1 from learnings l where l.vulnerability_class = coalesce(f.tags[1], 'unknown') and (f.path = l.path or starts_with(f.path, l.scope || '/')))""")
+def fp_override(spark, sf):
+    v = fr.verified_findings(spark, sf)
+    return feedback.reachability_overrides(v, feedback.learnings(v))
+
+
+_SCORED = FINDINGS + """, scored as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) as source, case when static then p_severity else 0 end as level,
+ (case when static then case p_severity when 5 then 50.0 when 4 then 25.0 when 3 then 10.0 when 2 then 2.0 when 1 then 1.0 else 0.0 end else 0.0 end * case reachability when 'reachable' then 1.0 when 'inferred-file-surface' then 0.6 else 0.4 end)::double as penalty from findings where status <> 'shadow'),
+ scores as (select source, count(*) as findings, round(sum(penalty), 4) as penalty_total, max(level) as max_severity, cast(round(100 * exp(-sum(penalty) / 60)) as integer) as score,
+ count(*) filter (where p_severity is not null and not static and dynamic) as dynamic_only, coalesce(string_agg(distinct cwe, ',' order by cwe) filter (where p_severity is null), '') as unmapped from scored group by source)"""
+
+
+def _scores(spark, sf):
+    f = findings.reported(fr.findings(spark, sf)).withColumn("source", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return policy.project_score(policy.with_penalty(f, fr.policy(spark)), ("source",))
+
+
+@query("q19_project_score", _SCORED + " select * from scores")
+def project_score(spark, sf):
+    return _scores(spark, sf).select("source", "findings", F.round("penalty_total", 4).alias("penalty_total"), "max_severity", "score", "dynamic_only", joined("unmapped"))
+
+
+@query("q20_score_gate", _SCORED + " select source, score, max_severity >= 5 as hard_failure, not (max_severity >= 5 or score < 70) as passed from scores")
+def score_gate(spark, sf):
+    return policy.score_gate(_scores(spark, sf)).select("source", "score", "hard_failure", "passed")
+
+
+_SCALE = """select n_name, count(*) as items, round(sum(w * m) / 1000, 3) as penalty, cast(round(100 * exp(-sum(w * m) / 1000 / 60)) as integer) as score from
+ (select n_name, case left(o_orderpriority, 1) when '1' then 50.0 when '2' then 25.0 when '3' then 10.0 when '4' then 2.0 else 0.0 end as w, case l_linestatus when 'O' then 1.0 else 0.4 end as m
+ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey) group by n_name"""
+
+
+@query("q21_score_scale", _SCALE)
+def score_scale(spark, sf):
+    t = lambda n: fr.table(spark, sf, n)
+    first = F.substring("o_orderpriority", 1, 1)
+    w = F.when(first == "1", 50.0).when(first == "2", 25.0).when(first == "3", 10.0).when(first == "4", 2.0).otherwise(0.0)
+    m = F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.4)
+    owners = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderpriority", "c_nationkey")
+    # Lines are summed per nation key before the name is looked up.
+    sums = t("lineitem").join(owners, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey").agg(F.count("*").alias("items"), (F.sum(w * m) / 1000).alias("total"))
+    named = sums.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select("n_name", "items", F.round("total", 3).alias("penalty"), policy.decayed_score(F.col("total")).alias("score"))
+
+
+_LABELLED = f"with {MATCHES}, hit as (select distinct path from matches where status = 'enabled'), l as (select f.path, f.language, q.quality, h.path is not null as flagged from labels q join files f on f.doc_id = q.doc_id left join hit h on h.path = f.path)"
+
+
+def _labelled(spark, sf):
+    f = fr.files(spark, sf)
+    hit = findings.find_matches(f, fr.RULES).where("status = 'enabled'").select("path", F.lit(True).alias("hit")).distinct()
+    rows = fr.table(spark, sf, "labels").join(f.select("doc_id", "path", "language"), "doc_id").join(hit, "path", "left")
+    return rows.select("path", "language", "quality", F.coalesce("hit", F.lit(False)).alias("flagged"))
+
+
+_PAIRS = """with p as (select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text))"""
+
+
+def _contained(spark, sf):
+    """Benchmark texts that stand in a document: pairs meet by the text's longest word, then are verified."""
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
+    b = fr.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b_text"))
+    longest = F.array_max(F.transform(F.slice(words(F.col("b_text")), 2, F.greatest(F.size(words(F.col("b_text"))) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keyed = b.withColumn("word", longest["w"])
+    d = fr.table(spark, sf, "documents").select("doc_id", "text")
+    spread = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id")
+    return spread.join(d, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("b_text"))).select("item_id", "doc_id")
+
+
+@query("q22_contained_items", _PAIRS + " select item_id, doc_id from p")
+def contained_items(spark, sf):
+    return _contained(spark, sf)
+
+
+@query("q23_greedy_match")
+def greedy_match(spark, sf):
+    pairs = _contained(spark, sf).select((F.col("doc_id") % 3).alias("key"), F.col("item_id").alias("e_ord"), F.col("doc_id").alias("f_ord"))
+    return evaluate.greedy_one_to_one(pairs)
+
+
+@query("q24_misses_and_fps", _PAIRS + """ select 'missed' as signal, item_id as id from benchmark b where not exists (select 1 from p where p.item_id = b.item_id)
+ union all select 'false_positive', doc_id from documents d where contains(text, 'icense') and not exists (select 1 from p where p.doc_id = d.doc_id)""")
+def misses_and_fps(spark, sf):
+    pairs = _contained(spark, sf)
+    missed = fr.table(spark, sf, "benchmark").join(pairs, "item_id", "left_anti").select(F.lit("missed").alias("signal"), F.col("item_id").alias("id"))
+    wrong = fr.table(spark, sf, "documents").where(F.col("text").contains("icense")).join(pairs, "doc_id", "left_anti").select(F.lit("false_positive").alias("signal"), F.col("doc_id").alias("id"))
+    return missed.unionByName(wrong)
+
+
+@query("q25_per_rule_metrics", f"""with {MATCHES}, k as (select m.rule_id, case when l.toxic = 1 then 'matched' when l.doc_id is not null then 'false_positive' else 'missed' end as kind from matches m join files f using (path) left join labels l on l.doc_id = f.doc_id),
+ c as (select rule_id, count(*) filter (where kind = 'matched') as matched, count(*) filter (where kind = 'false_positive') as false_positives, count(*) filter (where kind = 'missed') as missed from k group by rule_id)
+ select *, case when false_positives > 0 then 'shadow' when missed > 0 then 'loosen' else 'keep' end as recommendation from c""")
+def per_rule_metrics(spark, sf):
+    f = fr.files(spark, sf)
+    rows = findings.find_matches(f, fr.RULES).join(f.select("path", "doc_id"), "path").join(fr.table(spark, sf, "labels"), "doc_id", "left")
+    return evaluate.rule_metrics(rows.select("rule_id", F.when(F.col("toxic") == 1, "matched").when(F.col("toxic").isNotNull(), "false_positive").otherwise("missed").alias("kind")))
+
+
+@query("q26_detection_rollup", _LABELLED + """, c as (select language, sum((quality = 0)::int) as expected, sum((quality = 0 and flagged)::int) as matched, sum(flagged::int) as actual, sum((flagged and quality = 1)::int) as false_positives from l group by rollup (language)),
+ r as (select *, language is null as overall, round(case when expected > 0 then matched / expected else 1.0 end, 6)::double as recall, round(case when actual > 0 then false_positives / actual else 0.0 end, 6)::double as false_positive_rate from c)
+ select language, expected::bigint as expected, matched::bigint as matched, actual::bigint as actual, false_positives::bigint as false_positives, overall, recall, false_positive_rate, recall >= 0.9 and false_positive_rate < 0.1 as passed from r""")
+def detection_rollup(spark, sf):
+    bad, flag = F.col("quality") == 0, F.col("flagged")
+    one = lambda c: c.cast("long")
+    counts = _labelled(spark, sf).select("language", one(bad).alias("expected"), one(bad & flag).alias("matched"), one(flag).alias("actual"), one(flag & ~bad).alias("false_positives"))
+    return evaluate.detection_gate(evaluate.detection_rollup(counts, "language"))
+
+
+@query("q27_baseline_deltas", f"""with {MATCHES}, t as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as tool, rule_id from matches), u as (select distinct rule_id from matches)
+ select tool, count(t.rule_id) as matched, (select count(*) from u) - count(t.rule_id) as missed from t group by tool""")
+def baseline_deltas(spark, sf):
+    m = findings.find_matches(fr.files(spark, sf), fr.RULES)
+    per = m.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("tool"), "rule_id").distinct()
+    total = m.select("rule_id").distinct().agg(F.count("*").alias("n"))
+    return per.groupBy("tool").agg(F.count("*").alias("matched")).join(F.broadcast(total)).select("tool", "matched", (F.col("n") - F.col("matched")).alias("missed"))  # one row
+
+
+_OUTCOMES = "with e as (select case user_id % 3 when 0 then 'A' when 1 then 'B' else 'C' end as tier, event_type as outcome, value as seconds from events)"
+
+
+def _outcomes(spark, sf):
+    tier = F.when(F.col("user_id") % 3 == 0, "A").when(F.col("user_id") % 3 == 1, "B").otherwise("C")
+    return fr.table(spark, sf, "events").select(tier.alias("tier"), F.col("event_type").alias("outcome"), F.col("value").alias("seconds"))
+
+
+@query("q28_outcome_metrics", _OUTCOMES + " select tier, count(*) as outcomes, count(*) filter (where outcome = 'purchase') as accepted, count(*) filter (where outcome = 'error') as rejected, coalesce(round(avg(seconds), 2), 0.0) as mean_seconds, coalesce(round(sum(seconds), 2), 0.0) as total_seconds from e group by tier")
+def outcome_metrics(spark, sf):
+    return feedback.outcome_metrics(_outcomes(spark, sf), "purchase", "error")
+
+
+@query("q29_reason_histogram", _OUTCOMES + " select tier, " + ", ".join(f"count(*) filter (where outcome = '{o}') as {o}" for o in ("click", "error", "purchase", "signup", "view")) + " from e group by tier")
+def reason_histogram(spark, sf):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    return _outcomes(spark, sf).groupBy("tier").pivot("outcome", kinds).count().na.fill(0, kinds)
+
+
+@query("q30_ledger_latest", "select user_id, event_type, event_id, round(value, 4) as value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
+def ledger_latest(spark, sf):
+    rows = fr.table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return feedback.latest_per_key(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", F.round("value", 4).alias("value"))
+
+
+_LEVELS = "case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 2 when 'purchase' then 3 else 4 end"
+
+
+@query("q31_state_transitions", f"""with e as (select user_id, {_LEVELS} as level, lag({_LEVELS}) over (partition by user_id order by ts, event_id) as previous from events)
+ select level, previous, previous is null or level - previous between 0 and 1 as allowed, count(*) as steps from e group by all""")
+def state_transitions(spark, sf):
+    level = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "purchase", 3).otherwise(4)
+    rows = fr.table(spark, sf, "events").select("user_id", F.struct("ts", "event_id").alias("at"), level.alias("level"))
+    return verify.transitions(rows, "user_id", "at", "level").groupBy("level", "previous", "allowed").agg(F.count("*").alias("steps"))
+
+
+@query("q32_chunks", f"""with {FILES}, c as (select path, string_split(text, chr(10)) as l from files), s as (select path, l, unnest(range(0, len(l), 5)) as i from c),
+ t as (select path, i + 1 as start_line, least(i + 5, len(l)) as end_line, array_to_string(l[i + 1 : i + 5], chr(10)) as text from s)
+ select path, start_line, end_line, length(text) as size, path || ':' || start_line || '-' || end_line || ':' || left(sha256(text), 16) as chunk_id from t where regexp_matches(text, '\\S')""")
+def chunk_rows(spark, sf):
+    c = retrieve.chunks(fr.files(spark, sf), 5)
+    return c.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.length("text").cast("long").alias("size"), "chunk_id")
+
+
+_COSINE = "list_cosine_similarity(list_transform(e.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))"
+
+
+def _first_vector(spark, sf) -> list[float]:
+    return fr.table(spark, sf, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+@query("q33_cosine_topk", f"with q as (select embedding from embeddings order by vec_id limit 1) select vec_id, round({_COSINE}, 6) as score from embeddings e, q where label % 2 = 0 order by score desc, vec_id limit 10")
+def cosine_topk(spark, sf):
+    return retrieve.top_by_cosine(fr.table(spark, sf, "embeddings"), _first_vector(spark, sf), 10, F.col("label") % 2 == 0)
+
+
+@query("q34_retrieval_budget", f"""with q as (select embedding from embeddings order by vec_id limit 1), s as (select vec_id, label, round({_COSINE}, 6) as score from embeddings e, q), b as (select label, vec_id, score, length(d.text) as size from s join documents d on d.doc_id = s.vec_id),
+ r as (select *, sum(size) over (partition by label order by score desc, vec_id rows unbounded preceding) as running from b) select label, vec_id, score, running::bigint as running from r where running <= 6000""")
+def retrieval_budget(spark, sf):
+    from tracewright.functions.vectors import cosine
+
+    q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, sf)])
+    scored = fr.table(spark, sf, "embeddings").select("vec_id", "label", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+    blocks = scored.join(fr.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").cast("long").alias("size")), "vec_id")
+    return retrieve.within_budget(blocks, 6000, F.col("size"), [F.desc("score"), F.col("vec_id")], ("label",)).select("label", "vec_id", "score", "running")
+
+
+_SKILLS = [("s-auth", "en", ["auth_boundary"], ["access"]), ("s-crypto", None, ["crypto"], ["weak-crypto"]), ("s-files", "de", ["filesystem_entry"], ["traversal"]), ("s-net", "fr", ["network_entry"], ["ssrf"]), ("s-parse", None, ["parser", "deserialization"], ["injection"]), ("s-shell", "es", ["syscall_entry"], ["injection"])]
+_CLASSES = {"auth_boundary": "access", "crypto": "weak-crypto", "filesystem_entry": "traversal", "network_entry": "ssrf", "parser": "injection", "syscall_entry": "injection"}
+
+
+@query("q35_skill_routing", f"""with {TARGETS}, t as (select path, language, tags, list_distinct(list_filter(list_transform(tags, lambda x: case x {" ".join(f"when '{k}' then '{v}'" for k, v in _CLASSES.items())} end), lambda x: x is not null)) as classes from targets),
+ s(skill_id, language, tags, classes) as (values {", ".join(f"('{i}', {repr(l) if l else 'null'}, {t}, {c})" for i, l, t, c in _SKILLS)}),
+ m as (select path, skill_id, len(list_intersect(t.tags, s.tags)) + 2 * len(list_intersect(t.classes, s.classes)) as signals, t.language = s.language as same from t, s),
+ r as (select path, skill_id, signals + case when same then 3 else 0 end as score from m where signals > 0), p as (select *, cast(row_number() over (partition by path order by score desc, skill_id) as integer) as place from r) select * from p where place <= 4""")
+def skill_routing(spark, sf):
+    m = F.create_map(*[F.lit(x) for pair in _CLASSES.items() for x in pair])
+    t = fr.targets(spark, sf).withColumn("classes", F.array_distinct(F.array_compact(F.transform("tags", lambda x: F.try_element_at(m, x)))))
+    return retrieve.routed(t, spark.createDataFrame(_SKILLS, "skill_id string, language string, tags array<string>, classes array<string>"))
+
+
+_R = "***REDACTED***"
+_REDACT_SQL = "text"
+for _pattern, _with in ((r"(Bearer\s+)[A-Za-z0-9._\-]{12,}", r"\1" + _R), (r"\bsk-[A-Za-z0-9._\-]{16,}", _R), (r"\bAKIA[0-9A-Z]{16}\b", _R), (r"\bgh[pousr]_[A-Za-z0-9]{20,}", _R), (r"\bxox[baprs]-[A-Za-z0-9-]{10,}", _R), (r"\bAIza[A-Za-z0-9_\-]{20,}", _R), (r"([a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@]+:)[^\s:/@]{3,}(@)", r"\1" + _R + r"\2"),
+                        *((rf"(?i)\b(api[_-]?key|secret|token|password|passwd|pwd|access[_-]?key)\b(\s*[=:]\s*){q}[A-Za-z0-9/+_\-]{{8,}}{q}", rf"\1\2{q}{_R}{q}") for q in ('"', "''", ""))):
+    _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, '{_pattern}', '{_with}', 'g')"
+
+
+@query("q36_redact", f"select doc_id, md5(r) as digest, r <> text as changed from (select doc_id, text, {_REDACT_SQL} as r from documents)")
+def redact(spark, sf):
+    d = fr.table(spark, sf, "documents").select("doc_id", "text", redacted(F.col("text")).alias("r"))
+    return d.select("doc_id", F.md5("r").alias("digest"), (F.col("r") != F.col("text")).alias("changed"))
+
+
+@query("q37_normalised_words", r"""with n as (select item_id, trim(regexp_replace(translate(replace(replace(lower(text), 'memcpy', 'memcpy memory copy'), 'copies', 'copy'), '-_', '  '), '\s+', ' ', 'g')) as body from benchmark),
+ w as (select item_id, list_filter(string_split(body, ' '), lambda x: length(x) > 2) as words from n) select item_id, len(words) as words, len(list_distinct(words)) as different from w""")
+def normalised_words(spark, sf):
+    w = fr.table(spark, sf, "benchmark").select("item_id", evaluate.evidence_words(normalised(F.col("text"))).alias("words"))
+    return w.select("item_id", F.size("words").cast("long").alias("words"), F.size(F.array_distinct("words")).cast("long").alias("different"))
+
+
+@query("q38_json_extract", "select k, count(*) as events, round(sum(value), 4) as value from (select cast(json_extract_string(props, '$.k') as integer) as k, value from events) group by k")
+def json_extract(spark, sf):
+    rows = fr.table(spark, sf, "events").select(F.from_json("props", "k int")["k"].alias("k"), "value")
+    return rows.groupBy("k").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("q39_sarif_rows", FINDINGS + """ select rule_id as "ruleId", case severity when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' else 'note' end as level, path as uri, line as "startLine", count(*) as results from findings where status <> 'shadow' group by all""")
+def sarif_rows(spark, sf):
+    from tracewright.sources.sarif import sarif_results
+
+    rows = sarif_results(findings.reported(fr.findings(spark, sf)))
+    place = F.col("locations")[0]["physicalLocation"]
+    return rows.groupBy("ruleId", "level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].cast("long").alias("startLine")).agg(F.count("*").alias("results"))
+
+
+@query("q40_tumbling_window", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as events, round(sum(value), 4) as value from events group by all")
+def tumbling_window(spark, sf):
+    w = fr.table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    return w.select(F.col("w.start").alias("start"), "event_type", "events", "value")
+
+
+@query("q41_sliding_window", "select time_bucket(interval '30 minutes', ts) - o * interval '30 minutes' as start, count(*) as events from events, (values (0), (1)) v(o) group by all")
+def sliding_window(spark, sf):
+    return fr.table(spark, sf, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "events")
+
+
+@query("q42_session_window", """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as no from e)
+ select user_id, min(ts) as start, count(*) as events from s group by user_id, no""")
+def session_window(spark, sf):
+    return fr.table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), "events")
+
+
+@query("q45_star_join_topk", """select c_custkey, n_name, r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey
+ group by all order by revenue desc, c_custkey limit 20""")
+def star_join_topk(spark, sf):
+    t = lambda n: fr.table(spark, sf, n)
+    lines = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sums = lines.groupBy("o_custkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    named = sums.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.select("c_custkey", "n_name", "r_name", "revenue").orderBy(F.desc("revenue"), "c_custkey").limit(20)
+
+
+@query("q46_set_ops", """(select 'both' as side, k from (select c_nationkey as k from customer where c_acctbal > 5000 intersect select s_nationkey from supplier)) union all (select 'customers', k from (select c_nationkey as k from customer where c_acctbal > 5000 except select s_nationkey from supplier where s_acctbal > 5000))
+ union all (select 'any', k from (select c_nationkey as k from customer union select s_nationkey from supplier))""")
+def set_ops(spark, sf):
+    c, s = fr.table(spark, sf, "customer"), fr.table(spark, sf, "supplier")
+    rich, held = c.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k"))
+    named = lambda df, side: df.select(F.lit(side).alias("side"), "k")
+    any_ = c.select(F.col("c_nationkey").alias("k")).union(held).distinct()
+    return named(rich.intersect(held), "both").union(named(rich.subtract(s.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))), "customers")).union(named(any_, "any"))
+
+
+@query("q47_semi_anti", """select c_mktsegment, exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000) as large, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer group by all""")
+def semi_anti(spark, sf):
+    c = fr.table(spark, sf, "customer")
+    big = fr.table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    both = c.join(big, "c_custkey", "left_semi").withColumn("large", F.lit(True)).unionByName(c.join(big, "c_custkey", "left_anti").withColumn("large", F.lit(False)))
+    return both.groupBy("c_mktsegment", "large").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("q48_trajectories", """with t as (select conv_id, turn, role, length(text) as size, lag(role) over (partition by conv_id order by turn, role, text) as previous from conversations)
+ select conv_id, count(*) as turns, sum(size)::bigint as chars, count(*) filter (where role = previous) as repeats, count(distinct role) as roles from t group by conv_id""")
+def trajectories(spark, sf):
+    previous = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    t = fr.table(spark, sf, "conversations").select("conv_id", "role", F.length("text").alias("size"), previous.alias("previous"))
+    return t.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("size").alias("chars"), F.count_if(F.col("role") == F.col("previous")).alias("repeats"), F.count_distinct("role").alias("roles"))
+
+
+@query("q49_page_languages", "select 'unknown' as language, count(*) as pages, sum((html is not null)::int)::bigint as stored from pages where not regexp_matches(lower(url), '[^/]\\.(py|js|go|java)$')")
+def page_languages(spark, sf):
+    p = fr.table(spark, sf, "pages").select(language_of(F.regexp_replace("url", r"[?#].*$", ""), F.col("html")).alias("language"), "html")
+    return p.groupBy("language").agg(F.count("*").alias("pages"), F.count("html").alias("stored"))
+
+
+@query("q43_late_data", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as events from events group by all")
+def late_data(spark, sf):
+    from tracewright.streaming.events import drained, read_events, windowed_counts
+
+    return drained(windowed_counts(read_events(spark, f"{sf}/events.parquet")), "complete")
+
+
+@query("q44_stream_dedupe", "select distinct user_id, event_type from events")
+def stream_dedupe(spark, sf):
+    from tracewright.streaming.events import drained, read_events
+
+    rows = read_events(spark, f"{sf}/events.parquet").select("user_id", "event_type", "ts")
+    return drained(rows.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"))
