@@ -16,6 +16,12 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 SEED = 20_231
 
 
+def row_key() -> Column:
+    """A hash that tells documents apart: of doc_id, text and language, nulls apart from empty strings."""
+    marked = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return F.xxhash64(marked("doc_id"), marked("text"), marked("lang"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """Each document's number of words; a null text has none."""
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
@@ -49,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def with_offsets(rows: DataFrame, parts: int) -> DataFrame:
-    """Each row's `offset`: the sizes before it in its source, in the order of doc_id and then text.
+    """Each row's `offset`: the sizes before it in its source, in the order of doc_id and then row_key.
 
     Two levels, so that no source is gathered in one task: a running sum within (source, slice),
     plus the sum of the source's earlier slices. Slices are ranges of doc_id of about equal counts.
@@ -163,18 +169,18 @@ def draw_slots(plan: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int =
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, parts: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mix, and its rows' accounts.
 
-    Returns (pieces, accounts). accounts: one row per row of docs: doc_id, tie (a hash of the text),
+    Returns (pieces, accounts). accounts: one row per row of docs: doc_id, tie (row_key),
     source, size, source_no, source_size, target, offset (words before it in its source). pieces: one row per slot and document in it: shard, slot,
     pass, doc_id, tie, offset, source_no, first_word, n_words: words first_word.. of that document.
 
-    A source's words, in the order of doc_id and then text, are packed into blocks of block_words
+    A source's words, in the order of doc_id and then row_key, are packed into blocks of block_words
     across document borders. Null texts have no words, null doc_ids come last, rows of equal
     doc_id are separate documents, each with an offset of its own.
     An empty table gives an empty mix. Sources' taken words differ from the targets by less than a
     block. All draws come from the seed and the data, so reruns agree.
     """
     spark = docs.sparkSession
-    narrow = sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))).alias("tie"))
+    narrow = sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", row_key().alias("tie"))
     narrow = materialize(narrow, "mix-sizes")
     goal = targets(narrow, weights, share, most)
     goal = materialize(goal.withColumn("source_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source"))), "mix-plan")
@@ -187,7 +193,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     spread = accounts.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     begins = F.greatest(F.col("offset"), F.col("block") * block_words)
     slots = draw_slots(goal, block_words, seed=seed)
-    joined = spread.join(slots, ["source_no", "block"])
+    # Slots grow with the corpus, which the planner can't see: they're made from a range of shards.
+    joined = spread.join(slots.hint("merge"), ["source_no", "block"])
     ends = F.least(F.col("offset") + F.col("size"), F.col("block") * block_words + F.col("words"))
     pieces = joined.select("shard", "slot", "pass", "doc_id", "tie", "offset", "source_no", (begins - F.col("offset")).alias("first_word"), (ends - begins).alias("n_words")).where("n_words > 0")
     return pieces, accounts
@@ -195,7 +202,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
 def taken_per_document(pieces: DataFrame, accounts: DataFrame) -> DataFrame:
     """accounts with `taken`: the words the mix takes from each document, repeats counted."""
-    key = ["source_no", "offset", "doc_id", "tie"]  # documents with words have offsets of their own
+    key = ["source_no", "offset", "tie"]  # documents with words have offsets of their own
     sums = pieces.groupBy(*key).agg(F.sum("n_words").alias("taken"))
     same: Column = F.lit(True)
     for c in key:
@@ -210,11 +217,11 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, accounts: DataFrame) ->
     their order, joined by spaces, and n_chars its length. Identical rows differ by their offset.
     """
     text_words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    runs = pieces.groupBy("doc_id", "tie", "offset", "pass").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
-    runs = runs.join(accounts.select("doc_id", "tie", "offset", "size"), ["doc_id", "tie", "offset"])
-    keyed = docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))).dropDuplicates(["doc_id", "tie", "source"])
-    part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("words", (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
-    joined = keyed.join(runs, ["doc_id", "tie"])
+    runs = pieces.groupBy("source_no", "tie", "offset", "pass").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
+    runs = runs.join(accounts.where("size > 0").select("source_no", "tie", "offset", "size", F.col("source").alias("own_source")), ["source_no", "tie", "offset"])
+    keyed = docs.withColumn("tie", row_key()).dropDuplicates(["tie", "source"])
+    joined = keyed.alias("d").join(runs.alias("r"), (F.col("d.tie") == F.col("r.tie")) & F.col("d.source").eqNullSafe(F.col("r.own_source"))).select("d.*", "r.n_words", "r.size", "r.runs")
     whole = F.col("n_words") == F.col("size")
+    part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("words", (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
     cut = joined.withColumn("words", F.when(~whole, text_words)).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

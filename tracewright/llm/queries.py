@@ -93,10 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Where SQL expresses an operator's whole result.
 ORACLES = {
     "op3_exact_topk": """
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
-                   where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+                   where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         q as (select * from v where vec_id % 50 = 0),
-        s as (select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.v, v.v), p -> p[1] * p[2])) as bigint) as score
+        s as (select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])) as bigint) as score
               from q join v on q.vec_id <> v.vec_id and len(q.v) = len(v.v)),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
         select * from r where rank <= 5""",

@@ -107,3 +107,137 @@ def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> Da
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = grouped.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near duplicates by similarity: independent 64-bit fingerprints of 5-word shingles, cut into segments as above.
+SIMILARITY, SHINGLE, FINGERPRINTS, SEGMENT_BITS = 0.8, 5, 4, 21
+#: Of the fingerprints' bits at most this share differs: at a similarity of 0.8 it's 0.15 with a deviation of 0.022.
+MOST_BITS = 0.225
+
+
+def wide_fingerprint(hashes: np.ndarray, n: int = FINGERPRINTS) -> list[int]:
+    """n fingerprints of one set of hashes, each by another mixing of their bits."""
+    out = []
+    for k in range(n):
+        with np.errstate(over="ignore"):
+            h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority_bits(h ^ (h >> np.uint64(31))))
+    return out
+
+
+def text_classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, class long, fps array<long>) for each row: texts of the same words are one class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, fps = [], []
+            for text in batch.column(2):
+                data = text.as_py()
+                classes.append(xxhash.xxh64_intdigest(b" ".join(words_of(data)), SEED))
+                fps.append(np.array(wide_fingerprint(np.unique(shingle_hashes(data, width))), np.uint64).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(classes, np.uint64).astype(np.int64)), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "class", "fps"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), as_text_bytes().alias("t"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, class long, fps array<long>")
+
+
+def candidate_pairs(classes: DataFrame, n: int = FINGERPRINTS, known: bool = False) -> DataFrame:
+    """(a, b) classes of which some segment differs by at most one bit and all fingerprints by MOST_BITS.
+
+    classes: class, fps and, if `known`, comp: pairs within one comp are left out, so a group that
+    is connected already adds none.
+    """
+    pieces, variants = [], []
+    no = 0
+    for k in range(n):
+        fp = F.col("fps")[k]
+        for offset in range(0, 64 - SEGMENT_BITS + 1, SEGMENT_BITS):
+            pieces.append(F.struct(F.lit(no * 32 + 31).alias("no"), _bits(fp, offset, SEGMENT_BITS).alias("key"), F.lit(False).alias("one")))
+            for j in range(SEGMENT_BITS):
+                bit = F.shiftrightunsigned(fp, offset + j).bitwiseAND(F.lit(1)).cast("boolean")
+                variants.append(F.struct(F.lit(no * 32 + j).alias("no"), _bits(fp, offset, SEGMENT_BITS).bitwiseAND(F.lit(((1 << SEGMENT_BITS) - 1) & ~(1 << j))).alias("key"), bit.alias("one")))
+            no += 1
+    packed = [F.struct((F.shiftleft(p["no"].cast("long"), 22) + p["key"]).alias("key"), p["one"].alias("one")) for p in pieces + variants]
+    more = ["comp"] if known else []
+    index = classes.select(F.explode(F.array(*packed)).alias("v"), "class", "fps", *more).select("v.key", "v.one", "class", "fps", *more)
+    exact = F.shiftright("key", 22).bitwiseAND(F.lit(31)) == 31
+    left, right = index.where("not one").alias("l"), index.where(exact | F.col("one")).alias("r")
+    distance = sum(F.bit_count(F.col("l.fps")[k].bitwiseXOR(F.col("r.fps")[k])) for k in range(n))
+    condition = (F.col("l.key") == F.col("r.key")) & (distance <= int(64 * n * MOST_BITS)) & (F.col("r.one") | (F.col("l.class") < F.col("r.class")))
+    if known:
+        condition = condition & (F.col("l.comp") != F.col("r.comp"))
+    pairs = left.join(right, condition).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose shingle sets' Jaccard similarity is `similarity` or more; texts: class, text (one row per class)."""
+    pairs = materialize(pairs, "near-pairs")
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_hashes(t.as_py(), width) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["class", "s"])
+
+    sets = materialize(texts.join(wanted, "class", "left_semi").select("class", as_text_bytes().alias("t")).mapInArrow(shingled, "class long, s binary"), "near-sets")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("y")), "b")
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "near-links")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, group_id) for every row: groups of near duplicates by shingle similarity.
+
+    Texts of the same words are one class. Classes link where their sets of `width`-word shingles
+    are similar by `similarity` or more; candidates come from the segments of FINGERPRINTS
+    fingerprints. First the first fingerprint's segments alone find and verify links, then all
+    segments look for links between what isn't connected yet, so a large group of near copies
+    doesn't meet pair by pair. group_id is the least class of a group. Null and empty texts are one class;
+    a text of fewer words is one shingle; an empty table gives an empty result.
+    """
+    rows = materialize(text_classes(docs, width), "near-classes")
+    classes = rows.groupBy("class").agg(F.min(F.struct("text_hash", "fps")).alias("m")).select("class", "m.text_hash", "m.fps")
+    classes = materialize(classes, "near-distinct")
+    spelled = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    first = candidate_links(classes)
+    texts = lambda pairs: spelled.join(classes.join(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), "class", "left_semi").select("class", "text_hash"), "text_hash").dropDuplicates(["class"]).select("class", "text")
+    first = materialize(first, "near-first")
+    links = verified_pairs(first, texts(first), width, similarity)
+    roots = connected_components(links)
+    known = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "fps", F.coalesce("root", "class").alias("comp"))
+    second = materialize(candidate_pairs(materialize(known, "near-known"), known=True), "near-second")
+    more = verified_pairs(second, texts(second), width, similarity)
+    roots = connected_components(links.unionByName(more))
+    return rows.join(roots, rows["class"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "class").alias("group_id"))
+
+
+def candidate_links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(a, b) classes whose first fingerprints are equal or differ in at most max_bits bits."""
+    one = classes.select("class", F.col("fps")[0].alias("fp"))
+    heads = one.groupBy("fp").agg(F.min("class").alias("head"))
+    near = fingerprint_links(heads.select("fp"), max_bits).distinct()
+    crossed = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = one.join(heads, "fp").where("class <> head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"))
+    return crossed.unionByName(same).distinct()
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates: of each group the row of the least doc_id stays, null last; ties by the text's hash."""
+    groups = near_duplicates(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    kept = materialize(groups.groupBy("group_id").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")), "near-kept")
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("_hash") == F.col("kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
