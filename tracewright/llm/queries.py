@@ -87,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_licenses, op3_exact_topk, op4_decontaminate, op5_mix, op6_warc, op7_quality, op8_tokens, op9_secrets, op10_suffix_tree)
+    f.__name__: f for f in (op1_simhash, op2_licenses, op3_exact_topk, op4_decontaminate, op5_mix, op6_warc, op7_quality, op8_tokens, op9_secrets, op10_suffix_tree, pipeline)
 }
 
 #: Where SQL expresses an operator's whole result.

@@ -149,20 +149,15 @@ def candidate_pairs(classes: DataFrame, n: int = FINGERPRINTS, known: bool = Fal
     classes: class, fps and, if `known`, comp: pairs within one comp are left out, so a group that
     is connected already adds none.
     """
-    pieces, variants = [], []
-    no = 0
-    for k in range(n):
-        fp = F.col("fps")[k]
-        for offset in range(0, 64 - SEGMENT_BITS + 1, SEGMENT_BITS):
-            pieces.append(F.struct(F.lit(no * 32 + 31).alias("no"), _bits(fp, offset, SEGMENT_BITS).alias("key"), F.lit(False).alias("one")))
-            for j in range(SEGMENT_BITS):
-                bit = F.shiftrightunsigned(fp, offset + j).bitwiseAND(F.lit(1)).cast("boolean")
-                variants.append(F.struct(F.lit(no * 32 + j).alias("no"), _bits(fp, offset, SEGMENT_BITS).bitwiseAND(F.lit(((1 << SEGMENT_BITS) - 1) & ~(1 << j))).alias("key"), bit.alias("one")))
-            no += 1
-    packed = [F.struct((F.shiftleft(p["no"].cast("long"), 22) + p["key"]).alias("key"), p["one"].alias("one")) for p in pieces + variants]
+    # One row per fingerprint, then per segment, then per variant; place SEGMENT_BITS is the segment as it is.
+    per = 64 // SEGMENT_BITS
+    full = (1 << SEGMENT_BITS) - 1
     more = ["comp"] if known else []
-    index = classes.select(F.explode(F.array(*packed)).alias("v"), "class", "fps", *more).select("v.key", "v.one", "class", "fps", *more)
-    exact = F.shiftright("key", 22).bitwiseAND(F.lit(31)) == 31
+    split = classes.select("class", "fps", *more, F.posexplode("fps").alias("k", "fp")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    split = split.withColumn("piece", F.expr(f"shiftrightunsigned(fp, s * {SEGMENT_BITS}) & {full}")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS))))
+    key = F.expr(f"shiftleft((k * {per} + s) * 32L + j, {SEGMENT_BITS + 1}) + (piece & (case when j < {SEGMENT_BITS} then {full} - shiftleft(1, j) else {full} end))")
+    index = split.select(key.alias("key"), F.expr(f"j < {SEGMENT_BITS} and (shiftrightunsigned(piece, j) & 1) = 1").alias("one"), "class", "fps", *more)
+    exact = F.shiftright("key", SEGMENT_BITS + 1).bitwiseAND(F.lit(31)) == SEGMENT_BITS
     left, right = index.where("not one").alias("l"), index.where(exact | F.col("one")).alias("r")
     distance = sum(F.bit_count(F.col("l.fps")[k].bitwiseXOR(F.col("r.fps")[k])) for k in range(n))
     condition = (F.col("l.key") == F.col("r.key")) & (distance <= int(64 * n * MOST_BITS)) & (F.col("r.one") | (F.col("l.class") < F.col("r.class")))
