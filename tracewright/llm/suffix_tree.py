@@ -11,20 +11,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyarrow import dataset
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_text_bytes, materialize, words_of
+from tracewright.llm.common import as_text_bytes, materialize, scratch_path, words_of
 
 #: Symbols are 6 bits: the most frequent bytes have one each, the others share OTHER; END closes a text.
 BITS, SPACE, OTHER, END = 6, 0, 62, 63
 MASK = (1 << BITS) - 1
-DEPTH = 7
+DEPTH = 5
 #: A context may become a state if it makes up this share of all training symbols: at most 1 / P_MIN states a depth.
-P_MIN = 5e-6
+P_MIN = 1e-5
 #: A state's divergence from its suffix, in nats over all its occurrences, beyond which it is kept.
 DIVERGENCE = 12.0
-#: Word counts up to this many rows are broadcast (16 bytes a row); beyond it they're joined.
+#: Word counts up to this many rows are loaded by each worker (16 bytes a row); beyond it they're joined.
 BROADCAST_WORDS = 8_000_000
 PIECE = 1 << 18
 
@@ -155,14 +157,15 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH) -> Dat
 def kept_grams(counts: DataFrame, depth: int, p_min: float) -> DataFrame:
     """(d, ctx, sym, n) of every context of 0..depth symbols that makes up p_min of all training symbols."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    level = counts.select(F.lit(depth).alias("d"), F.shiftright("g", BITS).alias("ctx"), F.col("g").bitwiseAND(F.lit(MASK)).alias("sym"), "n")
+    level = counts.select(F.shiftright("g", BITS).alias("ctx"), F.col("g").bitwiseAND(F.lit(MASK)).alias("sym"), "n")
+    everything = F.sum("n").over(Window.partitionBy("ctx"))  # at most 64 rows a context
     out = None
     for d in range(depth, -1, -1):
         if d < depth:
-            level = level.groupBy(F.lit(d).alias("d"), F.col("ctx").bitwiseAND(F.lit((1 << BITS * d) - 1)).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
-            level = materialize(level, "lm-level")  # each level is summed from the one before
-        often = level.groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, p_min * total)).select("ctx")
-        part = level.join(often, "ctx", "left_semi").select("d", "ctx", "sym", "n")
+            # Each level is summed from the one before, in the partitions that the window needs too.
+            shorter = level.select(F.col("ctx").bitwiseAND(F.lit((1 << BITS * d) - 1)).alias("ctx"), "sym", "n")
+            level = materialize((shorter.groupBy("ctx", "sym").agg(F.sum("n").alias("n")) if d < 3 else shorter.repartition("ctx").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))), "lm-level")
+        part = level.withColumn("all", everything).where(F.col("all") >= max(1.0, p_min * total)).select(F.lit(d).alias("d"), "ctx", "sym", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -190,7 +193,7 @@ class SuffixTree:
         return math.fsum(float(self.log10[self.states(s[max(0, a - self.depth) : a + PIECE])[min(a, self.depth) :], s[a : a + PIECE]].sum(dtype=np.float64)) for a in range(0, len(s), PIECE))
 
 
-def grow(rows, symbols: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE) -> SuffixTree:
+def grow(rows: dict[str, np.ndarray], symbols: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE) -> SuffixTree:
     """The tree from the rows (d, ctx, sym, n) of kept_grams.
 
     A context is kept if n * KL(next symbol after it || after its suffix) reaches `divergence`, or
@@ -199,49 +202,53 @@ def grow(rows, symbols: np.ndarray, depth: int = DEPTH, divergence: float = DIVE
     1), and the root's with the uniform one. OTHER's share is divided among the bytes it stands for.
     """
     n_other = max(1, 256 - 6 - int(((symbols != OTHER) & (symbols != SPACE)).sum()))
-    base = np.full(MASK + 1, 1.0 / (MASK + 1))
-    by: list[dict[int, np.ndarray]] = [{} for _ in range(depth + 1)]
-    order = rows.sort_values(["d", "ctx", "sym"])
-    d, ctx, sym, n = (order[c].to_numpy() for c in ("d", "ctx", "sym", "n"))
-    starts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (ctx[1:] != ctx[:-1])))) if len(d) else np.empty(0, int)
-    for a, b in zip(starts, np.append(starts[1:], len(d))):
-        counts = np.zeros(MASK + 1)
-        counts[sym[a:b]] = n[a:b]
-        by[d[a]][int(ctx[a])] = counts
-
-    def smooth(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        a = max(1, int((counts > 0).sum()))
-        return (counts + a * parent) / (counts.sum() + a)
-
-    raw = [dict() for _ in range(depth + 1)]
-    raw[0][0] = smooth(by[0].get(0, np.zeros(MASK + 1)), base)
-    keep: list[set[int]] = [{0}, *(set() for _ in range(depth))]
-    for k in range(1, depth + 1):
-        for c, counts in by[k].items():
-            parent = raw[k - 1].get(c & ((1 << BITS * (k - 1)) - 1))
-            raw[k][c] = smooth(counts, parent)
-            seen = counts > 0
-            p = counts[seen] / counts.sum()
-            if counts.sum() * float((p * np.log(p / parent[seen])).sum()) >= divergence:
-                keep[k].add(c)
-    for k in range(depth, 1, -1):
-        keep[k - 1] |= {c & ((1 << BITS * (k - 1)) - 1) for c in keep[k]}
-    number: list[dict[int, int]] = []
-    at = 0
-    for k in range(depth + 1):
-        number.append({c: at + i for i, c in enumerate(sorted(keep[k]))})
-        at += len(number[-1])
-    child = np.full((at + 1, MASK + 1), -1, np.int32)  # the last row has no children
-    log10 = np.zeros((at, MASK + 1), np.float32)
+    d, ctx, sym, n = (np.asarray(rows[c]) for c in ("d", "ctx", "sym", "n"))
+    contexts: list[np.ndarray] = []
+    smooth: list[np.ndarray] = []
+    keep: list[np.ndarray] = []
     for k in range(depth + 1):
-        for c, state in number[k].items():
-            log10[state] = np.log10(raw[k][c])
-            if k:
-                child[number[k - 1][c & ((1 << BITS * (k - 1)) - 1)], c >> BITS * (k - 1)] = state
+        at = d == k
+        own = np.unique(ctx[at]) if at.any() or k else np.zeros(1, np.int64)
+        counts = np.zeros((len(own), MASK + 1), np.float32)
+        counts[np.searchsorted(own, ctx[at]), sym[at]] = n[at]
+        # A context's suffix is as frequent as it is, so it is there.
+        parent = smooth[k - 1][np.searchsorted(contexts[k - 1], own & ((1 << BITS * (k - 1)) - 1))] if k else np.full((1, MASK + 1), 1 / (MASK + 1), np.float32)
+        total = counts.sum(axis=1, dtype=np.float64)[:, None]
+        a = np.maximum(1, (counts > 0).sum(axis=1))[:, None]
+        smooth.append(((counts + a * parent) / (total + a)).astype(np.float32))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(counts > 0, counts * np.log(counts / total / parent), 0).sum(axis=1)
+        keep.append(gain >= divergence if k else np.ones(1, bool))
+        contexts.append(own)
+    for k in range(depth, 1, -1):
+        suffixes = np.unique(contexts[k][keep[k]] & ((1 << BITS * (k - 1)) - 1))
+        keep[k - 1][np.searchsorted(contexts[k - 1], suffixes)] = True
+    first = np.cumsum([0, *(int(x.sum()) for x in keep)])
+    kept = [c[x] for c, x in zip(contexts, keep)]
+    child = np.full((first[-1] + 1, MASK + 1), -1, np.int32)  # the last row has no children
+    for k in range(1, depth + 1):
+        up = first[k - 1] + np.searchsorted(kept[k - 1], kept[k] & ((1 << BITS * (k - 1)) - 1))
+        child[up, kept[k] >> BITS * (k - 1)] = np.arange(first[k], first[k + 1])
+    log10 = np.log10(np.concatenate([p[x] for p, x in zip(smooth, keep)]))
     log10[:, OTHER] -= np.float32(math.log10(n_other))
     return SuffixTree(child, log10, depth)
 
 
+_words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def loaded_words(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """The word counts written at `uri`, by hash; read once by a Python worker."""
+    if uri not in _words:
+        _words.clear()
+        fs, path = FileSystem.from_uri(uri)
+        found = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["h", "c"])
+        h = found.column("h").to_numpy()
+        order = np.argsort(h)
+        _words[uri] = h[order], found.column("c").to_numpy()[order]
+    return _words[uri]
+
+
 def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
@@ -252,23 +259,20 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, d
     uniform. An empty table gives an empty result.
 
     Counts are summed over the whole corpus on Spark. The tree is broadcast: p_min bounds its
-    states. The word counts are broadcast up to broadcast_words rows, and joined to each document's
-    words beyond.
+    states. The word counts are read from the shared folder by each worker up to broadcast_words
+    rows, and joined to each document's words beyond.
     """
     spark = docs.sparkSession
-    words = materialize(word_counts(docs), "lm-words")
+    words_at = scratch_path(spark, "lm-words")
+    word_counts(docs).write.parquet(words_at)
+    words = spark.read.schema("h long, c long").parquet(words_at)
     v, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     symbols = byte_symbols(docs)
     counts = materialize(gram_counts(docs, symbols, depth), "lm-grams")
-    tree = spark.sparkContext.broadcast(grow(kept_grams(counts, depth, p_min).toPandas(), symbols, depth, divergence))
+    kept = kept_grams(counts, depth, p_min).toArrow()  # p_min bounds it
+    tree = spark.sparkContext.broadcast(grow({c: kept.column(c).to_numpy() for c in kept.column_names}, symbols, depth, divergence))
     floor = total + 0.5 * (v + 1)
     small = v <= broadcast_words
-    table = None
-    if small:
-        found = words.toPandas()
-        h = found["h"].to_numpy(np.int64)
-        order = np.argsort(h)
-        table = spark.sparkContext.broadcast((h[order], found["c"].to_numpy(np.int64)[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -282,7 +286,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, d
                 tf = np.fromiter(distinct.values(), np.int64, len(distinct))
                 known, base, pairs = None, None, None
                 if small:
-                    keys, values = table.value
+                    keys, values = loaded_words(words_at)
                     at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                     c = np.where(keys[at] == h, values[at], 0) if len(keys) else np.zeros(len(h), np.int64)
                     known, base = int(tf[c > 0].sum()), float((tf * np.log10((c + 0.5) / floor)).sum())
