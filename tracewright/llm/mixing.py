@@ -216,12 +216,16 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, accounts: DataFrame) ->
     A document taken whole keeps its text; of one taken in part the text is the taken words, in
     their order, joined by spaces, and n_chars its length. Identical rows differ by their offset.
     """
-    text_words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     runs = pieces.groupBy("source_no", "tie", "offset", "pass").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
     runs = runs.join(accounts.where("size > 0").select("source_no", "tie", "offset", "size", F.col("source").alias("own_source")), ["source_no", "tie", "offset"])
-    keyed = docs.withColumn("tie", row_key()).dropDuplicates(["tie", "source"])
-    joined = keyed.alias("d").join(runs.alias("r"), (F.col("d.tie") == F.col("r.tie")) & F.col("d.source").eqNullSafe(F.col("r.own_source"))).select("d.*", "r.n_words", "r.size", "r.runs")
-    whole = F.col("n_words") == F.col("size")
-    part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("words", (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
-    cut = joined.withColumn("words", F.when(~whole, text_words)).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    text_at, own = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.withColumn("_tie", row_key()).dropDuplicates(["_tie", "source"]).toDF(*own, "_tie")  # columns by place: extra ones may have any name
+    source = F.col(f"d.c{docs.columns.index('source')}")
+    joined = keyed.alias("d").join(runs.alias("r"), (F.col("d._tie") == F.col("r.tie")) & source.eqNullSafe(F.col("r.own_source"))).select("d.*", "r.n_words", "r.size", "r.runs")
+    whole, text = F.col("n_words") == F.col("size"), f"c{text_at}"
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("_words", (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
+    cut = joined.withColumn("_words", F.when(~whole, words)).withColumn(text, F.when(whole, F.col(text)).otherwise(part))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn(f"c{docs.columns.index('n_chars')}", F.length(text).cast("long"))
+    return cut.select(*own).toDF(*docs.columns)
