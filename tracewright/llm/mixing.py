@@ -17,9 +17,9 @@ SEED = 20_231
 
 
 def row_key() -> Column:
-    """A hash that tells documents apart: of doc_id, text and language, nulls apart from empty strings."""
+    """A hash that tells documents apart: of doc_id, text, language and source, nulls apart from empty strings."""
     marked = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return F.xxhash64(marked("doc_id"), marked("text"), marked("lang"))
+    return F.xxhash64(marked("doc_id"), marked("text"), marked("lang"), marked("source"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -217,11 +217,10 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, accounts: DataFrame) ->
     their order, joined by spaces, and n_chars its length. Identical rows differ by their offset.
     """
     runs = pieces.groupBy("source_no", "tie", "offset", "pass").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("runs"))
-    runs = runs.join(accounts.where("size > 0").select("source_no", "tie", "offset", "size", F.col("source").alias("own_source")), ["source_no", "tie", "offset"])
+    runs = runs.join(accounts.where("size > 0").select("source_no", "tie", "offset", "size"), ["source_no", "tie", "offset"])
     text_at, own = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
-    keyed = docs.withColumn("_tie", row_key()).dropDuplicates(["_tie", "source"]).toDF(*own, "_tie")  # columns by place: extra ones may have any name
-    source = F.col(f"d.c{docs.columns.index('source')}")
-    joined = keyed.alias("d").join(runs.alias("r"), (F.col("d._tie") == F.col("r.tie")) & source.eqNullSafe(F.col("r.own_source"))).select("d.*", "r.n_words", "r.size", "r.runs")
+    keyed = docs.withColumn("_tie", row_key()).dropDuplicates(["_tie"]).toDF(*own, "_tie")  # columns by place: extra ones may have any name
+    joined = keyed.join(runs, keyed["_tie"] == runs["tie"]).select(*own, "n_words", "size", "runs")  # in the partitions of the deduplication
     whole, text = F.col("n_words") == F.col("size"), f"c{text_at}"
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("_words", (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")

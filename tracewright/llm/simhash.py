@@ -204,12 +204,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     a text of fewer words is one shingle; an empty table gives an empty result.
     """
     rows = materialize(text_classes(docs, width), "near-classes")
-    classes = rows.groupBy("class").agg(F.min(F.struct("text_hash", "fps")).alias("m")).select("class", "m.text_hash", "m.fps")
-    classes = materialize(classes, "near-distinct")
-    spelled = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    first = candidate_links(classes)
-    texts = lambda pairs: spelled.join(classes.join(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), "class", "left_semi").select("class", "text_hash"), "text_hash").dropDuplicates(["class"]).select("class", "text")
-    first = materialize(first, "near-first")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fps"))
+    classes = materialize(rows.groupBy("class").agg(first_row.alias("m")).select("class", "m.doc_id", "m.text_hash", "m.fps"), "near-distinct")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        """(class, text) of the classes in pairs, each from its one chosen row."""
+        met = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = materialize(classes.join(met, "class", "left_semi").select("class", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")), "near-wanted")
+        spelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+        spelled = spelled.where(among(F.col("text_hash"), wanted.select("own_hash")))
+        return spelled.join(wanted, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).dropDuplicates(["class"]).select("class", "text")
+
+    first = materialize(candidate_links(classes), "near-first")
     links = verified_pairs(first, texts(first), width, similarity)
     roots = connected_components(links)
     known = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "fps", F.coalesce("root", "class").alias("comp"))
@@ -219,6 +225,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     return rows.join(roots, rows["class"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "class").alias("group_id"))
 
 
+#: Slots of the filter that keeps texts of no candidate pair out of a shuffle.
+SLOTS = 1 << 18
+
+
+def among(hashed: Column, wanted: DataFrame) -> Column:
+    """Whether a hash may be one of `wanted` (one column): never false for one that is. Always SLOTS bytes, whatever the number wanted."""
+    slot = lambda c: F.pmod(c, F.lit(SLOTS))
+    mask = np.zeros(SLOTS, np.uint8)
+    mask[wanted.select(slot(F.col(wanted.columns[0])).alias("s")).distinct().toArrow().column("s").to_numpy()] = 1  # SLOTS rows at most
+    return F.substring(F.lit(mask.tobytes()), (slot(hashed) + 1).cast("int"), 1) == F.lit(b"\x01")
+
+
 def candidate_links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b) classes whose first fingerprints are equal or differ in at most max_bits bits."""
     one = classes.select("class", F.col("fps")[0].alias("fp"))
