@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import materialize
 
 WINDOW, STRIDE = 48, 16
-#: A window may match only if benchmark words hold this share of its TF-IDF energy; then cosines count from LEAST_COSINE.
-LEAST_SHARE, LEAST_COSINE = 0.12, 0.3
+#: A window is a candidate for an item from this cosine on.
+LEAST_COSINE = 0.3
 #: Of an item's words, in order: this share settles it; this share does if its answer is there too.
 LCS_ALONE, LCS_WITH_ANSWER, LEAST_ANSWER = 0.75, 0.55, 0.8
 ANSWER_WORDS = 5
@@ -105,18 +105,34 @@ def inverse_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, floa
     return idf[:-1], math.log(df[-1] + 1) + 1
 
 
+def common_terms(items: Items, idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """The most frequent terms that in no item hold more than a quarter of LEAST_COSINE squared of its energy, and their largest share."""
+    energy = np.zeros((len(items.ids), len(idf)))
+    for i, w in enumerate(items.words):
+        t, x = _weights(w.tobytes(), idf)
+        energy[i, t] = x * x
+    order = np.argsort(idf, kind="stable")
+    share = (np.cumsum(energy[:, order], axis=1) / energy.sum(axis=1, keepdims=True)).max(axis=0)
+    n = int(np.searchsorted(share, LEAST_COSINE**2 / 4, "right"))
+    common = np.zeros(len(idf), bool)
+    common[order[:n]] = True
+    return common, float(share[n - 1]) if n else 0.0
+
+
 def candidate_windows(docs: DataFrame, items: Items, idf: np.ndarray, rarest: float) -> DataFrame:
-    """(doc_id, text_hash, energy, inside, around): windows in which benchmark words hold LEAST_SHARE of the energy.
+    """(doc_id, text_hash, energy, inside, around): windows whose words can reach LEAST_COSINE with some item.
 
-    A latent cosine is at most about the root of that share (exactly so where no word repeats).
+    With shares r and c of the window's energy in rare and in common benchmark terms, and at most f
+    of an item's in common ones, a cosine is at most sqrt(r) + sqrt(f * c) (where no word repeats).
     `inside` are the window's term numbers, `around` those of the window and an item's length on both sides.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((items.terms, idf, rarest, items.longest))
+    common, f = common_terms(items, idf)
+    held = spark.sparkContext.broadcast((items.terms, idf, rarest, items.longest, common, f))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, rarest, longest = held.value
-        weight = np.append(idf**2, 0.0)
+        terms, idf, rarest, longest, common, f = held.value
+        rare_weight, common_weight = np.append(np.where(common, 0, idf**2), 0.0), np.append(np.where(common, idf**2, 0), 0.0)
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("energy", pa.float64()), ("inside", pa.binary()), ("around", pa.binary())])
         for batch in batches:
             out = []
@@ -124,12 +140,17 @@ def candidate_windows(docs: DataFrame, items: Items, idf: np.ndarray, rarest: fl
                 x = _numbers(text.as_py(), terms)
                 if not len(x) or x.max() < 0:
                     continue
-                own = np.concatenate(([0.0], np.cumsum(weight[x])))
-                every = np.concatenate(([0.0], np.cumsum(np.where(x < 0, rarest**2, weight[x]))))
+                rare = rare_weight[x]
+                if not rare.any():
+                    continue
+                usual = common_weight[x]
+                rare_sum, usual_sum = np.concatenate(([0.0], np.cumsum(rare))), np.concatenate(([0.0], np.cumsum(usual)))
+                every = rare_sum + usual_sum + rarest**2 * np.concatenate(([0], np.cumsum(x < 0)))
                 starts = np.arange(0, max(1, len(x) - WINDOW + STRIDE), STRIDE)
                 stops = np.minimum(starts + WINDOW, len(x))
-                mine, all_ = own[stops] - own[starts], every[stops] - every[starts]
-                for k in np.flatnonzero((mine >= LEAST_SHARE * all_) & (mine > 0)):
+                all_ = every[stops] - every[starts]
+                reach = np.sqrt((rare_sum[stops] - rare_sum[starts]).clip(0) / all_) + np.sqrt(f * (usual_sum[stops] - usual_sum[starts]).clip(0) / all_)
+                for k in np.flatnonzero(reach >= LEAST_COSINE - 1e-9):
                     a, b = int(starts[k]), int(stops[k])
                     inside = x[a:b]
                     out.append((doc_id, digest, float(all_[k]), inside[inside >= 0].tobytes(), x[max(0, a - longest) : b + longest].tobytes()))
