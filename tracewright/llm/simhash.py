@@ -110,10 +110,11 @@ def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> Da
 
 
 #: Near duplicates by similarity: independent 64-bit fingerprints of 5-word shingles, cut into segments as above.
-SIMILARITY, SHINGLE, FINGERPRINTS, SEGMENT_BITS = 0.8, 5, 2, 16
+SIMILARITY, SHINGLE, FINGERPRINTS, INDEXED, SEGMENT_BITS = 0.8, 5, 3, 2, 16
 #: At a similarity of 0.8 a bit differs with probability 0.15; then one of the 8 segments differs by at most one bit
-#: with probability 0.93, at 0.85 with 0.97 and at 0.9 with 0.995. Of all bits at most this share differs.
-MOST_BITS = 0.25
+#: of the INDEXED fingerprints with probability 0.93, at 0.85 with 0.97 and at 0.9 with 0.995. Of the bits of all
+#: fingerprints at most this share differs: two deviations above 0.15.
+MOST_BITS = 0.2
 
 
 def wide_fingerprint(hashes: np.ndarray, n: int = FINGERPRINTS) -> list[int]:
@@ -154,7 +155,7 @@ def candidate_pairs(classes: DataFrame, n: int = FINGERPRINTS, known: bool = Fal
     per = 64 // SEGMENT_BITS
     full = (1 << SEGMENT_BITS) - 1
     more = ["comp"] if known else []
-    split = classes.select("class", "fps", *more, F.posexplode("fps").alias("k", "fp")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    split = classes.select("class", "fps", *more, F.posexplode(F.slice("fps", 1, INDEXED)).alias("k", "fp")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     split = split.withColumn("piece", F.expr(f"shiftrightunsigned(fp, s * {SEGMENT_BITS}) & {full}")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS))))
     key = F.expr(f"shiftleft((k * {per} + s) * 32L + j, {SEGMENT_BITS + 1}) + (piece & (case when j < {SEGMENT_BITS} then {full} - shiftleft(1, j) else {full} end))")
     index = split.select(key.alias("key"), F.expr(f"j < {SEGMENT_BITS} and (shiftrightunsigned(piece, j) & 1) = 1").alias("one"), "class", "fps", *more)
