@@ -131,7 +131,7 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH) -> Dat
             if pending:
                 held.append(np.unique(np.concatenate(pending), return_counts=True))
             pending, size = [], 0
-            if sum(len(h[0]) for h in held) > 6_000_000:
+            if sum(len(h[0]) for h in held) > 3_000_000:
                 held = [merged()]
 
         for batch in batches:
@@ -141,9 +141,9 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH) -> Dat
                 g = grams(coded(words_of(text.as_py()), symbols), depth)
                 pending.append(g)
                 size += len(g)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     fold()
-            if held and sum(len(h[0]) for h in held) > 12_000_000:
+            if held and sum(len(h[0]) for h in held) > 6_000_000:
                 held = [merged()]
         fold()
         keys, counts = merged()
