@@ -158,10 +158,11 @@ def candidate_pairs(classes: DataFrame, n: int = FINGERPRINTS, known: bool = Fal
     split = classes.select("class", "fps", *more, F.posexplode(F.slice("fps", 1, INDEXED)).alias("k", "fp")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     split = split.withColumn("piece", F.expr(f"shiftrightunsigned(fp, s * {SEGMENT_BITS}) & {full}")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS))))
     key = F.expr(f"shiftleft((k * {per} + s) * 32L + j, {SEGMENT_BITS + 1}) + (piece & (case when j < {SEGMENT_BITS} then {full} - shiftleft(1, j) else {full} end))")
-    index = split.select(key.alias("key"), F.expr(f"j < {SEGMENT_BITS} and (shiftrightunsigned(piece, j) & 1) = 1").alias("one"), "class", "fps", *more)
+    prints = [F.col("fps")[i].alias(f"f{i}") for i in range(n)]  # columns take less room in a shuffle than an array
+    index = split.select(key.alias("key"), F.expr(f"j < {SEGMENT_BITS} and (shiftrightunsigned(piece, j) & 1) = 1").alias("one"), "class", *prints, *more)
     exact = F.shiftright("key", SEGMENT_BITS + 1).bitwiseAND(F.lit(31)) == SEGMENT_BITS
     left, right = index.where("not one").alias("l"), index.where(exact | F.col("one")).alias("r")
-    distance = sum(F.bit_count(F.col("l.fps")[k].bitwiseXOR(F.col("r.fps")[k])) for k in range(n))
+    distance = sum(F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}"))) for k in range(n))
     condition = (F.col("l.key") == F.col("r.key")) & (distance <= int(64 * n * MOST_BITS)) & (F.col("r.one") | (F.col("l.class") < F.col("r.class")))
     if known:
         condition = condition & (F.col("l.comp") != F.col("r.comp"))
