@@ -26,8 +26,8 @@ SHARD_TOKENS = 1 << 21
 END_ID = 0
 #: Where texts are cut: before a space that a non-space follows. The pre-tokenizer always ends a piece there.
 CUT = re.compile(r" (?=\S)")
-#: A piece of Latin letters and then maybe punctuation: one or two pre-tokens, whatever stands around it.
-SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?|]*)")
+#: Letters below this one, and then maybe punctuation: one or two pre-tokens, whatever stands around them.
+LATIN_END, PUNCTUATION = "\u0250", ".,;:!?|"
 CACHED = 1_000_000
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
@@ -47,7 +47,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes | None:
         # Only a piece that starts with a non-space may be cut from the space before it.
-        out = None if self.prefix and (not piece or piece[0].isspace()) else self.encoder.piece(self.prefix + piece)
+        out = None if self.prefix and (not piece or piece[0].isspace()) else self.encoder.piece(self.prefix, piece)
         self[piece] = out
         return out
 
@@ -62,6 +62,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.table = byte_alphabet()
+        self.newline = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.parts: dict[str, bytes] = {}
         self.first, self.spaced = Pieces(self, ""), Pieces(self, " ")
 
@@ -71,13 +72,24 @@ class Encoder:
     def _part(self, text: str) -> bytes:
         """One pre-token by the tokenizer's model."""
         if (known := self.parts.get(text)) is None:
-            known = self.parts[text] = self._bytes([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.table))])
+            if text.isascii():  # letters and punctuation stand for themselves
+                spelled = text.replace(" ", self.table[32])
+            else:
+                spelled = text.encode().decode("latin-1").translate(self.table)
+            known = self.parts[text] = self._bytes([t.id for t in self.model.tokenize(spelled)])
         return known
 
-    def piece(self, text: str) -> bytes:
-        if simple := SIMPLE.fullmatch(text):
-            return self._part(simple[1]) + (self._part(simple[2]) if simple[2] else b"")
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def piece(self, prefix: str, text: str) -> bytes:
+        """Token bytes of prefix (a space or nothing) and a piece of text."""
+        stem = text if text.isalpha() else text.rstrip(PUNCTUATION)
+        if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
+            known = self._part(prefix + stem)
+            return known if len(stem) == len(text) else known + self._part(text[len(stem) :])
+        # A single line end between non-spaces is a pre-token of its own.
+        before, end, after = text.partition("\n")
+        if end and before and after and not before[-1].isspace() and not after[0].isspace():
+            return self.piece(prefix, before) + self.newline + self.piece("", after)
+        return self._bytes(self.tokenizer.encode(prefix + text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> np.ndarray:
         head, *rest = text.split(" ")
