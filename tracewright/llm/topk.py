@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
-#: A list is read in this many steps; after each the bounds are compared.
-STEPS = 6
+#: Lists are read to these shares of their depths; at each the bounds are compared.
+DEPTHS = (0.2, 0.4, 0.6, 0.8, 1.0)
+#: A query's reading stops when at most this many times k candidates can still be among its best.
+RESOLVED = 16
 #: Components beyond this could leave exact 64-bit arithmetic; such vectors are refused.
 LARGEST = 2.0**26
 
@@ -49,50 +51,64 @@ def _pack(size: int):
 
 
 class SortedLists:
-    """A block's candidates as one list per component, sorted by value; read from either end."""
+    """A block's candidates as one list per component, sorted by value; each is read from the end that a query's sign makes best."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order].astype(np.float64)
         self.n, self.d = self.values.shape
-        self.order = np.argsort(self.values, axis=0, kind="stable").T.copy()  # component x depth -> candidate
-        self.sorted = np.take_along_axis(self.values.T, self.order, axis=1)
-
-    def top(self, query_id: int, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The block's up to k best candidates for one query among those that can reach `floor`.
-
-        Each list holds what its component adds to the score; it is read from its best end, a step
-        for all lists at a time. A candidate's bounds are the sum of what has been read plus, for
-        each list where it hasn't been met, the worst or the last value of that list. Reading stops
-        when no other than the current best can reach the k-th lower bound; the rest is resolved.
+        self.columns = np.ascontiguousarray(self.values.T, np.float32)
+        by_value = np.argsort(self.columns, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.columns, by_value, axis=1)
+        self.place = np.empty((self.d, self.n), np.int32)
+        np.put_along_axis(self.place, by_value, np.arange(self.n, dtype=np.int32)[None, :], axis=1)
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the block's up to k best candidates among those that can reach its floor.
+
+        All lists are read to one depth after another. A candidate's bounds are the sum of what has
+        been read of it plus, for each list where it hasn't been met, the list's worst entry or
+        the one read last. A query is done when no more than RESOLVED * k candidates can reach its
+        k-th lower bound and its floor; those are resolved exactly.
         """
-        up = query >= 0
-        own = np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right")
-        worst = np.where(up, self.sorted[:, 0], self.sorted[:, -1]) * query if self.n else np.zeros(self.d)
-        read, missing_worst = np.zeros(self.n), np.full(self.n, worst.sum())
-        seen = np.zeros((self.n, self.d), np.float32)
-        alive = np.arange(self.n)
-        step = max(1, -(-self.n // STEPS))
-        for at in range(0, self.n, step):
-            to = min(self.n, at + step)
-            picked = np.where(up[:, None], self.order[:, self.n - to : self.n - at], self.order[:, at:to])
-            added = np.where(up[:, None], self.sorted[:, self.n - to : self.n - at], self.sorted[:, at:to]) * query[:, None]
-            flat = picked.ravel()
-            read += np.bincount(flat, added.ravel(), self.n)
-            missing_worst -= np.bincount(flat, np.repeat(worst, to - at), self.n)
-            seen[flat, np.repeat(np.arange(self.d), to - at)] = 1
-            last = np.where(up, self.sorted[:, self.n - to], self.sorted[:, to - 1]) * query
-            upper = read + (last.sum() - seen @ last.astype(np.float64))
-            lower = read + missing_worst
-            lower[own[0] : own[1]] = upper[own[0] : own[1]] = -np.inf
-            kth = np.partition(lower, self.n - k)[self.n - k] if self.n > k else -np.inf
-            alive = np.flatnonzero(upper >= max(kth, floor) - 0.5)
-            if len(alive) <= 8 * k:
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(query_ids)
+        first, last_own = np.searchsorted(self.ids, query_ids, "left"), np.searchsorted(self.ids, query_ids, "right")
+        open_ = np.arange(len(query_ids))
+        q = queries.astype(np.float32)
+        # Bounds are in single precision, kept apart by more than its error.
+        slack = 1e-5 * (np.abs(q) @ np.abs(self.columns).max(axis=1)) + 0.5
+        for depth in DEPTHS:
+            t = -(-int(self.n * depth * 1000) // 1000) if depth < 1 else self.n
+            t = max(1, min(self.n, t))
+            high, low = self.place >= self.n - t, self.place < t
+            x = q[open_]
+            up, down = np.where(x >= 0, x, 0), np.where(x < 0, x, 0)
+            read = up @ np.where(high, self.columns, 0) + down @ np.where(low, self.columns, 0)
+            high, low = high.astype(np.float32), low.astype(np.float32)
+
+            def unmet(high_entry: np.ndarray, low_entry: np.ndarray) -> np.ndarray:
+                """What the lists where a candidate hasn't been met add at these entries."""
+                a, b = up * high_entry, down * low_entry
+                return (a.sum(axis=1) + b.sum(axis=1))[:, None] - a @ high - b @ low
+
+            upper = read + unmet(self.sorted[:, self.n - t], self.sorted[:, t - 1])
+            lower = read + unmet(self.sorted[:, 0], self.sorted[:, -1])
+            for row, i in enumerate(open_):
+                lower[row, first[i] : last_own[i]] = upper[row, first[i] : last_own[i]] = -np.inf
+            kth = np.partition(lower, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.full(len(open_), -np.inf)
+            least = np.maximum(kth - slack[open_], floors[open_] - 0.5)
+            alive = upper + slack[open_][:, None] >= least[:, None]
+            done = (alive.sum(axis=1) <= RESOLVED * k) | (t == self.n)
+            for row in np.flatnonzero(done):
+                i = open_[row]
+                some = np.flatnonzero(alive[row] & (upper[row] > -np.inf))
+                scores = self.values[some] @ queries[i].astype(np.float64)
+                best = np.lexsort((self.ids[some], -scores))[:k]
+                out[i] = self.ids[some][best], scores[best]
+            open_ = open_[~done]
+            if not len(open_):
                 break
-        alive = alive[(alive < own[0]) | (alive >= own[1])]
-        scores = self.values[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+        return out
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -102,16 +118,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     another vec_id; queries with none give no rows. Rows of equal vec_id each take part; rows
     with a null vec_id, and null or non-finite vectors, take none. Empty tables give no rows.
 
-    Query blocks meet candidate blocks by an equi-join on the vector length and the query block's
-    number, so a task holds one block of each whatever the tables' sizes.
+    Query blocks meet candidate blocks by an equi-join on the vector length, the query block's
+    number and one of a few groups of candidate blocks, so a task holds one block of each whatever
+    the tables' sizes and the work spreads over more tasks than there are query blocks.
     """
     cast = scaled(vectors.where("vec_id is not null"), scale)
     asked = scaled(queries.where("vec_id is not null"), scale).dropDuplicates(["vec_id", "v"])
     total = asked.count()
     n_blocks = max(1, -(-total // query_block))
+    groups = max(1, vectors.sparkSession.sparkContext.defaultParallelism * 2)
     dealt = asked.repartition(n_blocks, F.xxhash64("vec_id"))
-    q = dealt.mapInArrow(_pack(query_block), "length int, block binary").withColumn("qb", F.pmod(F.xxhash64("block"), F.lit(n_blocks)).cast("int")).withColumnRenamed("block", "q")
-    c = cast.mapInArrow(_pack(candidate_block), "length int, block binary").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumnRenamed("block", "c")
+    q = dealt.mapInArrow(_pack(query_block), "length int, block binary").withColumn("qb", F.pmod(F.xxhash64("block"), F.lit(n_blocks)).cast("int")).withColumnRenamed("block", "q").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    c = cast.mapInArrow(_pack(candidate_block), "length int, block binary").withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumnRenamed("block", "c")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[bytes, np.ndarray] = {}
@@ -125,13 +143,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
                 # What this task has found so far is a floor: k candidates at least are known to reach it.
                 known = floors.setdefault(q_block[-64:] + len(q_block).to_bytes(8, "big"), np.full((len(q_ids), k), -np.inf))
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for i, (query_id, query) in enumerate(zip(q_ids, q_values.astype(np.float64))):
-                    ids, scores = lists.top(query_id, query, k, known[i, 0])
+                for i, (ids, scores) in enumerate(lists.top(q_ids, q_values, k, known[:, 0])):
                     known[i] = np.sort(np.concatenate((known[i], scores)))[-k:]
-                    out.append((np.full(len(ids), query_id), ids, scores.astype(np.int64)))
+                    out.append((np.full(len(ids), q_ids[i]), ids, scores.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    pairs = c.join(q, ["length", "qb"]).select("q", "c")
+    pairs = c.join(q.hint("merge"), ["length", "qb", "g"]).select("q", "c")
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
