@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
                     lists_of = c_block, SortedLists(*pickle.loads(c_block))
                 lists = lists_of[1]
                 # What this task has found so far is a floor: k candidates at least are known to reach it.
-                known = floors.setdefault(q_block[-64:] + len(q_block).to_bytes(8, "big"), np.full((len(q_ids), k), -np.inf))
+                known = floors.setdefault(xxhash.xxh3_128_digest(q_block), np.full((len(q_ids), k), -np.inf))
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for i, (ids, scores) in enumerate(lists.top(q_ids, q_values, k, known[:, 0])):
                     known[i] = np.sort(np.concatenate((known[i], scores)))[-k:]
