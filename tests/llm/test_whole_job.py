@@ -1,8 +1,11 @@
 """Cases in which the training-data operators once did less than the whole job."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
-from tracewright.llm import topk
+from tracewright.llm import suffix_tree, topk
+from tracewright.llm.common import words_of
 
 
 def test_topk_full_query_blocks_in_one_task(spark):
@@ -25,3 +28,21 @@ def test_topk_full_query_blocks_in_one_task(spark):
         scores[i, i] = -(2**62)
         best = np.lexsort((np.arange(n), -scores[i]))[:k]
         assert sorted(found.get(i, [])) == [(rank + 1, int(j), int(scores[i, j])) for rank, j in enumerate(best)], i
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_suffix_tree_keeps_rare_contexts_of_seven_symbols(spark, limit):
+    """Scores are those of the tree grown at once from all contexts of up to seven symbols, loaded or joined."""
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    texts = [" ".join(r.choice(words, 60)) for _ in range(60)] + ["", None, "Été été x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    symbols = suffix_tree.byte_symbols(docs)
+    coded = {i: suffix_tree.coded(words_of((t or "").encode()), symbols) for i, t in enumerate(texts)}
+    g, n = np.unique(np.concatenate([suffix_tree.grams(s, 7) for i, s in coded.items() if not suffix_tree.held_out(i)]), return_counts=True)
+    table = pd.concat([pd.DataFrame({"d": d, "ctx": (g >> 6) & ((1 << 6 * d) - 1), "sym": g & 63, "n": n}) for d in range(8)]).groupby(["d", "ctx", "sym"], as_index=False).n.sum()
+    tree = suffix_tree.grow({c: table[c].to_numpy() for c in table}, symbols, 7, 12.0)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, least_count=1, broadcast_states=limit).collect()}
+    assert len(got) == len(texts)
+    for i, s in coded.items():
+        assert got[i] == pytest.approx(tree.score(s), rel=1e-3), i

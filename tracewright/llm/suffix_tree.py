@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyarrow import dataset
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import as_text_bytes, materialize, scratch_path, words_of
@@ -21,14 +21,20 @@ from tracewright.llm.common import as_text_bytes, materialize, scratch_path, wor
 #: Symbols are 6 bits: the most frequent bytes have one each, the others share OTHER; END closes a text.
 BITS, SPACE, OTHER, END = 6, 0, 62, 63
 MASK = (1 << BITS) - 1
-DEPTH = 5
-#: A context may become a state if it makes up this share of all training symbols: at most 1 / P_MIN states a depth.
-P_MIN = 1e-5
+DEPTH = 7
+#: A context may become a state if it occurs this often, whatever the size of the corpus.
+LEAST_COUNT = 2
 #: A state's divergence from its suffix, in nats over all its occurrences, beyond which it is kept.
 DIVERGENCE = 12.0
 #: Word counts up to this many rows are loaded by each worker (16 bytes a row); beyond it they're joined.
 BROADCAST_WORDS = 8_000_000
+#: The tree is loaded by each worker up to this many rows (12 bytes a row); beyond it, it's joined.
+BROADCAST_STATES = 24_000_000
 PIECE = 1 << 18
+#: Contexts of up to BASE symbols are one dense table; longer ones are dealt over tasks by their last NEAR symbols.
+BASE, NEAR = 2, 3
+#: Marks a context's row in the tree's table; its depth is in the three bits below.
+STATE = 1 << 52
 
 
 def held_out(doc_id) -> bool:
@@ -108,8 +114,16 @@ def grams(s: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH) -> DataFrame:
-    """(g long, n long): training counts of each context of `depth` symbols with the symbol after it."""
+def near_symbols() -> Column:
+    """The last NEAR symbols of a gram's context: all that a task needs to grow the contexts that end in them."""
+    return F.shiftright("g", BITS).bitwiseAND(F.lit((1 << BITS * NEAR) - 1))
+
+
+def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH, every: bool = False) -> DataFrame:
+    """(near long, g long, n long): training counts of each context of `depth` symbols with the symbol after it.
+
+    Dealt by `near`. With `every`, grams of held-out texts alone are there too, with a count of 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,40 +132,207 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH) -> Dat
             if not held:
                 return np.empty(0, np.int64), np.empty(0, np.int64)
             keys, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[first], np.add.reduceat(counts, first)
+            return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
-        pending: list[np.ndarray] = []
+        pending: dict[int, list[np.ndarray]] = {0: [], 1: []}
         size = 0
 
         def fold() -> None:
-            nonlocal pending, size, held
-            if pending:
-                held.append(np.unique(np.concatenate(pending), return_counts=True))
-            pending, size = [], 0
-            if sum(len(h[0]) for h in held) > 3_000_000:
-                held = [merged()]
+            nonlocal pending, size
+            for training, some in pending.items():
+                if some:
+                    keys, n = np.unique(np.concatenate(some), return_counts=True)
+                    held.append((keys, (n * training).astype(np.int32)))
+            pending, size = {0: [], 1: []}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = merged()
+            held.clear()
+            for at in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(counts[at : at + 200_000].astype(np.int64))], ["g", "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if held_out(doc_id):
+                training = not held_out(doc_id)
+                if not training and not every:
                     continue
                 g = grams(coded(words_of(text.as_py()), symbols), depth)
-                pending.append(g)
+                pending[int(training)].append(g)
                 size += len(g)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     fold()
-            if held and sum(len(h[0]) for h in held) > 6_000_000:
-                held = [merged()]
+                    if sum(len(h[0]) for h in held) > 6_000_000:
+                        held.append(merged())
+                        if len(held[0][0]) > 4_500_000:
+                            yield from flush()
         fold()
-        keys, counts = merged()
-        for at in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(counts[at : at + 200_000].astype(np.int64))], ["g", "n"])
+        yield from flush()
 
     rows = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(run, "g long, n long")
-    return rows.groupBy("g").agg(F.sum("n").alias("n"))
+    return rows.withColumn("near", near_symbols()).repartition("near").groupBy("near", "g").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Base:
+    """Contexts of up to BASE symbols: counts, and the smoothed probabilities of the next symbol after each."""
+
+    counts: list[np.ndarray]
+    smooth: list[np.ndarray]
+
+    def log10(self, used: np.ndarray, divergence: float, least: int) -> np.ndarray:
+        """log10 probabilities by context of BASE symbols, after its longest kept suffix; `used` contexts have longer ones."""
+        keep = [np.ones(len(p), bool) for p in self.smooth]
+        for k in range(BASE, 0, -1):
+            c, parent = self.counts[k], np.tile(self.smooth[k - 1], (1 << BITS, 1))
+            total = c.sum(axis=1, keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(c > 0, c * np.log(c / total / parent), 0).sum(axis=1)
+            keep[k] = (gain >= divergence) & (total[:, 0] >= least)
+            longer = used if k == BASE else np.flatnonzero(keep[k + 1])
+            keep[k][longer & ((1 << BITS * k) - 1)] = True
+        best = self.smooth[0]
+        for k in range(1, BASE + 1):
+            best = np.where(keep[k][:, None], self.smooth[k], np.tile(best, (1 << BITS, 1)))
+        return np.log10(best)
+
+
+def base_of(docs: DataFrame, symbols: np.ndarray) -> Base:
+    """The dense table, from training counts of at most 64^3 grams."""
+    width = 1 << BITS * (BASE + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        pending: list[np.ndarray] = []
+
+        def fold() -> None:
+            nonlocal total
+            if pending:
+                total += np.bincount(np.concatenate(pending), minlength=width)
+                pending.clear()
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not held_out(doc_id):
+                    pending.append(grams(coded(words_of(text.as_py()), symbols), BASE))
+                    if sum(map(len, pending[-64:])) > PIECE or len(pending) >= 1000:
+                        fold()
+        fold()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
+
+    found = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # 64^3 rows at most
+    flat = np.zeros(width)
+    flat[found.column("g").to_numpy()] = found.column("n").to_numpy()
+    counts = [flat.reshape(1 << BITS * BASE, 1 << BITS)]
+    for k in range(BASE - 1, -1, -1):
+        counts.insert(0, counts[0].reshape(1 << BITS, 1 << BITS * k, 1 << BITS).sum(axis=0))
+    smooth = []
+    for k, c in enumerate(counts):
+        parent = np.tile(smooth[-1], (1 << BITS, 1)) if k else np.full((1, 1 << BITS), 1 / (1 << BITS))
+        a = np.maximum(1, (c > 0).sum(axis=1, keepdims=True))
+        smooth.append((c + a * parent) / (c.sum(axis=1, keepdims=True) + a))
+    return Base(counts, smooth)
+
+
+def grown(g: np.ndarray, n: np.ndarray, parent: np.ndarray, depth: int, divergence: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, value) of the contexts beyond BASE symbols, sorted, from all grams (sorted) of some groups `near`.
+
+    As in `grow`. A kept context's own row has the log10 weight that it and its suffixes beyond BASE
+    leave to unseen symbols, with STATE in its key; a row of it and a symbol seen after it has the log10
+    probability less that weight, so an unseen symbol's is a context's row plus the longest suffix's row of it.
+    """
+    levels, before = [], None
+    for k in range(BASE + 1, depth + 1):
+        keys, at = np.unique(g & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
+        counts = np.bincount(at, weights=n, minlength=len(keys))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] >> BITS != keys[:-1] >> BITS)))
+        ctx, of = keys[first] >> BITS, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        total, a = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))).astype(float)
+        if before is None:
+            p, weight = parent[(keys >> BITS) & ((1 << BITS * BASE) - 1), keys & MASK], np.zeros(len(ctx))
+        else:
+            p = before[1][np.searchsorted(before[0], keys & ((1 << BITS * k) - 1))]
+            weight = before[3][np.searchsorted(before[2], ctx & ((1 << BITS * (k - 1)) - 1))]
+        gain = np.add.reduceat(counts * np.log(counts / total[of] / p), first)
+        p = (counts + a[of] * p) / (total + a)[of]
+        weight = weight + np.log10(a / (total + a))
+        before = keys, p, ctx, weight
+        levels.append([k, keys, np.log10(p) - weight[of], ctx, weight, of, (gain >= divergence) & (total >= least)])
+    out = []
+    for i in range(len(levels) - 1, -1, -1):
+        k, keys, values, ctx, weight, of, keep = levels[i]
+        if i:
+            levels[i - 1][6][np.searchsorted(levels[i - 1][3], ctx[keep] & ((1 << BITS * (k - 1)) - 1))] = True
+        out += [(keys[keep[of]] | k << 48, values[keep[of]]), (ctx[keep] | k << 48 | STATE, weight[keep])]
+    keys, values = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(np.float32)
+
+
+def log10_of(g: np.ndarray, keys: np.ndarray, values: np.ndarray, base: np.ndarray, parent: np.ndarray, depth: int, n_other: int) -> np.ndarray:
+    """log10 probability of each gram's symbol after the longest kept suffix of its context."""
+    near, sym = (g >> BITS) & ((1 << BITS * BASE) - 1), g & MASK
+    out = base[near, sym].astype(np.float64)
+    seen, weight, left = np.log10(parent[near, sym]), np.zeros(len(g)), np.arange(len(g))
+
+    def found(low: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(keys, [low, low + (1 << 48)])
+        if a == b:
+            return np.zeros(len(wanted), bool), np.empty(0)
+        at = a + np.minimum(np.searchsorted(keys[a:b], wanted | low), b - a - 1)
+        hit = keys[at] == wanted | low
+        return hit, values[at[hit]]
+
+    for k in range(BASE + 1, depth + 1):
+        hit, x = found(k << 48 | STATE, (g[left] >> BITS) & ((1 << BITS * k) - 1))
+        left = left[hit]
+        weight[left] = x
+        hit, x = found(k << 48, g[left] & ((1 << BITS * (k + 1)) - 1))
+        seen[left[hit]] = x
+        out[left] = seen[left] + weight[left]
+    return np.where(sym == OTHER, out - math.log10(n_other), out)
+
+
+def tree_rows(counts: DataFrame, parent: np.ndarray, depth: int, divergence: float, least: int, scorer=None) -> DataFrame:
+    """The tree's rows (key, value), or with a scorer every gram with its log10 probability, group by group of `near`."""
+    held = counts.sparkSession.sparkContext.broadcast(parent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            if size:
+                g, n = (np.concatenate(x) for x in zip(*parts))
+                own = n > 0
+                keys, values = grown(g[own], n[own], held.value, depth, divergence, least) if own.any() else (np.empty(0, np.int64), np.empty(0, np.float32))
+                if scorer:
+                    keys, values = g, scorer(g, keys, values)
+                for at in range(0, len(keys), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(values[at : at + 200_000].astype(np.float32))], ["key", "value"])
+
+        for batch in batches:
+            near, g, n = (c.to_numpy() for c in batch.columns)
+            start = 0
+            if size >= 250_000:
+                # Groups are whole: a chunk ends where `near` changes.
+                last = (parts[-1][0][-1] >> BITS) & ((1 << BITS * NEAR) - 1)
+                start = int(np.searchsorted(near, last, "right"))
+                if start < len(near):
+                    parts.append((g[:start], n[:start]))
+                    yield from chunk()
+                    parts, size = [], 0
+                else:
+                    start = 0
+            parts.append((g[start:], n[start:]))
+            size += len(g) - start
+        yield from chunk()
+
+    return counts.sortWithinPartitions("near").select("near", "g", "n").mapInArrow(run, "key long, value float")
 
 
 def kept_grams(counts: DataFrame, depth: int, p_min: float) -> DataFrame:
@@ -234,22 +415,29 @@ def grow(rows: dict[str, np.ndarray], symbols: np.ndarray, depth: int = DEPTH, d
     return SuffixTree(child, log10, depth)
 
 
-_words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_loaded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def loaded_words(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """The word counts written at `uri`, by hash; read once by a Python worker."""
-    if uri not in _words:
-        _words.clear()
+def loaded(uri: str, columns: tuple[str, str], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two columns written at `uri`, by the first; read once by a Python worker, which holds a table of each kind."""
+    if uri not in _loaded:
+        for other in [u for u in _loaded if u.rsplit("-", 1)[0].rsplit("/", 1)[-1] == uri.rsplit("-", 1)[0].rsplit("/", 1)[-1]]:
+            del _loaded[other]
         fs, path = FileSystem.from_uri(uri)
-        found = dataset.dataset(path, filesystem=fs, format="parquet").to_table(columns=["h", "c"])
-        h = found.column("h").to_numpy()
-        order = np.argsort(h)
-        _words[uri] = h[order], found.column("c").to_numpy()[order]
-    return _words[uri]
-
-
-def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, divergence: float = DIVERGENCE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+        found = dataset.dataset(path, filesystem=fs, format="parquet")
+        keys, values = (np.empty(rows, found.schema.field(c).type.to_pandas_dtype()) for c in columns)
+        at = 0
+        for batch in found.to_batches(columns=list(columns), batch_readahead=1, fragment_readahead=1):
+            keys[at : at + len(batch)], values[at : at + len(batch)] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at += len(batch)
+        if len(keys) and (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+        _loaded[uri] = keys, values
+    return _loaded[uri]
+
+
+def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, divergence: float = DIVERGENCE, broadcast_words: int = BROADCAST_WORDS, broadcast_states: int = BROADCAST_STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Trains on the rows that aren't held out and scores all. `score` is the log10 probability that
@@ -258,27 +446,60 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, d
     equal doc_id are rows of their own. With no training rows all counts are zero and the tree is
     uniform. An empty table gives an empty result.
 
-    Counts are summed over the whole corpus on Spark. The tree is broadcast: p_min bounds its
-    states. The word counts are read from the shared folder by each worker up to broadcast_words
-    rows, and joined to each document's words beyond.
+    Counts are summed over the whole corpus on Spark, and the tree is grown there too, by the last
+    NEAR symbols of its contexts: the driver holds only the dense table of BASE symbols. Tree and
+    word counts are tables in the shared folder. Each worker reads them up to broadcast_states and
+    broadcast_words rows; beyond, they're joined to each document's grams and words.
     """
+    if not BASE < depth <= DEPTH:
+        raise ValueError(f"depth must be {BASE + 1} to {DEPTH}")
     spark = docs.sparkSession
     words_at = scratch_path(spark, "lm-words")
     word_counts(docs).write.parquet(words_at)
     words = spark.read.schema("h long, c long").parquet(words_at)
     v, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     symbols = byte_symbols(docs)
-    counts = materialize(gram_counts(docs, symbols, depth), "lm-grams")
-    kept = kept_grams(counts, depth, p_min).toArrow()  # p_min bounds it
-    tree = spark.sparkContext.broadcast(grow({c: kept.column(c).to_numpy() for c in kept.column_names}, symbols, depth, divergence))
+    n_other = max(1, 256 - 6 - int(((symbols != OTHER) & (symbols != SPACE)).sum()))
+    base = base_of(docs, symbols)
+    parent = base.smooth[BASE]
+    tree_at = scratch_path(spark, "lm-tree")
+    tree_rows(gram_counts(docs, symbols, depth), parent, depth, divergence, least_count).write.parquet(tree_at)
+    tree = spark.read.schema("key long, value float").parquet(tree_at)
+    states = tree.count()
+    shortest = tree.where((F.col("key") >= STATE | BASE + 1 << 48) & (F.col("key") < STATE | BASE + 2 << 48))
+    used = shortest.select(F.col("key").bitwiseAND(F.lit((1 << BITS * BASE) - 1)).alias("c")).distinct().toArrow().column("c").to_numpy()  # 64^2 rows at most
+    known_base = base.log10(used, divergence, least_count)
+    dense = spark.sparkContext.broadcast((known_base, parent))
+    few = states <= broadcast_states
     floor = total + 0.5 * (v + 1)
     small = v <= broadcast_words
 
+    def tree_scores(texts: list[np.ndarray]) -> list[float]:
+        """Scores of texts given by their grams; each different gram of up to 4 PIECE symbols is looked up once."""
+        keys, values = loaded(tree_at, ("key", "value"), states)
+        every = np.concatenate(texts)
+        logs = np.empty(len(every))
+        for a in range(0, len(every), 4 * PIECE):
+            g, at = np.unique(every[a : a + 4 * PIECE], return_inverse=True)
+            logs[a : a + 4 * PIECE] = log10_of(g, keys, values, *dense.value, depth, n_other)[at]
+        return np.add.reduceat(logs, np.cumsum([0, *map(len, texts[:-1])])).tolist()
+
+    def scored_texts(texts: Iterator[list[bytes]]) -> list[float]:
+        out, some, size = [], [], 0
+        for tokens in texts:
+            some.append(grams(coded(tokens, symbols), depth))
+            size += len(some[-1])
+            if size > 4 * PIECE:
+                out += tree_scores(some)
+                some, size = [], 0
+        return out + (tree_scores(some) if some else [])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             out = []
-            for doc_id, text, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            scores = scored_texts(words_of(t.as_py()) for t in batch.column(1)) if few else [0.0] * len(batch)
+            for doc_id, text, row, score in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), scores):
                 tokens = words_of(text.as_py())
                 distinct = Counter(tokens)
                 distinct[b"\n"] = 1  # no word is a newline
@@ -286,22 +507,37 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, d
                 tf = np.fromiter(distinct.values(), np.int64, len(distinct))
                 known, base, pairs = None, None, None
                 if small:
-                    keys, values = loaded_words(words_at)
+                    keys, values = loaded(words_at, ("h", "c"), v)
                     at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                     c = np.where(keys[at] == h, values[at], 0) if len(keys) else np.zeros(len(h), np.int64)
                     known, base = int(tf[c > 0].sum()), float((tf * np.log10((c + 0.5) / floor)).sum())
                 else:
                     pairs = [{"h": int(a), "tf": int(b)} for a, b in zip(h, tf)]
-                out.append((doc_id, held_out(doc_id), len(tokens) + 1, known, total, base, tree.value.score(coded(tokens, symbols)), row, pairs))
-            schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("row", pa.int64()), ("pairs", pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())])))])
+                own = None
+                if not few:
+                    g, n = np.unique(grams(coded(tokens, symbols), depth), return_counts=True)
+                    own = [{"h": a, "tf": b} for a, b in zip(g.tolist(), n.tolist())]
+                out.append((doc_id, held_out(doc_id), len(tokens) + 1, known, total, base, score, row, pairs, own))
+            schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("row", pa.int64()), ("pairs", (numbers := pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())])))), ("grams", numbers)])
             yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
+    def joined_scores(texts: DataFrame) -> DataFrame:
+        """(row, score): each text's different grams joined to the log10 probability of each gram of the corpus."""
+        scorer = lambda g, keys, values: log10_of(g, keys, values, *dense.value, depth, n_other)
+        logs = tree_rows(gram_counts(docs, symbols, depth, every=True), parent, depth, divergence, least_count, scorer)
+        held = texts.select("row", F.explode("grams").alias("p")).select("row", F.col("p.h").alias("key"), "p.tf")
+        return held.join(logs, "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("value").cast("double")).alias("score"))
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text_bytes().alias("t"), F.monotonically_increasing_id().alias("row"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, row long, pairs array<struct<h:long,tf:long>>")
-    if not small:
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, row long, pairs array<struct<h:long,tf:long>>, grams array<struct<h:long,tf:long>>")
+    if not small or not few:
         scored = materialize(scored, "lm-scored")
+    every = scored
+    if not small:
         looked = scored.select("row", F.explode("pairs").alias("p")).select("row", "p.h", "p.tf").join(words, "h", "left")
         c = F.coalesce("c", F.lit(0))
         sums = looked.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 0.5) / F.lit(float(floor)))).alias("base_score"))
         scored = scored.drop("n_known", "base_score").join(sums, "row")
+    if not few:
+        scored = scored.drop("score").join(joined_scores(every), "row")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
