@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tracewright.llm import suffix_tree, topk
+from tracewright.llm import simhash, suffix_tree, topk
 from tracewright.llm.common import words_of
 
 
@@ -46,3 +46,18 @@ def test_suffix_tree_keeps_rare_contexts_of_seven_symbols(spark, limit):
     assert len(got) == len(texts)
     for i, s in coded.items():
         assert got[i] == pytest.approx(tree.score(s), rel=1e-3), i
+
+
+def test_near_duplicates_lose_no_borderline_pair(spark):
+    """200 pairs of similarity just above 0.8, none with another copy: every one is a group."""
+    r = np.random.default_rng(8)
+    texts = []
+    for _ in range(200):
+        words = [f"w{x}" for x in r.integers(0, 10**6, 104)]
+        other = list(words)
+        other[30], other[70] = "one", "two"  # 10 of 100 shingles differ: 90 / 110
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = {x["doc_id"]: x["group_id"] for x in simhash.near_duplicates(docs).collect()}
+    assert [i for i in range(0, 400, 2) if group[i] != group[i + 1]] == []
+    assert len(set(group.values())) == 200

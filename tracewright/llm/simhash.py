@@ -109,12 +109,10 @@ def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> Da
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near duplicates by similarity: independent 64-bit fingerprints of 5-word shingles, cut into segments as above.
-SIMILARITY, SHINGLE, FINGERPRINTS, INDEXED, SEGMENT_BITS = 0.8, 5, 3, 2, 16
-#: At a similarity of 0.8 a bit differs with probability 0.15; then one of the 8 segments differs by at most one bit
-#: of the INDEXED fingerprints with probability 0.93, at 0.85 with 0.97 and at 0.9 with 0.995. Of the bits of all
-#: fingerprints at most this share differs: two deviations above 0.15.
-MOST_BITS = 0.2
+#: Near duplicates by similarity of sets of SHINGLE-word shingles; a text's fingerprint finds the closest first.
+SIMILARITY, SHINGLE, FINGERPRINTS = 0.8, 5, 1
+#: Slots of the table of shingle counts that orders shingles from rare to common; it orders, whatever shares a slot.
+COUNT_SLOTS = 1 << 20
 
 
 def wide_fingerprint(hashes: np.ndarray, n: int = FINGERPRINTS) -> list[int]:
@@ -145,29 +143,60 @@ def text_classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, class long, fps array<long>")
 
 
-def candidate_pairs(classes: DataFrame, n: int = FINGERPRINTS, known: bool = False) -> DataFrame:
-    """(a, b) classes of which some segment differs by at most one bit and all fingerprints by MOST_BITS.
+def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(class, s): each class's different shingles, as verified_pairs compares them."""
 
-    classes: class, fps and, if `known`, comp: pairs within one comp are left out, so a group that
-    is connected already adds none.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_hashes(t.as_py(), width) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["class", "s"])
+
+    return texts.select("class", as_text_bytes().alias("t")).mapInArrow(run, "class long, s binary")
+
+
+def shingle_ranks(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each slot are, as the bit length of their count: COUNT_SLOTS bytes at any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_SLOTS, np.int64)
+        for batch in batches:
+            for s in batch.column(1):
+                np.add.at(total, np.frombuffer(s.as_py(), np.uint32) % COUNT_SLOTS, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = sets.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNT_SLOTS rows at most
+    ranks = np.zeros(COUNT_SLOTS, np.uint8)
+    ranks[found.column("slot").to_numpy()] = np.ceil(np.log2(found.column("n").to_numpy() + 1.0))
+    return ranks
+
+
+def candidate_pairs(sets: DataFrame, comps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): every pair of classes of different comps that can be similar by `similarity`; none is lost.
+
+    All shingles have one order, rare first. Sets of n and m shingles that are similar share one among
+    the first n - ceil(similarity * n) + 1 of one and of m so of the other, and at the first one shared the
+    rest of both is still long enough for the overlap. An equality join on those shingles meets them.
     """
-    # One row per fingerprint, then per segment, then per variant; place SEGMENT_BITS is the segment as it is.
-    per = 64 // SEGMENT_BITS
-    full = (1 << SEGMENT_BITS) - 1
-    more = ["comp"] if known else []
-    split = classes.select("class", "fps", *more, F.posexplode(F.slice("fps", 1, INDEXED)).alias("k", "fp")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    split = split.withColumn("piece", F.expr(f"shiftrightunsigned(fp, s * {SEGMENT_BITS}) & {full}")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS))))
-    key = F.expr(f"shiftleft((k * {per} + s) * 32L + j, {SEGMENT_BITS + 1}) + (piece & (case when j < {SEGMENT_BITS} then {full} - shiftleft(1, j) else {full} end))")
-    prints = [F.col("fps")[i].alias(f"f{i}") for i in range(n)]  # columns take less room in a shuffle than an array
-    index = split.select(key.alias("key"), F.expr(f"j < {SEGMENT_BITS} and (shiftrightunsigned(piece, j) & 1) = 1").alias("one"), "class", *prints, *more)
-    exact = F.shiftright("key", SEGMENT_BITS + 1).bitwiseAND(F.lit(31)) == SEGMENT_BITS
-    left, right = index.where("not one").alias("l"), index.where(exact | F.col("one")).alias("r")
-    distance = sum(F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}"))) for k in range(n))
-    condition = (F.col("l.key") == F.col("r.key")) & (distance <= int(64 * n * MOST_BITS)) & (F.col("r.one") | (F.col("l.class") < F.col("r.class")))
-    if known:
-        condition = condition & (F.col("l.comp") != F.col("r.comp"))
-    pairs = left.join(right.hint("merge"), condition).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
-    return pairs.where("a <> b").distinct()
+    ranks = sets.sparkSession.sparkContext.broadcast(shingle_ranks(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(s.as_py(), np.uint32)
+                n = len(x)
+                k = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+                first = x[np.lexsort((x, ranks.value[x % COUNT_SLOTS]))[:k]]
+                out.append((np.full(k, c, np.int64), first.astype(np.int64), np.arange(k, dtype=np.int32), np.full(k, n, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], ["class", "key", "at", "n"])
+
+    index = sets.mapInArrow(run, "class long, key long, at int, n int").join(comps.select("class", "comp"), "class")
+    l, r = index.alias("l"), index.alias("r")
+    rest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
+    enough = rest >= F.lit(similarity) / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-6
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & (F.col("l.comp") != F.col("r.comp")) & enough
+    return l.join(r.hint("merge"), met).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -175,12 +204,7 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, sim
     pairs = materialize(pairs, "near-pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique((shingle_hashes(t.as_py(), width) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["class", "s"])
-
-    sets = materialize(texts.join(wanted, "class", "left_semi").select("class", as_text_bytes().alias("t")).mapInArrow(shingled, "class long, s binary"), "near-sets")
+    sets = materialize(shingle_sets(texts.join(wanted, "class", "left_semi"), width), "near-sets")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +223,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     """(doc_id, text_hash, group_id) for every row: groups of near duplicates by shingle similarity.
 
     Texts of the same words are one class. Classes link where their sets of `width`-word shingles
-    are similar by `similarity` or more; candidates come from the segments of FINGERPRINTS
-    fingerprints. First the first fingerprint's segments alone find and verify links, then all
-    segments look for links between what isn't connected yet, so a large group of near copies
-    doesn't meet pair by pair. group_id is the least class of a group. Null and empty texts are one class;
+    are similar by `similarity` or more. First the fingerprint's segments find and verify links
+    of the closest, then the rare shingles of each set find every other candidate between what
+    isn't connected yet, so a large group of near copies doesn't meet pair by pair and no link is lost. group_id is the least class of a group. Null and empty texts are one class;
     a text of fewer words is one shingle; an empty table gives an empty result.
     """
     rows = materialize(text_classes(docs, width), "near-classes")
@@ -221,7 +244,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     links = verified_pairs(first, texts(first), width, similarity)
     roots = connected_components(links)
     known = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "fps", F.coalesce("root", "class").alias("comp"))
-    second = materialize(candidate_pairs(materialize(known, "near-known"), known=True), "near-second")
+    every = docs.select(as_text_bytes().alias("text"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    chosen = every.join(classes, (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["class"])
+    sets = materialize(shingle_sets(chosen.select("class", "text"), width), "near-every")
+    second = materialize(candidate_pairs(sets, materialize(known, "near-known"), similarity), "near-second")
     more = verified_pairs(second, texts(second), width, similarity)
     roots = connected_components(links.unionByName(more))
     return rows.join(roots, rows["class"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "class").alias("group_id"))
