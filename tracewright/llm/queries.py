@@ -65,7 +65,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.wavelet import read_token_shards, write_token_shards
 
-    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), tokenizer_path())).drop("ids")
+    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ END_ID = 0
 CUT = re.compile(r" (?=\S)")
 #: Letters below this one, and then maybe punctuation: one or two pre-tokens, whatever stands around them.
 LATIN_END, PUNCTUATION = "\u0250", ".,;:!?|"
-CACHED = 1_000_000
+#: Pieces of up to so many characters are kept, so many of them at most (and those of one text more): 0.4 GB at the very most, usually half.
+LONGEST_CACHED, CACHED = 32, 1_000_000
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -39,67 +41,103 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Token bytes of text pieces, filled as they're met; `prefix` is the space that was cut off before each."""
+    """Token bytes of pieces of text, filled as they're met; long pieces aren't kept, and encode() bounds how many are."""
 
-    def __init__(self, encoder: Encoder, prefix: str):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encoder, self.prefix = encoder, prefix
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.encode(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = out
+        return out
+
+
+class Words(dict):
+    """Token bytes of what stands between single spaces, with the space before it.
+
+    A piece that starts with a line end is that and what follows it, without a space. None where
+    white space adjoins white space, so that no cut may be made there.
+    """
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.tokenize, self.kind = encoder, encoder.model.tokenize, encoder.kind
+        self.space, self.tails = encoder.spelled(" "), Pieces(lambda tail: encoder.encoded(tail))
 
     def __missing__(self, piece: str) -> bytes | None:
-        # Only a piece that starts with a non-space may be cut from the space before it.
-        out = None if self.prefix and (not piece or piece[0].isspace()) else self.encoder.piece(self.prefix, piece)
-        self[piece] = out
+        if piece.isalpha():
+            if piece.isascii():
+                out = array(self.kind, [t.id for t in self.tokenize(self.space + piece)]).tobytes()
+            else:
+                out = self.letters(piece, self.space)
+        else:
+            out = self.other(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = out
         return out
 
+    def letters(self, stem: str, before: str) -> bytes:
+        """Letters are one pre-token, with a space before them or not."""
+        if max(stem) < LATIN_END:
+            return array(self.kind, [t.id for t in self.tokenize(before + self.encoder.spelled(stem))]).tobytes()
+        return self.encoder.encoded((" " if before else "") + stem)
+
+    def other(self, piece: str) -> bytes | None:
+        stem = piece.rstrip(PUNCTUATION)
+        if stem.isalpha():  # the punctuation after letters is a pre-token of its own
+            return (self.get(stem) or self.letters(stem, self.space)) + self.tails[piece[len(stem) :]]
+        line = piece[:1] == "\n"
+        body = piece[1:] if line else piece
+        if body.split() != [body]:
+            return None
+        if not line:
+            return self.encoder.encoded(" " + body)
+        stem = body.rstrip(PUNCTUATION)
+        if stem.isalpha():
+            tail = body[len(stem) :]
+            return self.encoder.newline + self.letters(stem, "") + (self.tails[tail] if tail else b"")
+        return self.encoder.newline + self.encoder.encoded(body)
+
 
 class Encoder:
-    """A byte-level BPE tokenizer over whole texts, each distinct piece encoded once while it stays in a bounded cache."""
+    """A byte-level BPE tokenizer over whole texts, each distinct short piece encoded once while it stays in a bounded cache."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kind = "H" if self.width is np.uint16 else "I"
         self.table = byte_alphabet()
-        self.newline = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        self.parts: dict[str, bytes] = {}
-        self.first, self.spaced = Pieces(self, ""), Pieces(self, " ")
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array("H" if self.width is np.uint16 else "I", ids).tobytes()
-
-    def _part(self, text: str) -> bytes:
-        """One pre-token by the tokenizer's model."""
-        if (known := self.parts.get(text)) is None:
-            if text.isascii():  # letters and punctuation stand for themselves
-                spelled = text.replace(" ", self.table[32])
-            else:
-                spelled = text.encode().decode("latin-1").translate(self.table)
-            known = self.parts[text] = self._bytes([t.id for t in self.model.tokenize(spelled)])
-        return known
-
-    def piece(self, prefix: str, text: str) -> bytes:
-        """Token bytes of prefix (a space or nothing) and a piece of text."""
-        stem = text if text.isalpha() else text.rstrip(PUNCTUATION)
-        if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
-            known = self._part(prefix + stem)
-            return known if len(stem) == len(text) else known + self._part(text[len(stem) :])
-        # A single line end between non-spaces is a pre-token of its own.
-        before, end, after = text.partition("\n")
-        if end and before and after and not before[-1].isspace() and not after[0].isspace():
-            return self.piece(prefix, before) + self.newline + self.piece("", after)
-        return self._bytes(self.tokenizer.encode(prefix + text, add_special_tokens=False).ids)
+        self.newline = self.encoded("\n")
+        self.words, self.first = Words(self), Pieces(self.encoded)
+        self.loose = Pieces(lambda piece: self.encoded(" " + piece))
+
+    def spelled(self, text: str) -> str:
+        """Text in the vocabulary's letters for bytes."""
+        return text.encode().decode("latin-1").translate(self.table)
+
+    def encoded(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        head, *rest = text.split(" ")
+        """The tokenizer's ids of a text.
+
+        The pre-tokenizer ends a piece before a space that a non-space follows, and a line end between
+        non-spaces is a piece of its own; texts with other white space are cut at such spaces only.
+        """
+        if len(self.words) + len(self.first) + len(self.loose) > CACHED:
+            self.words.clear(), self.first.clear(), self.loose.clear()
+        head, *rest = text.replace("\n", " \n").split(" ")
         try:
-            data = b"".join([self.first[head], *map(self.spaced.__getitem__, rest)])
-        except TypeError:  # a piece starts with white space
+            data = b"".join([self.first[head], *map(self.words.__getitem__, rest)])
+        except TypeError:
             head, *rest = CUT.split(text)
-            data = b"".join([self.first[head], *map(self.spaced.__getitem__, rest)])
-        if len(self.spaced) + len(self.parts) > CACHED:
-            self.first.clear(), self.spaced.clear(), self.parts.clear()
+            data = b"".join([self.first[head], *map(self.loose.__getitem__, rest)])
         return np.frombuffer(data, self.width)
 
 
@@ -139,9 +177,9 @@ class WaveletMatrix:
             before.append(np.concatenate(([0], np.cumsum(sums))))
             data = plane.tobytes()
             chunks.append([pack.compress(data[a : a + CHUNK]) for a in range(0, len(data), CHUNK)])
-            one = s[bit]
-            zeros.append(len(s) - len(one))
-            s = np.concatenate((s[~bit], one))
+            one, zero = np.flatnonzero(bit), np.flatnonzero(~bit)
+            zeros.append(len(zero))
+            s = np.concatenate((s.take(zero), s.take(one)))  # by places: masks of random bits are slow
         return cls(len(ids), levels, zeros, chunks, before)
 
     def _chunk(self, level: int, k: int) -> np.ndarray:
@@ -216,8 +254,8 @@ class WaveletMatrix:
             bit = np.unpackbits(np.frombuffer(plane, np.uint8), bitorder="little")[: self.n].astype(bool)
             up = np.empty_like(s)
             z = self.zeros[level]
-            up[~bit] = s[:z]
-            up[bit] = s[z:] | s.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = s[:z]
+            up[np.flatnonzero(bit)] = s[z:] | s.dtype.type(1 << (self.levels - 1 - level))
             s = up
         return s
 
@@ -310,12 +348,12 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_I
     return materialize(dealt.mapInArrow(run, "part int, shard int, file string, n_tokens long, n_docs long"), "token-shards")
 
 
-def read_token_shards(shards: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32, ids."""
+def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Per document, from the files: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32 and, if asked for, ids."""
     order = Window.partitionBy(F.lit(0)).orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # One narrow row per file of some two million tokens.
     placed = shards.withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens")).select("file", "base")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,11 +362,12 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                 with fs.open_input_file(path) as source:
                     matrix, doc_ids, lengths = WaveletMatrix.load(source.read())
                 ids = memoryview(matrix.decode().astype("<u4").tobytes())
-                starts = np.concatenate(([0], np.cumsum(lengths)))
+                starts = np.concatenate(([0], np.cumsum(lengths))).tolist()
                 for lo in range(0, len(doc_ids), 1024):
                     hi = min(len(doc_ids), lo + 1024)
-                    parts = [bytes(ids[4 * starts[i] : 4 * starts[i + 1]]) for i in range(lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi], pa.int64()), pa.array(base + starts[lo:hi]), pa.array(lengths[lo:hi]), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())], schema=schema)
+                    parts = [ids[4 * starts[i] : 4 * starts[i + 1]] for i in range(lo, hi)]
+                    columns = [pa.array(doc_ids[lo:hi], pa.int64()), pa.array([base + x for x in starts[lo:hi]], pa.int64()), pa.array(lengths[lo:hi]), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, parts), pa.binary())] * with_ids, schema=schema)
 
     width = max(1, shards.sparkSession.sparkContext.defaultParallelism * 2)
-    return placed.repartition(width).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.repartition(width).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
