@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,45 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+_ODD = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64, at least n of them."""
+    global _powers
+    if len(_powers) < n:
+        n = max(n, 2 * len(_powers), 256)
+        _powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, _ODD, np.uint64))), dtype=np.uint64)
+    return _powers
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text's bytes, in order: polynomials of its bytes, scrambled; memory is some 40 bytes a byte."""
+    if not len(data):
+        return np.empty(0, np.uint64)
+    space = _SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    values = data[starts[0] :].astype(np.uint64) + np.uint64(1)
+    values[space[starts[0] :]] = 0
+    values *= _powers_to(int(at.max()) + 1)[at]
+    return mixed(np.add.reduceat(values, starts - starts[0]))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
 

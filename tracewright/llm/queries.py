@@ -59,7 +59,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.quality import score_quality
 
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "p_content", "p_metadata", "score", "keep")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_content", "p_metadata", "score", "keep")
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
