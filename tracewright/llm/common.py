@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as a Java pattern: a run of anything but space and \x09-\x0D.
@@ -49,6 +49,11 @@ def as_text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of a row's doc_id and text: rows that are equal in both are the same row."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def words_of(data: bytes) -> list[bytes]:
     """ASCII-lower-cased words; bytes.split() splits at exactly space and \\x09-\\x0D."""
     return data.lower().split()
@@ -98,30 +103,31 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each round rewires every node to the smallest
     node of its neighbourhood, with minima pre-aggregated before the shuffle, until no edge
-    changes. Self-loops and repeated edges are ignored; no edges give no rows.
+    changes. Minima are written before they're joined, so that a hub's edges are a plain shuffle that
+    adaptive execution splits. Self-loops and repeated edges are ignored; no edges give no rows.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m")), "star-least")
         joined = both.join(low, "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return materialize(out.where("a <> b").distinct(), "star-edges")
 
     # Edges point from the larger node to the smaller one.
-    current = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-edges")
     state = None
     for _ in range(max_rounds):
         after = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == state:
+        if after == state or not after[0]:
             break
         state = after
-        current = checkpoint(star(star(current, True), False))
+        current = star(star(current, True), False)
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_text_bytes, connected_components, materialize, words_of
+from tracewright.llm.common import as_text_bytes, connected_components, materialize, mixed, row_key, word_hashes, words_of
 
 SEED = 42
 
@@ -104,182 +104,278 @@ def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> Da
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(fingerprint_links(distinct.select("fp"), max_bits))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = grouped.join(least, "root").select("fp", "component_id")
+    # Written before they're joined: a large component's or a common text's rows are then a plain shuffle that adaptive execution splits.
+    least = materialize(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
+    classes = materialize(grouped.join(least, "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Near duplicates by similarity of sets of SHINGLE-word shingles; a text's fingerprint finds the closest first.
-SIMILARITY, SHINGLE, FINGERPRINTS = 0.8, 5, 1
+SIMILARITY, SHINGLE = 0.8, 5
 #: Slots of the table of shingle counts that orders shingles from rare to common; it orders, whatever shares a slot.
 COUNT_SLOTS = 1 << 20
+#: Bits of the parity map of a set: maps of two sets differ in no more bits than the sets in shingles.
+PARITY = 256
+#: Classes that a task remembers, so that it sends each of them once.
+REMEMBERED = 200_000
 
 
-def wide_fingerprint(hashes: np.ndarray, n: int = FINGERPRINTS) -> list[int]:
-    """n fingerprints of one set of hashes, each by another mixing of their bits."""
-    out = []
-    for k in range(n):
-        with np.errstate(over="ignore"):
-            h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority_bits(h ^ (h >> np.uint64(31))))
-    return out
+def text_words(data: bytes) -> tuple[int, np.ndarray]:
+    """A hash of a text's words in order, as a signed long, and the words' own hashes."""
+    h = word_hashes(np.frombuffer(data.lower(), np.uint8))
+    whole = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    return whole - (1 << 64) if whole >> 63 else whole, h
+
+
+def shingle_set(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The different `width`-word shingles of a text's words, hashed to 64 bits, sorted; fewer words: the whole sequence; none: empty."""
+    if not len(h):
+        return h
+    n = max(1, len(h) - width + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(width, len(h))):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return np.unique(mixed(total))
 
 
 def text_classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, class long, fps array<long>) for each row: texts of the same words are one class."""
+    """(doc_id, row, class, fp) for each row: texts of the same words are one class; row is the row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes, fps = [], []
-            for text in batch.column(2):
-                data = text.as_py()
-                classes.append(xxhash.xxh64_intdigest(b" ".join(words_of(data)), SEED))
-                fps.append(np.array(wide_fingerprint(np.unique(shingle_hashes(data, width))), np.uint64).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(classes, np.uint64).astype(np.int64)), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "class", "fps"])
+            for text in batch.column(2).to_pylist():
+                whole, h = text_words(text)
+                classes.append(whole)
+                fps.append(majority_bits(shingle_set(h, width)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row", "class", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), as_text_bytes().alias("t"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, class long, fps array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), as_text_bytes().alias("t"))
+    return rows.mapInArrow(run, "doc_id long, row long, class long, fp long")
 
 
-def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(class, s): each class's different shingles, as verified_pairs compares them."""
+class Once:
+    """Whether a class is met for the first time, as far as a bounded memory goes: copies are left out where they're met."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique((shingle_hashes(t.as_py(), width) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["class", "s"])
+    def __init__(self):
+        self.seen: set[int] = set()
 
-    return texts.select("class", as_text_bytes().alias("t")).mapInArrow(run, "class long, s binary")
+    def __call__(self, c: int) -> bool:
+        if c in self.seen:
+            return False
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen.add(c)
+        return True
 
 
-def shingle_ranks(sets: DataFrame) -> np.ndarray:
-    """How common the shingles of each slot are, as the bit length of their count: COUNT_SLOTS bytes at any size."""
+def shingle_ranks(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
+    """How common the shingles of each slot are, as the bit length of their count over all documents: COUNT_SLOTS bytes at any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNT_SLOTS, np.int64)
+        total, once = np.zeros(COUNT_SLOTS, np.int64), Once()
         for batch in batches:
-            for s in batch.column(1):
-                np.add.at(total, np.frombuffer(s.as_py(), np.uint32) % COUNT_SLOTS, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    found = sets.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNT_SLOTS rows at most
+            for text in batch.column(0).to_pylist():
+                whole, h = text_words(text)
+                if once(whole):
+                    np.add.at(total, (shingle_set(h, width) % np.uint64(COUNT_SLOTS)).astype(np.int64), 1)
+        for at in range(0, COUNT_SLOTS, 1 << 14):
+            part = total[at : at + (1 << 14)]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at >> 14], pa.int32()), pa.array([part.astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 14, np.int64)
+        for batch in parts:
+            for c in batch.column("counts").to_pylist():
+                total += np.frombuffer(c, np.uint32)
+        ranks = np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], ["block", "ranks"])
+
+    blocks = docs.select(as_text_bytes().alias("t")).mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, ranks binary")
     ranks = np.zeros(COUNT_SLOTS, np.uint8)
-    ranks[found.column("slot").to_numpy()] = np.ceil(np.log2(found.column("n").to_numpy() + 1.0))
+    for r in blocks.collect():  # COUNT_SLOTS bytes
+        ranks[r["block"] << 14 : (r["block"] + 1) << 14] = np.frombuffer(r["ranks"], np.uint8)
     return ranks
 
 
-def candidate_pairs(sets: DataFrame, comps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): every pair of classes of different comps that can be similar by `similarity`; none is lost.
+def sketch(shingles: np.ndarray) -> bytes:
+    """A parity map of a set, of a power of two of bits and two to four for each shingle."""
+    bits = max(PARITY, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
-    All shingles have one order, rare first. Sets of n and m shingles that are similar share one among
-    the first n - ceil(similarity * n) + 1 of one and of m so of the other, and at the first one shared the
-    rest of both is still long enough for the overlap. An equality join on those shingles meets them.
-    """
-    ranks = sets.sparkSession.sparkContext.broadcast(shingle_ranks(sets))
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """In how many shingles two sets differ at least, by their sketches; the longer is folded to the shorter."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
+def rare_shingles(docs: DataFrame, ranks: np.ndarray, similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
+    """(class, n, keys array<long>, parity array<long>, sketch binary) of each class: how many shingles it has, the first of them, rare first, its parity map and its sketch."""
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once()
         for batch in batches:
             out = []
-            for c, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(s.as_py(), np.uint32)
-                n = len(x)
-                k = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-                first = x[np.lexsort((x, ranks.value[x % COUNT_SLOTS]))[:k]]
-                out.append((np.full(k, c, np.int64), first.astype(np.int64), np.arange(k, dtype=np.int32), np.full(k, n, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], ["class", "key", "at", "n"])
-
-    index = sets.mapInArrow(run, "class long, key long, at int, n int").join(comps.select("class", "comp"), "class")
+            for text in batch.column(0).to_pylist():
+                whole, h = text_words(text)
+                if len(h) and once(whole):
+                    x = shingle_set(h, width)
+                    k = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                    first = x[np.lexsort((x, held.value[(x % np.uint64(COUNT_SLOTS)).astype(np.int64)]))[:k]]
+                    odd = np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=PARITY) & 1
+                    out.append((whole, len(x), first.view(np.int64), np.packbits(odd.astype(bool)).view(np.int64), sketch(x)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    found = docs.select(as_text_bytes().alias("t")).mapInArrow(run, "class long, n int, keys array<long>, parity array<long>, sketch binary")
+    return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "keys", "parity", "sketch")])
+
+
+def shared_shingles(rare: DataFrame) -> DataFrame:
+    """(key, class, at, pivot, next) of the rare shingles that several classes have: its place in the class's order, and two other classes that have it, if any.
+
+    In an order of its own for each shingle: the first class, and the one that follows.
+    """
+    index = rare.select("class", F.posexplode("keys").alias("at", "key"))
+    by_key = Window.partitionBy("key").orderBy(F.xxhash64("class", "key"), "class")
+    placed = index.withColumns({"pivot": F.first("class").over(by_key), "next": F.lead("class").over(by_key)})
+    return placed.where((F.col("pivot") != F.col("class")) | F.col("next").isNotNull())
+
+
+def _apart(left: str, right: str) -> Column:
+    """The bits in which two parity maps differ."""
+    bits = [F.bit_count(F.col(f"{left}.parity")[i].bitwiseXOR(F.col(f"{right}.parity")[i])) for i in range(PARITY // 64)]
+    return sum(bits[1:], bits[0])
+
+
+def _can_be_similar(similarity: float) -> Column:
+    """Sets of n and m shingles of that similarity differ in at most their share of n + m, and their maps in no more bits."""
+    return _apart("l", "r") <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("l.n") + F.col("r.n")) + 1e-6
+
+
+def pivot_pairs(shared: DataFrame, rare: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): classes with the pivot and the next class of each shingle that they share, if they can be similar: twice as many rows as shared has at most."""
+    both = shared.select("class", F.explode(F.array("pivot", "next")).alias("other")).where("class <> other")
+    met = both.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    info = rare.select("class", "n", "parity")
+    joined = met.join(info.alias("l"), F.col("a") == F.col("l.class")).join(info.alias("r"), F.col("b") == F.col("r.class"))
+    return joined.where(_can_be_similar(similarity)).select("a", "b")
+
+
+def candidate_pairs(shared: DataFrame, rare: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of classes that aren't connected by roots (node, root) yet and can be similar by `similarity`; none is lost.
+
+    All shingles have one order, rare first. Sets of n and m shingles that are similar share one among
+    the first n - ceil(similarity * n) + 1 of one and of m so of the other, and at the first one shared the
+    rest of both is still long enough for the overlap. An equality join on those shingles meets them; it
+    emits a pair only if their parity maps differ in no more bits than similar sets can differ in shingles.
+    """
+    known = rare.select("class", "n", "parity").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("comp"), "n", "parity")
+    index = shared.select("key", "class", "at").join(known, "class")
     l, r = index.alias("l"), index.alias("r")
     rest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
-    enough = rest >= F.lit(similarity) / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-6
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & (F.col("l.comp") != F.col("r.comp")) & enough
+    enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("l.n") + F.col("r.n")) - 1e-6
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & (F.col("l.comp") != F.col("r.comp")) & enough & _can_be_similar(similarity)
     return l.join(r.hint("merge"), met).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose shingle sets' Jaccard similarity is `similarity` or more; texts: class, text (one row per class)."""
-    pairs = materialize(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+#: Slots of the filter that keeps texts of no candidate pair out of a shuffle: 0.5 MB whatever their number.
+SLOTS = 1 << 22
+
+
+def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets' Jaccard similarity is `similarity` or more, by the sets of docs' whole texts.
+
+    Sketches, a thirtieth of the sets, leave out pairs that differ too much; the sets of the others are compared.
+    """
+    spark = docs.sparkSession
+
+    def met(some: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        side = lambda k: table.select(F.col("class").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in columns])
+        return some.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{k}_{c}" for k in "ab" for c in columns])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (1 - similarity) / (1 + similarity) * (batch.column(2).to_numpy() + batch.column(4).to_numpy()) + 1e-6
+            keep = [least_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(3), batch.column(5), most.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    close = materialize(met(pairs, rare, "n", "sketch").mapInArrow(near, "a long, b long"), "near-close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    mask = np.zeros(SLOTS // 8, np.uint8)
+    block = F.shiftright(F.pmod("class", F.lit(SLOTS)), 15).cast("int")
+    for r in wanted.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.pmod("class", F.lit(1 << 15))).alias("bits")).collect():  # SLOTS bits
+        mask[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)[: 1 << 12]
+    held = spark.sparkContext.broadcast(mask)
 
-    sets = materialize(shingle_sets(texts.join(wanted, "class", "left_semi"), width), "near-sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once()
+        for batch in batches:
+            classes, sets = [], []
+            for text in batch.column(0).to_pylist():
+                c, h = text_words(text)
+                at = c % SLOTS
+                if held.value[at >> 3] >> (at & 7) & 1 and once(c):
+                    classes.append(c)
+                    sets.append(shingle_set(h, width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "s"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("y")), "b")
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "near-links")
+    spelled = docs.select(as_text_bytes().alias("t")).mapInArrow(run, "class long, s binary")
+    sets = materialize(spelled.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("s").alias("s")), "near-sets")
+    return materialize(met(close, sets, "s").mapInArrow(compared, "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, group_id) for every row: groups of near duplicates by shingle similarity.
+    """(doc_id, row, group_id) for every row: groups of near duplicates by shingle similarity; row is the row_key.
 
     Texts of the same words are one class. Classes link where their sets of `width`-word shingles
-    are similar by `similarity` or more. First the fingerprint's segments find and verify links
-    of the closest, then the rare shingles of each set find every other candidate between what
-    isn't connected yet, so a large group of near copies doesn't meet pair by pair and no link is lost. group_id is the least class of a group. Null and empty texts are one class;
-    a text of fewer words is one shingle; an empty table gives an empty result.
+    are similar by `similarity` or more. First the fingerprint's segments find links of the closest, and
+    each class meets two others of every rare shingle that it shares; then shared rare shingles find
+    every other candidate between what isn't connected yet, so a large group of near copies doesn't meet
+    pair by pair and no group is split. group_id is the least class of a group. Null and empty texts are one class; a text of fewer
+    words is one shingle; rows of equal doc_id are rows of their own; an empty table gives an empty result.
     """
     rows = materialize(text_classes(docs, width), "near-classes")
-    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fps"))
-    classes = materialize(rows.groupBy("class").agg(first_row.alias("m")).select("class", "m.doc_id", "m.text_hash", "m.fps"), "near-distinct")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        """(class, text) of the classes in pairs, each from its one chosen row."""
-        met = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = materialize(classes.join(met, "class", "left_semi").select("class", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")), "near-wanted")
-        spelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-        spelled = spelled.where(among(F.col("text_hash"), wanted.select("own_hash")))
-        return spelled.join(wanted, (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).dropDuplicates(["class"]).select("class", "text")
-
-    first = materialize(candidate_links(classes), "near-first")
-    links = verified_pairs(first, texts(first), width, similarity)
-    roots = connected_components(links)
-    known = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "fps", F.coalesce("root", "class").alias("comp"))
-    every = docs.select(as_text_bytes().alias("text"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
-    chosen = every.join(classes, (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["class"])
-    sets = materialize(shingle_sets(chosen.select("class", "text"), width), "near-every")
-    second = materialize(candidate_pairs(sets, materialize(known, "near-known"), similarity), "near-second")
-    more = verified_pairs(second, texts(second), width, similarity)
+    rare = materialize(rare_shingles(docs, shingle_ranks(docs, width), similarity, width), "near-rare")
+    shared = materialize(shared_shingles(rare), "near-shared")
+    first = candidate_links(rows.groupBy("class").agg(F.first("fp").alias("fp"))).unionByName(pivot_pairs(shared, rare, similarity)).distinct()
+    links = verified_pairs(first, rare, docs, width, similarity)
+    more = verified_pairs(candidate_pairs(shared, rare, connected_components(links), similarity), rare, docs, width, similarity)
     roots = connected_components(links.unionByName(more))
-    return rows.join(roots, rows["class"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "class").alias("group_id"))
-
-
-#: Slots of the filter that keeps texts of no candidate pair out of a shuffle.
-SLOTS = 1 << 18
-
-
-def among(hashed: Column, wanted: DataFrame) -> Column:
-    """Whether a hash may be one of `wanted` (one column): never false for one that is. Always SLOTS bytes, whatever the number wanted."""
-    slot = lambda c: F.pmod(c, F.lit(SLOTS))
-    mask = np.zeros(SLOTS, np.uint8)
-    mask[wanted.select(slot(F.col(wanted.columns[0])).alias("s")).distinct().toArrow().column("s").to_numpy()] = 1  # SLOTS rows at most
-    return F.substring(F.lit(mask.tobytes()), (slot(hashed) + 1).cast("int"), 1) == F.lit(b"\x01")
+    return rows.join(roots, rows["class"] == roots["node"], "left").select("doc_id", "row", F.coalesce("root", "class").alias("group_id"))
 
 
 def candidate_links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(a, b) classes whose first fingerprints are equal or differ in at most max_bits bits."""
-    one = classes.select("class", F.col("fps")[0].alias("fp"))
-    heads = one.groupBy("fp").agg(F.min("class").alias("head"))
+    """(a, b) classes whose fingerprints are equal or differ in at most max_bits bits: of equal ones each with the least."""
+    heads = classes.groupBy("fp").agg(F.min("class").alias("head"))
     near = fingerprint_links(heads.select("fp"), max_bits).distinct()
     crossed = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    same = one.join(heads, "fp").where("class <> head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"))
+    same = classes.join(heads, "fp").where("class <> head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"))
     return crossed.unionByName(same).distinct()
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each group the row of the least doc_id stays, null last; ties by the text's hash."""
-    groups = near_duplicates(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    kept = materialize(groups.groupBy("group_id").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")), "near-kept")
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("_hash") == F.col("kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    """docs without near duplicates: of each group the row of the least doc_id stays, null last; ties by the row's hash.
+
+    Of rows that are equal in doc_id and text one stays, whichever. All columns are returned as they are, whatever their names.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    groups = near_duplicates(plain.select(doc_id.alias("doc_id"), text.alias("text")))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    kept = materialize(groups.groupBy("group_id").agg(F.min(order).alias("k")).select("k.row"), "near-kept")
+    rows = plain.withColumn("row", row_key(doc_id, text))
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).drop("row").toDF(*docs.columns)
