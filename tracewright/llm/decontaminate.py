@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,51 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize
+from tracewright.llm.common import materialize, row_key, word_hashes
 
-WINDOW, STRIDE = 48, 16
-#: A window is a candidate for an item from this cosine on.
+#: Words are terms by their hash, in so many slots; passages of this many words of all documents span the latent space, of this rank.
+SLOTS, PASSAGE, RANK, OVERSAMPLE = 1 << 14, 1024, 40, 8
+#: A stretch of a document is a candidate for an item from this latent cosine on.
 LEAST_COSINE = 0.3
 #: Of an item's words, in order: this share settles it; this share does if its answer is there too.
 LCS_ALONE, LCS_WITH_ANSWER, LEAST_ANSWER = 0.75, 0.55, 0.8
 ANSWER_WORDS = 5
-#: Items are searched in blocks of at most this many; the latent space has up to RANK dimensions.
-ITEM_BLOCK, RANK, OVERSAMPLE = 512, 512, 10
+#: The share of an item's words, rare first, of which stretches are looked up.
+LOOKED_UP = 0.6
+#: Benchmark text that one search holds at most; more is searched in several passes over the same space.
+BLOCK_BYTES = 64 << 20
+BLOCK = 512
 _SPLIT = bytes(32 if chr(b) in " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#<>_-" else b for b in range(256))
-FOUND = "doc_id long, text_hash long, item_id long, cosine double, lcs int, item_words int, lcs_share double, answer_share double"
+FOUND = "doc_id long, row long, item_id long, cosine double, lcs int, item_words int, lcs_share double, answer_share double"
 
 
-def passage_words(lowered: bytes) -> list[bytes]:
-    return lowered.translate(_SPLIT).split()
+def passage_hashes(text: str) -> np.ndarray:
+    """The hashes of a text's lower-cased words, cut at white space and punctuation."""
+    return word_hashes(np.frombuffer(text.lower().encode().translate(_SPLIT), np.uint8))
 
 
-@dataclass
-class Items:
-    """A block of benchmark items: their words as term numbers, and the answer's place at the end of each."""
-
-    ids: list[int]
-    terms: dict[bytes, int]
-    words: list[np.ndarray]
-    answers: list[np.ndarray]
-    longest: int
-
-
-def items_of(rows: list) -> Items:
-    """Items with words; an item's answer is what follows its last 'answer:', or else its last ANSWER_WORDS words."""
-    terms: dict[bytes, int] = {}
-    ids, words, answers = [], [], []
-    for item_id, text in sorted(rows):
-        low = text.lower()
-        tokens = passage_words(low.encode())
-        if not tokens:
-            continue
-        _, mark, tail = low.rpartition("answer:")
-        answer = passage_words(tail.encode()) if mark else tokens[-ANSWER_WORDS:]
-        number = [terms.setdefault(t, len(terms)) for t in tokens]
-        ids.append(item_id)
-        words.append(np.array(number, np.int32))
-        answers.append(np.array([terms[t] for t in answer], np.int32))
-    return Items(ids, terms, words, answers, max(map(len, words), default=0))
+def slots_of(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(SLOTS)).astype(np.int64)
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -73,207 +54,237 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).cast("binary").alias("t"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
 
-def _numbers(data: bytes, terms: dict[bytes, int]) -> np.ndarray:
-    words = passage_words(data)
-    get = terms.get
-    return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+def _blocks(table: np.ndarray) -> pa.RecordBatch:
+    """A table's blocks of rows that aren't all zero."""
+    at = [k for k in range(-(-len(table) // BLOCK)) if table[k * BLOCK : (k + 1) * BLOCK].any()]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([table[k * BLOCK : (k + 1) * BLOCK].astype(np.float64).tobytes() for k in at], pa.binary())], ["block", "v"])
 
 
-def inverse_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, float]:
-    """idf of each benchmark term over all documents, and of a term in no document."""
-    terms = docs.sparkSession.sparkContext.broadcast(items.terms)
+def _summed(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """The sum of the tasks' tables, added up block by block on the executors: rows x width numbers reach the driver."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | float = 0.0
+        for batch in batches:
+            for v in batch.column("v").to_pylist():
+                total = total + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "v"])
+
+    out = np.zeros((rows, width))
+    for r in parts.groupBy("block").applyInArrow(add, "block int, v binary").collect():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["v"]).reshape(-1, width)
+    return out
+
+
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """idf of each slot over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(terms.value)
-        df = np.zeros(n + 1, np.int64)
+        df = np.zeros((SLOTS + 1, 1))
         for batch in batches:
-            for text in batch.column(2):
-                found = np.unique(_numbers(text.as_py(), terms.value))
-                df[found[found >= 0]] += 1
-                df[n] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(df)], ["term", "df"])
-
-    rows = _texts(docs).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row per benchmark term
-    df = np.zeros(len(items.terms) + 1)
-    for r in rows:
-        df[r["term"]] = r["df"]
-    idf = np.log((df[-1] + 1) / (df + 1)) + 1
-    return idf[:-1], math.log(df[-1] + 1) + 1
-
-
-def common_terms(items: Items, idf: np.ndarray) -> tuple[np.ndarray, float]:
-    """The most frequent terms that in no item hold more than a quarter of LEAST_COSINE squared of its energy, and their largest share."""
-    energy = np.zeros((len(items.ids), len(idf)))
-    for i, w in enumerate(items.words):
-        t, x = _weights(w.tobytes(), idf)
-        energy[i, t] = x * x
-    order = np.argsort(idf, kind="stable")
-    share = (np.cumsum(energy[:, order], axis=1) / energy.sum(axis=1, keepdims=True)).max(axis=0)
-    n = int(np.searchsorted(share, LEAST_COSINE**2 / 4, "right"))
-    common = np.zeros(len(idf), bool)
-    common[order[:n]] = True
-    return common, float(share[n - 1]) if n else 0.0
-
-
-def candidate_windows(docs: DataFrame, items: Items, idf: np.ndarray, rarest: float) -> DataFrame:
-    """(doc_id, text_hash, energy, inside, around): windows whose words can reach LEAST_COSINE with some item.
-
-    With shares r and c of the window's energy in rare and in common benchmark terms, and at most f
-    of an item's in common ones, a cosine is at most sqrt(r) + sqrt(f * c) (where no word repeats).
-    `inside` are the window's term numbers, `around` those of the window and an item's length on both sides.
+            for text in batch.column(2).to_pylist():
+                df[np.unique(slots_of(passage_hashes(text)))] += 1
+                df[SLOTS] += 1
+        yield _blocks(df)
+
+    df = _summed(_texts(docs).mapInArrow(run, "block int, v binary"), SLOTS + 1, 1)[:, 0]
+    return np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+
+
+def weights(slots: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A passage's TF-IDF vector of length one: its slots and their weights."""
+    if len(slots) < 128:
+        t, n = np.unique(slots, return_counts=True)
+    else:
+        n = np.bincount(slots)
+        t = np.flatnonzero(n)
+        n = n[t]
+    w = n * idf[t]
+    return t, w / np.linalg.norm(w)
+
+
+def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """SLOTS x rank: the leading right singular vectors of the TF-IDF matrix A of all passages of all documents.
+
+    Randomised SVD in one pass: A'A G for a Gaussian G is summed across partitions, so SLOTS x
+    (rank + OVERSAMPLE) numbers reach the driver at any size; the vectors are those of the Nystroem approximation of A'A.
     """
-    spark = docs.sparkSession
-    common, f = common_terms(items, idf)
-    held = spark.sparkContext.broadcast((items.terms, idf, rarest, items.longest, common, f))
+    k = rank + OVERSAMPLE
+    g = np.random.default_rng(seed).standard_normal((SLOTS, k))
+    shared = docs.sparkSession.sparkContext.broadcast((g.astype(np.float32), idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, rarest, longest, common, f = held.value
-        rare_weight, common_weight = np.append(np.where(common, 0, idf**2), 0.0), np.append(np.where(common, idf**2, 0), 0.0)
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("energy", pa.float64()), ("inside", pa.binary()), ("around", pa.binary())])
+        g, idf = shared.value
+        total = np.zeros(g.shape, np.float32)
         for batch in batches:
-            out = []
-            for doc_id, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = _numbers(text.as_py(), terms)
-                if not len(x) or x.max() < 0:
-                    continue
-                rare = rare_weight[x]
-                if not rare.any():
-                    continue
-                usual = common_weight[x]
-                rare_sum, usual_sum = np.concatenate(([0.0], np.cumsum(rare))), np.concatenate(([0.0], np.cumsum(usual)))
-                every = rare_sum + usual_sum + rarest**2 * np.concatenate(([0], np.cumsum(x < 0)))
-                starts = np.arange(0, max(1, len(x) - WINDOW + STRIDE), STRIDE)
-                stops = np.minimum(starts + WINDOW, len(x))
-                all_ = every[stops] - every[starts]
-                reach = np.sqrt((rare_sum[stops] - rare_sum[starts]).clip(0) / all_) + np.sqrt(f * (usual_sum[stops] - usual_sum[starts]).clip(0) / all_)
-                for k in np.flatnonzero(reach >= LEAST_COSINE - 1e-9):
-                    a, b = int(starts[k]), int(stops[k])
-                    inside = x[a:b]
-                    out.append((doc_id, digest, float(all_[k]), inside[inside >= 0].tobytes(), x[max(0, a - longest) : b + longest].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return materialize(_texts(docs).mapInArrow(run, "doc_id long, text_hash long, energy double, inside binary, around binary"), "bench-windows")
-
-
-def _weights(inside: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A passage's sparse TF-IDF vector."""
-    t, n = np.unique(np.frombuffer(inside, np.int32), return_counts=True)
-    return t, n * idf[t]
-
-
-def _summed(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of the vectors (key, v) by key, added up on the executors."""
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(width)
-        for v in table.column("v"):
-            total += np.frombuffer(v.as_py(), np.float64)
-        return pa.table({"key": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
-
-    return {r["key"]: np.frombuffer(r["v"], np.float64) for r in rows.groupBy("key").applyInArrow(add, "key int, v binary").collect()}
-
-
-def latent_basis(windows: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """terms x rank: the leading right singular vectors of the TF-IDF matrix of all candidate passages and the items.
-
-    Randomised range finder: the first pass sums A'(A G) for a Gaussian G, the second the Gram
-    matrix of A Q; both sums are by term (or row) across partitions, so only terms x rank numbers
-    reach the driver, which the benchmark bounds.
+            for text in batch.column(2).to_pylist():
+                s = slots_of(passage_hashes(text))
+                for a in range(0, len(s), PASSAGE):
+                    t, w = weights(s[a : a + PASSAGE], idf)
+                    w = w.astype(np.float32)
+                    total[t] += w[:, None] * (w @ g[t])
+        yield _blocks(total)
+
+    y = _summed(_texts(docs).mapInArrow(run, "block int, v binary"), SLOTS, k)
+    core = g.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-6 * max(float(values.max()), 1e-300)
+    u = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)[0] if good.any() else np.zeros((SLOTS, 1))
+    return u[:, :rank]
+
+
+@dataclass
+class Items:
+    """A block of benchmark items, and for each looked-up term the items that look for it."""
+
+    ids: list[int]
+    words: list[np.ndarray]
+    answers: list[np.ndarray]
+    latent: np.ndarray
+    terms: np.ndarray
+    first: np.ndarray
+    posting: np.ndarray
+    need: np.ndarray
+    vocabulary: list[np.ndarray]
+    looked: list[np.ndarray]
+
+
+def items_of(rows: list, idf: np.ndarray, basis: np.ndarray) -> Items:
+    """Items with words; an item's answer is what follows its last 'answer:', or else its last ANSWER_WORDS words.
+
+    Whatever stretch passes the checks for an item of n words holds LCS_WITH_ANSWER * n of them at least, so
+    of any m of its words all but what the other n - m can make up; the m looked up are those that are
+    rarest in documents and benchmark, so few stretches hold as many as they `need`.
     """
-    n_terms = len(idf)
-    k = min(n_terms, min(rank, len(items.ids)) + OVERSAMPLE)
-    g = np.random.default_rng(seed).standard_normal((n_terms, k))
-    spark = windows.sparkSession
-    # The items weigh four times as much as all windows together: their span is what must not be lost.
-    heavy = math.sqrt(max(1.0, 4.0 * windows.count() / len(items.ids)))
-    own = spark.createDataFrame([(bytearray(w.tobytes()), heavy) for w in items.words], "inside binary, weight double")
-    passages = own.unionByName(windows.select("inside", F.lit(1.0).alias("weight")))
-
-    def product(m: np.ndarray, gram: bool):
-        shared = spark.sparkContext.broadcast((m, idf))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, idf = shared.value
-            total = np.zeros((m.shape[1], m.shape[1])) if gram else np.zeros(m.shape)
-            for batch in batches:
-                for inside, weight in zip(batch.column(0), batch.column(1).to_pylist()):
-                    t, w = _weights(inside.as_py(), idf)
-                    w = w * (weight / np.linalg.norm(w))
-                    v = w @ m[t]
-                    if gram:
-                        total += np.outer(v, v)
-                    else:
-                        total[t] += w[:, None] * v
-            keep = np.flatnonzero(np.abs(total).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array([total[i].tobytes() for i in keep], pa.binary())], ["key", "v"])
-
-        out = np.zeros((m.shape[1] if gram else n_terms, m.shape[1]))
-        for key, v in _summed(passages.mapInArrow(run, "key int, v binary"), m.shape[1]).items():
-            out[key] = v
-        return out
-
-    q, _ = np.linalg.qr(product(g, False))
-    values, vectors = np.linalg.eigh(product(q, True))
-    top = np.argsort(-values)[: min(rank, k)]
-    return q @ vectors[:, top]
-
-
-def search(windows: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) -> DataFrame:
+    ids, words, answers, latent = [], [], [], []
+    for item_id, text in sorted(rows):
+        h = passage_hashes(text)
+        if len(h):
+            _, mark, tail = text.lower().rpartition("answer:")
+            ids.append(item_id)
+            words.append(h)
+            answers.append(passage_hashes(tail) if mark else h[-ANSWER_WORDS:])
+            t, w = weights(slots_of(h), idf)
+            latent.append(w @ basis[t])
+    common = Counter(x for h in words for x in set(h.tolist()))
+    looked, need = [], []
+    for h in words:
+        n, counts = len(h), Counter(h.tolist())
+        order = sorted(counts, key=lambda x: (math.log(common[x]) - idf[x % SLOTS], x))
+        own, m = [], 0
+        while m < LOOKED_UP * n:
+            own.append(order[len(own)])
+            m += counts[own[-1]]
+        looked.append(own)
+        need.append(max(1, math.ceil(LCS_WITH_ANSWER * n - 1e-9) - (n - m)))
+    pairs = sorted((x, i) for i, own in enumerate(looked) for x in own)
+    terms, first = np.unique(np.array([x for x, _ in pairs], np.uint64), return_index=True)
+    vocabulary = [np.unique(h) for h in words]
+    z = np.array(latent).reshape(len(ids), -1)
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    return Items(ids, words, answers, z / np.where(norm > 0, norm, 1), terms, np.append(first, len(pairs)), np.array([i for _, i in pairs], np.int64), np.array(need, np.int64), vocabulary, [np.isin(v, np.array(own, np.uint64)) for v, own in zip(vocabulary, looked)])
+
+
+def stretches(h: np.ndarray, items: Items, lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """(item, start, stop) of a document's words: within them, one and a half times an item's length holds as many of its looked-up words as it needs."""
+    at = np.minimum(np.searchsorted(items.terms, h), len(items.terms) - 1)
+    place = np.flatnonzero(items.terms[at] == h)
+    if not len(place):
+        return []
+    at = at[place]
+    many = items.first[at + 1] - items.first[at]
+    pos = np.repeat(place, many)
+    inner = np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many)
+    item = items.posting[np.repeat(items.first[at], many) + inner]
+    order = np.argsort(item, kind="stable")
+    item, pos = item[order], pos[order]
+    last = np.arange(len(item)) + items.need[item] - 1
+    inside = np.minimum(last, len(item) - 1)
+    ok = np.flatnonzero((last < len(item)) & (item[inside] == item) & (2 * (pos[inside] - pos) < 3 * lengths[item]))
+    out: list[tuple[int, int, int]] = []
+    for j in ok.tolist():
+        i, a, b = int(item[j]), int(pos[j]), int(pos[inside[j]]) + 1
+        n = int(lengths[i])
+        a, b = max(0, a - n), min(len(h), b + n)
+        if out and out[-1][0] == i and a <= out[-1][2]:
+            out[-1] = i, out[-1][1], max(b, out[-1][2])
+        else:
+            out.append((i, a, b))
+    return out
+
+
+def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) -> DataFrame:
     """Each document's best match with each item that passes the checks (FOUND)."""
-    latent = []
-    for w in items.words:
-        t, x = _weights(w.tobytes(), idf)
-        latent.append((x / np.linalg.norm(x)) @ basis[t])
-    held = windows.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32), np.array(latent, np.float32)))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int32()), ("item_words", pa.int32()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
+    held = docs.sparkSession.sparkContext.broadcast((items, idf, basis.astype(np.float32)))
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int32()), ("item_words", pa.int32()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, basis, latent = held.value
+        items, idf, basis = held.value
+        lengths = np.array(list(map(len, items.words)), np.int64)
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                t, w = _weights(row["inside"], idf)
-                cosines = latent @ (w.astype(np.float32) @ basis[t]) / math.sqrt(row["energy"])
-                around = np.frombuffer(row["around"], np.int32)
-                for i in np.flatnonzero(cosines >= LEAST_COSINE).tolist():
-                    item, answer = items.words[i], items.answers[i]
-                    n = lcs_length(item, around)
-                    share, answered = n / len(item), lcs_length(answer, around) / len(answer) if len(answer) else 0.0
-                    if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answered >= LEAST_ANSWER):
-                        out.append((row["doc_id"], row["text_hash"], items.ids[i], float(cosines[i]), n, len(item), share, answered))
+            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = passage_hashes(text)
+                for i, start, stop in stretches(h, items, lengths):
+                    n, own, answer = int(lengths[i]), items.words[i], items.answers[i]
+                    best = None
+                    # Twice the item's length at a time, half of it apart: each stretch of one and a half times its length is whole in one.
+                    step, at = max(1, n // 2), np.minimum(np.searchsorted(items.vocabulary[i], h[start:stop]), len(items.vocabulary[i]) - 1)
+                    among = items.vocabulary[i][at] == h[start:stop]
+                    counts = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(np.column_stack((among, among & items.looked[i][at])), axis=0)))
+                    first = np.arange(0, max(1, stop - start - 2 * n + step), step)
+                    inside = counts[np.minimum(first + 2 * n, len(among))] - counts[first]
+                    for a in first[(inside[:, 0] >= LCS_WITH_ANSWER * n - 1e-9) & (inside[:, 1] >= items.need[i])].tolist():
+                        part, hits = h[start + a : min(stop, start + a + 2 * n)], np.flatnonzero(among[a : a + 2 * n])
+                        # The passage is the item's length around the middle of the item's words.
+                        hits = np.flatnonzero(np.isin(part, own))
+                        if not len(hits):
+                            continue
+                        mid = int(np.median(hits))
+                        t, w = weights(slots_of(part[max(0, mid - n // 2 - 1) : mid + n // 2 + 2]), idf)
+                        z = w @ basis[t]
+                        cosine = float(z @ items.latent[i]) / max(float(np.linalg.norm(z)), 1e-12)
+                        if cosine < LEAST_COSINE:
+                            continue
+                        size = lcs_length(own, part)
+                        share, answered = size / n, lcs_length(answer, part) / len(answer) if len(answer) else 0.0
+                        if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answered >= LEAST_ANSWER):
+                            best = max(best or (0,), (size, answered, cosine, share))
+                    if best:
+                        out.append((doc_id, row, items.ids[i], min(1.0, best[2]), best[0], n, best[3], best[1]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    found = windows.mapInArrow(run, FOUND)
-    best = F.max(F.struct("lcs", "answer_share", "cosine", "lcs_share", "item_words")).alias("m")
-    return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", F.round("m.cosine", 4).alias("cosine"), "m.lcs", "m.item_words", F.round("m.lcs_share", 4).alias("lcs_share"), F.round("m.answer_share", 4).alias("answer_share"))
+    return _texts(docs).mapInArrow(run, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(doc_id, text_hash, item_id, cosine, lcs, item_words, lcs_share, answer_share): documents that hold a benchmark item.
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, row, item_id, cosine, lcs, item_words, lcs_share, answer_share): documents that hold a benchmark item; row is the row_key.
 
-    Whole texts are searched in overlapping windows, verbatim or paraphrased: candidates by cosine
-    in the latent space, then the words of the item found in order. One row per item and
-    different (doc_id, text). Null and empty texts and items match nothing; items of equal id are
-    items of their own, reported once; an empty table gives an empty result. Items come in blocks
-    of item_block, each with a space of its own, so the tables on the driver stay bounded.
+    Whole texts are searched, for items of any length, verbatim or paraphrased: stretches that hold
+    enough of an item's words to pass the checks at all, of these the candidates by cosine in a
+    latent space of all documents' passages, then the words of the item found in order, and its answer.
+    One row per item and different (doc_id, text). Null and empty texts and items match nothing; items of
+    equal id are items of their own, reported once; other columns aren't read; an empty table gives an empty result. The space
+    is learnt once; items are searched in one pass for each block_bytes of benchmark text.
     """
     spark = docs.sparkSession
     asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_blocks = max(1, -(-asked.count() // item_block))
-    out = None
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not size:
+        return spark.createDataFrame([], FOUND)
+    idf = inverse_frequencies(docs)
+    basis = latent_basis(docs, idf)
+    n_blocks, out = -(-size // block_bytes), None
     for k in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else asked
-        items = items_of([(r["item_id"], r["text"]) for r in block.collect()])  # about item_block rows
-        if not items.ids:
-            continue
-        idf, rarest = inverse_frequencies(docs, items)
-        windows = candidate_windows(docs, items, idf, rarest)
-        part = search(windows, items, idf, latent_basis(windows, items, idf))
-        out = part if out is None else out.unionByName(part)
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_bytes
+        items = items_of([(r["item_id"], r["text"]) for r in rows], idf, basis)
+        if items.ids:
+            part = search(docs, items, idf, basis)
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], FOUND)
-    return out.groupBy("doc_id", "text_hash", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "lcs", "item_words", "lcs_share", "answer_share")]) if n_blocks > 1 else out
+    best = F.max(F.struct("lcs_share", "lcs", "answer_share", "cosine", "item_words")).alias("m")
+    return materialize(out, "bench-found").groupBy("doc_id", "row", "item_id").agg(best).select("doc_id", "row", "item_id", F.round("m.cosine", 4).alias("cosine"), "m.lcs", "m.item_words", F.round("m.lcs_share", 4).alias("lcs_share"), F.round("m.answer_share", 4).alias("answer_share"))
