@@ -1,11 +1,16 @@
-"""From raw documents to token shards: quality, near duplicates, benchmark passages, source mix, token ids."""
+"""From raw documents to token shards: quality, near duplicates, benchmark passages, source mix, token ids.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and further
+columns of any name: null texts are empty ones; a null doc_id, language or source is a value of its own; of rows that are equal in doc_id and text the
+near-duplicate stage keeps one; an empty table stays empty. This module needs tracewright.llm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, table
+from tracewright.llm.common import materialize, row_key, table
 from tracewright.llm.decontaminate import contaminated
 from tracewright.llm.mixing import mix_sources, mixed_documents
 from tracewright.llm.quality import score_quality
@@ -15,8 +20,10 @@ from tracewright.llm.wavelet import read_token_shards, write_token_shards
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    """Documents that the co-trained classifier doesn't reject: all of them where no labels of both classes are at hand."""
+    n = len(docs.columns)
+    scored = score_quality(docs.toDF(*[c if c in ("doc_id", "text", "lang", "source") else f"c{i}" for i, c in enumerate(docs.columns)]), table(spark, sf_dir, "labels"))
+    return scored.where("keep").select(*scored.columns[:n]).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("_hash") == F.col("bad_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id"))
-    return rows.join(found, same, "left_anti").select(*docs.columns)
+    found = materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select("row").distinct(), "contaminated")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    return plain.withColumn("row", row_key(doc_id, text)).join(found, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards written and read back: doc_id, start, n_tokens, ids_crc32."""
-    return read_token_shards(write_token_shards(docs, tokenizer_path())).drop("ids")
+    return read_token_shards(write_token_shards(docs, tokenizer_path()))
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("decontaminate", drop_contaminated), ("mix", mix), ("token_shards", token_shards)]
