@@ -240,7 +240,7 @@ def shared_shingles(rare: DataFrame) -> DataFrame:
 
     In an order of its own for each shingle: the first class, and the one that follows.
     """
-    index = rare.select("class", F.posexplode("keys").alias("at", "key"))
+    index = rare.select("class", F.posexplode("keys").alias("at", "key")).repartition("key")
     by_key = Window.partitionBy("key").orderBy(F.xxhash64("class", "key"), "class")
     placed = index.withColumns({"pivot": F.first("class").over(by_key), "next": F.lead("class").over(by_key)})
     return placed.where((F.col("pivot") != F.col("class")) | F.col("next").isNotNull())
@@ -287,10 +287,18 @@ def candidate_pairs(shared: DataFrame, rare: DataFrame, roots: DataFrame, simila
 SLOTS = 1 << 22
 
 
-def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _wide(packed: bytes) -> np.ndarray:
+    """Numbers of five bytes each."""
+    x = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return np.column_stack((x, np.zeros((len(x), 3), np.uint8))).view(np.uint64)[:, 0]
+
+
+def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, one_each: bool = False) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets' Jaccard similarity is `similarity` or more, by the sets of docs' whole texts.
 
-    Sketches, a thirtieth of the sets, leave out pairs that differ too much; the sets of the others are compared.
+    Sketches, a thirtieth of the sets, leave out pairs that differ too much; the sets of the others are compared,
+    by 40 bits of each shingle. With one_each, only the pair of each a with its least b, and of each b with its
+    least a: for a first round, after which the others meet again unless they're connected.
     """
     spark = docs.sparkSession
 
@@ -304,7 +312,11 @@ def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: in
             keep = [least_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(3), batch.column(5), most.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = materialize(met(pairs, rare, "n", "sketch").mapInArrow(near, "a long, b long"), "near-close")
+    close = met(pairs, rare, "n", "sketch").mapInArrow(near, "a long, b long")
+    if one_each:
+        close = materialize(close, "near-some")
+        close = close.groupBy("a").agg(F.min("b").alias("b")).unionByName(close.groupBy("b").agg(F.min("a").alias("a"))).distinct()
+    close = materialize(close, "near-close")
     wanted = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     mask = np.zeros(SLOTS // 8, np.uint8)
     block = F.shiftright(F.pmod("class", F.lit(SLOTS)), 15).cast("int")
@@ -321,14 +333,14 @@ def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: in
                 at = c % SLOTS
                 if held.value[at >> 3] >> (at & 7) & 1 and once(c):
                     classes.append(c)
-                    sets.append(shingle_set(h, width).tobytes())
+                    sets.append(shingle_set(h, width).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "s"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = _wide(x.as_py()), _wide(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -352,7 +364,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     rare = materialize(rare_shingles(docs, shingle_ranks(docs, width), similarity, width), "near-rare")
     shared = materialize(shared_shingles(rare), "near-shared")
     first = candidate_links(rows.groupBy("class").agg(F.first("fp").alias("fp"))).unionByName(pivot_pairs(shared, rare, similarity)).distinct()
-    links = verified_pairs(first, rare, docs, width, similarity)
+    links = verified_pairs(first, rare, docs, width, similarity, one_each=True)
     more = verified_pairs(candidate_pairs(shared, rare, connected_components(links), similarity), rare, docs, width, similarity)
     roots = connected_components(links.unionByName(more))
     return rows.join(roots, rows["class"] == roots["node"], "left").select("doc_id", "row", F.coalesce("root", "class").alias("group_id"))
@@ -376,6 +388,15 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
     groups = near_duplicates(plain.select(doc_id.alias("doc_id"), text.alias("text")))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    groups = materialize(groups, "near-groups")
     kept = materialize(groups.groupBy("group_id").agg(F.min(order).alias("k")).select("k.row"), "near-kept")
-    rows = plain.withColumn("row", row_key(doc_id, text))
-    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).drop("row").toDF(*docs.columns)
+    # Rows that go, and those that occur several times, as a map of SLOTS bits: what isn't in it stays without a shuffle.
+    doubtful = groups.select("row").join(kept, "row", "left_anti").unionByName(groups.groupBy("row").count().where("count > 1").select("row"))
+    slot = F.pmod("row", F.lit(SLOTS))
+    block, bit = F.shiftright(slot, 15).cast("int"), F.pmod(slot, F.lit(1 << 15))
+    marked = materialize(doubtful.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")), "near-marked")  # SLOTS bits
+    mark = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(shiftright(pmod(pmod(row, {SLOTS}), 32768), 3) + 1 as int), 1)), 16, 10) as int), cast(pmod(row, 8) as int)) & 1")
+    rows = plain.withColumn("row", row_key(doc_id, text)).withColumn("block", block)
+    rows = rows.join(F.broadcast(marked), "block", "left").withColumn("doubt", F.coalesce(mark, F.lit(0)) == 1).drop("block", "bits")
+    judged = rows.where("doubt").join(kept, "row", "left_semi").dropDuplicates(["row"])
+    return rows.where("not doubt").unionByName(judged).drop("row", "doubt").toDF(*docs.columns)
