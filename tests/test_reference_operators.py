@@ -62,7 +62,7 @@ def test_ranking_scores_and_tiers(spark):
 def test_policy_table_penalty_and_score(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("cat\tid\tname\tsev\ts\td\nA\t 89 \tSQL\t5\tX\t\nB\tx1\tbad\t3\tX\t\nC\t16\tConf\t9\t\tx\nD\t89\tSQL again\t4\tx\tX\nE\t7\n")
     table = policy.load_policy(spark, str(tmp_path / "p.tsv"))
-    assert {r["cwe"]: (r["category"], r["severity"], r["static"], r["dynamic"]) for r in table.collect()} == {"CWE-89": ("D", 4, True, True), "CWE-16": ("C", 5, False, True), "CWE-7": ("E", 0, False, False)}
+    assert {r["cwe"]: (r["category"], r["severity"], r["static"], r["dynamic"]) for r in table.collect()} == {"CWE-89": ("D", 4, True, True), "CWE-16": ("C", 5, False, True)}
     rows = spark.createDataFrame([("f1", "CWE-89", "reachable"), ("f2", "CWE-89", "unknown"), ("f3", "CWE-16", "reachable"), ("f4", "", "reachable")], "finding_id string, cwe string, reachability string")
     over = spark.createDataFrame([("f2", 0.16), ("f2", 0.16)], "finding_id string, factor double")
     scored = policy.with_penalty(rows, table, over)

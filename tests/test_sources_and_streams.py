@@ -31,7 +31,7 @@ def test_rules_manifest_and_ledger_files(spark, tmp_path):
         files.read_rules(str(tmp_path))
     (tmp_path / "m.toml.txt").write_text("name='m'\n[[expected]]\npath='p'\nline=3\n[[expected]]\npath='q'\nrule_id='r'\n")
     assert [(r["key"], r["e_ord"], r["line"], r["rule_id"]) for r in files.read_expected(spark, str(tmp_path / "m.toml.txt")).collect()] == [("m", 0, 3, None), ("m", 1, None, "r")]
-    ledger = spark.createDataFrame([("f", "p", "c", "unreachable", "s", None)], files.LEDGER)
+    ledger = spark.createDataFrame([("f", "p", "c", "unreachable_path", "s", None)], files.LEDGER)
     path = files.write_ledger(ledger, str(tmp_path / "ledger"), "1")
     assert files.read_ledger(spark, path).first()["demotion"] == 0.5
     bad = files.write_ledger(ledger.withColumn("reason", F.lit("odd")), str(tmp_path / "ledger"), "2")

@@ -117,7 +117,9 @@ def normalised(text: Column) -> Column:
 
 
 def chunk_id(path: Column, start: Column, end: Column, text: Column) -> Column:
-    return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), F.substring(F.sha2(text, 256), 1, 16))
+    """The place, and the digest of place and text: equal texts in two places are two chunks."""
+    whole = F.concat_ws(":", path, start.cast("string"), end.cast("string"), text)
+    return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), F.substring(F.sha2(whole, 256), 1, 16))
 
 
 def directory_of(path: Column) -> Column:

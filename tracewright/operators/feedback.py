@@ -11,15 +11,22 @@ from tracewright.operators.policy import FALSE_POSITIVE_FACTOR, MULTIPLIER
 FLOOR, DEMOTION = 0.1, 0.5
 
 
+def class_of(findings: DataFrame) -> Column:
+    """The first tag, or else the title in lower case with underscores; unknown without either."""
+    titled = F.substring(F.replace(F.lower("title"), F.lit(" "), F.lit("_")), 1, 64) if "title" in findings.columns else F.lit("unknown")
+    return F.coalesce(F.try_element_at("tags", F.lit(1)), titled, F.lit("unknown"))
+
+
 def learnings(verified: DataFrame) -> DataFrame:
     """(finding_id, path, vulnerability_class, reason, scope, demotion) of the findings that weren't accepted.
 
-    The class is the first tag, the scope the parent directory, or the file itself at the root.
+    What no entry point reaches is an unreachable path; else a finding that needs evidence is unverified, and one that was
+    rejected contradicted. The class is the first tag or else the title, the scope the parent directory, or the file itself at the root.
     """
-    reason = F.when(F.col("verdict") == "rejected", "unreachable").otherwise("insufficient_evidence")
+    reason = F.when(F.col("reachability") == "unknown", "unreachable_path").when(F.col("verdict") == "needs_evidence", "unverified").otherwise("contradicted")
     parent = directory_of(F.col("path"))
     rows = verified.where("verdict <> 'accepted'")
-    return rows.select("finding_id", "path", F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("unknown")).alias("vulnerability_class"), reason.alias("reason"), F.when(parent == "", F.col("path")).otherwise(parent).alias("scope"), F.lit(DEMOTION).alias("demotion")).distinct()
+    return rows.select("finding_id", "path", class_of(verified).alias("vulnerability_class"), reason.alias("reason"), F.when(parent == "", F.col("path")).otherwise(parent).alias("scope"), F.lit(DEMOTION).alias("demotion")).distinct()
 
 
 def path_and_ancestors(path: Column) -> Column:
@@ -46,7 +53,7 @@ def calibrated(rankings: DataFrame, ledger: DataFrame) -> DataFrame:
 def reachability_overrides(findings: DataFrame, ledger: DataFrame) -> DataFrame:
     """(finding_id, factor): 0.4 x the reachability's multiplier for findings with a learning of their class whose scope covers them."""
     multiplier = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MULTIPLIER.items() for x in pair]), F.col("reachability")), F.lit(0.4))
-    rows = findings.withColumn("class", F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("unknown")))
+    rows = findings.withColumn("class", class_of(findings))
     spread = rows.select("finding_id", "class", "reachability", F.explode(path_and_ancestors(F.col("path"))).alias("place"))
     scopes = ledger.select(F.col("vulnerability_class").alias("class"), F.col("scope").alias("place")).unionByName(ledger.select(F.col("vulnerability_class").alias("class"), F.col("path").alias("place"))).distinct()
     return spread.join(scopes, ["class", "place"], "left_semi").select("finding_id", F.round(multiplier * FALSE_POSITIVE_FACTOR, 3).alias("factor")).distinct()

@@ -24,11 +24,13 @@ def _map(values: dict) -> Column:
 def load_policy(spark: SparkSession, path: str) -> DataFrame:
     """(cwe, category, severity, static, dynamic) of a tab-separated table, by position.
 
-    Cells are trimmed, rows with a weakness number that isn't digits go, severities are held to 0..5,
+    Cells are trimmed, rows of fewer than five cells and rows with a weakness number that isn't digits go, severities are held to 0..5,
     an X sets a flag, and of rows with one number the last in the file counts.
     """
     names = ["category", "number", "name", "severity", "static", "dynamic"]
-    rows = spark.read.csv(path, sep="\t", header=True, schema=", ".join(f"{n} string" for n in names)).withColumn("ord", F.monotonically_increasing_id())
+    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    rows = spark.read.text(path).where(F.size(cells) >= 5).withColumn("ord", F.monotonically_increasing_id())
+    rows = rows.withColumns({n: F.regexp_replace(F.coalesce(F.get(cells, F.lit(i)), F.lit("")), "^\"|\"$", "") for i, n in enumerate(names)})
     cell = lambda c: F.trim(F.col(c))
     level = F.coalesce(F.expr("try_cast(trim(severity) as int)"), F.lit(0))
     kept = rows.where(cell("number").rlike("^[0-9]+$"))

@@ -103,4 +103,4 @@ FINDINGS = (
  p.severity as p_severity, static, dynamic from reached r left join rankings k on r.path = k.path left join policy p on r.cwe = p.cwe),
 verified as (select *, case when reachability = 'unknown' then 'rejected' else 'accepted' end as verdict from findings)"""
 )
-LEARNINGS = FINDINGS + """, learnings as (select distinct finding_id, path, coalesce(tags[1], 'unknown') as vulnerability_class, 'unreachable' as reason, regexp_extract(path, '^(.*)/[^/]*$', 1) as scope, 0.5 as demotion from verified where verdict <> 'accepted')"""
+LEARNINGS = FINDINGS + """, learnings as (select distinct finding_id, path, coalesce(tags[1], 'unknown') as vulnerability_class, case when reachability = 'unknown' then 'unreachable_path' when verdict = 'needs_evidence' then 'unverified' else 'contradicted' end as reason, regexp_extract(path, '^(.*)/[^/]*$', 1) as scope, 0.5 as demotion from verified where verdict <> 'accepted')"""

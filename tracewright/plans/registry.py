@@ -300,7 +300,7 @@ def state_transitions(spark, sf):
 
 @query("q32_chunks", f"""with {FILES}, c as (select path, string_split(text, chr(10)) as l from files), s as (select path, l, unnest(range(0, len(l), 5)) as i from c),
  t as (select path, i + 1 as start_line, least(i + 5, len(l)) as end_line, array_to_string(l[i + 1 : i + 5], chr(10)) as text from s)
- select path, start_line, end_line, length(text) as size, path || ':' || start_line || '-' || end_line || ':' || left(sha256(text), 16) as chunk_id from t where regexp_matches(text, '\\S')""")
+ select path, start_line, end_line, length(text) as size, path || ':' || start_line || '-' || end_line || ':' || left(sha256(path || ':' || start_line || ':' || end_line || ':' || text), 16) as chunk_id from t where regexp_matches(text, '\\S')""")
 def chunk_rows(spark, sf):
     c = retrieve.chunks(fr.files(spark, sf), 5)
     return c.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.length("text").cast("long").alias("size"), "chunk_id")

@@ -15,7 +15,7 @@ from tracewright.functions.text import clean_text, language_of, lines_of_code, r
 from tracewright.operators.findings import Rule
 
 # Directories that are never scanned.
-IGNORED_DIRECTORIES = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "dist", "build")
+IGNORED_DIRECTORIES = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv")
 
 
 class SourceError(ValueError):
@@ -76,7 +76,8 @@ def read_expected(spark: SparkSession, manifest: str) -> DataFrame:
 
 
 LEDGER = "finding_id string, path string, vulnerability_class string, reason string, scope string, demotion double"
-REASONS = ("unreachable", "insufficient_evidence", "mitigated", "duplicate", "not_exploitable")
+# Why a finding was a false positive.
+REASONS = ("unreachable_path", "missing_attacker_control", "sanitizer_disproved", "static_rule_mismatch", "incorrect_model_assumption", "duplicate", "insufficient_impact", "unsupported", "contradicted", "unverified")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -14,18 +14,21 @@ def read_hints(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, line, rule_id, analyzer, title, severity, message, fingerprint) of all results of the reports.
 
     Leading dots and slashes of a path go. Severity: level error is high, warning medium; else a
-    rule's security-severity from 7 on is high, any other medium, and without one it's low.
+    rule's security-severity from 7 on is high, any other, a number or not, medium, and without one it's low.
+    Analyzers of the families semgrep and codeql have these names, others their own with underscores, or sarif.
     """
     runs = spark.read.schema(SCHEMA).option("multiLine", True).json(paths).select(F.explode("runs").alias("run"))
     rows = runs.select(F.col("run.tool.driver").alias("driver"), F.explode("run.results").alias("r"))
     rule = F.try_element_at(F.filter(F.coalesce("driver.rules", F.expr("cast(array() as array<struct<id:string,name:string,properties:map<string,string>>>)")), lambda x: x["id"] == F.col("r.ruleId")), F.lit(1))
     security = F.try_element_at(rule["properties"], F.lit("security-severity")).try_cast("double")
     place = F.try_element_at(F.col("r.locations"), F.lit(1))["physicalLocation"]
-    severity = F.when(F.col("r.level") == "error", "high").when(F.col("r.level") == "warning", "medium").when(security >= 7, "high").when(security.isNotNull(), "medium").otherwise("low")
+    severity = F.when(F.col("r.level") == "error", "high").when(F.col("r.level") == "warning", "medium").when(security >= 7, "high").when(F.coalesce(F.map_contains_key(rule["properties"], "security-severity"), F.lit(False)), "medium").otherwise("low")
+    low = F.lower(F.coalesce("driver.name", F.lit("")))
+    analyzer = F.when(low.contains("semgrep"), "semgrep").when(low.contains("codeql"), "codeql").when(low == "", "sarif").otherwise(F.replace(low, F.lit(" "), F.lit("_")))
     first = lambda c: F.try_element_at(F.map_values(c), F.lit(1))
     hints = rows.select(
         F.regexp_replace(place["artifactLocation"]["uri"], "^[./]+", "").alias("path"), place["region"]["startLine"].alias("line"), F.col("r.ruleId").alias("rule_id"),
-        F.regexp_replace(F.lower("driver.name"), "[^a-z0-9]+", "-").alias("analyzer"), F.coalesce(rule["name"], F.col("r.ruleId")).alias("title"), severity.alias("severity"),
+        analyzer.alias("analyzer"), F.coalesce(rule["name"], F.col("r.ruleId")).alias("title"), severity.alias("severity"),
         F.col("r.message.text").alias("message"), F.coalesce(first("r.partialFingerprints"), first("r.fingerprints")).alias("fingerprint"),
     )
     return hints.where("path is not null").orderBy("path", F.coalesce("line", F.lit(0)), "rule_id")
