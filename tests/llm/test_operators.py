@@ -264,7 +264,7 @@ def test_token_shards_round_trip(spark, odd):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()] + [(10, "a  b\n c, d.. <|endoftext|> x"), (8, " été ß 漢字 ")]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-2:], "doc_id long, text string")).repartition(3)
-    got = wavelet.read_token_shards(wavelet.write_token_shards(docs, tokenizer_path(), shard_tokens=500)).orderBy("start").collect()
+    got = wavelet.read_token_shards(wavelet.write_token_shards(docs, tokenizer_path(), shard_tokens=500), with_ids=True).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((x[0] for x in rows), key=lambda i: -1 if i is None else i)
     at = 0
     for r in got:
