@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,21 +82,52 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of a text's bytes, in order: polynomials of its bytes, scrambled; memory is some 40 bytes a byte."""
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text's bytes starts, and its 64-bit hash: polynomials of its bytes, scrambled; memory is some 40 bytes a byte."""
+    none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if not len(data):
-        return np.empty(0, np.uint64)
+        return none
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return none
     at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
     values = data[starts[0] :].astype(np.uint64) + np.uint64(1)
     values[space[starts[0] :]] = 0
     values *= _powers_to(int(at.max()) + 1)[at]
-    return mixed(np.add.reduceat(values, starts - starts[0]))
+    return starts, mixed(np.add.reduceat(values, starts - starts[0]))
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """The hashes of a text's words, in order."""
+    return hashed_words(data)[1]
+
+
+#: Short texts are hashed together, up to about so many bytes.
+TOGETHER = 1 << 16
+
+
+def word_hashes_of(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """word_hashes of each text, in order; a call of numpy for some texts at a time instead of one for each."""
+    some: list[bytes] = []
+    size = 0
+
+    def hashed() -> Iterator[np.ndarray]:
+        starts, h = hashed_words(np.frombuffer(b" ".join(some), np.uint8))
+        ends = np.cumsum([len(t) + 1 for t in some])
+        stops = np.searchsorted(starts, ends).tolist()
+        yield from (h[a:b] for a, b in zip([0, *stops], stops))
+
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield from hashed()
+            some, size = [], 0
+    if some:
+        yield from hashed()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, row_key, word_hashes
+from tracewright.llm.common import materialize, row_key, word_hashes_of
 
 #: Words are terms by their hash, in so many slots; passages of this many words of all documents span the latent space, of this rank.
 SLOTS, PASSAGE, RANK, OVERSAMPLE = 1 << 14, 1024, 40, 8
@@ -30,9 +30,13 @@ _SPLIT = bytes(32 if chr(b) in " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#<>_-" else b fo
 FOUND = "doc_id long, row long, item_id long, cosine double, lcs int, item_words int, lcs_share double, answer_share double"
 
 
+def passage_hashes_of(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """The hashes of each text's lower-cased words, cut at white space and punctuation."""
+    return word_hashes_of(t.lower().encode().translate(_SPLIT) for t in texts)
+
+
 def passage_hashes(text: str) -> np.ndarray:
-    """The hashes of a text's lower-cased words, cut at white space and punctuation."""
-    return word_hashes(np.frombuffer(text.lower().encode().translate(_SPLIT), np.uint8))
+    return next(passage_hashes_of([text]))
 
 
 def slots_of(h: np.ndarray) -> np.ndarray:
@@ -85,8 +89,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros((SLOTS + 1, 1))
         for batch in batches:
-            for text in batch.column(2).to_pylist():
-                df[np.unique(slots_of(passage_hashes(text)))] += 1
+            for h in passage_hashes_of(t.as_py() for t in batch.column(2)):
+                df[np.unique(slots_of(h))] += 1
                 df[SLOTS] += 1
         yield _blocks(df)
 
@@ -120,8 +124,8 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         g, idf = shared.value
         total = np.zeros(g.shape, np.float32)
         for batch in batches:
-            for text in batch.column(2).to_pylist():
-                s = slots_of(passage_hashes(text))
+            for h in passage_hashes_of(t.as_py() for t in batch.column(2)):
+                s = slots_of(h)
                 for a in range(0, len(s), PASSAGE):
                     t, w = weights(s[a : a + PASSAGE], idf)
                     w = w.astype(np.float32)
@@ -226,8 +230,8 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) ->
         lengths = np.array(list(map(len, items.words)), np.int64)
         for batch in batches:
             out = []
-            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                h = passage_hashes(text)
+            hashes = passage_hashes_of(t.as_py() for t in batch.column(2))
+            for doc_id, row, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hashes):
                 for i, start, stop in stretches(h, items, lengths):
                     n, own, answer = int(lengths[i]), items.words[i], items.answers[i]
                     best = None
