@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_text_bytes, connected_components, materialize, mixed, row_key, word_hashes, words_of
+from tracewright.llm.common import as_text_bytes, connected_components, materialize, mixed, row_key, word_hashes_of, words_of
 
 SEED = 42
 
@@ -120,11 +120,11 @@ PARITY = 256
 REMEMBERED = 200_000
 
 
-def text_words(data: bytes) -> tuple[int, np.ndarray]:
-    """A hash of a text's words in order, as a signed long, and the words' own hashes."""
-    h = word_hashes(np.frombuffer(data.lower(), np.uint8))
-    whole = xxhash.xxh64_intdigest(h.tobytes(), SEED)
-    return whole - (1 << 64) if whole >> 63 else whole, h
+def text_words(texts: Iterable[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text, a hash of its words in order, as a signed long, and the words' own hashes."""
+    for h in word_hashes_of(t.lower() for t in texts):
+        whole = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+        yield whole - (1 << 64) if whole >> 63 else whole, h
 
 
 def shingle_set(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -144,8 +144,7 @@ def text_classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes, fps = [], []
-            for text in batch.column(2).to_pylist():
-                whole, h = text_words(text)
+            for whole, h in text_words(t.as_py() for t in batch.column(2)):
                 classes.append(whole)
                 fps.append(majority_bits(shingle_set(h, width)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row", "class", "fp"])
@@ -175,8 +174,7 @@ def shingle_ranks(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, once = np.zeros(COUNT_SLOTS, np.int64), Once()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                whole, h = text_words(text)
+            for whole, h in text_words(t.as_py() for t in batch.column(0)):
                 if once(whole):
                     np.add.at(total, (shingle_set(h, width) % np.uint64(COUNT_SLOTS)).astype(np.int64), 1)
         for at in range(0, COUNT_SLOTS, 1 << 14):
@@ -221,8 +219,7 @@ def rare_shingles(docs: DataFrame, ranks: np.ndarray, similarity: float = SIMILA
         once = Once()
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
-                whole, h = text_words(text)
+            for whole, h in text_words(t.as_py() for t in batch.column(0)):
                 if len(h) and once(whole):
                     x = shingle_set(h, width)
                     k = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
@@ -328,8 +325,7 @@ def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: in
         once = Once()
         for batch in batches:
             classes, sets = [], []
-            for text in batch.column(0).to_pylist():
-                c, h = text_words(text)
+            for c, h in text_words(t.as_py() for t in batch.column(0)):
                 at = c % SLOTS
                 if held.value[at >> 3] >> (at & 7) & 1 and once(c):
                     classes.append(c)
