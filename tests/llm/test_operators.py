@@ -359,3 +359,10 @@ def test_empty_tables_of_the_rest(spark, odd):
     assert simhash.one_of_each_group(none).count() == 0
     assert decontaminate.contaminated(none, spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == 0
     assert topk.exact_topk(*[spark.createDataFrame([], "vec_id long, embedding array<float>")] * 2).count() == 0
+
+
+def test_texts_hashed_together_have_their_own_hashes():
+    texts = [b"", b" ", b" a", b"b ", b"\n", b"a b", b"a  b\t", b" " * 70000, b"q " * 40000, "é ß".encode(), b""]
+    got = list(common.word_hashes_of(texts))
+    assert [g.tolist() for g in got] == [common.word_hashes(np.frombuffer(t, np.uint8)).tolist() for t in texts]
+    assert [len(g) for g in got] == [len(t.split()) for t in texts] and list(common.word_hashes_of([])) == []
