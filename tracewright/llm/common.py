@@ -63,11 +63,13 @@ def words_of(data: bytes) -> list[bytes]:
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
 _ODD = 0x9E3779B97F4A7C15
+#: Texts are hashed in pieces of at most so many bytes, whatever the length of a text or of a word.
+PIECE_BYTES = 1 << 20
 _powers = np.ones(1, np.uint64)
 
 
 def _powers_to(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2^64, at least n of them."""
+    """Powers of an odd number modulo 2^64, at least n of them; n is at most PIECE_BYTES."""
     global _powers
     if len(_powers) < n:
         n = max(n, 2 * len(_powers), 256)
@@ -82,22 +84,49 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of a text's bytes starts, and its 64-bit hash: polynomials of its bytes, scrambled; memory is some 40 bytes a byte."""
-    none = np.empty(0, np.int64), np.empty(0, np.uint64)
-    if not len(data):
-        return none
+def _word_sums(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and polynomial sums of a piece's words; with `inside`, what continues a word at the piece's first byte counts as starting there."""
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
+    if inside:
+        first[0] = True
     starts = np.flatnonzero(first)
     if not len(starts):
-        return none
+        return starts, np.empty(0, np.uint64)
     at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
     values = data[starts[0] :].astype(np.uint64) + np.uint64(1)
     values[space[starts[0] :]] = 0
     values *= _powers_to(int(at.max()) + 1)[at]
-    return starts, mixed(np.add.reduceat(values, starts - starts[0]))
+    return starts, np.add.reduceat(values, starts - starts[0])
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text's bytes starts, and its 64-bit hash: polynomials of its bytes, scrambled.
+
+    A text is read in pieces, and a word that goes on in the next piece adds up over them, so beyond 16
+    bytes a word memory is bounded by the piece.
+    """
+    starts: list[np.ndarray] = []
+    sums: list[np.ndarray] = []
+    length = 0  # of the word that the last piece ended in
+    for a in range(0, len(data), PIECE_BYTES):
+        piece = data[a : a + PIECE_BYTES]
+        own, values = _word_sums(piece, length > 0)
+        if length:
+            with np.errstate(over="ignore"):
+                sums[-1][-1] += values[0] * np.uint64(pow(_ODD, length, 1 << 64))
+            spaces = _SPACE[piece]
+            length = length + len(piece) if not spaces.any() else 0
+            own, values = own[1:], values[1:]
+        if len(own):
+            starts.append(own + a)
+            sums.append(values)
+        if not length and not _SPACE[piece[-1]]:
+            length = len(piece) - int(own[-1])
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), mixed(np.concatenate(sums))
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
