@@ -53,16 +53,24 @@ def repeated_boundaries(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np
 def tiles_of(words: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(octave, tile, base, words, boundaries, periods) of the overlapping tiles that hold a repeated boundary.
 
-    A tile's core is dealt boundaries; its words reach 2^octave words before and 6 * 2^octave words after the core, so a run's
-    fragments in neighbouring tiles share at least a period.
+    A tile's core is dealt boundaries; its words reach 2^octave words before and 7 * 2^octave words after them, so a run's
+    fragments in neighbouring tiles share at least a period. All boundaries within a run but those near its end are repeated
+    ones, so what is farther from any of them holds no part of a run, and a tile is cut there.
     """
     for k, boundaries, periods in repeated_boundaries(words):
         core = max(4 << k, LEAST_CORE)
         tile = boundaries // core
-        for t in np.unique(tile).tolist():
-            own = tile == t
-            a, b = max(0, t * core - (1 << k)), min(len(words), (t + 1) * core + (6 << k))
-            yield k, t, a, words[a:b], boundaries[own] - a, periods[own]
+        cuts = np.flatnonzero((np.diff(tile) > 0) | (np.diff(boundaries) > 8 << k)) + 1
+        for own in np.split(np.arange(len(boundaries)), cuts):
+            a, b = max(0, boundaries[own[0]] - (1 << k)), min(len(words), boundaries[own[-1]] + (7 << k))
+            yield k, int(tile[own[0]]), int(a), words[a:b], boundaries[own] - a, periods[own]
+
+
+def _numbered(words: np.ndarray) -> bytes:
+    """Words as numbers within a tile, after a byte with their size."""
+    numbers = np.unique(words, return_inverse=True)[1].ravel()
+    kind = np.uint16 if numbers.max(initial=0) < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + numbers.astype(kind).tobytes()
 
 
 def _prime_divisors(q: int) -> Iterator[int]:
@@ -142,7 +150,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = False
             for k, t, base, part, boundaries, periods in tiles_of(words):
                 some = True
-                yield {"kind": "tile", "key": key, "doc_id": doc_id, "octave": k, "tile": t, "base": base, "words": part.tobytes(), "boundaries": boundaries.astype(np.int64).tobytes(), "periods": periods.astype(np.int64).tobytes()}
+                yield {"kind": "tile", "key": key, "doc_id": doc_id, "octave": k, "tile": t, "base": base, "words": _numbered(part), "boundaries": boundaries.astype(np.int64).tobytes(), "periods": periods.astype(np.int64).tobytes()}
             if some:
                 yield {"kind": "text", "key": key, "doc_id": doc_id, "text": text}
 
@@ -158,7 +166,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[int, int | None, int, int, int]] = []
         for key, doc_id, base, words, boundaries, periods in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "base", "words", "boundaries", "periods"))):
-            found = solved(np.frombuffer(words, np.uint64), np.frombuffer(boundaries, np.int64), np.frombuffer(periods, np.int64))
+            found = solved(np.frombuffer(words, f"<u{words[0]}", offset=1), np.frombuffer(boundaries, np.int64), np.frombuffer(periods, np.int64))
             out += [(key, doc_id, q, base + s, base + e) for q, s, e in found]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], [], [], []))], names=["key", "doc_id", "period", "start", "end"])
 
@@ -189,13 +197,13 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     compared by 64-bit hashes.
 
     Documents without a repeated boundary are done in the first scan. Of the others the tiles are written, dealt out by document,
-    octave and tile whatever the documents' lengths, and only their texts are shuffled to be collapsed. Only at octaves near
+    octave and place whatever the documents' lengths, and only their texts are shuffled to be collapsed. Only at octaves near
     its own length does a tile hold a whole document.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     own = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     scanned = materialize(own.mapInArrow(_scan, SCAN), "tiles")
-    tiles = scanned.where("kind = 'tile'").select("key", "doc_id", "octave", "tile", "base", "words", "boundaries", "periods").repartition("key", "octave", "tile")
+    tiles = scanned.where("kind = 'tile'").select("key", "doc_id", "octave", "tile", "base", "words", "boundaries", "periods").repartition("key", "octave", "tile", "base")
     fragments = tiles.mapInArrow(_solve, FRAGMENT).distinct()
     by = Window.partitionBy("key", "doc_id", "period").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
