@@ -90,13 +90,24 @@ def test_verification_triggers_and_decisions(spark):
 
 def test_calibration_scopes_and_ledger(spark):
     ranks = spark.createDataFrame([("a/b/x", 3.0), ("a/bc/y", 2.0), ("top", 0.3), ("a/b/c/z", 0.4)], "path string, priority double")
-    ledger = spark.createDataFrame([("i1", "a/b/x", "t", "unreachable", "a/b", 0.5), ("i2", "a/b/q", "t", "unreachable", "a/b", 0.5), ("i3", "top", "u", "unreachable", "top", 0.5)], "finding_id string, path string, vulnerability_class string, reason string, scope string, demotion double")
+    ledger = spark.createDataFrame([("i1", "a/b/x", "t", "unreachable", "a/b:t", 0.5), ("i2", "a/b/q", "t", "unreachable", "a/b:t", 0.5), ("i3", "top", "u", "unreachable", "top:u", 0.5), ("i4", "z", "t", "unreachable", "a/bc", 0.5), ("i5", "z", "t", "unreachable", ".:t", 0.5)], "finding_id string, path string, vulnerability_class string, reason string, scope string, demotion double")
     got = {r["path"]: (r["calibrated"], r["learnings"]) for r in feedback.calibrated(ranks, ledger).collect()}
     assert got == {"a/b/x": (2.0, 2), "a/bc/y": (2.0, 0), "top": (0.1, 1), "a/b/c/z": (0.1, 2)}
     rows = spark.createDataFrame([("f1", "a/b/k", ["t"], "reachable"), ("f2", "a/b/k", ["v"], "reachable"), ("f3", "top", ["u", "t"], "unknown"), ("f3", "top", ["u"], "unknown")], "finding_id string, path string, tags array<string>, reachability string")
     assert {tuple(r) for r in feedback.reachability_overrides(rows, ledger).collect()} == {("f1", 0.4), ("f3", 0.16)}
     merged = feedback.merged_ledger(ledger.select("finding_id", "reason"), spark.createDataFrame([("i2", "mitigated"), ("i9", "duplicate")], "finding_id string, reason string"))
-    assert {tuple(r) for r in merged.collect()} == {("i1", "unreachable"), ("i2", "mitigated"), ("i3", "unreachable"), ("i9", "duplicate")}
+    assert {tuple(r) for r in merged.collect()} == {("i1", "unreachable"), ("i2", "mitigated"), ("i3", "unreachable"), ("i4", "unreachable"), ("i5", "unreachable"), ("i9", "duplicate")}
+    row = feedback.calibrated(ranks, ledger).where("path = 'a/b/x'").first()
+    assert (row["learning_ids"], row["adjustments"]) == (["i1", "i2"], {"t": "a/b:t"}) and row["constraints"][0] == "Do not repeat unsupported t claim for scope a/b:t without new evidence."
+    fields = "finding_id string, path string, tags array<string>, title string, reachability string, verdict string, counter_case string, required_next_step string"
+    seen = spark.createDataFrame([("g1", "auth/s.py", ["syscall_entry"], "T", "reachable", "rejected", "constant input", "show a source"), ("g2", "main.py", [], "Some Title", "reachable", "needs_evidence", "", ""), ("g3", "a/m.py", ["x"], "T", "unknown", "rejected", "", "next"), ("g4", "a/m.py", ["x"], "T", "reachable", "accepted", "", "")], fields)
+    learned = {r["finding_id"]: (r["scope"], r["reason"], r["evidence"]) for r in feedback.learnings(seen).collect()}
+    assert learned == {"g1": ("auth:syscall_entry", "contradicted", "constant input show a source"), "g2": ("main.py:some_title", "unverified", ""), "g3": ("a:x", "unreachable_path", "next")}
+    outcomes = spark.createDataFrame([("h1", "a/m.py", ["x"], "rejected", "why"), ("h2", "a/m.py", ["x"], "verified", None), ("h3", "a/m.py", ["x"], "duplicate", "same")], "finding_id string, path string, tags array<string>, outcome string, evidence string")
+    assert {r["finding_id"]: r["reason"] for r in feedback.outcome_learnings(outcomes).collect()} == {"h1": "incorrect_model_assumption", "h3": "duplicate"}
+    for bad in (("h4", "p", ["x"], "odd", "why"), ("h5", "p", ["x"], "rejected", " ")):
+        with pytest.raises(Exception, match="unsupported finding outcome|needs evidence"):
+            feedback.outcome_learnings(spark.createDataFrame([bad], outcomes.schema)).collect()
 
 
 def test_greedy_matching_is_one_to_one_in_order(spark):

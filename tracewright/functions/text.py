@@ -73,37 +73,6 @@ def tags_of(path: Column, language: Column, text: Column) -> Column:
     return chosen({"memory_unsafe": language.isin(*MEMORY_UNSAFE), **{tag: any_of(hay, tokens) for tag, tokens in TAG_TOKENS.items()}})
 
 
-def match_places(text: Column, pattern: str, token_group: int) -> Column:
-    """[struct(offset, token)] of a pattern's non-overlapping matches, offsets in characters from 0.
-
-    The texts between the matches and the matches' lengths give the offsets. The token is the
-    group, or for group 0 the match up to its first parenthesis.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    token = F.regexp_extract_all(text, F.lit(pattern), F.lit(token_group)) if token_group else F.transform(whole, lambda m: F.trim(F.substring_index(m, "(", 1)))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), F.length)
-    sizes = F.transform(whole, F.length)
-    ends = F.zip_with(gaps, sizes, lambda g, s: g + s)
-    before = F.transform(ends, lambda _, i: F.aggregate(F.slice(ends, 1, i), F.lit(0), lambda a, x: a + x))
-    starts = F.zip_with(before, gaps, lambda b, g: b + g)
-    return F.zip_with(starts, token, lambda o, t: F.struct(o.alias("offset"), t.alias("token")))
-
-
-def line_of(text: Column, offset: Column) -> Column:
-    """The line of a character offset, from 1."""
-    return F.size(F.split(F.substr(text, F.lit(1), offset), "\n", -1))
-
-
-def in_comment(text: Column, offset: Column, language: Column) -> Column:
-    """Whether the match stands behind a comment mark on its line, or its line starts as a comment."""
-    head = F.substring_index(F.substr(text, F.lit(1), offset), "\n", -1)
-    line = F.concat(head, F.substring_index(F.substr(text, offset + 1), "\n", 1))
-    line = F.regexp_replace(line, r"^\s+", "")
-    hashed = line.startswith("#") | head.contains("#")
-    slashed = line.startswith("//") | line.startswith("/*") | line.startswith("*") | head.contains("//")
-    return F.when(language.isin(*HASH_COMMENTS), hashed).otherwise(slashed)
-
-
 def redacted(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), REDACTIONS, text)
 

@@ -27,9 +27,14 @@ def load_policy(spark: SparkSession, path: str) -> DataFrame:
     Cells are trimmed, rows of fewer than five cells and rows with a weakness number that isn't digits go, severities are held to 0..5,
     an X sets a flag, and of rows with one number the last in the file counts.
     """
+    return policy_rows(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
+
+
+def policy_rows(lines: DataFrame) -> DataFrame:
+    """The policy of a table's lines (ord, value)."""
     names = ["category", "number", "name", "severity", "static", "dynamic"]
     cells = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
-    rows = spark.read.text(path).where(F.size(cells) >= 5).withColumn("ord", F.monotonically_increasing_id())
+    rows = lines.where(F.size(cells) >= 5)
     rows = rows.withColumns({n: F.regexp_replace(F.coalesce(F.get(cells, F.lit(i)), F.lit("")), "^\"|\"$", "") for i, n in enumerate(names)})
     cell = lambda c: F.trim(F.col(c))
     level = F.coalesce(F.expr("try_cast(trim(severity) as int)"), F.lit(0))
@@ -86,3 +91,9 @@ def score_gate(scores: DataFrame, hard_severity: int = 5, least_score: int = 70,
     hard = F.col("max_severity") >= hard_severity
     soft = (F.col("score") < least_score) & F.lit(blocking)
     return scores.withColumns({"hard_failure": hard, "passed": ~(hard | soft)})
+
+
+def category_counts(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per group and category the findings, their penalties and highest severity, from rows of with_penalty(); findings without a policy row are 'unmapped'."""
+    rows = scored.withColumn("category", F.coalesce("category", F.lit("unmapped")))
+    return rows.groupBy(*keys, "category").agg(F.count("*").alias("findings"), F.sum("penalty").alias("penalty_total"), F.max("static_severity").alias("max_severity"))

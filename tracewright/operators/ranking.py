@@ -33,8 +33,8 @@ def hint_reachability(hints: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(hints, score)), F.lit(0))
 
 
-def heuristic_rank(targets: DataFrame) -> DataFrame:
-    """(path, surface, influence, reachability, priority, boosts, tags) from tags, loc, has_fuzz and hints (all optional but tags)."""
+def heuristic_rank(targets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, surface, influence, reachability, priority, boosts, tags, *keep) from tags, loc, has_fuzz and hints (all optional but tags)."""
     has = lambda *names: F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, names))), F.lit(False))
     fuzz = has("fuzzable") | (F.coalesce("has_fuzz", F.lit(False)) if "has_fuzz" in targets.columns else F.lit(False))
     large = F.col("loc") >= LARGE_FILE if "loc" in targets.columns else F.lit(False)
@@ -45,7 +45,7 @@ def heuristic_rank(targets: DataFrame) -> DataFrame:
     influence = at((crypto, 4), (large, 3))
     reach = F.greatest(at((parser, 3), (network, 4), (auth, 3), (fuzz, 4)), entry)
     boosts = chosen({"memory_unsafe": has("memory_unsafe"), "input_parser": parser, "network_entry": network, "auth_boundary": auth, "crypto": crypto, "privileged_boundary": privileged, "fuzzable": fuzz, "large_file": large, "entry_point_reachable": entry > 0})
-    ranked = targets.select("path", "tags", surface.alias("surface"), influence.alias("influence"), reach.alias("reachability"), boosts.alias("boosts"))
+    ranked = targets.select("path", "tags", *keep, surface.alias("surface"), influence.alias("influence"), reach.alias("reachability"), boosts.alias("boosts"))
     return ranked.withColumn("priority", composite_priority(F.col("surface"), F.col("influence"), F.col("reachability")))
 
 

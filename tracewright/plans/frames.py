@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import TAG_TOKENS, lines_of_code, tags_of
-from tracewright.operators.findings import Rule, attach_hints, find_matches, finding_rows, with_reachability
+from tracewright.operators.findings import Rule, find_matches, finding_rows, with_reachability
 from tracewright.operators.ranking import heuristic_rank
-from tracewright.operators.verify import verified
+from tracewright.operators.verify import judged, verified
 
 RULES = [
     Rule("text-token-assign", r'token = "([^"]*)"', (), "CWE-798", ("credential",)),
@@ -51,20 +51,39 @@ def policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICY, "cwe string, category string, severity int, static boolean, dynamic boolean")
 
 
+def hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with size, tags and the entry points of entry_points() as an array, in one projection."""
+    placed = F.col("n_chars") % 3 == 0
+    access = F.when(F.col("language") == "en", "public").when(F.col("language") == "fr", "authenticated").otherwise("role-restricted")
+    hint = F.struct(
+        F.when(placed, 1).alias("line"), F.when(placed & (F.col("n_chars") % 2 == 0), 2).alias("end_line"), F.when(placed, "intro").alias("function_name"), F.lit("route").alias("kind"),
+        access.alias("access_level"), F.array(F.concat(F.lit("lang:"), "language")).alias("conditions"),
+    )
+    hints = F.when(F.col("n_chars") % 3 != 2, F.array(hint)).otherwise(F.filter(F.array(hint), lambda _: F.lit(False)))
+    return files(spark, sf_dir).select("path", "language", "text", lines_of_code(F.col("text")).alias("loc"), tags_of(F.col("path"), F.col("language"), F.col("text")).alias("tags"), hints.alias("hints"))
+
+
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristic_rank(attach_hints(targets(spark, sf_dir), entry_points(spark, sf_dir)))
+    return heuristic_rank(hinted(spark, sf_dir))
 
 
 def findings(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES) -> DataFrame:
-    matches = find_matches(files(spark, sf_dir), rules)
-    hints = attach_hints(files(spark, sf_dir).select("path"), entry_points(spark, sf_dir))
-    return finding_rows(with_reachability(matches, hints), rankings(spark, sf_dir), policy(spark))
+    """One scan: what a file's row tells of its entry points and rank goes along with its matches."""
+    ranked = heuristic_rank(hinted(spark, sf_dir), ("language", "text", "hints"))
+    return finding_rows(with_reachability(find_matches(ranked, rules, carry=("hints", "priority", "tags"))), None, policy(spark))
 
 
 def verified_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(findings(spark, sf_dir))
 
 
+def judged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified findings of which three in four lines went to a judge, who may disagree."""
+    label = F.element_at(F.array(F.lit("unsupported"), F.lit("plausible"), F.lit("refused"), F.lit(None)), (F.col("line") % 4 + 1).cast("int"))
+    own = judged(label, F.col("line") % 10 / 10)
+    return verified_findings(spark, sf_dir).withColumn("verdict", F.when(label.isNotNull(), own).otherwise(F.col("verdict")))
+
+
 # --- SQL twins ---------------------------------------------------------------------------------
 
 _QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
@@ -103,4 +122,6 @@ FINDINGS = (
  p.severity as p_severity, static, dynamic from reached r left join rankings k on r.path = k.path left join policy p on r.cwe = p.cwe),
 verified as (select *, case when reachability = 'unknown' then 'rejected' else 'accepted' end as verdict from findings)"""
 )
-LEARNINGS = FINDINGS + """, learnings as (select distinct finding_id, path, coalesce(tags[1], 'unknown') as vulnerability_class, case when reachability = 'unknown' then 'unreachable_path' when verdict = 'needs_evidence' then 'unverified' else 'contradicted' end as reason, regexp_extract(path, '^(.*)/[^/]*$', 1) as scope, 0.5 as demotion from verified where verdict <> 'accepted')"""
+LEARNINGS = FINDINGS + """, judged as (select * exclude (verdict), case line % 4 when 0 then 'rejected' when 1 then case when (line % 10) / 10.0 >= 0.6 then 'accepted' else 'needs_evidence' end when 2 then 'rejected' else verdict end as verdict from verified),
+learnings as (select distinct finding_id, path, coalesce(tags[1], 'unknown') as vulnerability_class, case when reachability = 'unknown' then 'unreachable_path' when verdict = 'needs_evidence' then 'unverified' else 'contradicted' end as reason, verdict as evidence,
+ regexp_extract(path, '^(.*)/[^/]*$', 1) || ':' || coalesce(tags[1], 'unknown') as scope, 0.5 as demotion from judged where verdict <> 'accepted')"""

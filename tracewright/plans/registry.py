@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import language_of, normalised, redacted
 from tracewright.operators import evaluate, feedback, findings, policy, ranking, retrieve, verify
+from tracewright.plans import code
 from tracewright.plans import frames as fr
 from tracewright.plans.frames import FILES, FINDINGS, LEARNINGS, LINES, MATCHES, POINTS, POLICY_SQL, RANKED, TARGETS
 
@@ -135,20 +136,19 @@ def fusion_votes(spark, sf):
 
 @query("q16_learnings", LEARNINGS + " select * from learnings")
 def learning_rows(spark, sf):
-    return feedback.learnings(fr.verified_findings(spark, sf))
+    return feedback.learnings(fr.judged_findings(spark, sf))
 
 
-@query("q17_calibrate", LEARNINGS + """, sums as (select r.path, count(*) * 0.5 as demotion, count(*) as n from rankings r join learnings l on r.path = l.path or starts_with(r.path, l.scope || '/') group by r.path)
+@query("q17_calibrate", LEARNINGS + """, sums as (select r.path, count(*) * 0.5 as demotion, count(*) as n from rankings r join learnings l on r.path = l.path or starts_with(r.path, regexp_replace(l.scope, ':[^:]*$', '') || '/') group by r.path)
  select path, priority, coalesce(demotion, 0.0)::double as demotion, greatest(0.1, least(priority, round(priority - coalesce(demotion, 0), 2)))::double as calibrated, coalesce(n, 0) as learnings from rankings left join sums using (path)""")
 def calibrate(spark, sf):
-    return feedback.calibrated(fr.rankings(spark, sf), feedback.learnings(fr.verified_findings(spark, sf))).select("path", "priority", "demotion", "calibrated", "learnings")
+    return feedback.calibrated(fr.rankings(spark, sf), feedback.learnings(fr.judged_findings(spark, sf))).select("path", "priority", "demotion", "calibrated", "learnings")
 
 
 @query("q18_fp_override", LEARNINGS + """ select distinct finding_id, round(case reachability when 'reachable' then 1.0 when 'inferred-file-surface' then 0.6 else 0.4 end * 0.4, 3)::double as factor from findings f
- where exists (select 1 from learnings l where l.vulnerability_class = coalesce(f.tags[1], 'unknown') and (f.path = l.path or starts_with(f.path, l.scope || '/')))""")
+ where exists (select 1 from learnings l where l.vulnerability_class = coalesce(f.tags[1], 'unknown') and (f.path = l.path or starts_with(f.path, regexp_replace(l.scope, ':[^:]*$', '') || '/')))""")
 def fp_override(spark, sf):
-    v = fr.verified_findings(spark, sf)
-    return feedback.reachability_overrides(v, feedback.learnings(v))
+    return feedback.reachability_overrides(fr.findings(spark, sf), feedback.learnings(fr.judged_findings(spark, sf)))
 
 
 _SCORED = FINDINGS + """, scored as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) as source, case when static then p_severity else 0 end as level,
@@ -219,10 +219,15 @@ def contained_items(spark, sf):
     return _contained(spark, sf)
 
 
-@query("q23_greedy_match")
+_MANIFEST_PAIRS = _PAIRS.replace("with p as", "with recursive c as") + """, pairs as (select source || '/' || (c.doc_id // 100) as key, item_id as e_ord, c.doc_id as f_ord from c join documents d on d.doc_id = c.doc_id), """
+
+
+@query("q23_greedy_match", _MANIFEST_PAIRS + code.sequence() + " select * from matches")
 def greedy_match(spark, sf):
-    pairs = _contained(spark, sf).select((F.col("doc_id") % 3).alias("key"), F.col("item_id").alias("e_ord"), F.col("doc_id").alias("f_ord"))
-    return evaluate.greedy_one_to_one(pairs)
+    """Manifests are a source's documents by hundreds, so their number grows with the table."""
+    source = fr.table(spark, sf, "documents").select("doc_id", "source")
+    pairs = _contained(spark, sf).join(source, "doc_id").select(F.concat_ws("/", "source", F.expr("doc_id div 100").cast("string")).alias("key"), F.col("item_id").alias("e_ord"), F.col("doc_id").alias("f_ord"))
+    return evaluate.one_to_one(pairs)
 
 
 @query("q24_misses_and_fps", _PAIRS + """ select 'missed' as signal, item_id as id from benchmark b where not exists (select 1 from p where p.item_id = b.item_id)
@@ -253,13 +258,17 @@ def detection_rollup(spark, sf):
     return evaluate.detection_gate(evaluate.detection_rollup(counts, "language"))
 
 
-@query("q27_baseline_deltas", f"""with {MATCHES}, t as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as tool, rule_id from matches), u as (select distinct rule_id from matches)
- select tool, count(t.rule_id) as matched, (select count(*) from u) - count(t.rule_id) as missed from t group by tool""")
+_BASELINES = f"""with recursive {code.CODE}, raw as (select key as manifest, 'alpha' as tool, f_ord, path, line, rule_id, cwe, token from found where doc_id % 2 = 0 union all select key, 'beta', f_ord, path, line, null, null, token from found where doc_id % 3 = 0
+ union all select key, 'gamma', f_ord, path, null, rule_id, case when line % 2 = 0 then lower(cwe) else 'CWE-0' end, token from found where doc_id % 5 = 0),
+ tools as (select *, {code.norm("token || ' matched'")} as text from raw),
+ tool_pairs as (select t.manifest || '|' || t.tool as key, e_ord, f_ord from expected e join tools t on e.key = t.manifest and (e.rule_id is null or t.rule_id is null or e.rule_id = t.rule_id) and (e.line is null or t.line is null or e.line = t.line)
+  and contains(t.path, e.path) and (t.cwe is null or lower(t.cwe) = lower(e.cwe)) and (e.sink is null or contains(t.text, lower(e.sink)))), """
+
+
+@query("q27_baseline_deltas", _BASELINES + code.sequence("tool_pairs") + """, n as (select key, count(*) as matched from matches group by key), w as (select key, count(*) as expected from expected group by key), z as (select manifest, tool, count(*) as found from tools group by all)
+ select manifest, tool, coalesce(matched, 0) as matched, coalesce(expected, 0) - coalesce(matched, 0) as missed, found - coalesce(matched, 0) as extra from z left join n on n.key = manifest || '|' || tool left join w on w.key = manifest""")
 def baseline_deltas(spark, sf):
-    m = findings.find_matches(fr.files(spark, sf), fr.RULES)
-    per = m.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("tool"), "rule_id").distinct()
-    total = m.select("rule_id").distinct().agg(F.count("*").alias("n"))
-    return per.groupBy("tool").agg(F.count("*").alias("matched")).join(F.broadcast(total)).select("tool", "matched", (F.col("n") - F.col("matched")).alias("missed"))  # one row
+    return evaluate.baseline_deltas(code.code_expected(spark, sf), code.code_baselines(spark, sf))
 
 
 _OUTCOMES = "with e as (select case user_id % 3 when 0 then 'A' when 1 then 'B' else 'C' end as tier, event_type as outcome, value as seconds from events)"
@@ -450,3 +459,66 @@ def stream_dedupe(spark, sf):
 
     rows = read_events(spark, f"{sf}/events.parquet").select("user_id", "event_type", "ts")
     return drained(rows.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+_SEVERITIES = "severities(cwe, severity) as (values " + ", ".join(f"('{c}', '{v}')" for c, v in sorted(code.SEVERITIES.items())) + ")"
+
+
+@query("q50_rule_scan", f"with {code.CODE}, {_SEVERITIES} select rule_id, path, line, token, severity from found join severities using (cwe)")
+def rule_scan(spark, sf):
+    from tracewright.rules import shipped_policy
+
+    table = F.broadcast(shipped_policy(spark).where("static").select("cwe", findings.severity_label(F.col("severity")).alias("severity")))  # a fixed list of weaknesses
+    return code.code_findings(spark, sf).join(table, "cwe", "left").select("rule_id", "path", "line", "token", F.coalesce("severity", F.lit("info")).alias("severity"))
+
+
+def _evaluated(spark, sf):
+    from tracewright.sources.scratch import stored
+
+    return evaluate.evaluate_manifests(code.code_expected(spark, sf), stored(code.code_findings(spark, sf), "findings"))
+
+
+_METRICS = """, sizes as (select key, 1 as e, 0 as a, 0 as m from expected union all select key, 0, 1, 0 from found union all select key, 0, 0, 1 from matches),
+ metrics as (select key, sum(e)::bigint as expected, sum(a)::bigint as actual, sum(m)::bigint as matched, (sum(e) - sum(m))::bigint as missed, (sum(a) - sum(m))::bigint as false_positives from sizes group by key)"""
+
+
+@query("q51_manifest_metrics", code.EVALUATED + _METRICS + " select *, round(matched / nullif(expected, 0), 9) as recall, round(matched / nullif(actual, 0), 9) as precision from metrics")
+def manifest_metrics(spark, sf):
+    return _evaluated(spark, sf).metrics.withColumns({c: F.round(c, 9) for c in ("recall", "precision")})
+
+
+_RULE_KINDS = """, kinds as (select f.key, f.rule_id, case when m.f_ord is null then 'false_positive' else 'matched' end as kind from found f left join matches m on m.key = f.key and m.f_ord = f.f_ord
+ union all select e.key, e.rule_id, 'missed' from expected e left join matches m on m.key = e.key and m.e_ord = e.e_ord where m.e_ord is null and e.rule_id is not null),
+ counts as (select key, rule_id, count(*) filter (where kind = 'matched') as matched, count(*) filter (where kind = 'false_positive') as false_positives, count(*) filter (where kind = 'missed') as missed from kinds group by key, rule_id)"""
+
+
+@query("q52_manifest_rules", code.EVALUATED + _RULE_KINDS + f""" select *, case when false_positives > 0 then 'shadow' when missed > 0 then 'loosen' else 'keep' end as recommendation,
+ case when false_positives > 0 then {code._QUOTED(evaluate.ACTIONS[0][1])} when missed > 0 then {code._QUOTED(evaluate.ACTIONS[1][1])} else {code._QUOTED(evaluate.ACTIONS[2][1])} end as rationale from counts""")
+def manifest_rules(spark, sf):
+    return _evaluated(spark, sf).rules
+
+
+@query("q53_manifest_misses", code.EVALUATED + f""" select key, 'missed' as kind, e.path || ':' || e_ord as id, case when rule_id is null then 'language_hunter' else 'rule:' || rule_id end as candidate, '{evaluate.MISS_REASON}' as reason from expected e where not exists (select 1 from matches m where m.key = e.key and m.e_ord = e.e_ord)
+ union all select key, 'false_positive', finding_id, rule_id, '{evaluate.FALSE_POSITIVE_REASON}' from found f where not exists (select 1 from matches m where m.key = f.key and m.f_ord = f.f_ord)""")
+def manifest_misses(spark, sf):
+    e = _evaluated(spark, sf)
+    plain = F.regexp_replace("path", r"^\*", "")
+    missed = e.calibration.select("key", F.lit("missed").alias("kind"), F.concat_ws(":", plain, F.col("e_ord").cast("string")).alias("id"), F.col("next_improvement_candidate").alias("candidate"), "reason")
+    return missed.unionByName(e.false_positives.select("key", F.lit("false_positive").alias("kind"), F.col("finding_id").alias("id"), F.col("rule_id").alias("candidate"), "reason"))
+
+
+_LANGUAGE_RATES = """, sizes as (select language, 1 as e, 0 as a, 0 as m from expected union all select d.language, 0, 1, 0 from found f join docs d using (doc_id) union all select d.language, 0, 0, 1 from matches m join docs d on d.doc_id = m.e_ord // 100),
+ rates as (select language, sum(e) as expected, sum(m) as matched, sum(a) as actual, sum(a) - sum(m) as false_positives, language is null as overall from sizes group by rollup (language)),
+ said as (select coalesce(language, 'overall') as name, overall, unnest([case when matched / expected < 0.9 then printf('%s recall %.2f%% below 90%% (%d/%d)', coalesce(language, 'overall'), 100 * matched / expected, matched::bigint, expected::bigint) end,
+  case when false_positives / actual >= 0.1 then printf('%s FP rate %.2f%% at or above 10%% (%d/%d)', coalesce(language, 'overall'), 100 * false_positives / actual, false_positives::bigint, actual::bigint) end]) as reason, unnest([1, 2]) as no from rates)"""
+
+
+@query("q54_gate_verdict", code.EVALUATED + _LANGUAGE_RATES + " select count(reason) = 0 as passed, count(reason) = 0 as detection_passed, true as score_passed, string_agg(reason, '; ' order by overall, name, no) as reasons from said")
+def gate_verdict(spark, sf):
+    e = _evaluated(spark, sf)
+    language = code._docs(spark, sf).select("doc_id", "language")
+    kinds = code.code_expected(spark, sf).select("language", F.lit("expected").alias("kind")).unionByName(code.code_findings(spark, sf).select("language", F.lit("actual").alias("kind")))
+    kinds = kinds.unionByName(e.matches.select(F.expr("e_ord div 100").alias("doc_id")).join(language, "doc_id").select("language", F.lit("matched").alias("kind")))
+    one = lambda k: (F.col("kind") == k).cast("long")
+    counts = kinds.groupBy("language").agg(*[F.sum(one(k)).alias(k) for k in ("expected", "matched", "actual")]).withColumn("false_positives", F.col("actual") - F.col("matched"))
+    return evaluate.gate_verdict(evaluate.detection_rollup(counts, "language"), "language").withColumn("reasons", F.array_join("reasons", "; "))

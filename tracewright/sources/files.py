@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import clean_text, language_of, lines_of_code, redacted, tags_of
-from tracewright.operators.findings import Rule
+from tracewright.operators.findings import STATUSES, Rule
 
 # Directories that are never scanned.
 IGNORED_DIRECTORIES = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv")
@@ -53,40 +53,118 @@ def language_counts(targets: DataFrame) -> DataFrame:
     return targets.groupBy("language").count().orderBy("language")
 
 
+def _rule(item: dict, file: str) -> Rule:
+    missing = [c for c in ("rule_id", "cwe", "pattern") if c not in item]
+    if missing:
+        raise SourceError(f"a rule of {file} has no {missing[0]}")
+    name, pattern, status = str(item["rule_id"]), str(item["pattern"]), str(item.get("status", "enabled"))
+    if status not in STATUSES:
+        raise SourceError(f"rule {name} has the unknown status {status!r}")
+    if not pattern:
+        raise SourceError(f"rule {name} has an empty pattern")
+    groups = re.compile(pattern).groups
+    return Rule(name, pattern, tuple(item.get("languages", ())), str(item["cwe"]), tuple(item.get("tags", ())), min(groups, 1), status, float(item.get("precision_estimate", 0.0)), str(item.get("title", name)), str(item.get("min_evidence_level", "static_corroboration")))
+
+
 def read_rules(directory: str) -> list[Rule]:
-    """Rules of all .toml files below a directory, by id; an id that occurs twice is an error."""
+    """Rules of all .toml files below a directory, by id; an id that occurs twice, and a rule without its fields, are errors."""
     rules: dict[str, Rule] = {}
     for folder, _, names in sorted(os.walk(directory)):
         for name in sorted(n for n in names if n.endswith(".toml")):
             with open(os.path.join(folder, name), "rb") as f:
-                for r in tomllib.load(f).get("rule", []):
-                    if r["rule_id"] in rules:
-                        raise SourceError(f"rule {r['rule_id']} occurs twice")
-                    groups = re.compile(r["pattern"]).groups
-                    rules[r["rule_id"]] = Rule(r["rule_id"], r["pattern"], tuple(r.get("languages", ())), r.get("cwe", ""), tuple(r.get("tags", ())), min(groups, 1), r.get("status", "enabled"), float(r.get("precision_estimate", 0.0)), r.get("title", ""))
+                for item in tomllib.load(f).get("rule", []):
+                    rule = _rule(item, name)
+                    if rule.rule_id in rules:
+                        raise SourceError(f"rule {rule.rule_id} occurs twice")
+                    rules[rule.rule_id] = rule
     return [rules[k] for k in sorted(rules)]
 
 
-def read_expected(spark: SparkSession, manifest: str) -> DataFrame:
-    """Ground truth of a manifest: key (its name), e_ord and the optional wildcards of each expected row."""
-    with open(manifest, "rb") as f:
+EXPECTED = "key string, language string, e_ord int, cwe string, class string, path string, evidence string, rule_id string, line int, function string, sink string"
+
+
+def _manifest(path: str) -> dict:
+    with open(path, "rb") as f:
         data = tomllib.load(f)
-    rows = [(data["name"], i, e.get("rule_id"), e.get("line"), e.get("path", ""), e.get("function"), e.get("sink"), e.get("evidence", ""), e.get("cwe")) for i, e in enumerate(data.get("expected", []))]
-    return spark.createDataFrame(rows, "key string, e_ord int, rule_id string, line int, path string, function string, sink string, evidence string, cwe string")
+    kind = data.get("source", {}).get("type", "local")
+    if kind != "local":
+        raise SourceError(f"the source type {kind!r} of {path} isn't known")
+    return data
+
+
+def read_expected(spark: SparkSession, *manifests: str) -> DataFrame:
+    """Ground truth of manifests, EXPECTED: key (a manifest's name), e_ord and the optional wildcards of each expected row."""
+    rows = []
+    for path in manifests:
+        data = _manifest(path)
+        for i, e in enumerate(data.get("expected", [])):
+            cls = e.get("class", e.get("vulnerability_class", "unknown"))
+            rows.append((data["name"], data.get("language"), i, e.get("cwe"), cls, e.get("path", ""), e.get("evidence", ""), e.get("rule_id"), e.get("line"), e.get("function"), e.get("sink")))
+    return spark.createDataFrame(rows, EXPECTED)
+
+
+def manifest_source(manifest: str) -> tuple[str, str]:
+    """A manifest's name and the folder of its sources, which stands relative to the manifest."""
+    data = _manifest(manifest)
+    return data["name"], os.path.normpath(os.path.join(os.path.dirname(manifest), data["source"]["path"]))
+
 
+BASELINE = "array<struct<tool:string,finding_id:string,id:string,path:string,line:string,rule_id:string,cwe:string,class:string,vulnerability_class:string,evidence:string>>"
 
-LEDGER = "finding_id string, path string, vulnerability_class string, reason string, scope string, demotion double"
+
+def read_baselines(spark: SparkSession, manifest: str, paths: list[str]) -> DataFrame:
+    """(manifest, tool, f_ord, finding_id, path, line, rule_id, cwe, vulnerability_class, evidence) of other tools' findings.
+
+    Each file is a JSON array of findings, or an object that holds it as `findings`; missing files are skipped. A finding without a
+    tool gets its file's stem, `id` and `vulnerability_class` are other names of `finding_id` and `class`, and f_ord is
+    the place in the files' order.
+    """
+    there = [p for p in paths if path_exists(spark, p)]
+    schema = "manifest string, tool string, f_ord long, finding_id string, path string, line int, rule_id string, cwe string, vulnerability_class string, evidence string"
+    if not there:
+        return spark.createDataFrame([], schema)
+    files = spark.read.option("wholetext", True).text(there).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"))
+    number = F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(there) for x in (re.sub(r"\.[^./]*$", "", os.path.basename(p)), i)]), F.col("stem"))
+    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", BASELINE)).otherwise(F.from_json("value", f"struct<findings:{BASELINE}>")["findings"])
+    rows = files.select("stem", number.alias("file"), F.posexplode(items).alias("pos", "f"))
+    text = lambda *names: F.coalesce(*[F.col(f"f.{n}") for n in names])
+    return rows.select(
+        F.lit(manifest).alias("manifest"), F.coalesce("f.tool", "stem").alias("tool"), (F.col("file").cast("long") * (1 << 32) + F.col("pos")).alias("f_ord"), F.coalesce(text("finding_id", "id"), F.lit("")).alias("finding_id"), F.coalesce("f.path", F.lit("")).alias("path"),
+        F.col("f.line").try_cast("int").alias("line"), text("rule_id").alias("rule_id"), text("cwe").alias("cwe"), F.nullif(F.coalesce(text("class", "vulnerability_class"), F.lit("")), F.lit("")).alias("vulnerability_class"), F.coalesce("f.evidence", F.lit("")).alias("evidence"),
+    )
+
+
+LEDGER = "finding_id string, path string, vulnerability_class string, reason string, evidence string, scope string, demotion double"
 # Why a finding was a false positive.
 REASONS = ("unreachable_path", "missing_attacker_control", "sanitizer_disproved", "static_rule_mismatch", "incorrect_model_assumption", "duplicate", "insufficient_impact", "unsupported", "contradicted", "unverified")
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Learnings as JSON lines; a missing demotion is 0.5, an unknown reason an error when it's read."""
-    rows = spark.read.schema(LEDGER).json(path)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_ledger(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """Learnings as JSON lines, or as a document with an array `learnings`; a missing path is an empty ledger.
+
+    A missing demotion is 0.5, an unknown reason an error when it's read.
+    """
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], LEDGER)
+    if document:
+        fields = ", ".join(f"{f.split()[0]}:{f.split()[1]}" for f in LEDGER.split(", ")).replace(", ", ",")
+        rows = spark.read.schema(f"learnings array<struct<{fields}>>").option("multiLine", True).json(path).select(F.explode("learnings").alias("l")).select("l.*")
+    else:
+        rows = spark.read.schema(LEDGER).json(path)
     checked = F.when(F.col("reason").isin(*REASONS), F.col("reason")).otherwise(F.raise_error(F.concat(F.lit("unknown reason "), F.coalesce("reason", F.lit("null")))))
     return rows.withColumns({"reason": checked, "demotion": F.coalesce("demotion", F.lit(0.5))})
 
 
+def write_calibrations(calibrated: DataFrame, path: str) -> None:
+    """The calibrations that a learning caused, as JSON lines."""
+    calibrated.where(F.size("learning_ids") > 0).select("path", "priority", "calibrated", "learning_ids", "constraints", "adjustments").write.mode("overwrite").json(path)
+
+
 def write_ledger(ledger: DataFrame, folder: str, version: str) -> str:
     """A new version beside the old ones: a ledger that a plan reads isn't overwritten."""
     path = f"{folder.rstrip('/')}/version={version}"
