@@ -142,7 +142,7 @@ def test_expected_rows_by_function_sink_and_evidence(spark):
 
 
 def test_baselines_of_two_shapes(spark, tmp_path):
-    (tmp_path / "clearscan.json").write_text(json.dumps({"findings": [{"tool": "other", "finding_id": "o1", "path": "src/a.cpp", "line": 3, "rule_id": "c-unsafe-copy", "cwe": "cwe-120", "evidence": "strcpy copies"}, {"id": "c1", "path": "src/a.cpp", "line": "4", "class": "k", "evidence": "system runs"}, {"id": "c2", "path": "x"}]}))
+    (tmp_path / "clearscan.json").write_text(json.dumps({"findings": [{"tool": "other", "finding_id": "o1", "path": "src/a.cpp", "line": 3, "rule_id": "c-unsafe-copy", "cwe": "cwe-120", "evidence": "strcpy copies"}, {"id": "c1", "path": "src/a.cpp", "line": "4", "class": "k", "evidence": "system runs"}, {"id": "c2", "path": "x"}]}, indent=2))
     (tmp_path / "plain.v2.json").write_text(json.dumps([{"path": "src/a.cpp", "line": None, "evidence": "printf of system strcpy", "vulnerability_class": "fmt", "extra": {"a": 1}}]))
     rows = files.read_baselines(spark, "native", [str(tmp_path / n) for n in ("clearscan.json", "absent.json", "plain.v2.json")])
     got = {(r["tool"], r["finding_id"], r["path"], r["line"], r["rule_id"], r["cwe"], r["vulnerability_class"], r["evidence"]) for r in rows.collect()}

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -200,3 +200,17 @@ def reported(findings: DataFrame, least_priority: float = 0.0) -> DataFrame:
 
 def shadowed(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("status") == "shadow")
+
+
+def per_target(findings: DataFrame, most: int) -> DataFrame:
+    """The first `most` findings of each path in the order of the report: a limit that callers ask for."""
+    order = (severity_order(F.col("severity")), F.desc("priority"), "line", "rule_id", "ord")
+    return findings.withColumn("_place", F.row_number().over(Window.partitionBy("path").orderBy(*order))).where(F.col("_place") <= most).drop("_place")
+
+
+def limited(findings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, disclosure): the first `most` findings of the report, and a row (stage, reason, requested, actual) if there are more; 0 is no limit."""
+    told = findings.agg(F.count("*").alias("actual")).select(F.lit("budget").alias("stage"), F.lit("max_findings_exceeded").alias("reason"), F.lit(most).alias("requested"), "actual")
+    if not most:
+        return findings, told.where("false")
+    return in_report_order(findings).limit(most), told.where(F.col("actual") > most)

@@ -94,6 +94,5 @@ def score_gate(scores: DataFrame, hard_severity: int = 5, least_score: int = 70,
 
 
 def category_counts(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per group and category the findings, their penalties and highest severity, from rows of with_penalty(); findings without a policy row are 'unmapped'."""
-    rows = scored.withColumn("category", F.coalesce("category", F.lit("unmapped")))
-    return rows.groupBy(*keys, "category").agg(F.count("*").alias("findings"), F.sum("penalty").alias("penalty_total"), F.max("static_severity").alias("max_severity"))
+    """Per group and category the findings of static weaknesses, their penalties and highest severity, from rows of with_penalty()."""
+    return scored.where("mapped and static").groupBy(*keys, "category").agg(F.count("*").alias("findings"), F.sum("penalty").alias("penalty_total"), F.max("static_severity").alias("max_severity"))

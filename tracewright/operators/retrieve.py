@@ -25,6 +25,42 @@ def top_by_cosine(vectors: DataFrame, query: list[float], k: int, where: Column
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def top_for_queries(vectors: DataFrame, queries: DataFrame, k: int, on: tuple[str, ...] = ("namespace",)) -> DataFrame:
+    """vectors' columns with query_id, score and rank: each query's k best by cosine, ties to the smaller vec_id.
+
+    queries: query_id, q_embedding and the columns `on`, by which they meet the vectors: a table stored by namespace is read only
+    where a query looks. The k best are kept by every task before the shuffle.
+    """
+    met = vectors.join(queries.select("query_id", "q_embedding", *on), list(on))
+    scored = met.withColumn("score", F.round(cosine(F.col("embedding"), F.col("q_embedding")), 6)).drop("q_embedding", "embedding")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def packages(hits: DataFrame, budget: int = 4000) -> DataFrame:
+    """(query_id, hits, text, truncated): each query's blocks in order of rank, up to the first that overflows the budget.
+
+    hits: query_id, rank, namespace, path, start_line, end_line, text. A block is its place and its text; blocks are joined by
+    an empty line, which the budget doesn't count. Nothing after a block that doesn't fit is taken, and truncated says so.
+    """
+    block = F.concat(F.lit("["), "namespace", F.lit("] "), "path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = hits.select("query_id", "rank", block.alias("block"))
+    running = F.sum(F.length("block")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    fits = F.col("running") <= budget
+    blocks = F.array_sort(F.collect_list(F.when(fits, F.struct("rank", "block"))))  # at most as many as a search returns
+    out = rows.withColumn("running", running).groupBy("query_id").agg(blocks.alias("b"), F.bool_or(~fits).alias("truncated"))
+    return out.select("query_id", F.size("b").alias("hits"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("text"), "truncated")
+
+
+def reuse_key(snapshot: DataFrame, model: str) -> DataFrame:
+    """snapshot (root, commit, file_count, languages) with the key under which its index can be used again: any change gives another."""
+    quote = lambda c: F.coalesce(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null"))
+    languages = F.array_join(F.transform(F.array_sort(F.map_entries("languages")), lambda e: F.concat(quote(e["key"]), F.lit(": "), e["value"].cast("string"))), ", ")
+    commit = F.when(F.col("commit").isNull(), "null").otherwise(quote(F.col("commit")))
+    whole = F.concat(F.lit('{"commit": '), commit, F.lit(', "embedding_model": '), quote(F.lit(model)), F.lit(', "file_count": '), F.col("file_count").cast("string"), F.lit(', "languages": {'), languages, F.lit('}, "root": '), quote(F.col("root")), F.lit("}"))
+    return snapshot.withColumn("reuse_key", F.substring(F.sha2(whole, 256), 1, 24))
+
+
 def within_budget(blocks: DataFrame, budget: int, size: Column, order: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
     """The leading blocks of each key whose running size stays within the budget; nothing after the first that overflows."""
     running = F.sum(size).over(Window.partitionBy(*(keys or (F.lit(0),))).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -29,6 +29,12 @@ def judged(label: Column, confidence: Column) -> Column:
     return F.when((label == "plausible") & (confidence >= LEAST_CONFIDENCE), "accepted").when(label.isin("unsupported", "refused"), "rejected").otherwise("needs_evidence")
 
 
+def latest_verification(verifications: DataFrame, order: str = "ord") -> DataFrame:
+    """The last row of each finding_id by `order`, which goes."""
+    rest = [c for c in verifications.columns if c not in ("finding_id", order)]
+    return verifications.groupBy("finding_id").agg(F.max_by(F.struct(*rest), order).alias("v")).select("finding_id", "v.*")
+
+
 def transitions(history: DataFrame, key: str, order: str, level: str) -> DataFrame:
     """history with `previous` level per key and `allowed`: a step may stay or go up by one, never back or past a rung."""
     previous = F.lag(level).over(Window.partitionBy(key).orderBy(order))

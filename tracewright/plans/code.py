@@ -93,6 +93,36 @@ def code_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(tool("gamma", 5, F.col("rule_id"), none("int"), F.when(F.col("line") % 2 == 0, F.lower("cwe")).otherwise("CWE-0")))
 
 
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, text, tags): Python files with decorators and signatures over several lines, a class, and the document's text as comments."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"), F.concat(F.lit("v"), (F.col("doc_id") % 97).cast("string")).alias("v"))
+    guard = F.element_at(F.array(F.lit("@login_required"), F.lit("@require_role('admin')"), F.lit("# none")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    lines = [
+        F.lit("@app.route("), F.concat(F.lit("    '/"), "v", F.lit("',")), F.lit("    methods=['GET'],"), F.lit(")"), guard, F.concat(F.lit("def "), "v", F.lit("(")), F.lit("    a,"), F.lit("):"), F.lit('    """if feature:'), F.lit('    """'),
+        F.concat(F.lit("    if feature_"), "v", F.lit("(a):")), F.lit("        return (a +"), F.lit("            1)"), F.lit("class K:"), F.lit("    @cli.command()"), F.concat(F.lit("    async def run_"), "v", F.lit("(self):")), F.lit("        if self.beta and \\"),
+        F.lit("                self.x:"), F.lit("            pass"),
+    ]
+    rest = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("# "), F.regexp_replace(x, r"[\x00-\x1f\x7f]", " ")))
+    return d.select("path", F.lit("python").alias("language"), F.array_join(F.concat(F.array(*lines), rest), "\n").alias("text"), F.expr("cast(array() as array<string>)").alias("tags"))
+
+
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): each document with an array of findings behind it, one in four of them broken."""
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id").cast("string")
+    array = F.concat(F.lit('[ {"line": '), n, F.lit(', "title": "T'), n, F.lit('", "cwe": "CWE-'), (F.col("doc_id") % 7).cast("string"), F.lit('"}, 5, '), F.when(F.col("doc_id") % 4 == 0, "oops").otherwise(""), F.lit(' {"line": "x", "rationale": "r"} ]'))
+    return d.select(n.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" so: "), array, F.lit(" done")).alias("text"))
+
+
+def ranking_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(payload_id, payload): a ranking per document and one more, some of them malformed."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    text = lambda c: c.cast("string")
+    one = F.concat(F.lit('{"path": "p'), text(F.col("doc_id")), F.lit('", "surface": '), text(F.col("doc_id") % 7), F.lit(', "influence": '), F.when(F.col("doc_id") % 11 == 0, "true").otherwise("3"), F.lit(', "reachability": 2, "static_boosts": ["b", "a"]}'))
+    whole = F.when(F.col("doc_id") % 13 == 0, '{"other": []}').when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n["), one, F.lit("]\n```"))).otherwise(F.concat(F.lit('{"rankings": ['), one, F.lit(', {"path": "", "surface": 1}]}')))
+    return d.select(F.col("doc_id").alias("payload_id"), whole.alias("payload"))
+
+
 # --- SQL twins ---------------------------------------------------------------------------------
 
 

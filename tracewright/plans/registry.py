@@ -318,13 +318,15 @@ def chunk_rows(spark, sf):
 _COSINE = "list_cosine_similarity(list_transform(e.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))"
 
 
-def _first_vector(spark, sf) -> list[float]:
-    return fr.table(spark, sf, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+def _first_vector(spark, sf, on: str):
+    """The vector of the smallest id as a query, with a constant column by which the others meet it."""
+    return fr.table(spark, sf, "embeddings").orderBy("vec_id").limit(1).select(F.lit(0).alias("query_id"), F.col("embedding").alias("q_embedding"), F.lit(0).alias(on))
 
 
 @query("q33_cosine_topk", f"with q as (select embedding from embeddings order by vec_id limit 1) select vec_id, round({_COSINE}, 6) as score from embeddings e, q where label % 2 = 0 order by score desc, vec_id limit 10")
 def cosine_topk(spark, sf):
-    return retrieve.top_by_cosine(fr.table(spark, sf, "embeddings"), _first_vector(spark, sf), 10, F.col("label") % 2 == 0)
+    vectors = fr.table(spark, sf, "embeddings").withColumn("parity", F.col("label") % 2)
+    return retrieve.top_for_queries(vectors, _first_vector(spark, sf, "parity"), 10, ("parity",)).select("vec_id", "score")
 
 
 @query("q34_retrieval_budget", f"""with q as (select embedding from embeddings order by vec_id limit 1), s as (select vec_id, label, round({_COSINE}, 6) as score from embeddings e, q), b as (select label, vec_id, score, length(d.text) as size from s join documents d on d.doc_id = s.vec_id),
@@ -332,8 +334,8 @@ def cosine_topk(spark, sf):
 def retrieval_budget(spark, sf):
     from tracewright.functions.vectors import cosine
 
-    q = F.array(*[F.lit(float(x)) for x in _first_vector(spark, sf)])
-    scored = fr.table(spark, sf, "embeddings").select("vec_id", "label", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+    met = fr.table(spark, sf, "embeddings").withColumn("all", F.lit(0)).join(F.broadcast(_first_vector(spark, sf, "all")), "all")  # one row
+    scored = met.select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q_embedding")), 6).alias("score"))
     blocks = scored.join(fr.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").cast("long").alias("size")), "vec_id")
     return retrieve.within_budget(blocks, 6000, F.col("size"), [F.desc("score"), F.col("vec_id")], ("label",)).select("label", "vec_id", "score", "running")
 
@@ -446,19 +448,19 @@ def page_languages(spark, sf):
     return p.groupBy("language").agg(F.count("*").alias("pages"), F.count("html").alias("stored"))
 
 
-@query("q43_late_data", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as events from events group by all")
+@query("q43_late_data", """select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as events from events where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select max(ts) - interval '2 hours' from events) group by all""")
 def late_data(spark, sf):
+    """Windows that the watermark has closed: later events no longer change them, and their state is gone."""
     from tracewright.streaming.events import drained, read_events, windowed_counts
 
-    return drained(windowed_counts(read_events(spark, f"{sf}/events.parquet")), "complete")
+    return drained(windowed_counts(read_events(spark, f"{sf}/events.parquet")), "append")
 
 
-@query("q44_stream_dedupe", "select distinct user_id, event_type from events")
+@query("q44_stream_dedupe", "select distinct event_id, user_id, event_type from events")
 def stream_dedupe(spark, sf):
-    from tracewright.streaming.events import drained, read_events
+    from tracewright.streaming.events import deduplicated, drained, read_events
 
-    rows = read_events(spark, f"{sf}/events.parquet").select("user_id", "event_type", "ts")
-    return drained(rows.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"))
+    return drained(deduplicated(read_events(spark, f"{sf}/events.parquet"), ["event_id"]).select("event_id", "user_id", "event_type"))
 
 
 _SEVERITIES = "severities(cwe, severity) as (values " + ", ".join(f"('{c}', '{v}')" for c, v in sorted(code.SEVERITIES.items())) + ")"
@@ -522,3 +524,109 @@ def gate_verdict(spark, sf):
     one = lambda k: (F.col("kind") == k).cast("long")
     counts = kinds.groupBy("language").agg(*[F.sum(one(k)).alias(k) for k in ("expected", "matched", "actual")]).withColumn("false_positives", F.col("actual") - F.col("matched"))
     return evaluate.gate_verdict(evaluate.detection_rollup(counts, "language"), "language").withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query("q55_entry_points", """with d as (select source || '/' || doc_id || '.py' as path, 'v' || (doc_id % 97) as v, doc_id % 3 as g from documents)
+ select path, 6 as line, 13 as end_line, v as name, 'route' as kind, ['authenticated', 'role-restricted', 'public'][g + 1] as access_level, 'http_request' as trust_boundary, case g when 0 then 'login_required' when 1 then 'require_role(''admin'')' else 'app.route(''/' || v || ''', methods=[''GET''])' end as evidence, 'feature_' || v || '(a)' as conditions from d
+ union all select path, 16, 19, 'run_' || v, 'cli', 'local-only', 'process_invocation', 'cli.command()', 'self.beta and self.x' from d""")
+def entry_point_rows(spark, sf):
+    from tracewright.operators.entrypoints import entry_points
+
+    e = entry_points(code.route_files(spark, sf))
+    return e.select("path", "line", "end_line", "name", "kind", "access_level", "trust_boundary", F.array_join("access_evidence", ";").alias("evidence"), F.array_join("conditions", ";").alias("conditions"))
+
+
+@query("q56_findings_in_text", r"""with d as (select doc_id::varchar as path, coalesce(text, '') || ' so: [ {"line": ' || doc_id || ', "title": "T' || doc_id || '", "cwe": "CWE-' || (doc_id % 7) || '"}, 5, ' || case when doc_id % 4 = 0 then 'oops' else '' end || ' {"line": "x", "rationale": "r"} ] done' as text from documents),
+ x as (select path, regexp_extract(text, '(?s)\[\s*\{.*\}\s*\]') as j from d), v as (select path, cast(j as json) as j from x where json_valid(j)),
+ e as (select path, unnest(cast(j as json[])) as o, unnest(range(0, json_array_length(j)::bigint)) as item from v)
+ select path, item::int as item, case when json_type(o, '$.line') in ('UBIGINT', 'BIGINT') then (o->>'line')::int end as line, coalesce(o->>'title', 'model finding') as title, o->>'cwe' as cwe, coalesce(o->>'rationale', 'Reported by the model; manual verification required.') as rationale from e where json_type(o) = 'OBJECT'""")
+def findings_in_text(spark, sf):
+    from tracewright.operators.model_output import findings_in_text
+
+    return findings_in_text(code.model_texts(spark, sf))
+
+
+@query("q57_ranking_rows", """with d as (select doc_id, doc_id % 7 as surface, doc_id % 13 <> 0 as listed, doc_id % 2 = 1 as two from documents),
+ r as (select doc_id as payload_id, 0 as item, 'p' || doc_id as path, case when surface not between 1 and 5 then 'ranking item for p' || doc_id || ' requires integer surface from 1 to 5' when doc_id % 11 = 0 then 'ranking item for p' || doc_id || ' requires integer influence from 1 to 5' end as reason, surface from d where listed)
+ select payload_id, path, round(surface * 0.5 + 3 * 0.2 + 2 * 0.3, 2)::double as priority, 'a,b' as boosts, null::int as item, null as reason from r where reason is null
+ union all select payload_id, null, null, null, item, reason from r where reason is not null
+ union all select doc_id, null, null, null, null, 'ranker response must be a list or object with rankings list' from d where not listed
+ union all select doc_id, null, null, null, 1, 'ranking item requires non-empty path' from d where listed and two""")
+def ranking_rows(spark, sf):
+    from tracewright.operators.model_output import ranking_rows
+
+    good, refused = ranking_rows(code.ranking_payloads(spark, sf))
+    none = lambda kind: F.lit(None).cast(kind)
+    return good.select("payload_id", "path", "priority", joined("boosts"), none("int").alias("item"), none("string").alias("reason")).unionByName(refused.select("payload_id", none("string").alias("path"), none("double").alias("priority"), none("string").alias("boosts"), "item", "reason"))
+
+
+_RULE_STATES = "states(no, rule_id, ledger, reverted) as (values " + ", ".join(f"({i}, {code._QUOTED(r.rule_id)}, {repr('shadow') if i % 5 == 0 else 'null'}, {str(i % 7 == 0 and i % 11 != 0).lower()})" for i, r in enumerate(code.shipped_rules())) + ")"
+
+
+@query("q58_rule_ledger", code.EVALUATED + _RULE_KINDS + f""", {_RULE_STATES}, wrong as (select rule_id, sum(false_positives) as n from counts group by rule_id having sum(false_positives) > 0),
+ edits as (select s.rule_id from states s join wrong w using (rule_id) where s.ledger is null and not s.reverted)
+ select rule_id, case when e.rule_id is not null then 'shadow' else ledger end as status, case when ledger is not null then 0.5::double end as precision_estimate from states s left join edits e using (rule_id) where ledger is not null or e.rule_id is not null""")
+def rule_ledger(spark, sf):
+    """From the metrics of all manifests to the next ledger of rules: a fifth of the rules is staged, some edits were reverted before."""
+    from tracewright.operators import lifecycle
+    from tracewright.rules import shipped_policy
+    from tracewright.sources.files import JOURNAL
+
+    rules = code.shipped_rules()
+    table = spark.createDataFrame([(r.rule_id, r.status, r.cwe) for r in rules], "rule_id string, status string, cwe string")
+    ledger = spark.createDataFrame([(r.rule_id, "shadow", 0.5) for i, r in enumerate(rules) if i % 5 == 0], "rule_id string, status string, precision_estimate double")
+    undone = [(f"rule:{r.rule_id}:enabled->shadow", "rule", r.rule_id, "enabled", "shadow", "" if i % 11 else "seen again") for i, r in enumerate(rules) if i % 7 == 0]
+    journal = spark.createDataFrame([(1, "reverted", "reverted", undone, *[None] * 6)], JOURNAL)
+    edits = lifecycle.proposed_edits(_evaluated(spark, sf).rules, table, ledger, lifecycle.reverted_keys(journal))
+    return lifecycle.next_ledger(ledger, lifecycle.checked_edits(edits, table, shipped_policy(spark))).select("rule_id", "status", "precision_estimate")
+
+
+@query("q59_rounds", """with j as (select user_id, event_id as round, round(value / 100, 4) as r, round((value % 7) / 10, 4) as f, cast(floor(value) as integer) as s from events)
+ select user_id, round, round(r - lag(r) over w, 4) as recall_change, round(f - lag(f) over w, 4) as fp_change, s - lag(s) over w as score_change, max(s) over (partition by user_id order by round rows unbounded preceding) as best_score from j window w as (partition by user_id order by round)""")
+def round_changes(spark, sf):
+    from tracewright.operators.lifecycle import rounds
+
+    e = fr.table(spark, sf, "events").select("user_id", F.col("event_id").alias("round"), F.round(F.col("value") / 100, 4).alias("recall_after"), F.round(F.col("value") % 7 / 10, 4).alias("fp_after"), F.floor("value").cast("int").alias("score_after"))
+    return rounds(e, ("user_id",)).select("user_id", "round", F.round("recall_change", 4).alias("recall_change"), F.round("fp_change", 4).alias("fp_change"), "score_change", "best_score")
+
+
+@query("q60_retrieval_packages", f"""with i as (select vec_id, 'n' || (label % 3) as namespace, embedding, source || '/' || doc_id as path, len(string_split(coalesce(text, ''), chr(10))) as lines, coalesce(text, '') as text from embeddings join documents on doc_id = vec_id),
+ q as (select vec_id as query_id, 'n' || (label % 3) as namespace, embedding from embeddings where vec_id % 100 = 0),
+ s as (select q.query_id, e.*, round({_COSINE}, 6) as score from i e join q using (namespace)), k as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 5),
+ b as (select query_id, rank, '[' || namespace || '] ' || path || ':1-' || lines || chr(10) || text as block from k), r as (select *, sum(length(block)) over (partition by query_id order by rank rows unbounded preceding) as running from b)
+ select query_id, (count(*) filter (where running <= 4000))::int as hits, md5(coalesce(string_agg(block, chr(10) || chr(10) order by rank) filter (where running <= 4000), '')) as digest, bool_or(running > 4000) as truncated from r group by query_id""")
+def retrieval_packages(spark, sf):
+    from tracewright.sources.files import read_vectors, write_vectors
+    from tracewright.sources.scratch import shared_folder
+
+    space = F.concat(F.lit("n"), (F.col("label") % 3).cast("string")).alias("namespace")
+    vectors = fr.table(spark, sf, "embeddings").select("vec_id", "embedding", space)
+    chunks = fr.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("end_line"), F.coalesce("text", F.lit("")).alias("text"))
+    path = shared_folder(spark, "vectors")
+    write_vectors(vectors.join(chunks, "vec_id"), path)
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"), "namespace")
+    return retrieve.packages(retrieve.top_for_queries(read_vectors(spark, path), queries, 5)).select("query_id", "hits", F.md5("text").alias("digest"), "truncated")
+
+
+@query("q61_category_counts", _SCORED + " select source, (select any_value(category) from policy p where p.cwe = s.cwe) as category, count(*) as findings, round(sum(penalty), 4) as penalty_total, max(level) as max_severity from scored s where static group by source, s.cwe")
+def category_counts(spark, sf):
+    f = findings.reported(fr.findings(spark, sf)).withColumn("source", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return policy.category_counts(policy.with_penalty(f, fr.policy(spark)), ("source",)).withColumn("penalty_total", F.round("penalty_total", 4))
+
+
+@query("q62_findings_per_target", FINDINGS + """ select finding_id, path from (select *, row_number() over (partition by path order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end, priority desc, line, rule_id) as place from findings) where place = 1""")
+def findings_per_target(spark, sf):
+    return findings.per_target(fr.findings(spark, sf), 1).select("finding_id", "path")
+
+
+@query("q63_sarif_document", FINDINGS + """ select path, line::int as line, rule_id, case severity when 'critical' then 'high' when 'high' then 'high' when 'medium' then 'medium' else 'low' end as severity, finding_id as fingerprint from findings where status <> 'shadow'""")
+def sarif_document(spark, sf):
+    """All findings through one document and back."""
+    from tracewright.sources.documents import write_sarif
+    from tracewright.sources.sarif import read_hints
+    from tracewright.sources.scratch import shared_folder
+
+    path = shared_folder(spark, "report") + ".sarif"
+    verdicts = fr.verified_findings(spark, sf).select("finding_id", F.col("verdict").alias("status"), F.col("ord"))
+    write_sarif(findings.reported(fr.findings(spark, sf)), path, verdicts)
+    return read_hints(spark, [path]).select("path", "line", "rule_id", "severity", "fingerprint")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import clean_text, language_of, lines_of_code, redacted, tags_of
+from tracewright.functions.text import clean_text, language_of, lines_of_code, tags_of
 from tracewright.operators.findings import STATUSES, Rule
 
 # Directories that are never scanned.
@@ -49,6 +49,13 @@ def read_tree(spark: SparkSession, root: str, patterns: list[str] | None = None)
     return rows.withColumns({"loc": lines_of_code(F.col("text")), "tags": tags_of(F.col("path"), F.col("language"), F.col("text")), "has_fuzz": F.col("text").contains("LLVMFuzzerTestOneInput")})
 
 
+def snapshot(targets: DataFrame, root: str, commit: str | None = None) -> DataFrame:
+    """One row: root, commit, file_count and the files of each language, by name."""
+    counts = targets.groupBy("language").count()
+    languages = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("language").alias("key"), F.col("count").alias("value")))))
+    return counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("file_count"), languages.alias("languages")).select(F.lit(root).alias("root"), F.lit(commit).cast("string").alias("commit"), "file_count", "languages")
+
+
 def language_counts(targets: DataFrame) -> DataFrame:
     return targets.groupBy("language").count().orderBy("language")
 
@@ -123,7 +130,7 @@ def read_baselines(spark: SparkSession, manifest: str, paths: list[str]) -> Data
     schema = "manifest string, tool string, f_ord long, finding_id string, path string, line int, rule_id string, cwe string, vulnerability_class string, evidence string"
     if not there:
         return spark.createDataFrame([], schema)
-    files = spark.read.option("wholetext", True).text(there).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"))
+    files = spark.read.text(there, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"))
     number = F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(there) for x in (re.sub(r"\.[^./]*$", "", os.path.basename(p)), i)]), F.col("stem"))
     items = F.when(F.ltrim("value").startswith("["), F.from_json("value", BASELINE)).otherwise(F.from_json("value", f"struct<findings:{BASELINE}>")["findings"])
     rows = files.select("stem", number.alias("file"), F.posexplode(items).alias("pos", "f"))
@@ -172,11 +179,38 @@ def write_ledger(ledger: DataFrame, folder: str, version: str) -> str:
     return path
 
 
+VECTORS = "vec_id long, path string, start_line int, end_line int, text string, embedding array<float>, namespace string"
+
+
+def read_vectors(spark: SparkSession, path: str, schema: str = VECTORS) -> DataFrame:
+    """A vector table that write_vectors() stored; a filter or join on the namespace prunes its folders. A missing table is empty."""
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def write_vectors(vectors: DataFrame, path: str, by: str = "namespace") -> None:
     vectors.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def write_report(findings: DataFrame, path: str) -> None:
-    """One redacted line per finding, in the order of the report."""
-    line = F.concat_ws(" | ", "severity", "finding_id", "token", F.array_join("tags", ","))
-    findings.select(redacted(line).alias("value")).write.mode("overwrite").text(path)
+RULE_LEDGER = "rule_id string, status string, min_evidence_level string, precision_estimate double"
+JOURNAL = "round int, outcome string, reason string, edits array<struct<key:string,lever:string,rule_id:string,`from`:string,`to`:string,rationale:string>>, recall_before double, recall_after double, fp_before double, fp_after double, score_before int, score_after int"
+
+
+def read_rule_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """RULE_LEDGER of a JSON object by rule; what isn't an object goes, a missing file is an empty ledger."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], RULE_LEDGER)
+    whole = F.from_json("value", "map<string,string>")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(whole).alias("rule_id", "entry")).where(F.ltrim("entry").startswith("{"))
+    return rows.select("rule_id", F.from_json("entry", "status string, min_evidence_level string, precision_estimate double").alias("e")).select("rule_id", "e.*")
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """JOURNAL of a folder of JSON lines, or of one JSON array; a missing path is an empty journal."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], JOURNAL)
+    return spark.read.schema(JOURNAL).option("multiLine", path.endswith(".json")).json(path)
+
+
+def append_round(entry: DataFrame, folder: str) -> None:
+    """A round's row beside the earlier ones: the journal only grows."""
+    entry.write.mode("append").json(folder)

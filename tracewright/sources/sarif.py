@@ -47,3 +47,27 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def write_results(findings: DataFrame, path: str) -> None:
     """Results as JSON lines, one part per task; a report's `results` are their concatenation."""
     sarif_results(findings).write.mode("overwrite").json(path)
+
+
+# What an analyzer's hint asks for.
+TASKS = {
+    "semgrep": ("pattern_variant_review", "Use Semgrep evidence to check variants and rule precision before verifier promotion."),
+    "codeql": ("source_sink_sanitizer_path_review", "Use CodeQL evidence to inspect source, sink, sanitizer, and path explanation."),
+}
+
+
+def provenance(hints: DataFrame) -> Column:
+    return F.concat(F.lit("sarif:"), "analyzer", F.lit(":"), "rule_id")
+
+
+def evidence_candidates(hints: DataFrame, path: str | None = None) -> DataFrame:
+    """(source, rule_id, path, line, severity, message, provenance) of hints, of one path if it's given."""
+    rows = hints if path is None else hints.where(F.col("path") == path)
+    return rows.select(F.col("analyzer").alias("source"), "rule_id", "path", "line", "severity", F.coalesce("message", "rule_id").alias("message"), provenance(rows).alias("provenance"))
+
+
+def mapping_tasks(hints: DataFrame) -> DataFrame:
+    """(kind, path, rule_id, task, rationale): what the hints of the analyzers in TASKS ask for."""
+    kind = F.col("analyzer")
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in TASKS.items() for x in (k, v[i])]), kind)
+    return hints.where(kind.isin(*TASKS)).select(kind.alias("kind"), "path", "rule_id", pick(0).alias("task"), pick(1).alias("rationale"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.feedback import merged_ledger
+from tracewright.sources.scratch import shared_folder
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFrame:
@@ -28,19 +26,10 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "2 hours") -> D
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream yields from what is there now, written as parquet and read back."""
     spark = stream.sparkSession
-    out = _folder(spark, "stream")
+    out = shared_folder(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
@@ -53,17 +42,40 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
 
 
-def upserted_ledger(stream: DataFrame, schema: str, key: str) -> DataFrame:
-    """Cross-run feedback: every micro-batch is merged into the next version of a ledger keyed by `key`."""
+def ledger_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The batch ids of a ledger's complete versions."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def read_ledger_versions(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
+    """The last complete version of a ledger, or the last before a batch; empty without one."""
+    there = [v for v in ledger_versions(spark, folder) if before is None or v < before]
+    return spark.read.schema(schema).parquet(f"{folder}/version={there[-1]}") if there else spark.createDataFrame([], schema)
+
+
+def upserted_ledger(stream: DataFrame, schema: str, key: str, folder: str | None = None, order: str | None = None) -> DataFrame:
+    """Feedback across runs: every micro-batch is merged into a ledger keyed by `key`, as a version named by the batch.
+
+    A version is made from the last one before its batch and overwrites what an earlier try at it left, so a
+    batch that is replayed, after a failure or a restart, gives the same version again. With a `folder` of one's own the ledger and
+    the stream's checkpoint live on, and the next run goes on from both. Of a batch's rows of one key the last by
+    `order` counts, or without one the largest by all columns.
+    """
     spark = stream.sparkSession
-    out = _folder(spark, "ledger")
-    state = {"path": None}
+    out = (folder or shared_folder(spark, "ledger")).rstrip("/")
+    columns = spark.createDataFrame([], schema).columns
+    rest = [c for c in columns if c != key]
 
     def merge(batch: DataFrame, no: int) -> None:
-        old = spark.read.schema(schema).parquet(state["path"]) if state["path"] else spark.createDataFrame([], schema)
-        path = f"{out}/version={no}"
-        merged_ledger(old, batch.dropDuplicates([key]), key).write.mode("overwrite").parquet(path)
-        state["path"] = path
+        at = F.struct(*([order] if order else []), *rest)
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(key, "r.*")
+        merged_ledger(read_ledger_versions(spark, out, schema, no), last, key).select(*columns).write.mode("overwrite").parquet(f"{out}/version={no}")
 
-    stream.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(state["path"]) if state["path"] else spark.createDataFrame([], schema)
+    stream.writeStream.option("checkpointLocation", f"{out}/_checkpoint").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
+    return read_ledger_versions(spark, out, schema)
