@@ -188,6 +188,31 @@ def test_negatives_of_nothing(spark):
     assert mine_negatives(alone, F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 300000.0, 1e12, 1e30])
+def test_exact_topk_of_large_components(spark, size):
+    from tracewright.llm.topk import exact_topk
+
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) * size for _ in range(5)]) for i in range(120)] + [(200 + i, [131072.0 * size] * 4 + [1 / 256 * (i + 1)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in exact_topk(df, df.where("vec_id % 20 = 0"), 5, candidate_block=16, query_block=3).collect())
+    ints = [(i, [int(np.floor(256.0 * c)) for c in v]) for i, v in rows]
+    want = []
+    for i, v in ints:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in ints if j != i)[:5]
+            want += [(i, k, j, max(-(2**63 - 1), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_exact_topk_of_the_largest_double_sums(spark):
+    from tracewright.llm.topk import exact_topk
+
+    rows = [(0, [131072.0] * 63 + [1 / 256]), (1, [131072.0] * 63 + [1 / 256])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {x["score"] for x in exact_topk(df, df, 5).collect()} == {63 * (131072 * 256) ** 2 + 1}
+
+
 # --- substrings -----------------------------------------------------------------------------------
 
 

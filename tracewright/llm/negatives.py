@@ -111,7 +111,7 @@ def _held(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, np.ndarray, np
     return ids.to_numpy(), labels.to_numpy(), np.asarray(v.value_lengths().to_numpy(zero_copy_only=False), np.int64), np.floor(np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64) * scale)
 
 
-def _score_columns(scores: list[int]) -> list[pa.Array]:
+def score_columns(scores: list[int]) -> list[pa.Array]:
     """Scores as longs, clamped, and where they are beyond a long also as digits that sort as numbers do."""
     return [pa.array([max(-LONG, min(LONG, s)) for s in scores], pa.int64()), pa.array([None if abs(s) < LONG else f"{s + 10**120:0122d}" for s in scores], pa.string())]
 
@@ -127,7 +127,7 @@ def _search(uri: str, found, names: tuple[str, ...], scale: int, chunk: int, fie
                 out = [x for a in anchors.to_pylist() for x in found(a, [int(c * scale // 1) for c in a["v"]], blocks.get(len(a["v"]), []))]
                 if out:
                     *keys, scores = zip(*out)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), *_score_columns(list(scores))], names=[*names, "score", "wide"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), *score_columns(list(scores))], names=[*names, "score", "wide"])
 
         rows: list = []
         held = 0
