@@ -154,6 +154,31 @@ def test_baselines_of_two_shapes(spark, tmp_path):
     assert files.read_baselines(spark, "m", [str(tmp_path / "absent.json")]).count() == 0
 
 
+def test_items_contained_in_documents(spark):
+    r = random.Random(1)
+    words = ["ab", "abc", "cab", "x", "é", "a-b", "zz.", "bca"]
+    docs = [(i, r.choice([" ", "\n", "  "]).join(r.choice(words) for _ in range(r.randrange(0, 12)))) for i in range(60)] + [(100, None), (101, "")]
+    items = [(i, d[r.randrange(len(d)) :][: r.randrange(1, 14)]) for i, (_, d) in enumerate(docs[:55]) if d] + [(200, "ab abc x"), (201, "nothere"), (202, None), (203, "zz")]
+    items = [(i, t) for i, t in items if t is None or t.strip()]
+    got = {(x["item_id"], x["doc_id"]) for x in evaluate.contained_items(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == {(i, d) for i, t in items if t for d, text in docs if text and t in text} and len(got) > 50
+
+
+def test_findings_and_rules_in_and_out(spark, tmp_path):
+    rules = shipped_rules()
+    files.write_rules(rules, str(tmp_path / "out.toml"))
+    assert files.read_rules(str(tmp_path)) == rules
+    with pytest.raises(files.SourceError):
+        files.write_rules([Rule("a", "'''")], str(tmp_path / "bad.toml"))
+    row = {"finding_id": "r:a/b.c:3", "path": "a/b.c", "line": 3, "title": "T", "severity": "high", "tags": ["t"], "reachability_status": "reachable", "reachability_conditions": ["k"], "ranking_priority": 2.5, "reachability_evidence": [{"line": 1}]}
+    (tmp_path / "f.json").write_text(json.dumps({"findings": [row, {**row, "status": "shadow"}]}, indent=2))
+    got = [(x["ord"], x["rule_id"], x["reachability"], x["conditions"], x["priority"], x["status"]) for x in files.read_findings(spark, str(tmp_path / "f.json")).collect()]
+    assert got == [(0, "r", "reachable", ["k"], 2.5, "enabled"), (1, "r", "reachable", ["k"], 2.5, "shadow")]
+    assert files.read_findings(spark, str(tmp_path / "none.json")).count() == 0
+    rows = files.read_findings(spark, str(tmp_path / "f.json"))
+    assert findings.shadowed(rows).count() == 1 and findings.reported(rows).count() == 1
+
+
 @pytest.mark.skipif("TRACEWRIGHT_GOLDEN" not in os.environ, reason="names a folder of manifests/*.toml and a golden.json")
 def test_golden_metrics(spark):
     """Per language the counts of a golden file, over labelled source trees that aren't part of this repository."""

@@ -146,3 +146,10 @@ def test_text_functions(spark):
         masked = one(spark, text, redacted)
         assert "***REDACTED***" in masked and one(spark, masked, redacted) == masked
     assert one(spark, "token = 'abcdefgh\"", redacted) == "token = 'abcdefgh\""
+
+
+def test_judges_and_first_rows(spark):
+    rows = spark.createDataFrame([("plausible", 0.6), ("plausible", 0.5), ("unsupported", 0.9), ("refused", 0.1), ("other", 1.0)], "label string, confidence double")
+    assert [r[0] for r in rows.select(verify.judged(F.col("label"), F.col("confidence"))).collect()] == ["accepted", "needs_evidence", "rejected", "rejected", "needs_evidence"]
+    first = feedback.first_per_key(spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, n int"), ["k"], [F.col("n")])
+    assert {tuple(r) for r in first.collect()} == {("a", 1), ("b", 3)}

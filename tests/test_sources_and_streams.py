@@ -46,7 +46,7 @@ def test_sarif_in_and_out(spark, tmp_path):
     place = lambda p, n: [{"physicalLocation": {"artifactLocation": {"uri": p}, "region": {"startLine": n}}}]
     run = {"tool": {"driver": {"name": "My Tool", "rules": [{"id": "r1", "name": "One", "properties": {"security-severity": "8.1"}}, {"id": "r2", "properties": {"security-severity": "2"}}]}}, "results": [{"ruleId": "r1", "level": "none", "message": {"text": "m"}, "locations": place("./src/x.c", 4), "fingerprints": {"k": "v"}}, {"ruleId": "r2", "level": "note", "locations": place(".github/y", 1)}, {"ruleId": "r3", "level": "error", "locations": place("a", 2)}, {"ruleId": "r3", "level": "warning"}]}
     (tmp_path / "a.sarif").write_text(json.dumps({"version": "2.1.0", "runs": [run]}))
-    got = [(r["path"], r["line"], r["severity"], r["title"], r["analyzer"], r["fingerprint"]) for r in sarif.read_hints(spark, [str(tmp_path / "a.sarif")]).collect()]
+    got = [(r["path"], r["line"], r["severity"], r["title"], r["analyzer"], r["fingerprint"]) for r in sarif.read_hints(spark, [str(tmp_path / "absent.sarif"), str(tmp_path / "a.sarif")]).collect()]
     assert got == [("a", 2, "high", "r3", "my_tool", None), ("github/y", 1, "medium", "r2", "my_tool", None), ("src/x.c", 4, "high", "One", "my_tool", "v")]
     rows = spark.createDataFrame([("r:p:1", "r", "p", 1, "tok", "high")], "finding_id string, rule_id string, path string, line int, token string, severity string")
     sarif.write_results(rows, str(tmp_path / "out"))

@@ -26,6 +26,35 @@ def evidence_words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: F.length(w) > 2)
 
 
+def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id): the items whose text stands in a document's text, anywhere.
+
+    docs: doc_id, text; items: item_id, text. Pieces are what stands between white space. An item of three pieces or more
+    meets the documents that hold its longest inner piece, which must stand there whole. The first and last piece may be parts of a
+    document's, so an item of one or two pieces looks for its longest one in the vocabulary by grams of up to three
+    characters, and meets the documents of the words that hold it. All pairs are verified on the texts. Items of
+    white space alone aren't looked for.
+    """
+    pieces = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = docs.select("doc_id", F.explode(F.array_distinct(pieces(F.coalesce("text", F.lit(""))))).alias("word"))
+    cut = items.select("item_id", pieces(F.coalesce("text", F.lit(""))).alias("ws"))
+    inner = cut.where(F.size("ws") > 2).select("item_id", longest(F.slice("ws", F.lit(2), F.size("ws") - 2)).alias("word"))
+    short = cut.where(F.size("ws").between(1, 2)).select("item_id", longest(F.col("ws")).alias("part")).withColumn("n", F.least(F.length("part"), F.lit(3)))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
+    all_grams = F.flatten(F.array(*[F.when(F.length("word") >= n, grams(F.col("word"), n)).otherwise(F.expr("cast(array() as array<string>)")) for n in (1, 2, 3)]))
+    if short.isEmpty():
+        met = inner
+    else:
+        lengths = F.broadcast(short.select("n").distinct())  # three rows at most
+        vocabulary = words.select("word").distinct().select("word", F.explode(F.array_distinct(all_grams)).alias("gram")).withColumn("n", F.length("gram")).join(lengths, "n", "left_semi")
+        keyed = short.withColumn("gram", F.substring("part", 1, 3))
+        met = inner.unionByName(vocabulary.join(keyed, "gram").where(F.col("word").contains(F.col("part"))).select("item_id", "word")).distinct()
+    pairs = words.join(met, "word").select("doc_id", "item_id").distinct()
+    whole = docs.select("doc_id", F.col("text").alias("d_text"))
+    return pairs.join(whole, "doc_id").join(items.select("item_id", F.col("text").alias("i_text")), "item_id").where(F.col("d_text").contains(F.col("i_text"))).select("item_id", "doc_id")
+
+
 def rule_of(finding_id: Column) -> Column:
     return F.substring_index(finding_id, ":", 1)
 

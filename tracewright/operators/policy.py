@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
-PENALTY = {"critical": 50.0, "high": 25.0, "medium": 10.0, "low": 2.0, "info": 0.0}
 SEVERITY_PENALTY = {5: 50.0, 4: 25.0, 3: 10.0, 2: 2.0, 1: 1.0, 0: 0.0}
 MULTIPLIER = {"reachable": 1.0, "inferred-file-surface": 0.6, "unknown": 0.4}
 FALSE_POSITIVE_FACTOR = 0.4

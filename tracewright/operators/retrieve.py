@@ -67,6 +67,12 @@ def within_budget(blocks: DataFrame, budget: int, size: Column, order: list[Colu
     return blocks.withColumn("running", running).where(F.col("running") <= budget)
 
 
+def with_classes(targets: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """targets with `classes`, the vulnerability classes that their tags stand for, each once."""
+    names = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    return targets.withColumn("classes", F.array_distinct(F.array_compact(F.transform("tags", lambda x: F.try_element_at(names, x)))))
+
+
 def routed(targets: DataFrame, skills: DataFrame, most: int = 4) -> DataFrame:
     """(path, skill_id, score): the best snippets of each target.
 

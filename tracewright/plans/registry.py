@@ -204,14 +204,7 @@ _PAIRS = """with p as (select item_id, doc_id from benchmark b join documents d
 
 
 def _contained(spark, sf):
-    """Benchmark texts that stand in a document: pairs meet by the text's longest word, then are verified."""
-    words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
-    b = fr.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b_text"))
-    longest = F.array_max(F.transform(F.slice(words(F.col("b_text")), 2, F.greatest(F.size(words(F.col("b_text"))) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = b.withColumn("word", longest["w"])
-    d = fr.table(spark, sf, "documents").select("doc_id", "text")
-    spread = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id")
-    return spread.join(d, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("b_text"))).select("item_id", "doc_id")
+    return evaluate.contained_items(fr.table(spark, sf, "documents").select("doc_id", "text"), fr.table(spark, sf, "benchmark").select("item_id", "text"))
 
 
 @query("q22_contained_items", _PAIRS + " select item_id, doc_id from p")
@@ -349,9 +342,7 @@ _CLASSES = {"auth_boundary": "access", "crypto": "weak-crypto", "filesystem_entr
  m as (select path, skill_id, len(list_intersect(t.tags, s.tags)) + 2 * len(list_intersect(t.classes, s.classes)) as signals, t.language = s.language as same from t, s),
  r as (select path, skill_id, signals + case when same then 3 else 0 end as score from m where signals > 0), p as (select *, cast(row_number() over (partition by path order by score desc, skill_id) as integer) as place from r) select * from p where place <= 4""")
 def skill_routing(spark, sf):
-    m = F.create_map(*[F.lit(x) for pair in _CLASSES.items() for x in pair])
-    t = fr.targets(spark, sf).withColumn("classes", F.array_distinct(F.array_compact(F.transform("tags", lambda x: F.try_element_at(m, x)))))
-    return retrieve.routed(t, spark.createDataFrame(_SKILLS, "skill_id string, language string, tags array<string>, classes array<string>"))
+    return retrieve.routed(retrieve.with_classes(fr.targets(spark, sf), _CLASSES), spark.createDataFrame(_SKILLS, "skill_id string, language string, tags array<string>, classes array<string>"))
 
 
 _R = "***REDACTED***"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 import re
 import tomllib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import clean_text, language_of, lines_of_code, tags_of
 from tracewright.operators.findings import STATUSES, Rule
+from tracewright.sources.scratch import path_exists
 
 # Directories that are never scanned.
 IGNORED_DIRECTORIES = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv")
@@ -146,11 +148,6 @@ LEDGER = "finding_id string, path string, vulnerability_class string, reason str
 REASONS = ("unreachable_path", "missing_attacker_control", "sanitizer_disproved", "static_rule_mismatch", "incorrect_model_assumption", "duplicate", "insufficient_impact", "unsupported", "contradicted", "unverified")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def read_ledger(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
     """Learnings as JSON lines, or as a document with an array `learnings`; a missing path is an empty ledger.
 
@@ -214,3 +211,28 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 def append_round(entry: DataFrame, folder: str) -> None:
     """A round's row beside the earlier ones: the journal only grows."""
     entry.write.mode("append").json(folder)
+
+
+FINDINGS = "finding_id string, path string, title string, severity string, confidence string, evidence_level string, rationale string, line int, function_name string, reachability_status string, reachability_conditions array<string>, tags array<string>, ranking_priority double, status string"
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """finding_rows()' columns of a document with an array `findings`; a missing status is enabled, a missing file has no rows. `ord` is the place in the document."""
+    fields = re.sub(r"(\w+) ([a-z<>]+)", r"\1:\2", FINDINGS)
+    there = path_exists(spark, path)
+    found = spark.read.schema(f"findings array<struct<{fields}>>").option("multiLine", True).json(path) if there else spark.createDataFrame([], f"findings array<struct<{fields}>>")
+    rows = found.select(F.posexplode("findings").alias("ord", "f")).select("ord", "f.*")
+    renamed = rows.withColumnsRenamed({"reachability_status": "reachability", "reachability_conditions": "conditions", "ranking_priority": "priority"})
+    return renamed.withColumns({"rule_id": F.substring_index("finding_id", ":", 1), "status": F.coalesce("status", F.lit("enabled"))})
+
+
+def write_rules(rules: list[Rule], path: str) -> None:
+    """Rules as TOML; a pattern that holds three single quotes can't be written."""
+    blocks = []
+    for r in rules:
+        if "'''" in r.pattern:
+            raise SourceError(f"the pattern of rule {r.rule_id} holds three single quotes")
+        text = {"rule_id": r.rule_id, "title": r.title or r.rule_id, "languages": list(r.languages), "cwe": r.cwe, "tags": list(r.tags), "status": r.status, "min_evidence_level": r.min_evidence_level, "precision_estimate": r.precision}
+        blocks.append("[[rule]]\n" + "".join(f"{k} = {json.dumps(v)}\n" for k, v in text.items()) + f"pattern = '''{r.pattern}'''\n")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(blocks))

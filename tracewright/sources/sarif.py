@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.sources.scratch import path_exists
+
 LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
 _RESULT = "struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>,partialFingerprints:map<string,string>,fingerprints:map<string,string>>"
 SCHEMA = f"version string, runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,name:string,properties:map<string,string>>>>>,results:array<{_RESULT}>>>"
@@ -15,9 +17,11 @@ def read_hints(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Leading dots and slashes of a path go. Severity: level error is high, warning medium; else a
     rule's security-severity from 7 on is high, any other, a number or not, medium, and without one it's low.
-    Analyzers of the families semgrep and codeql have these names, others their own with underscores, or sarif.
+    Reports that aren't there are skipped. Analyzers of the families semgrep and codeql have these names, others their own with underscores, or sarif.
     """
-    runs = spark.read.schema(SCHEMA).option("multiLine", True).json(paths).select(F.explode("runs").alias("run"))
+    there = [p for p in paths if path_exists(spark, p)]
+    reports = spark.read.schema(SCHEMA).option("multiLine", True).json(there) if there else spark.createDataFrame([], SCHEMA)
+    runs = reports.select(F.explode("runs").alias("run"))
     rows = runs.select(F.col("run.tool.driver").alias("driver"), F.explode("run.results").alias("r"))
     rule = F.try_element_at(F.filter(F.coalesce("driver.rules", F.expr("cast(array() as array<struct<id:string,name:string,properties:map<string,string>>>)")), lambda x: x["id"] == F.col("r.ruleId")), F.lit(1))
     security = F.try_element_at(rule["properties"], F.lit("security-severity")).try_cast("double")
