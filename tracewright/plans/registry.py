@@ -238,7 +238,7 @@ def misses_and_fps(spark, sf):
 def per_rule_metrics(spark, sf):
     f = fr.files(spark, sf)
     rows = findings.find_matches(f, fr.RULES).join(f.select("path", "doc_id"), "path").join(fr.table(spark, sf, "labels"), "doc_id", "left")
-    return evaluate.rule_metrics(rows.select("rule_id", F.when(F.col("toxic") == 1, "matched").when(F.col("toxic").isNotNull(), "false_positive").otherwise("missed").alias("kind")))
+    return evaluate.rule_metrics(rows.select("rule_id", F.when(F.col("toxic") == 1, "matched").when(F.col("toxic").isNotNull(), "false_positive").otherwise("missed").alias("kind"))).drop("rationale")
 
 
 @query("q26_detection_rollup", _LABELLED + """, c as (select language, sum((quality = 0)::int) as expected, sum((quality = 0 and flagged)::int) as matched, sum(flagged::int) as actual, sum((flagged and quality = 1)::int) as false_positives from l group by rollup (language)),
