@@ -107,6 +107,9 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A text is read in pieces, and a word that goes on in the next piece adds up over them, so beyond 16
     bytes a word memory is bounded by the piece.
     """
+    if 0 < len(data) <= PIECE_BYTES:
+        own, values = _word_sums(data, False)
+        return own, mixed(values)
     starts: list[np.ndarray] = []
     sums: list[np.ndarray] = []
     length = 0  # of the word that the last piece ended in
