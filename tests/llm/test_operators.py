@@ -4,7 +4,10 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -124,10 +127,76 @@ def test_license_cosine_is_the_brute_force_one(spark):
     vector = lambda text: {t: cut(text).count(t) * idf(t) for t in cut(text)}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     t = vector(templates[0][1])
-    for i in (1, 2):
+    for i in (1, 2, 3):
         v = vector(rows[i - 1][2])
         assert got[i] == pytest.approx(sum(v.get(k, 0) * w for k, w in t.items()) / norm(v) / norm(t), abs=1e-5)
-    assert got[3] is None
+
+
+def test_license_texts_headers_and_identifiers(spark):
+    texts = {name: [t for n, t in licenses.TEMPLATES if n == name] for name, _ in licenses.TEMPLATES}
+    wrap = lambda t, mark="": "\n".join(mark + line for part in t.split("\n\n") for line in [*textwrap.wrap(part, 60), ""])
+    owner = "Copyright (c) 2019 Some Person\n\n"
+    code = "\n\n" + "x = call(y)\n" * 80
+    bsd3 = max(texts["BSD-3-Clause"], key=len)
+    rows = [
+        ("mit/x.txt", owner + wrap(texts["MIT"][0]), "MIT", "file"), ("isc/x", owner + wrap(texts["ISC"][0]), "ISC", "file"),
+        ("bsd2/x", owner + wrap(texts["BSD-2-Clause"][0]), "BSD-2-Clause", "file"), ("bsd3/x", owner + wrap(bsd3), "BSD-3-Clause", "file"),
+        ("h/a.py", wrap(texts["MIT"][0], "# ") + code, "MIT", "header"), ("h/b.c", "/*\n" + wrap(texts["Apache-2.0"][0], " * ") + " */" + code, "Apache-2.0", "header"),
+        ("h/c.js", wrap(texts["GPL-3.0"][0].split("\n\n")[1], "// ") + code, "GPL-3.0", "header"), ("h/d.lisp", wrap(texts["LGPL-2.1"][0], ";; ") + code, "LGPL-2.1", "header"),
+        ("h/e.html", "<!-- SPDX-License-Identifier: BSD-3-Clause -->" + code, "BSD-3-Clause", "header"), ("h/f.go", "// SPDX-License-Identifier: GPL-2.0-or-later\r\n" + code, "GPL-2.0", "header"),
+        ("h/g.py", "# SPDX-License-Identifier: Nothing-1.0" + code, None, "none"), ("h/h.py", "We spoke of software and its license, with permission." + code, None, "none"),
+        ("n/COPYING.txt", "Licensed under the ISC License." + code, "ISC", "file"), ("p/x", "some word without a stop\nReleased under the MIT License.\nanother " + "word " * 30, "MIT", "header"),
+    ]
+    whole = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    for name, license in whole.items():
+        path = Path("/usr/share/common-licenses", name)
+        rows += [(f"whole/{name}/x", path.read_text(), license, "file")] if path.exists() else []
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: (r["license"], r["kind"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {p: (license, kind) for p, _, license, kind in rows}
+
+
+def test_license_scan_is_the_brute_force_one(spark):
+    rng = random.Random(5)
+    templates = tuple(t for t in licenses.TEMPLATES if t not in licenses.TITLES)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(templates)[1].split("\n\n")[0].split() for _ in range(rng.randrange(3))]
+        for words in parts:
+            for _ in range(rng.randrange(1 + len(words) // 3)):
+                words[rng.randrange(len(words))] = rng.choice(["dog", "cat", "License", "the"])
+        lines = [" ".join(w) for w in parts] + [" ".join(rng.choice(["walks", "in", "the", "rain", "license"]) for _ in range(rng.randrange(12)))]
+        rng.shuffle(lines)
+        rows.append((i, f"d{i}/x", rng.choice(["\n", "\n\n"]).join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    cut = lambda t: [x for x in re.split(licenses.SEPARATORS, t.lower()) if x]
+    pieces = [(n, s) for n, t in templates for s in re.split(licenses.BY_PARAGRAPH, t) if len(cut(s)) >= licenses.LEAST_TOKENS]
+    vocabulary = {t for _, s in pieces for t in cut(s)}
+    held = [set(cut(t)) for _, _, t in rows]
+    df_of = Counter(t for h in held for t in h)
+    idf = lambda t: math.log((len(rows) + 1) / ((df_of[t] if t in vocabulary else 0) + 1)) + 1
+    vector = lambda text: {t: n * idf(t) for t, n in Counter(cut(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    units = [(n, {t: w / norm(v) for t, w in v.items()}) for n, v in ((n, vector(s)) for n, s in pieces)]
+    want = {}
+    for i, _, text in rows:
+        covered = Counter()
+        cosine = {}
+        for way, rule in enumerate((licenses.BY_LINE, licenses.BY_PARAGRAPH)):
+            for line in re.split(rule, text):
+                v = vector(line)
+                if not v:
+                    continue
+                scores = [(round(sum(v.get(t, 0) * w for t, w in u.items()) / norm(v), 6), n) for n, u in units]
+                top = max(scores)[0]
+                for n in {n for c, n in scores if c == top and top >= licenses.LEAST_COSINE}:
+                    covered[n, way] += len(re.findall(common.WORD, line))
+                    cosine[n] = max(cosine.get(n, 0), top)
+        most = {n: max(covered[n, 0], covered[n, 1]) for n in cosine}
+        best = min(((-most[n], -cosine[n], n) for n in most), default=None)
+        want[i] = (best[2], pytest.approx(-best[1], abs=2e-6)) if best else (None, None)
+    got = {r["doc_id"]: (r["license"], r["cosine"]) for r in licenses.scan_licenses(df, templates).collect() if r["kind"] != "inherited"}
+    assert got == {i: want[i] for i in got} and len(got) == 60 and sum(w[0] is not None for w in want.values()) > 15
 
 
 def test_topk_against_brute_force(spark):

@@ -1,109 +1,201 @@
-"""License scans: TF-IDF cosine of sentences to license templates, and inheritance from the nearest ancestor directory. DataFrame functions only."""
+"""License scans: TF-IDF cosine of headers and licence files to templates, sentence by sentence, and inheritance from the nearest ancestor directory. DataFrame functions only."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import WORD, materialize
 
-#: Characteristic sentences of common licenses, as their headers and files have them.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+#: Texts of common licenses, their usual headers and statements. Each is cut into sentences.
+TEXTS = (
+    ("MIT", """The MIT License (MIT)
+
+MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0.
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("MIT", "Released under the MIT License.\n\nLicensed under the MIT License."),
     ("ISC", "Licensed under the ISC License."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.\n\nBSD 2-Clause License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.\n\nThis program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.\n\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3.\n\nThis library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3.\n\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\n\nIf a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.\n\nThis work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.\n\nThis work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.\n\nThis work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+)
+#: What a license adds to another one's text.
+ADDED = (("BSD-3-Clause", "BSD-2-Clause", "BSD 3-Clause License\n\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),)
+#: Titles of long licenses. A document that begins with one is a licence file, whatever sentences follow.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
-#: Each template holds one of these; a sentence that holds none isn't compared.
-ANCHORS = ("licens", "permission", "redistribution", "free software", "public domain", "unencumbered")
-SEPARATORS = r"(?:[\x09-\x0D\x20\"'(),;:!?<>]|\.(?=[\x09-\x0D\x20]|$))+"
-SENTENCE = r"\n+|(?<=[.!?])[\x09-\x0D\x20]+(?![a-z0-9])"
+#: Identifiers in SPDX lines. Those of the GNU licenses have two more forms.
+SPDX = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "Apache-2.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SPDX_GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+
+
+def _templates() -> tuple[tuple[str, str], ...]:
+    texts = dict(TEXTS[::-1])  # the first of a licence's texts is the longest
+    out = [*TEXTS, *TITLES]
+    out += [(name, texts[base] + "\n\n" + more) for name, base, more in ADDED]
+    out += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+    out += [(name, f"SPDX-License-Identifier: {name}{form}") for name in SPDX_GNU for form in ("", "-only", "-or-later")]
+    return tuple(out)
+
+
+TEMPLATES = _templates()
+SEPARATORS = r"(?:[\x09-\x0D\x20\"'\u2018\u2019\u201C\u201D(),;:!?<>]|\.(?=[\x09-\x0D\x20]|$))+"
+#: Marks of comments at both ends of a line, and rules under titles.
+COMMENT = r"(?md)^[\x09\x20]*(?:[#*;%/!=]+|<!--|--+|dnl\b|[Rr][Ee][Mm]\b)?[\x09\x20]*|[\x09\x20]*(?:\*+/|-->)[\x09\x20]*$"
+SENTENCE_END = r"(?<=[.!?])[\x09-\x0D\x20]+(?![a-z0-9])"
+#: Two ways to cut a text: within lines, and across the lines of a paragraph.
+BY_LINE = r"\n+|" + SENTENCE_END
+BY_PARAGRAPH = r"\n[\x09\x20]*\n[\x09-\x0D\x20]*|(?<=:)[\x09\x20]*\n|" + SENTENCE_END
+LEAST_TOKENS = 2
 LEAST_COSINE = 0.8
-#: A document is a license file if licence sentences make up this share of its words.
+#: A document is a license file if sentences of its licence make up this share of its words.
 FILE_SHARE = 0.5
+#: File names of license files.
+FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicen[cs]e)(?:[-._][^/]*)?$"
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
 
 
-def _anchored(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, (low.contains(a) for a in ANCHORS))
+def uncommented(text: Column) -> Column:
+    """A text without carriage returns and marks of comments."""
+    return F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), COMMENT, "")
+
 
+def template_sentences(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(sentence, license, title, text): the different sentences of each licence's templates, of two words or more."""
+    titles = {(name, text) for name, text in TITLES}
+    rows = spark.createDataFrame([(name, text, (name, text) in titles) for name, text in templates], "license string, text string, title boolean")
+    cut = rows.select("license", "title", F.explode(F.split("text", BY_PARAGRAPH)).alias("text")).where(F.size(tokens(F.col("text"))) >= LEAST_TOKENS)
+    return cut.groupBy("license", "text").agg(F.bool_or("title").alias("title")).withColumn("sentence", F.row_number().over(Window.orderBy("license", "text")))
 
-def template_weights(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> tuple[DataFrame, DataFrame, float]:
-    """(token, idf) of the templates' words, (token, sentence, license, weight / norm), and the idf of a word no document has.
+
+def template_weights(docs: DataFrame, sentences: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(token, df, idf) of the templates' words, (token, sentence, weight / norm), and the idf of a word no document has.
 
     Document frequencies are of all documents; the templates' vocabulary bounds the tables.
     """
     spark = docs.sparkSession
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "sentence int, license string, text string")
-    terms = rows.select("sentence", "license", F.explode(tokens(F.col("text"))).alias("token")).groupBy("sentence", "license", "token").agg(F.count("*").alias("tf"))
+    terms = sentences.select("sentence", F.explode(tokens(F.col("text"))).alias("token")).groupBy("sentence", "token").agg(F.count("*").alias("tf"))
     vocabulary = [r["token"] for r in terms.select("token").distinct().orderBy("token").collect()]
     present = F.array_intersect(F.split(F.lower("text"), SEPARATORS), F.array(*map(F.lit, vocabulary)))
     found = docs.where("text is not null").select(F.explode(F.concat(present, F.array(F.lit("")))).alias("token")).groupBy("token").count()
     df = {r["token"]: r["count"] for r in found.collect()}  # a row per word of the templates
     total = df.pop("", 0)  # every document has the empty mark
     idf = lambda n: math.log((total + 1) / (n + 1)) + 1
-    words = spark.createDataFrame([(t, idf(df.get(t, 0))) for t in vocabulary], "token string, idf double")
+    words = spark.createDataFrame([(t, df.get(t, 0), idf(df.get(t, 0))) for t in vocabulary], "token string, df long, idf double")
     weighed = terms.join(F.broadcast(words), "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("sentence")))
-    return words, weighed.select("token", "sentence", "license", (F.col("w") / norm).alias("unit")), idf(0)
+    return words, weighed.select("token", "sentence", "df", (F.col("w") / norm).alias("unit")), idf(0)
+
+
+def sure_words(units: DataFrame, least: float) -> list[str]:
+    """Words of which a sentence must hold one to reach the cosine with any template.
+
+    The words that two vectors share carry at least the cosine's square of either one's length, so a template's
+    words above the rest of it can't all be missing: the rarest of each are taken. As many as templates have words at most.
+    """
+    so_far = F.sum(F.col("unit") * F.col("unit")).over(Window.partitionBy("sentence").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1))
+    within = units.withColumn("before", F.coalesce(so_far, F.lit(0.0))).where(F.col("before") <= 1 - max(least - 1e-6, 0.0) ** 2 + 1e-9)
+    return [r["token"] for r in within.select("token").distinct().orderBy("token").collect()]
 
 
 def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COSINE, file_share: float = FILE_SHARE) -> DataFrame:
     """(doc_id, path, license, cosine, kind, from_dir) for every row of files (doc_id, path, text).
 
-    A sentence's cosine to a template sentence is over TF-IDF vectors; words outside the templates
-    weigh as the rarest. A document's licence is that of its best sentence (ties to the first licence by name) if
-    its cosine is `least` or more. kind is 'file' if such sentences make up file_share of its
-    words, 'header' otherwise. A document without one inherits ('inherited') from the nearest
+    Texts are read without marks of comments and cut into sentences twice, within lines and across the lines of a
+    paragraph. A sentence's cosine to a template sentence is over TF-IDF vectors; words outside the templates
+    weigh as the rarest. It speaks for the licences of its best cosine if that is `least` or more; a document's licence is the one
+    for which sentences of most words speak (ties to the higher cosine, then by name), and cosine its highest. A document
+    that begins with a long licence's title has that licence. kind is 'file' if it does, if its name is that of a licence file,
+    or if its licence's sentences make up file_share of its words, else 'header'. A document without one inherits ('inherited') from the nearest
     ancestor directory that directly holds licence files; of several the most frequent licence counts, ties by
     name. Else kind is 'none' and the rest null. Null and empty texts have no licence of their own,
     a null path no directory; identical rows get identical results; an empty table gives an empty result.
+    An SPDX line of several identifiers speaks for none. templates may hold whole licence texts.
     """
     rows = files.select("doc_id", "path", "text").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = ["doc_id", "path", "tie"]
-    words, units, rarest = template_weights(rows, templates)
-
-    hits = rows.where(F.col("text").isNotNull() & _anchored(F.col("text")))
-    sentences = hits.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).select(*keys, "n_words", F.posexplode(F.split("text", SENTENCE)).alias("at", "line"))
-    sentences = sentences.where(_anchored(F.col("line"))).dropDuplicates([*keys, "at"]).withColumn("line_words", F.regexp_count("line", F.lit(WORD)))
+    spoken = template_sentences(rows.sparkSession, templates)
+    words, units, rarest = template_weights(rows, spoken)
+    sure = F.array(*map(F.lit, sure_words(units, least)))
+
+    hits = rows.where(F.col("text").isNotNull() & F.arrays_overlap(F.split(F.lower("text"), SEPARATORS), sure)).withColumn("text", uncommented(F.col("text")))
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.split("text", cut).alias("lines")) for i, cut in enumerate((BY_LINE, BY_PARAGRAPH))])
+    cut = hits.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).select(*keys, "n_words", F.explode(ways).alias("w"))
+    sentences = cut.select(*keys, "n_words", "w.way", F.posexplode("w.lines").alias("at", "line")).where(F.arrays_overlap(tokens(F.col("line")), sure))
+    sentences = sentences.dropDuplicates([*keys, "way", "at"]).withColumn("line_words", F.regexp_count("line", F.lit(WORD)))
     sentences = materialize(sentences.withColumn("digest", F.xxhash64("line")), "license-sentences")
     # Each different sentence is compared once.
     lines = sentences.select("digest", "line").dropDuplicates(["digest"])
     terms = lines.select("digest", F.explode(tokens(F.col("line"))).alias("token")).groupBy("digest", "token").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(words), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rarest)))
     norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(units), "token").groupBy("digest", "sentence", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    dots = weighed.join(F.broadcast(units), "token").groupBy("digest", "sentence").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
     cosines = dots.join(norms, "digest").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
-    best_line = cosines.groupBy("digest").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    matched = sentences.join(best_line, "digest")
-    own = matched.groupBy(*keys).agg(F.min("b").alias("b"), (F.sum("line_words") >= file_share * F.max("n_words")).alias("is_file"))
-    own = materialize(own.select(*keys, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), "is_file"), "license-own")
+    named = cosines.join(F.broadcast(spoken.select("sentence", "license", "title")), "sentence").groupBy("digest", "license").agg(F.max(F.struct("cosine", "title")).alias("b"))
+    best = F.max("b.cosine").over(Window.partitionBy("digest"))
+    speaks = named.withColumn("best", best).where("b.cosine = best").select("digest", "license", "b.*")
+    for_each = sentences.join(speaks, "digest").groupBy(*keys, "way", "license").agg(
+        F.sum("line_words").alias("covered"), F.max("cosine").alias("cosine"), F.max("n_words").alias("n_words"),
+        F.bool_or(F.col("title") & (F.col("at") <= 1) & (F.col("way") == 1)).alias("titled"),
+    )
+    choice = F.struct((~F.bool_or("titled")).alias("untitled"), (-F.max("covered")).alias("n"), (-F.max("cosine")).alias("c"), "license")
+    own = for_each.groupBy(*keys, "license").agg(choice.alias("b"), F.max("n_words").alias("n_words")).groupBy(*keys).agg(F.min("b").alias("b"), F.max("n_words").alias("n_words"))
+    is_file = ~F.col("b.untitled") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (-F.col("b.n") >= file_share * F.col("n_words"))
+    own = materialize(own.select(*keys, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), is_file.alias("is_file")), "license-own")
 
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     votes = own.where("is_file and path is not null").groupBy(parent.alias("dir"), "license").count()
