@@ -67,8 +67,13 @@ def test_policy_table_penalty_and_score(spark, tmp_path):
     over = spark.createDataFrame([("f2", 0.16), ("f2", 0.16)], "finding_id string, factor double")
     scored = policy.with_penalty(rows, table, over)
     assert {r["finding_id"]: r["penalty"] for r in scored.collect()} == {"f1": 25.0, "f2": 4.0, "f3": 0.0, "f4": 0.0}
-    r = policy.score_gate(policy.project_score(scored)).first()
-    assert (r["score"], r["max_severity"], r["dynamic_only"], r["unmapped"], r["passed"]) == (62, 4, 1, [""], False)
+    r = policy.score_gate(policy.project_score(scored), blocking=True).first()
+    assert (r["score"], r["max_severity"], r["dynamic_only"], r["unmapped"], r["passed"]) == (62, 4, 1, ["unknown"], False)
+    assert policy.score_gate(policy.project_score(scored)).first()["passed"]  # a report-only gate doesn't fail for the score
+    scores = policy.project_score(spark.createDataFrame([("CWE-89", "unknown")], "cwe string, reachability string").transform(lambda f: policy.with_penalty(f, table)))
+    far, near = (policy.score_gate(x, hard_severity=4).first() for x in (scores, policy.project_score(scored)))
+    assert (far["max_severity"], far["max_reachable_severity"], far["hard_failure"], far["passed"]) == (4, 0, False, True)  # severe, but unreached
+    assert near["hard_failure"] and not near["passed"]
     assert policy.project_score(scored.where("false")).first()["score"] == 100
     rules = spark.createDataFrame([("r1", "CWE-89", "enabled"), ("r2", "CWE-1", "enabled"), ("r3", "CWE-2", "shadow")], "rule_id string, cwe string, status string")
     with pytest.raises(policy.PolicyError, match="r2"):

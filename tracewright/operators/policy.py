@@ -77,17 +77,21 @@ def decayed_score(total: Column, k: float = DECAY) -> Column:
 
 
 def project_score(scored: DataFrame, keys: tuple[str, ...] = (), k: float = DECAY) -> DataFrame:
-    """Per group (or in all) the score 100 e^(-sum of penalties / k), the highest severity, totals and unmapped weaknesses; no findings score 100."""
+    """Per group (or in all) the score 100 e^(-sum of penalties / k), the highest severity of all and of reachable findings, totals and unmapped weaknesses (unnamed ones as 'unknown'); no findings score 100."""
     out = scored.groupBy(*keys).agg(
         F.sum("penalty").alias("penalty_total"), F.max("static_severity").alias("max_severity"), F.count("*").alias("findings"),
-        F.count_if(F.col("mapped") & ~F.coalesce("static", F.lit(False)) & F.coalesce("dynamic", F.lit(False))).alias("dynamic_only"), F.array_sort(F.collect_set(F.when(~F.col("mapped"), F.col("cwe")))).alias("unmapped"),
+        F.count_if(F.col("mapped") & ~F.coalesce("static", F.lit(False)) & F.coalesce("dynamic", F.lit(False))).alias("dynamic_only"), F.array_sort(F.collect_set(F.when(~F.col("mapped"), F.coalesce(F.nullif("cwe", F.lit("")), F.lit("unknown"))))).alias("unmapped"),
+        F.coalesce(F.max(F.when(F.col("reachability") == "reachable", F.col("static_severity"))), F.lit(0)).alias("max_reachable_severity"),
     )
     return out.withColumns({"score": decayed_score(F.col("penalty_total"), k), "penalty_total": F.coalesce("penalty_total", F.lit(0.0)), "max_severity": F.coalesce("max_severity", F.lit(0))})
 
 
-def score_gate(scores: DataFrame, hard_severity: int = 5, least_score: int = 70, blocking: bool = True) -> DataFrame:
-    """scores with hard_failure (a static weakness of hard_severity or more, in any mode) and passed."""
-    hard = F.col("max_severity") >= hard_severity
+def score_gate(scores: DataFrame, hard_severity: int = 5, least_score: int = 80, blocking: bool = False) -> DataFrame:
+    """scores with hard_failure (a reachable static weakness of hard_severity or more, in any mode) and passed.
+
+    A score below least_score fails only where the gate is blocking.
+    """
+    hard = F.col("max_reachable_severity") >= hard_severity
     soft = (F.col("score") < least_score) & F.lit(blocking)
     return scores.withColumns({"hard_failure": hard, "passed": ~(hard | soft)})
 

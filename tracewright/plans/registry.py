@@ -154,7 +154,8 @@ def fp_override(spark, sf):
 _SCORED = FINDINGS + """, scored as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) as source, case when static then p_severity else 0 end as level,
  (case when static then case p_severity when 5 then 50.0 when 4 then 25.0 when 3 then 10.0 when 2 then 2.0 when 1 then 1.0 else 0.0 end else 0.0 end * case reachability when 'reachable' then 1.0 when 'inferred-file-surface' then 0.6 else 0.4 end)::double as penalty from findings where status <> 'shadow'),
  scores as (select source, count(*) as findings, round(sum(penalty), 4) as penalty_total, max(level) as max_severity, cast(round(100 * exp(-sum(penalty) / 60)) as integer) as score,
- count(*) filter (where p_severity is not null and not static and dynamic) as dynamic_only, coalesce(string_agg(distinct cwe, ',' order by cwe) filter (where p_severity is null), '') as unmapped from scored group by source)"""
+ count(*) filter (where p_severity is not null and not static and dynamic) as dynamic_only, coalesce(string_agg(distinct coalesce(nullif(cwe, ''), 'unknown'), ',' order by coalesce(nullif(cwe, ''), 'unknown')) filter (where p_severity is null), '') as unmapped from scored group by source),
+ gated as (select source, coalesce(max(level) filter (where reachability = 'reachable'), 0) as severity from scored group by source)"""
 
 
 def _scores(spark, sf):
@@ -167,9 +168,12 @@ def project_score(spark, sf):
     return _scores(spark, sf).select("source", "findings", F.round("penalty_total", 4).alias("penalty_total"), "max_severity", "score", "dynamic_only", joined("unmapped"))
 
 
-@query("q20_score_gate", _SCORED + " select source, score, max_severity >= 5 as hard_failure, not (max_severity >= 5 or score < 70) as passed from scores")
+@query("q20_score_gate", _SCORED + " select source, blocking, score, severity >= 5 as hard_failure, not (severity >= 5 or (blocking and score < 80)) as passed from scores join gated using (source), (values (true), (false)) b(blocking)")
 def score_gate(spark, sf):
-    return policy.score_gate(_scores(spark, sf)).select("source", "score", "hard_failure", "passed")
+    """Gates in both modes."""
+    scores = _scores(spark, sf)
+    modes = [policy.score_gate(scores, blocking=b).withColumn("blocking", F.lit(b)) for b in (True, False)]
+    return modes[0].unionByName(modes[1]).select("source", "blocking", "score", "hard_failure", "passed")
 
 
 _SCALE = """select n_name, count(*) as items, round(sum(w * m) / 1000, 3) as penalty, cast(round(100 * exp(-sum(w * m) / 1000 / 60)) as integer) as score from
