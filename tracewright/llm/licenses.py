@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,6 +92,7 @@ def _templates() -> tuple[tuple[str, str], ...]:
 
 TEMPLATES = _templates()
 SEPARATORS = r"(?:[\x09-\x0D\x20\"'\u2018\u2019\u201C\u201D(),;:!?<>]|\.(?=[\x09-\x0D\x20]|$))+"
+WORD_START = r"(?<![^\x09-\x0D\x20\"'\u2018\u2019\u201C\u201D(),;:!?<>])"
 #: Marks of comments at both ends of a line, and rules under titles.
 COMMENT = r"(?md)^[\x09\x20]*(?:[#*;%/!=]+|<!--|--+|dnl\b|[Rr][Ee][Mm]\b)?[\x09\x20]*|[\x09\x20]*(?:\*+/|-->)[\x09\x20]*$"
 SENTENCE_END = r"(?<=[.!?])[\x09-\x0D\x20]+(?![a-z0-9])"
@@ -170,12 +172,14 @@ def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     keys = ["doc_id", "path", "tie"]
     spoken = template_sentences(rows.sparkSession, templates)
     words, units, rarest = template_weights(rows, spoken)
-    sure = F.array(*map(F.lit, sure_words(units, least)))
-
-    hits = rows.where(F.col("text").isNotNull() & F.arrays_overlap(F.split(F.lower("text"), SEPARATORS), sure)).withColumn("text", uncommented(F.col("text")))
-    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.split("text", cut).alias("lines")) for i, cut in enumerate((BY_LINE, BY_PARAGRAPH))])
-    cut = hits.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).select(*keys, "n_words", F.explode(ways).alias("w"))
-    sentences = cut.select(*keys, "n_words", "w.way", F.posexplode("w.lines").alias("at", "line")).where(F.arrays_overlap(tokens(F.col("line")), sure))
+    sure = sure_words(units, least)
+    # A word of the templates starts where a text or a separator ends: such texts alone are cut, and of their sentences those with such a word leave the row.
+    starts = F.lit(WORD_START + "(?:" + "|".join(re.escape(w) for w in sure) + ")" if sure else "(?!)")
+    told = lambda text: F.rlike(F.lower(text), starts)
+    hits = rows.where(F.col("text").isNotNull() & told(F.col("text"))).withColumn("text", uncommented(F.col("text")))
+    cut = lambda way, rule: F.transform(F.split("text", rule), lambda line, at: F.struct(F.lit(way).alias("way"), at.alias("at"), line.alias("line")))
+    kept = F.concat(*[F.filter(cut(way, rule), lambda s: told(s["line"])) for way, rule in enumerate((BY_LINE, BY_PARAGRAPH))])
+    sentences = hits.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).select(*keys, "n_words", F.inline(kept))
     sentences = sentences.dropDuplicates([*keys, "way", "at"]).withColumn("line_words", F.regexp_count("line", F.lit(WORD)))
     sentences = materialize(sentences.withColumn("digest", F.xxhash64("line")), "license-sentences")
     # Each different sentence is compared once.
