@@ -92,7 +92,7 @@ def _templates() -> tuple[tuple[str, str], ...]:
 
 TEMPLATES = _templates()
 SEPARATORS = r"(?:[\x09-\x0D\x20\"'\u2018\u2019\u201C\u201D(),;:!?<>]|\.(?=[\x09-\x0D\x20]|$))+"
-WORD_START = r"(?<![^\x09-\x0D\x20\"'\u2018\u2019\u201C\u201D(),;:!?<>])"
+_BETWEEN = r"\x09-\x0D\x20\"'\u2018\u2019\u201C\u201D(),;:!?<>"
 #: Marks of comments at both ends of a line, and rules under titles.
 COMMENT = r"(?md)^[\x09\x20]*(?:[#*;%/!=]+|<!--|--+|dnl\b|[Rr][Ee][Mm]\b)?[\x09\x20]*|[\x09\x20]*(?:\*+/|-->)[\x09\x20]*$"
 SENTENCE_END = r"(?<=[.!?])[\x09-\x0D\x20]+(?![a-z0-9])"
@@ -116,6 +116,15 @@ def uncommented(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), COMMENT, "")
 
 
+def holds_word(words: list[str]) -> str:
+    """A pattern for texts that may hold one of the words as a token: tried where a separator ends, by first character."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+    tries = "|".join(re.escape(first) + "(?:" + "|".join(rest) + ")" for first, rest in by_first.items())
+    return f"(?<![^{_BETWEEN}])(?:{tries})(?=[{_BETWEEN}.]|$)" if words else "(?!)"
+
+
 def template_sentences(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
     """(sentence, license, title, text): the different sentences of each licence's templates, of two words or more."""
     titles = {(name, text) for name, text in TITLES}
@@ -172,9 +181,8 @@ def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     keys = ["doc_id", "path", "tie"]
     spoken = template_sentences(rows.sparkSession, templates)
     words, units, rarest = template_weights(rows, spoken)
-    sure = sure_words(units, least)
-    # A word of the templates starts where a text or a separator ends: such texts alone are cut, and of their sentences those with such a word leave the row.
-    starts = F.lit(WORD_START + "(?:" + "|".join(re.escape(w) for w in sure) + ")" if sure else "(?!)")
+    # Texts that may hold a word that decides are cut, and of their sentences those with such a word leave the row.
+    starts = F.lit(holds_word(sure_words(units, least)))
     told = lambda text: F.rlike(F.lower(text), starts)
     hits = rows.where(F.col("text").isNotNull() & told(F.col("text"))).withColumn("text", uncommented(F.col("text")))
     cut = lambda way, rule: F.transform(F.split("text", rule), lambda line, at: F.struct(F.lit(way).alias("way"), at.alias("at"), line.alias("line")))
