@@ -286,6 +286,26 @@ def test_permutation_and_draw():
         assert np.array_equal(draws[k][1], draws[k - 1][1] + draws[k - 1][0])
 
 
+@pytest.mark.parametrize("good, bad, sample", [(5, 7, 4), (1, 30, 30), (40, 3, 20), (200, 300, 250), (6, 0, 3)])
+def test_weights_of_large_draws_are_the_distribution(good, bad, sample):
+    low, weights = mixing.hypergeometric_weights(good, bad, sample)
+    assert (low, low + len(weights) - 1) == (max(0, sample - bad), min(good, sample)) or len(weights) > 100
+    want = [math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) for k in range(low, low + len(weights))]
+    assert weights / weights.sum() == pytest.approx(want, abs=1e-12)
+
+
+def test_draws_beyond_the_generators_bound_scatter_like_draws():
+    good, bad, sample = 3 * 10**9, 7 * 10**9, 5 * 10**9
+    rng = np.random.default_rng(4)
+    draws = np.array([mixing.draw_hypergeometric(good, bad, sample, rng) for _ in range(150)], dtype=float)
+    deviation = math.sqrt(sample * 0.3 * 0.7 * 0.5)
+    assert abs(draws.mean() - 1.5 * 10**9) < 4 * deviation / math.sqrt(150) and 0.8 < draws.std() / deviation < 1.2
+    counts = np.array([3 * 10**9, 5, 0, 7 * 10**9], np.int64)
+    out = mixing.split_counts(5 * 10**9, 5 * 10**9 + 5, counts, np.random.default_rng(1))
+    assert out.sum() == 5 * 10**9 and (out >= 0).all() and (out <= counts).all()
+    assert mixing.draw_hypergeometric(0, 10**10, 5, rng) == 0 and mixing.draw_hypergeometric(10**10, 0, 5, rng) == 5
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 900 + "</p>"
     rows = [(1, "http://a/x y%", big), (2, "http://a/2", big), (9, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u\r\nv", ""), (None, "n", big), (9, None, big)]

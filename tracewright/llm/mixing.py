@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,15 +96,39 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def hypergeometric_weights(good: int, bad: int, sample: int) -> tuple[int, np.ndarray]:
+    """The least count and the weights of it and all that follow, as far as a double can tell them from nothing.
+
+    Weights grow from the mode outwards by the ratios of neighbours, over nine and a half standard deviations on
+    both sides: some millions of numbers for 10^12 slots.
+    """
+    n = good + bad
+    mode = (sample + 1) * (good + 1) // (n + 2)
+    deviation = math.sqrt(sample * (good / n) * (bad / n) * ((n - sample) / max(1, n - 1)))
+    low, high = max(0, sample - bad, mode - int(9.5 * deviation) - 50), min(good, sample, mode + int(9.5 * deviation) + 50)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(sample - k) - np.log(k + 1) - np.log(bad - sample + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    return low, np.exp(logs - logs[mode - low])
+
+
+def draw_hypergeometric(good: int, bad: int, sample: int, rng: np.random.Generator) -> int:
+    """One draw, by the generator below its bound of 10^9 and by the weights beyond."""
+    if not good or not sample:
+        return 0
+    if good + bad < 10**9:
+        return int(rng.hypergeometric(good, bad, sample))
+    low, weights = hypergeometric_weights(good, bad, sample)
+    up_to = np.cumsum(weights)
+    return low + min(int(np.searchsorted(up_to, rng.random() * up_to[-1], side="right")), len(weights) - 1)
+
+
 def split_counts(left_slots: int, right_slots: int, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """How many of each source's slots go left: a multinomial draw given both sides' sizes and the sources' totals."""
     total, need, out = int(counts.sum()), left_slots, np.zeros_like(counts)
     for i, c in enumerate(counts.tolist()):
         rest = total - c
-        if total >= 10**9:  # beyond what the generator draws: the share itself, within what fits
-            out[i] = min(c, need, max(need - rest, round(need * c / total)))
-        else:
-            out[i] = rng.hypergeometric(c, rest, need) if c and need else 0
+        out[i] = draw_hypergeometric(c, rest, need, rng)
         total, need = rest, need - int(out[i])
     return out
 
