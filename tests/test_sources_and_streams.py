@@ -65,6 +65,24 @@ def test_streams_windows_dedupe_and_ledger(spark, tmp_path):
     assert {r["k"] for r in merged.collect()} == {1, 2} and merged.count() == 2
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_late_data_counts_every_event(spark, tmp_path, files):
+    """The last windows, events days late in a later file and events without a time; one file or a folder."""
+    import duckdb
+
+    times = ["2024-01-01 10:10:00", "2024-01-05 23:59:00", "2024-01-05 22:00:00", "2024-01-01 10:59:59", None, "2023-12-31 00:30:00"]
+    path = str(tmp_path / "events.parquet")
+    duckdb.sql("select unnest(?::timestamp[]) as ts, 'a' as event_type", params=[times]).write_parquet(path if files == 1 else str(tmp_path / "all.parquet"))
+    if files > 1:
+        (tmp_path / "events.parquet").mkdir()
+        for k in range(files):
+            duckdb.sql(f"select * from '{tmp_path}/all.parquet' limit 2 offset {2 * k}").write_parquet(f"{path}/part-{k}.parquet")
+    got = {(r["start"] and r["start"].isoformat(), r["events"]) for r in registry.QUERIES["q43_late_data"](spark, str(tmp_path)).collect()}
+    files_of = path if files == 1 else f"{path}/*.parquet"
+    want = duckdb.sql(registry.ORACLES["q43_late_data"].replace("from events", f"from '{files_of}'")).fetchall()
+    assert got == {(start and start.isoformat(), n) for start, _, n in want} and sum(n for _, n in got) == 6 and len(want) == 5
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and registry.FLAGSHIP in registry.QUERIES
     assert set(registry.QUERIES) == set(registry.ORACLES)

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.feedback import merged_ledger
-from tracewright.sources.scratch import shared_folder
+from tracewright.sources.scratch import path_exists, shared_folder
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFrame:
     """A folder of parquet files (or one file) as a stream."""
     folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def windowed_counts(events: DataFrame, late: str = "2 hours", size: str = "1 hour") -> DataFrame:
@@ -21,6 +24,27 @@ def windowed_counts(events: DataFrame, late: str = "2 hours", size: str = "1 hou
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "event_type", "events")
 
 
+def all_windowed_counts(events: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Counts per window and type of all that a stream yields from what is there now, however late an event comes.
+
+    Each micro-batch writes its own counts, named by the batch, and a window's count is their sum: a late event
+    adds to its window, the last windows count too, and no state is kept. Events without a time have a window of their own.
+    """
+    spark = events.sparkSession
+    out = shared_folder(spark, "window-counts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = F.timestamp_micros(at - F.pmod(at, F.lit(seconds * 1_000_000)))
+    rows = events.select(start.alias("start"), "event_type")
+
+    def keep(batch: DataFrame, no: int) -> None:
+        batch.groupBy("start", "event_type").agg(F.count("*").alias("events")).write.mode("overwrite").parquet(f"{out}/batch={no}")
+
+    rows.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    schema = rows.withColumn("events", F.lit(0).cast("long")).schema
+    parts = spark.read.schema(schema).parquet(out) if path_exists(spark, out) else spark.createDataFrame([], schema)
+    return parts.groupBy("start", "event_type").agg(F.sum("events").alias("events"))
+
+
 def deduplicated(events: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
     """Each key once, as long as its repeats come within the watermark; state is dropped after it."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
