@@ -156,6 +156,17 @@ def test_license_texts_headers_and_identifiers(spark):
     assert got == {p: (license, kind) for p, _, license, kind in rows}
 
 
+def test_license_sentences_with_a_common_word_alone_are_left_out(spark, monkeypatch):
+    """'mit' decides for "The MIT License (MIT)" and stands in every sentence here, as in German texts."""
+    rows = [(k, f"a/{k}", f"haus {k} mit garten {k} und wasser. Der weg {k} geht mit ihm.\nMit {k}.") for k in range(300)]
+    rows += [(300, "b/x", "mit haus\nThe MIT License (MIT)\nmit weg")]
+    kept = {}
+    monkeypatch.setattr(licenses, "materialize", lambda df, name: kept.setdefault(name, df.persist()))
+    got = {r["doc_id"]: (r["license"], r["cosine"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: (None, None) for k in range(300)} | {300: ("MIT", 1.0)}
+    assert {r["line"] for r in kept["license-sentences"].collect()} == {"The MIT License (MIT)"}
+
+
 def test_license_scan_is_the_brute_force_one(spark):
     rng = random.Random(5)
     templates = tuple(t for t in licenses.TEMPLATES if t not in licenses.TITLES)

@@ -163,6 +163,25 @@ def sure_words(units: DataFrame, least: float) -> list[str]:
     return [r["token"] for r in within.select("token").distinct().orderBy("token").collect()]
 
 
+def may_reach(words: Column, inside: Column, idf: dict[str, float], rarest: float, least: float) -> Column:
+    """Whether a sentence's words can reach the cosine with any template at all.
+
+    Templates hold words of the vocabulary only, so no cosine is above the length of a sentence's part inside it over its
+    whole length. The part outside, of n words with d different ones, has a squared length of n * n / d rarest words at least.
+    """
+    square = max(least - 1e-6, 0.0) ** 2
+    weights = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+    tf = lambda t: F.size(F.filter(words, lambda w: w == t))
+    n, d = F.size(words), F.size(F.array_distinct(words)) - F.size(inside)
+    grown = lambda a, t: F.struct((a["n"] + tf(t)).alias("n"), (a["length"] + F.pow(tf(t) * weights[t], F.lit(2.0))).alias("length"))
+
+    def enough(a: Column) -> Column:
+        outside = F.when(d > 0, F.pow(n - a["n"], F.lit(2.0)) / d).otherwise(0.0) * rarest**2
+        return a["length"] * (1 - square + 1e-9) >= square * outside
+
+    return F.aggregate(inside, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("length")), grown, enough)
+
+
 def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COSINE, file_share: float = FILE_SHARE) -> DataFrame:
     """(doc_id, path, license, cosine, kind, from_dir) for every row of files (doc_id, path, text).
 
@@ -181,13 +200,19 @@ def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     keys = ["doc_id", "path", "tie"]
     spoken = template_sentences(rows.sparkSession, templates)
     words, units, rarest = template_weights(rows, spoken)
-    # Texts that may hold a word that decides are cut, and of their sentences those with such a word leave the row.
+    idf = {r["token"]: r["idf"] for r in words.collect()}  # the templates' vocabulary
+    # Texts that may hold a word that decides are cut, and of their sentences those that can reach the cosine leave the row:
+    # a word that decides may be a common one, and most sentences with it are far from any template.
     starts = F.lit(holds_word(sure_words(units, least)))
     told = lambda text: F.rlike(F.lower(text), starts)
     hits = rows.where(F.col("text").isNotNull() & told(F.col("text"))).withColumn("text", uncommented(F.col("text")))
     cut = lambda way, rule: F.transform(F.split("text", rule), lambda line, at: F.struct(F.lit(way).alias("way"), at.alias("at"), line.alias("line")))
-    kept = F.concat(*[F.filter(cut(way, rule), lambda s: told(s["line"])) for way, rule in enumerate((BY_LINE, BY_PARAGRAPH))])
-    sentences = hits.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).select(*keys, "n_words", F.inline(kept))
+    lines = F.concat(*[F.filter(cut(way, rule), lambda s: told(s["line"])) for way, rule in enumerate((BY_LINE, BY_PARAGRAPH))])
+    lines = F.transform(lines, lambda s: F.struct(s["way"].alias("way"), s["at"].alias("at"), s["line"].alias("line"), tokens(s["line"]).alias("words")))
+    vocabulary = F.array(*map(F.lit, idf))
+    lines = F.transform(lines, lambda s: F.struct(s["way"].alias("way"), s["at"].alias("at"), s["line"].alias("line"), s["words"].alias("words"), F.array_intersect(s["words"], vocabulary).alias("inside")))
+    kept = F.filter(lines, lambda s: may_reach(s["words"], s["inside"], idf, rarest, least))
+    sentences = hits.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).select(*keys, "n_words", F.inline_outer(kept)).where("line is not null").drop("words", "inside")  # inline alone would cut each text twice, to see whether rows come of it
     sentences = sentences.dropDuplicates([*keys, "way", "at"]).withColumn("line_words", F.regexp_count("line", F.lit(WORD)))
     sentences = materialize(sentences.withColumn("digest", F.xxhash64("line")), "license-sentences")
     # Each different sentence is compared once.
