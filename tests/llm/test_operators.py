@@ -466,3 +466,24 @@ def test_texts_hashed_together_have_their_own_hashes():
     got = list(common.word_hashes_of(texts))
     assert [g.tolist() for g in got] == [common.word_hashes(np.frombuffer(t, np.uint8)).tolist() for t in texts]
     assert [len(g) for g in got] == [len(t.split()) for t in texts] and list(common.word_hashes_of([])) == []
+
+
+def test_gram_counts_are_summed_in_place():
+    """Counts beyond 16 bits too, in less room than three copies of the numbers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    g, n = rng.integers(0, 900_000, 2_000_000), rng.integers(0, 3, 2_000_000)
+    g[:4], n[:4] = (1 << 48) - 1, 0xFFFF
+    packed = g.astype(np.uint64) << np.uint64(16) | n.astype(np.uint64)
+    size = packed.nbytes
+    tracemalloc.start()
+    got, keys, more = suffix_tree.summed_counts(packed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = dict(zip((u := np.unique(g)).tolist(), np.bincount(np.searchsorted(u, g), weights=n).astype(int).tolist()))
+    assert keys.tolist() == [(1 << 48) - 1] and more.tolist() == [3 * 0xFFFF] and peak < 3 * size
+    want[(1 << 48) - 1] -= 3 * 0xFFFF
+    assert dict(zip((got >> np.uint64(16)).tolist(), (got & np.uint64(0xFFFF)).tolist())) == want
+    s = rng.integers(0, 64, 1000)
+    assert (suffix_tree.turned(suffix_tree.grams(s, 7), 8) == suffix_tree.turned_grams(s, 7)).all()

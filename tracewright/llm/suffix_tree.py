@@ -114,6 +114,34 @@ def grams(s: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def turned(g: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of n symbols with the symbols in the other order."""
+    out = np.zeros(len(g), np.int64)
+    for k in range(n):
+        out = (out << BITS) | ((g >> BITS * k) & MASK)
+    return out
+
+
+def turned_grams(s: np.ndarray, depth: int) -> np.ndarray:
+    """grams() with each place's own symbol first, then those before it from the nearest on: sorted, all their suffixes are too."""
+    padded = np.concatenate((np.zeros(depth, np.int64), s))
+    out = np.zeros(len(s), np.int64)
+    for k in range(depth, -1, -1):
+        out <<= BITS
+        out |= padded[k : k + len(s)]
+    return out
+
+
+def summed_counts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From (gram << 16 | count), which it sorts in place: the same with a row for each gram, and grams and counts of what is beyond 16 bits."""
+    packed.sort()
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] ^ packed[:-1] > 0xFFFF)))
+    n = np.add.reduceat(packed.astype("<u8", copy=False).view(np.uint16)[::4], first, dtype=np.int64)
+    keys = packed[first] >> np.uint64(16)
+    over = np.flatnonzero(n > 0xFFFF)
+    return (keys << np.uint64(16)) | np.minimum(n, 0xFFFF).astype(np.uint64), keys[over].astype(np.int64), n[over] - 0xFFFF
+
+
 def near_symbols() -> Column:
     """The last NEAR symbols of a gram's context: all that a task needs to grow the contexts that end in them."""
     return F.shiftright("g", BITS).bitwiseAND(F.lit((1 << BITS * NEAR) - 1))
@@ -126,34 +154,39 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH, every:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            if not held:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            keys, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            held.clear()
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
-
+        held: list[np.ndarray] = []  # a number for a gram and its count: sorting needs no room beside them
+        over: list[tuple[np.ndarray, np.ndarray]] = []
         pending: dict[int, list[np.ndarray]] = {0: [], 1: []}
         size = 0
 
+        def merge() -> None:
+            if held:
+                packed = np.concatenate(held)
+                held.clear()
+                packed, *more = summed_counts(packed)
+                held.append(packed)
+                if len(more[0]):
+                    over.append(tuple(more))
+
         def fold() -> None:
             nonlocal pending, size
             for training, some in pending.items():
                 if some:
                     keys, n = np.unique(np.concatenate(some), return_counts=True)
-                    held.append((keys, (n * training).astype(np.int32)))
+                    n *= training
+                    if len(at := np.flatnonzero(n > 0xFFFF)):
+                        over.append((keys[at], n[at] - 0xFFFF))
+                    held.append(keys.astype(np.uint64) << np.uint64(16) | np.minimum(n, 0xFFFF).astype(np.uint64))
             pending, size = {0: [], 1: []}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = merged()
-            held.clear()
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000]), pa.array(counts[at : at + 200_000].astype(np.int64))], ["g", "n"])
+            merge()
+            for at in range(0, len(held[0]) if held else 0, 200_000):
+                part = held[0][at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array((part >> np.uint64(16)).astype(np.int64)), pa.array((part & np.uint64(0xFFFF)).astype(np.int64))], ["g", "n"])
+            for keys, n in over:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["g", "n"])
+            held.clear(), over.clear()
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -165,9 +198,9 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH, every:
                 size += len(g)
                 if size > 1_000_000:
                     fold()
-                    if sum(len(h[0]) for h in held) > 6_000_000:
-                        held.append(merged())
-                        if len(held[0][0]) > 4_500_000:
+                    if sum(map(len, held)) > 6_000_000:
+                        merge()
+                        if len(held[0]) > 4_500_000:
                             yield from flush()
         fold()
         yield from flush()
@@ -239,16 +272,20 @@ def base_of(docs: DataFrame, symbols: np.ndarray) -> Base:
 
 
 def grown(g: np.ndarray, n: np.ndarray, parent: np.ndarray, depth: int, divergence: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (key, value) of the contexts beyond BASE symbols, sorted, from all grams (sorted) of some groups `near`.
+    """Rows (key, value) of the contexts beyond BASE symbols, sorted, from all grams of some groups `near`; keys have their symbols turned.
 
     As in `grow`. A kept context's own row has the log10 weight that it and its suffixes beyond BASE
     leave to unseen symbols, with STATE in its key; a row of it and a symbol seen after it has the log10
     probability less that weight, so an unseen symbol's is a context's row plus the longest suffix's row of it.
     """
+    summed = {}
+    for k in range(depth, BASE, -1):
+        g, at = np.unique(g & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(g))
+        summed[k] = g, n
     levels, before = [], None
     for k in range(BASE + 1, depth + 1):
-        keys, at = np.unique(g & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
-        counts = np.bincount(at, weights=n, minlength=len(keys))
+        keys, counts = summed.pop(k)
         first = np.flatnonzero(np.concatenate(([True], keys[1:] >> BITS != keys[:-1] >> BITS)))
         ctx, of = keys[first] >> BITS, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         total, a = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))).astype(float)
@@ -267,17 +304,18 @@ def grown(g: np.ndarray, n: np.ndarray, parent: np.ndarray, depth: int, divergen
         k, keys, values, ctx, weight, of, keep = levels[i]
         if i:
             levels[i - 1][6][np.searchsorted(levels[i - 1][3], ctx[keep] & ((1 << BITS * (k - 1)) - 1))] = True
-        out += [(keys[keep[of]] | k << 48, values[keep[of]]), (ctx[keep] | k << 48 | STATE, weight[keep])]
+        out += [(turned(keys[keep[of]], k + 1) | k << 48, values[keep[of]]), (turned(ctx[keep], k) | k << 48 | STATE, weight[keep])]
     keys, values = (np.concatenate(x) for x in zip(*out))
     order = np.argsort(keys)
     return keys[order], values[order].astype(np.float32)
 
 
 def log10_of(g: np.ndarray, keys: np.ndarray, values: np.ndarray, base: np.ndarray, parent: np.ndarray, depth: int, n_other: int) -> np.ndarray:
-    """log10 probability of each gram's symbol after the longest kept suffix of its context."""
-    near, sym = (g >> BITS) & ((1 << BITS * BASE) - 1), g & MASK
+    """log10 probability of each turned gram's symbol after the longest kept suffix of its context; fast if they're sorted."""
+    context, sym = g & ((1 << BITS * depth) - 1), g >> BITS * depth
+    near = turned(context >> BITS * (depth - BASE), BASE)
     out = base[near, sym].astype(np.float64)
-    seen, weight, left = np.log10(parent[near, sym]), np.zeros(len(g)), np.arange(len(g))
+    seen, level, left = np.log10(parent)[near, sym], np.zeros(len(g), np.int8), np.arange(len(g))
 
     def found(low: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.searchsorted(keys, [low, low + (1 << 48)])
@@ -288,12 +326,16 @@ def log10_of(g: np.ndarray, keys: np.ndarray, values: np.ndarray, base: np.ndarr
         return hit, values[at[hit]]
 
     for k in range(BASE + 1, depth + 1):
-        hit, x = found(k << 48 | STATE, (g[left] >> BITS) & ((1 << BITS * k) - 1))
-        left = left[hit]
-        weight[left] = x
-        hit, x = found(k << 48, g[left] & ((1 << BITS * (k + 1)) - 1))
+        # A symbol's row is there only if its context's is, so contexts are looked up where a symbol has none.
+        hit, x = found(k << 48, g[left] >> BITS * (depth - k))
         seen[left[hit]] = x
-        out[left] = seen[left] + weight[left]
+        miss = np.flatnonzero(~hit)
+        hit[miss] = found(k << 48 | STATE, context[left[miss]] >> BITS * (depth - k))[0]
+        left = left[hit]
+        level[left] = k
+    for k in range(BASE + 1, depth + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = seen[at] + found(k << 48 | STATE, context[at] >> BITS * (depth - k))[1]
     return np.where(sym == OTHER, out - math.log10(n_other), out)
 
 
@@ -467,8 +509,8 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
     tree = spark.read.schema("key long, value float").parquet(tree_at)
     states = tree.count()
     shortest = tree.where((F.col("key") >= STATE | BASE + 1 << 48) & (F.col("key") < STATE | BASE + 2 << 48))
-    used = shortest.select(F.col("key").bitwiseAND(F.lit((1 << BITS * BASE) - 1)).alias("c")).distinct().toArrow().column("c").to_numpy()  # 64^2 rows at most
-    known_base = base.log10(used, divergence, least_count)
+    used = shortest.select(F.shiftright("key", BITS).bitwiseAND(F.lit((1 << BITS * BASE) - 1)).alias("c")).distinct().toArrow().column("c").to_numpy()  # 64^2 rows at most
+    known_base = base.log10(turned(used, BASE), divergence, least_count)
     dense = spark.sparkContext.broadcast((known_base, parent))
     few = states <= broadcast_states
     floor = total + 0.5 * (v + 1)
@@ -487,7 +529,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
     def scored_texts(texts: Iterator[list[bytes]]) -> list[float]:
         out, some, size = [], [], 0
         for tokens in texts:
-            some.append(grams(coded(tokens, symbols), depth))
+            some.append(turned_grams(coded(tokens, symbols), depth))
             size += len(some[-1])
             if size > 4 * PIECE:
                 out += tree_scores(some)
@@ -523,7 +565,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
 
     def joined_scores(texts: DataFrame) -> DataFrame:
         """(row, score): each text's different grams joined to the log10 probability of each gram of the corpus."""
-        scorer = lambda g, keys, values: log10_of(g, keys, values, *dense.value, depth, n_other)
+        scorer = lambda g, keys, values: log10_of(turned(g, depth + 1), keys, values, *dense.value, depth, n_other)
         logs = tree_rows(gram_counts(docs, symbols, depth, every=True), parent, depth, divergence, least_count, scorer)
         held = texts.select("row", F.explode("grams").alias("p")).select("row", F.col("p.h").alias("key"), "p.tf")
         return held.join(logs, "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("value").cast("double")).alias("score"))
