@@ -487,3 +487,18 @@ def test_gram_counts_are_summed_in_place():
     assert dict(zip((got >> np.uint64(16)).tolist(), (got & np.uint64(0xFFFF)).tolist())) == want
     s = rng.integers(0, 64, 1000)
     assert (suffix_tree.turned(suffix_tree.grams(s, 7), 8) == suffix_tree.turned_grams(s, 7)).all()
+
+
+def test_workers_give_freed_memory_back():
+    """What a task has freed goes back to the system, although blocks that stay lie above it."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    stay = []
+
+    def run(batches):
+        held = [bytes(2000) for _ in range(100_000)]
+        stay.extend(held[::1000])
+        del held
+        yield from batches
+
+    before = resident()
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2] and resident() - before < 100_000_000 and len(stay) == 100

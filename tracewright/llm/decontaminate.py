@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, row_key, word_hashes_of
+from tracewright.llm.common import giving_back, materialize, row_key, word_hashes_of
 
 #: Words are terms by their hash, in so many slots; passages of this many words of all documents span the latent space, of this rank.
 SLOTS, PASSAGE, RANK, OVERSAMPLE = 1 << 14, 1024, 40, 8
@@ -94,7 +94,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
                 df[SLOTS] += 1
         yield _blocks(df)
 
-    df = _summed(_texts(docs).mapInArrow(run, "block int, v binary"), SLOTS + 1, 1)[:, 0]
+    df = _summed(_texts(docs).mapInArrow(giving_back(run), "block int, v binary"), SLOTS + 1, 1)[:, 0]
     return np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
 
@@ -132,7 +132,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                     total[t] += w[:, None] * (w @ g[t])
         yield _blocks(total)
 
-    y = _summed(_texts(docs).mapInArrow(run, "block int, v binary"), SLOTS, k)
+    y = _summed(_texts(docs).mapInArrow(giving_back(run), "block int, v binary"), SLOTS, k)
     core = g.T @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-6 * max(float(values.max()), 1e-300)
@@ -261,7 +261,7 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) ->
                         out.append((doc_id, row, items.ids[i], min(1.0, best[2]), best[0], n, best[3], best[1]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return _texts(docs).mapInArrow(run, FOUND)
+    return _texts(docs).mapInArrow(giving_back(run), FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import WORD, materialize
+from tracewright.llm.common import WORD, giving_back, materialize
 
 BLOCK_WORDS, SHARD_SLOTS = 64, 4096
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -188,7 +188,7 @@ def draw_slots(plan: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int =
                     mixed = pd.concat(out, ignore_index=True).sample(frac=1, random_state=(seed + shard) % 2**32)
                     yield pd.DataFrame({"shard": shard, "slot": np.arange(len(mixed)), **{c: mixed[c].to_numpy() for c in mixed}})
 
-    return spark.range(0, n_shards, 1, min(n_shards, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(run, "shard long, slot long, source_no int, block long, pass long, words long")
+    return spark.range(0, n_shards, 1, min(n_shards, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(giving_back(run), "shard long, slot long, source_no int, block long, pass long, words long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, parts: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import materialize, word_hashes
+from tracewright.llm.common import giving_back, materialize, word_hashes
 
 #: Rows that a fit uses at most: about LABELLED with labels, and per view and class PSEUDO of those that the other view is sure of, both by a hash of the row.
 LABELLED, PSEUDO = 6000, 1000
@@ -47,7 +47,7 @@ def source_table(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used, 0]), pa.array(total[used, 1])], ["slot", "n", "chars"])
 
-    parts = docs.select("source", F.coalesce(F.length("text"), F.lit(0)).alias("n")).mapInArrow(run, "slot long, n double, chars double")
+    parts = docs.select("source", F.coalesce(F.length("text"), F.lit(0)).alias("n")).mapInArrow(giving_back(run), "slot long, n double, chars double")
     found = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).collect()  # SOURCE_SLOTS rows at most
     out = np.zeros((SOURCE_SLOTS, 2))
     for r in found:
@@ -213,7 +213,7 @@ def _labelled(docs: DataFrame, truth: DataFrame, table, n: int, seed: int) -> pa
             yield _rows([xxhash.xxh64_intdigest(t) >> 1 for t in texts], ids, batch.column(4).to_pylist(), views, list(range(len(ids))))
 
     met = _page(docs).join(F.broadcast(chosen), "doc_id")  # about n rows at most
-    found = met.select("doc_id", "text", "lang", "source", "quality").mapInArrow(run, _ROW)
+    found = met.select("doc_id", "text", "lang", "source", "quality").mapInArrow(giving_back(run), _ROW)
     one = found.groupBy("doc_id").agg(F.min(F.struct("h", "kind", "terms", "meta")).alias("m")).select("m.h", "doc_id", "m.kind", "m.terms", "m.meta")
     return one.toArrow().sort_by([("doc_id", "ascending")])
 
@@ -245,7 +245,7 @@ def _pseudo(docs: DataFrame, known: set[int], model, table, n: int, confident: f
                 h, ids, t, m = zip(*own)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array([kind] * len(h), pa.int32()), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["h", "doc_id", "kind", "terms", "meta"])
 
-    found = materialize(_page(docs).mapInArrow(run, _ROW), "quality-pseudo")
+    found = materialize(_page(docs).mapInArrow(giving_back(run), _ROW), "quality-pseudo")
     parts = [found.where(F.col("kind") == kind).orderBy("h", "doc_id").limit(n).toArrow() for kind in range(4)]  # 4 * n rows at most
     return pa.concat_tables(parts)
 
@@ -312,4 +312,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE
     # By place: names may hold dots or occur twice.
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
     fields += [T.StructField(c, T.BooleanType() if c == "keep" else T.DoubleType()) for c in NEW]
-    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, *NEW)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(giving_back(run), T.StructType(fields)).toDF(*docs.columns, *NEW)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_text_bytes, connected_components, materialize, mixed, row_key, word_hashes_of, words_of
+from tracewright.llm.common import as_text_bytes, connected_components, giving_back, materialize, mixed, row_key, word_hashes_of, words_of
 
 SEED = 42
 
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = [majority_bits(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).astype(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text_bytes().alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text_bytes().alias("t")).mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def segments(max_bits: int, total: int = 64) -> list[tuple[int, int]]:
@@ -150,7 +150,7 @@ def text_classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row", "class", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), as_text_bytes().alias("t"))
-    return rows.mapInArrow(run, "doc_id long, row long, class long, fp long")
+    return rows.mapInArrow(giving_back(run), "doc_id long, row long, class long, fp long")
 
 
 class Once:
@@ -190,7 +190,7 @@ def shingle_ranks(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
         ranks = np.ceil(np.log2(total + 1.0)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], ["block", "ranks"])
 
-    blocks = docs.select(as_text_bytes().alias("t")).mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, ranks binary")
+    blocks = docs.select(as_text_bytes().alias("t")).mapInArrow(giving_back(run), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, ranks binary")
     ranks = np.zeros(COUNT_SLOTS, np.uint8)
     for r in blocks.collect():  # COUNT_SLOTS bytes
         ranks[r["block"] << 14 : (r["block"] + 1) << 14] = np.frombuffer(r["ranks"], np.uint8)
@@ -228,7 +228,7 @@ def rare_shingles(docs: DataFrame, ranks: np.ndarray, similarity: float = SIMILA
                     out.append((whole, len(x), first.view(np.int64), np.packbits(odd.astype(bool)).view(np.int64), sketch(x)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    found = docs.select(as_text_bytes().alias("t")).mapInArrow(run, "class long, n int, keys array<long>, parity array<long>, sketch binary")
+    found = docs.select(as_text_bytes().alias("t")).mapInArrow(giving_back(run), "class long, n int, keys array<long>, parity array<long>, sketch binary")
     return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "keys", "parity", "sketch")])
 
 
@@ -309,7 +309,7 @@ def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: in
             keep = [least_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(3), batch.column(5), most.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = met(pairs, rare, "n", "sketch").mapInArrow(near, "a long, b long")
+    close = met(pairs, rare, "n", "sketch").mapInArrow(giving_back(near), "a long, b long")
     if one_each:
         close = materialize(close, "near-some")
         close = close.groupBy("a").agg(F.min("b").alias("b")).unionByName(close.groupBy("b").agg(F.min("a").alias("a"))).distinct()
@@ -341,9 +341,9 @@ def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: in
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    spelled = docs.select(as_text_bytes().alias("t")).mapInArrow(run, "class long, s binary")
+    spelled = docs.select(as_text_bytes().alias("t")).mapInArrow(giving_back(run), "class long, s binary")
     sets = materialize(spelled.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("s").alias("s")), "near-sets")
-    return materialize(met(close, sets, "s").mapInArrow(compared, "a long, b long"), "near-links")
+    return materialize(met(close, sets, "s").mapInArrow(giving_back(compared), "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

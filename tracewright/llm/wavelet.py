@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, scratch_path
+from tracewright.llm.common import giving_back, materialize, scratch_path
 
 MAGIC = b"WVMX0001"
 CHUNK = 1 << 15  # bytes of a plane that are compressed together
@@ -345,7 +345,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_I
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    return materialize(dealt.mapInArrow(run, "part int, shard int, file string, n_tokens long, n_docs long"), "token-shards")
+    return materialize(dealt.mapInArrow(giving_back(run), "part int, shard int, file string, n_tokens long, n_docs long"), "token-shards")
 
 
 def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -370,4 +370,4 @@ def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, parts), pa.binary())] * with_ids, schema=schema)
 
     width = max(1, shards.sparkSession.sparkContext.defaultParallelism * 2)
-    return placed.repartition(width).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return placed.repartition(width).mapInArrow(giving_back(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
