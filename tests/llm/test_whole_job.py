@@ -61,3 +61,17 @@ def test_near_duplicates_lose_no_borderline_pair(spark):
     group = {x["doc_id"]: x["group_id"] for x in simhash.near_duplicates(docs).collect()}
     assert [i for i in range(0, 400, 2) if group[i] != group[i + 1]] == []
     assert len(set(group.values())) == 200
+
+
+def test_near_duplicates_in_plans_of_bounded_size(spark, monkeypatch):
+    """No write has all steps in its plan: the driver holds the running stages of a plan at once."""
+    exchanges = {}
+
+    def written(df, name, real=simhash.materialize):
+        exchanges[name] = max(exchanges.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", written)
+    words = [f"w{i} " * (i % 3) + "some words of a text that others share in part" for i in range(40)]
+    assert simhash.near_duplicates(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).count() == 40
+    assert max(exchanges.values()) <= 16, exchanges

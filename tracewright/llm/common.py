@@ -48,6 +48,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function over batches that returns freed memory to the system at its end.
 
@@ -59,10 +67,7 @@ def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import giving_back, materialize, word_hashes
+from tracewright.llm.common import give_back, giving_back, materialize, word_hashes
 
 #: Rows that a fit uses at most: about LABELLED with labels, and per view and class PSEUDO of those that the other view is sure of, both by a hash of the row.
 LABELLED, PSEUDO = 6000, 1000
@@ -294,6 +294,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE
     """
     docs = docs.select(*[c for c in docs.columns if c not in NEW])
     fitted = fit_cotraining(docs, labels, **fit)
+    give_back()  # what the fits took in the driver, which later stages need
     if fitted is None:
         return docs.withColumns({**{c: F.lit(None).cast("double") for c in NEW[:3]}, "keep": F.lit(True)})
     spark = docs.sparkSession

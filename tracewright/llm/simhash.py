@@ -257,7 +257,7 @@ def _can_be_similar(similarity: float) -> Column:
 def pivot_pairs(shared: DataFrame, rare: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): classes with the pivot and the next class of each shingle that they share, if they can be similar: twice as many rows as shared has at most."""
     both = shared.select("class", F.explode(F.array("pivot", "next")).alias("other")).where("class <> other")
-    met = both.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    met = materialize(both.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct(), "near-met")
     info = rare.select("class", "n", "parity")
     joined = met.join(info.alias("l"), F.col("a") == F.col("l.class")).join(info.alias("r"), F.col("b") == F.col("r.class"))
     return joined.where(_can_be_similar(similarity)).select("a", "b")
@@ -272,6 +272,7 @@ def candidate_pairs(shared: DataFrame, rare: DataFrame, roots: DataFrame, simila
     emits a pair only if their parity maps differ in no more bits than similar sets can differ in shingles.
     """
     known = rare.select("class", "n", "parity").join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("comp"), "n", "parity")
+    known = materialize(known, "near-known")
     index = shared.select("key", "class", "at").join(known, "class")
     l, r = index.alias("l"), index.alias("r")
     rest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
@@ -359,7 +360,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     rows = materialize(text_classes(docs, width), "near-classes")
     rare = materialize(rare_shingles(docs, shingle_ranks(docs, width), similarity, width), "near-rare")
     shared = materialize(shared_shingles(rare), "near-shared")
-    first = candidate_links(rows.groupBy("class").agg(F.first("fp").alias("fp"))).unionByName(pivot_pairs(shared, rare, similarity)).distinct()
+    classes = materialize(rows.groupBy("class").agg(F.first("fp").alias("fp")), "near-fps")
+    first = materialize(candidate_links(classes).unionByName(pivot_pairs(shared, rare, similarity)).distinct(), "near-first")
     links = verified_pairs(first, rare, docs, width, similarity, one_each=True)
     more = verified_pairs(candidate_pairs(shared, rare, connected_components(links), similarity), rare, docs, width, similarity)
     roots = connected_components(links.unionByName(more))
@@ -368,8 +370,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
 
 def candidate_links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b) classes whose fingerprints are equal or differ in at most max_bits bits: of equal ones each with the least."""
-    heads = classes.groupBy("fp").agg(F.min("class").alias("head"))
-    near = fingerprint_links(heads.select("fp"), max_bits).distinct()
+    # Each is written before it's joined more than once: one plan of all of it runs its many stages at once, which the driver has to hold.
+    heads = materialize(classes.groupBy("fp").agg(F.min("class").alias("head")), "near-heads")
+    near = materialize(fingerprint_links(heads.select("fp"), max_bits).distinct(), "near-fingerprints")
     crossed = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = classes.join(heads, "fp").where("class <> head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b"))
     return crossed.unionByName(same).distinct()
