@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, substrings
+from tracewright.llm import common, decontaminate, substrings
 from tracewright.llm.negatives import Packed, mine_negatives
 from tracewright.llm.periodic import periodic_runs, solved, tiles_of
 from tracewright.llm.substrings import SuffixAutomaton, drop_repeated
@@ -36,6 +38,33 @@ def test_words_hashed_in_pieces_are_the_same(monkeypatch):
             assert again[0].tolist() == starts.tolist() and again[1].tolist() == h.tolist()
 
 
+def test_word_hashes_are_polynomials_of_the_words_bytes():
+    texts = [b"a", b" ab\tb  abc", b"\xff\xfe x", "\u00e9t\u00e9 \u4e2d\u6587".encode(), b"", b" \n", b"w" * 300 + b" w"]
+    for t, h in zip(texts, common.word_hashes_of(texts)):
+        want = [sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for w in t.split()]
+        assert h.tolist() == common.mixed(np.array(want, np.uint64)).tolist()
+
+
+def test_benchmark_search_compares_an_items_own_words_alone(spark, monkeypatch):
+    r = random.Random(4)
+    item = [f"rare{i}" for i in range(24)]
+    other = [f"w{r.randrange(50)}" for _ in range(12)]
+    leak = [x for i, w in enumerate(item) for x in ([w, other[i // 2]] if i % 2 else [w])]
+    texts = [" ".join(other + leak + other), " ".join(other)]
+    h = [decontaminate.passage_hashes(t) for t in texts]
+    idf, basis = np.ones(decontaminate.SLOTS), np.linalg.qr(np.random.default_rng(0).standard_normal((decontaminate.SLOTS, 8)))[0]
+    items = decontaminate.items_of([(7, " ".join(item))], idf, basis)
+    held, compared = {}, []
+    monkeypatch.setattr(decontaminate, "LEAST_COSINE", -1.0)
+    monkeypatch.setattr(decontaminate, "_texts", lambda docs: SimpleNamespace(mapInArrow=lambda run, schema: held.update(run=run)))
+    monkeypatch.setattr(decontaminate, "lcs_length", lambda a, b, real=decontaminate.lcs_length: compared.append(b) or real(a, b))
+    decontaminate.search(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))), items, idf, basis)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), pa.array(texts)], ["doc_id", "row", "t"])
+    found = pa.Table.from_batches(held["run"](iter([batch]))).to_pylist()
+    assert [(x["doc_id"], x["item_id"], x["lcs"], x["item_words"]) for x in found] == [(0, 7, 24, 24)]
+    assert compared and all(np.isin(b, items.words[0]).all() for b in compared) and not np.isin(h[1], items.words[0]).any()
+
+
 # --- periodic runs --------------------------------------------------------------------------------
 
 

@@ -92,16 +92,18 @@ _SPACE[[*range(9, 14), 32]] = True
 _ODD = 0x9E3779B97F4A7C15
 #: Texts are hashed in pieces of at most so many bytes, whatever the length of a text or of a word.
 PIECE_BYTES = 1 << 20
-_powers = np.ones(1, np.uint64)
+#: Of each byte what it adds to its word: nothing if it is a space.
+_VALUES = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
+_powers = _inverses = np.ones(1, np.uint64)
 
 
-def _powers_to(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2^64, at least n of them; n is at most PIECE_BYTES."""
-    global _powers
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 and their inverses, at least n of them; n is at most PIECE_BYTES."""
+    global _powers, _inverses
     if len(_powers) < n:
         n = max(n, 2 * len(_powers), 256)
-        _powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, _ODD, np.uint64))), dtype=np.uint64)
-    return _powers
+        _powers, _inverses = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    return _powers, _inverses
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -121,11 +123,11 @@ def _word_sums(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, np.empty(0, np.uint64)
-    at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    values = data[starts[0] :].astype(np.uint64) + np.uint64(1)
-    values[space[starts[0] :]] = 0
-    values *= _powers_to(int(at.max()) + 1)[at]
-    return starts, np.add.reduceat(values, starts - starts[0])
+    # By the place in the piece; a word's sum is taken back to its own start.
+    powers, inverses = _powers_to(len(data))
+    values = _VALUES[data]
+    values *= powers[: len(data)]
+    return starts, np.add.reduceat(values, starts) * inverses[starts]
 
 
 def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -243,18 +243,18 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) ->
                     inside = counts[np.minimum(first + 2 * n, len(among))] - counts[first]
                     for a in first[(inside[:, 0] >= LCS_WITH_ANSWER * n - 1e-9) & (inside[:, 1] >= items.need[i])].tolist():
                         part, hits = h[start + a : min(stop, start + a + 2 * n)], np.flatnonzero(among[a : a + 2 * n])
-                        # The passage is the item's length around the middle of the item's words.
-                        hits = np.flatnonzero(np.isin(part, own))
                         if not len(hits):
                             continue
-                        mid = int(np.median(hits))
+                        # The passage is the item's length around the middle of the item's words.
+                        mid = int(hits[(len(hits) - 1) // 2] + hits[len(hits) // 2]) // 2
                         t, w = weights(slots_of(part[max(0, mid - n // 2 - 1) : mid + n // 2 + 2]), idf)
                         z = w @ basis[t]
                         cosine = float(z @ items.latent[i]) / max(float(np.linalg.norm(z)), 1e-12)
                         if cosine < LEAST_COSINE:
                             continue
-                        size = lcs_length(own, part)
-                        share, answered = size / n, lcs_length(answer, part) / len(answer) if len(answer) else 0.0
+                        held_words = part[hits]  # other words, none of which is the answer's, add nothing
+                        size = lcs_length(own, held_words)
+                        share, answered = size / n, lcs_length(answer, held_words) / len(answer) if len(answer) else 0.0
                         if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answered >= LEAST_ANSWER):
                             best = max(best or (0,), (size, answered, cosine, share))
                     if best:
