@@ -75,3 +75,9 @@ def test_near_duplicates_in_plans_of_bounded_size(spark, monkeypatch):
     words = [f"w{i} " * (i % 3) + "some words of a text that others share in part" for i in range(40)]
     assert simhash.near_duplicates(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).count() == 40
     assert max(exchanges.values()) <= 16, exchanges
+
+
+def test_suffix_tree_counting_starts_without_an_earlier_tree():
+    """Workers stay for the next query: what the last one's scoring has loaded goes before texts are counted."""
+    suffix_tree._loaded["file:/x/lm-tree-1"] = np.zeros(1000, np.int64), np.zeros(1000, np.float32)
+    assert list(suffix_tree.training(lambda batches: (len(suffix_tree._loaded) for _ in batches))(iter("ab"))) == [0, 0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_text_bytes, materialize, scratch_path, words_of
+from tracewright.llm.common import as_text_bytes, give_back, giving_back, materialize, scratch_path, words_of
 
 #: Symbols are 6 bits: the most frequent bytes have one each, the others share OTHER; END closes a text.
 BITS, SPACE, OTHER, END = 6, 0, 62, 63
@@ -31,6 +31,8 @@ BROADCAST_WORDS = 8_000_000
 #: The tree is loaded by each worker up to this many rows (12 bytes a row); beyond it, it's joined.
 BROADCAST_STATES = 24_000_000
 PIECE = 1 << 18
+#: Texts that are scored together at most: a text's place among them takes the 16 bits beside a gram's 48.
+TEXTS = 1 << 16
 #: Contexts of up to BASE symbols are one dense table; longer ones are dealt over tasks by their last NEAR symbols.
 BASE, NEAR = 2, 3
 #: Marks a context's row in the tree's table; its depth is in the three bits below.
@@ -46,6 +48,26 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words)
 
 
+_loaded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def unload() -> None:
+    """Drop the tables that an earlier scoring has left in this worker."""
+    if _loaded:
+        _loaded.clear()
+        give_back()
+
+
+def training(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that needs no table: workers stay for later queries, with the last one's tree in memory."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        unload()
+        yield from run(batches)
+
+    return giving_back(wrapped)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h long, c long): training tokens by the hash of the word, the end token's under the hash of a newline."""
 
@@ -72,7 +94,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(run, "h long, c long")
+    rows = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(training(run), "h long, c long")
     return rows.groupBy("h").agg(F.sum("c").alias("c"))
 
 
@@ -88,7 +110,7 @@ def byte_symbols(docs: DataFrame) -> np.ndarray:
                     total += np.bincount(data, minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["b", "n"])
 
-    found = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # 256 rows at most
+    found = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(training(run), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # 256 rows at most
     counts = np.zeros(256, np.int64)
     for r in found:
         counts[r["b"]] = r["n"]
@@ -205,7 +227,7 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int = DEPTH, every:
         fold()
         yield from flush()
 
-    rows = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(run, "g long, n long")
+    rows = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(training(run), "g long, n long")
     return rows.withColumn("near", near_symbols()).repartition("near").groupBy("near", "g").agg(F.sum("n").alias("n"))
 
 
@@ -257,7 +279,7 @@ def base_of(docs: DataFrame, symbols: np.ndarray) -> Base:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
 
-    found = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # 64^3 rows at most
+    found = docs.select("doc_id", as_text_bytes().alias("t")).mapInArrow(training(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # 64^3 rows at most
     flat = np.zeros(width)
     flat[found.column("g").to_numpy()] = found.column("n").to_numpy()
     counts = [flat.reshape(1 << BITS * BASE, 1 << BITS)]
@@ -279,9 +301,13 @@ def grown(g: np.ndarray, n: np.ndarray, parent: np.ndarray, depth: int, divergen
     probability less that weight, so an unseen symbol's is a context's row plus the longest suffix's row of it.
     """
     summed = {}
+    n = n.astype(np.float64)
     for k in range(depth, BASE, -1):
-        g, at = np.unique(g & ((1 << BITS * (k + 1)) - 1), return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(g))
+        g = g & ((1 << BITS * (k + 1)) - 1)
+        order = np.argsort(g)
+        g = g[order]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        g, n = g[first], np.add.reduceat(n[order], first)
         summed[k] = g, n
     levels, before = [], None
     for k in range(BASE + 1, depth + 1):
@@ -319,11 +345,14 @@ def log10_of(g: np.ndarray, keys: np.ndarray, values: np.ndarray, base: np.ndarr
 
     def found(low: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.searchsorted(keys, [low, low + (1 << 48)])
-        if a == b:
+        if a == b or not len(wanted):
             return np.zeros(len(wanted), bool), np.empty(0)
-        at = a + np.minimum(np.searchsorted(keys[a:b], wanted | low), b - a - 1)
-        hit = keys[at] == wanted | low
-        return hit, values[at[hit]]
+        # Of equal neighbours one is looked up.
+        first = np.flatnonzero(np.concatenate(([True], wanted[1:] != wanted[:-1])))
+        many, wanted = np.diff(np.append(first, len(wanted))), wanted[first] | low
+        at = a + np.minimum(np.searchsorted(keys[a:b], wanted), b - a - 1)
+        hit = keys[at] == wanted
+        return np.repeat(hit, many), np.repeat(values[at[hit]], many[hit])
 
     for k in range(BASE + 1, depth + 1):
         # A symbol's row is there only if its context's is, so contexts are looked up where a symbol has none.
@@ -374,7 +403,7 @@ def tree_rows(counts: DataFrame, parent: np.ndarray, depth: int, divergence: flo
             size += len(g) - start
         yield from chunk()
 
-    return counts.sortWithinPartitions("near").select("near", "g", "n").mapInArrow(run, "key long, value float")
+    return counts.sortWithinPartitions("near").select("near", "g", "n").mapInArrow(training(run), "key long, value float")
 
 
 def kept_grams(counts: DataFrame, depth: int, p_min: float) -> DataFrame:
@@ -457,9 +486,6 @@ def grow(rows: dict[str, np.ndarray], symbols: np.ndarray, depth: int = DEPTH, d
     return SuffixTree(child, log10, depth)
 
 
-_loaded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def loaded(uri: str, columns: tuple[str, str], rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The two columns written at `uri`, by the first; read once by a Python worker, which holds a table of each kind."""
     if uri not in _loaded:
@@ -517,21 +543,25 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
     small = v <= broadcast_words
 
     def tree_scores(texts: list[np.ndarray]) -> list[float]:
-        """Scores of texts given by their grams; each different gram of up to 4 PIECE symbols is looked up once."""
+        """Scores of up to TEXTS texts given by their grams; each different gram of up to 4 PIECE symbols is looked up once."""
         keys, values = loaded(tree_at, ("key", "value"), states)
-        every = np.concatenate(texts)
-        logs = np.empty(len(every))
+        every = np.concatenate(texts).astype(np.uint64) << np.uint64(16)
+        every |= np.repeat(np.arange(len(texts), dtype=np.uint64), list(map(len, texts)))
+        scores = np.zeros(len(texts))
         for a in range(0, len(every), 4 * PIECE):
-            g, at = np.unique(every[a : a + 4 * PIECE], return_inverse=True)
-            logs[a : a + 4 * PIECE] = log10_of(g, keys, values, *dense.value, depth, n_other)[at]
-        return np.add.reduceat(logs, np.cumsum([0, *map(len, texts[:-1])])).tolist()
+            part = every[a : a + 4 * PIECE]
+            part.sort()  # grams with their texts as one number
+            first = np.flatnonzero(np.concatenate(([True], part[1:] ^ part[:-1] > 0xFFFF)))
+            logs = log10_of((part[first] >> np.uint64(16)).astype(np.int64), keys, values, *dense.value, depth, n_other)
+            scores += np.bincount((part & np.uint64(0xFFFF)).astype(np.int64), np.repeat(logs, np.diff(np.append(first, len(part)))), len(texts))
+        return scores.tolist()
 
     def scored_texts(texts: Iterator[list[bytes]]) -> list[float]:
         out, some, size = [], [], 0
         for tokens in texts:
             some.append(turned_grams(coded(tokens, symbols), depth))
             size += len(some[-1])
-            if size > 4 * PIECE:
+            if size > 4 * PIECE or len(some) == TEXTS:
                 out += tree_scores(some)
                 some, size = [], 0
         return out + (tree_scores(some) if some else [])
@@ -571,7 +601,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
         return held.join(logs, "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("value").cast("double")).alias("score"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text_bytes().alias("t"), F.monotonically_increasing_id().alias("row"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, row long, pairs array<struct<h:long,tf:long>>, grams array<struct<h:long,tf:long>>")
+    scored = rows.mapInArrow(giving_back(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, row long, pairs array<struct<h:long,tf:long>>, grams array<struct<h:long,tf:long>>")
     if not small or not few:
         scored = materialize(scored, "lm-scored")
     every = scored
