@@ -381,6 +381,24 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
         assert encoder.encode(t).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_takes_words_with_punctuation_apart_and_keeps_what_recurs(monkeypatch):
+    encoder, encoded = wavelet.Encoder(tokenizer_path()), []
+    whole = lambda text: encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(encoder, "encoded", lambda text, f=encoder.encoded: encoded.append(text) or f(text))
+    encoder.words, encoder.first = wavelet.Pieces(wavelet.Words(encoder)), wavelet.Pieces(encoder.encoded)
+    text = "a word&&& größe%%%\nlast*** mixed.,'' it's x_y <|endoftext|> end's'\n(a)"
+    assert encoder.encode(text).tolist() == whole(text)
+    assert not {" word&&&", " größe%%%", "last***", " mixed.,''"} & set(encoded) and "&&&" in encoded
+    made: list[str] = []
+    monkeypatch.setattr(wavelet, "CACHED", 50)
+    encoder.words = wavelet.Pieces(lambda piece, f=encoder.words.encode: made.append(piece) or f(piece))
+    for k in range(40):
+        text = f"a common {' '.join(f'w{k}x{i}' for i in range(20))} x"
+        assert encoder.encode(text).tolist() == whole(text)
+        assert len(encoder.words) + len(encoder.words.older) < 2 * (50 + 22)
+    assert made.count("common") == 1 and len(made) == 40 * 20 + 2
+
+
 def test_secrets_against_python_patterns(spark, odd):
     key = "c9Xk2LmQ7vRt5ZbW1aPsD8fG"
     texts = [f'x password = "{key}" y', "Token:short1 secret : abcdefghijklmnop", "AKIA" + "Z9" * 8 + " é 0123456789abcdef0 x", "token: secret: abcdefghijklmnopqrst", f"plain\n{key}{key[::-1]} tail", "averyveryverylongordinarywordindeed", None, "", "AKIAAKIA12"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -28,9 +30,9 @@ END_ID = 0
 #: Where texts are cut: before a space that a non-space follows. The pre-tokenizer always ends a piece there.
 CUT = re.compile(r" (?=\S)")
 #: Letters below this one, and then maybe punctuation: one or two pre-tokens, whatever stands around them.
-LATIN_END, PUNCTUATION = "\u0250", ".,;:!?|"
-#: Pieces of up to so many characters are kept, so many of them at most (and those of one text more): 0.4 GB at the very most, usually half.
-LONGEST_CACHED, CACHED = 32, 1_000_000
+LATIN_END, PUNCTUATION = "\u0250", string.punctuation
+#: Pieces of up to so many characters are kept, so many of them at most (and those of one text more), and as many that came before: some 0.2 KB each.
+LONGEST_CACHED, CACHED = 32, 300_000
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -41,65 +43,65 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """Token bytes of pieces of text, filled as they're met; long pieces aren't kept, and encode() bounds how many are."""
+    """What `encode` makes of pieces of text, filled as they're met; long pieces aren't kept.
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    `younger` bounds how many are: what is met again stays, and a piece that occurs once goes after a while.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes | None], older: dict | None = None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, older or {}
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self.encode(piece)
+    def __missing__(self, piece: str) -> bytes | None:
+        out = self.older.get(piece)
+        if out is None:
+            out = self.encode(piece)
         if len(piece) <= LONGEST_CACHED:
             self[piece] = out
         return out
 
+    def younger(self) -> Pieces:
+        """This, or an empty one that looks here for what it lacks if this is full."""
+        if len(self) < CACHED:
+            return self
+        self.older = {}
+        return Pieces(self.encode, self)
 
-class Words(dict):
-    """Token bytes of what stands between single spaces, with the space before it.
+
+class Words:
+    """Encodes what stands between single spaces, with the space before it.
 
     A piece that starts with a line end is that and what follows it, without a space. None where
     white space adjoins white space, so that no cut may be made there.
     """
 
     def __init__(self, encoder: Encoder):
-        super().__init__()
         self.encoder, self.tokenize, self.kind = encoder, encoder.model.tokenize, encoder.kind
-        self.space, self.tails = encoder.spelled(" "), Pieces(lambda tail: encoder.encoded(tail))
+        self.space, self.tails = encoder.spelled(" "), Pieces(encoder.encoded)
 
-    def __missing__(self, piece: str) -> bytes | None:
+    def __call__(self, piece: str) -> bytes | None:
         if piece.isalpha():
-            if piece.isascii():
-                out = array(self.kind, [t.id for t in self.tokenize(self.space + piece)]).tobytes()
-            else:
-                out = self.letters(piece, self.space)
-        else:
-            out = self.other(piece)
-        if len(piece) <= LONGEST_CACHED:
-            self[piece] = out
-        return out
+            return self.letters(piece, self.space)
+        line = piece[:1] == "\n"
+        body = piece[1:] if line else piece
+        stem = body.rstrip(PUNCTUATION)
+        if stem.isalpha():  # the punctuation after letters is a pre-token of its own
+            out = self.letters(stem, "" if line else self.space)
+            if len(stem) < len(body):
+                out += self.tails[body[len(stem) :]]
+            return self.encoder.newline + out if line else out
+        if body.split() != [body]:
+            return None
+        return self.encoder.newline + self.encoder.encoded(body) if line else self.encoder.encoded(" " + body)
 
     def letters(self, stem: str, before: str) -> bytes:
         """Letters are one pre-token, with a space before them or not."""
+        if stem.isascii():
+            return array(self.kind, [t.id for t in self.tokenize(before + stem)]).tobytes()
         if max(stem) < LATIN_END:
             return array(self.kind, [t.id for t in self.tokenize(before + self.encoder.spelled(stem))]).tobytes()
         return self.encoder.encoded((" " if before else "") + stem)
 
-    def other(self, piece: str) -> bytes | None:
-        stem = piece.rstrip(PUNCTUATION)
-        if stem.isalpha():  # the punctuation after letters is a pre-token of its own
-            return (self.get(stem) or self.letters(stem, self.space)) + self.tails[piece[len(stem) :]]
-        line = piece[:1] == "\n"
-        body = piece[1:] if line else piece
-        if body.split() != [body]:
-            return None
-        if not line:
-            return self.encoder.encoded(" " + body)
-        stem = body.rstrip(PUNCTUATION)
-        if stem.isalpha():
-            tail = body[len(stem) :]
-            return self.encoder.newline + self.letters(stem, "") + (self.tails[tail] if tail else b"")
-        return self.encoder.newline + self.encoder.encoded(body)
-
 
 class Encoder:
     """A byte-level BPE tokenizer over whole texts, each distinct short piece encoded once while it stays in a bounded cache."""
@@ -112,14 +114,14 @@ class Encoder:
         self.model = self.tokenizer.model
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.kind = "H" if self.width is np.uint16 else "I"
-        self.table = byte_alphabet()
+        self.table = "".join(shown for _, shown in sorted(byte_alphabet().items()))
         self.newline = self.encoded("\n")
-        self.words, self.first = Words(self), Pieces(self.encoded)
+        self.words, self.first = Pieces(Words(self)), Pieces(self.encoded)
         self.loose = Pieces(lambda piece: self.encoded(" " + piece))
 
     def spelled(self, text: str) -> str:
         """Text in the vocabulary's letters for bytes."""
-        return text.encode().decode("latin-1").translate(self.table)
+        return codecs.charmap_decode(text.encode(), "strict", self.table)[0]
 
     def encoded(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -130,8 +132,7 @@ class Encoder:
         The pre-tokenizer ends a piece before a space that a non-space follows, and a line end between
         non-spaces is a piece of its own; texts with other white space are cut at such spaces only.
         """
-        if len(self.words) + len(self.first) + len(self.loose) > CACHED:
-            self.words.clear(), self.first.clear(), self.loose.clear()
+        self.words, self.first, self.loose = self.words.younger(), self.first.younger(), self.loose.younger()
         head, *rest = text.replace("\n", " \n").split(" ")
         try:
             data = b"".join([self.first[head], *map(self.words.__getitem__, rest)])
@@ -177,9 +178,11 @@ class WaveletMatrix:
             before.append(np.concatenate(([0], np.cumsum(sums))))
             data = plane.tobytes()
             chunks.append([pack.compress(data[a : a + CHUNK]) for a in range(0, len(data), CHUNK)])
-            one, zero = np.flatnonzero(bit), np.flatnonzero(~bit)
+            # Arrow parts by the plane itself, without a number for each place.
+            values = pa.array(s)
+            zero, one = (values.filter(pa.BooleanArray.from_buffers(pa.bool_(), len(s), [None, pa.py_buffer(x)])).to_numpy() for x in (~plane, plane))
             zeros.append(len(zero))
-            s = np.concatenate((s.take(zero), s.take(one)))  # by places: masks of random bits are slow
+            s = np.concatenate((zero, one))
         return cls(len(ids), levels, zeros, chunks, before)
 
     def _chunk(self, level: int, k: int) -> np.ndarray:
