@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -358,6 +359,17 @@ def test_wavelet_access_rank_select_and_save():
     assert m.count(2) == 0 and m.occurrences(1) == [1]
 
 
+def test_wavelet_build_holds_no_number_for_each_place():
+    ids = np.random.default_rng(2).integers(0, 50_000, 1_000_000).astype(np.uint16)
+    wavelet.WaveletMatrix.build(ids[:1000])
+    tracemalloc.start()
+    try:
+        wavelet.WaveletMatrix.build(ids)
+        assert tracemalloc.get_traced_memory()[1] < 16 * len(ids)
+    finally:
+        tracemalloc.stop()
+
+
 def test_token_shards_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
