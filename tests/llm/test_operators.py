@@ -411,6 +411,18 @@ def test_encoder_takes_words_with_punctuation_apart_and_keeps_what_recurs(monkey
     assert made.count("common") == 1 and len(made) == 40 * 20 + 2
 
 
+def test_descents_give_what_searches_of_the_rows_give():
+    r, depth = np.random.default_rng(5), 6
+    s = np.minimum(r.geometric(0.3, 20_000), 63).astype(np.int64)
+    unseen = np.concatenate((s[:3000], r.integers(0, 64, 3000)))
+    base = np.log10(parent := r.dirichlet(np.ones(64), 64 * 64))
+    g, n = np.unique(suffix_tree.grams(s, depth), return_counts=True)
+    for rows in (suffix_tree.grown(g, n, parent, depth, 3.0, 2), (np.empty(0, np.int64), np.empty(0, np.float32))):
+        want = suffix_tree.log10_of(suffix_tree.turned_grams(unseen, depth), *rows, base, parent, depth, 7)
+        got = suffix_tree.Descents(*rows, base, parent, depth, 7).log10_of(np.concatenate((np.zeros(depth, np.uint8), unseen.astype(np.uint8))))
+        assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
 def test_secrets_against_python_patterns(spark, odd):
     key = "c9Xk2LmQ7vRt5ZbW1aPsD8fG"
     texts = [f'x password = "{key}" y', "Token:short1 secret : abcdefghijklmnop", "AKIA" + "Z9" * 8 + " é 0123456789abcdef0 x", "token: secret: abcdefghijklmnopqrst", f"plain\n{key}{key[::-1]} tail", "averyveryverylongordinarywordindeed", None, "", "AKIAAKIA12"]

@@ -31,8 +31,8 @@ BROADCAST_WORDS = 8_000_000
 #: The tree is loaded by each worker up to this many rows (12 bytes a row); beyond it, it's joined.
 BROADCAST_STATES = 24_000_000
 PIECE = 1 << 18
-#: Texts that are scored together at most: a text's place among them takes the 16 bits beside a gram's 48.
-TEXTS = 1 << 16
+#: Ends the name under which a worker holds the tree's nodes.
+DESCENTS = "#nodes"
 #: Contexts of up to BASE symbols are one dense table; longer ones are dealt over tasks by their last NEAR symbols.
 BASE, NEAR = 2, 3
 #: Marks a context's row in the tree's table; its depth is in the three bits below.
@@ -48,7 +48,7 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words)
 
 
-_loaded: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_loaded: dict[str, tuple[np.ndarray, np.ndarray] | Descents] = {}
 
 
 def unload() -> None:
@@ -368,6 +368,87 @@ def log10_of(g: np.ndarray, keys: np.ndarray, values: np.ndarray, base: np.ndarr
     return np.where(sym == OTHER, out - math.log10(n_other), out)
 
 
+class Descents:
+    """The tree's rows as nodes that lead to their children: a step down is a bit of a mask and a count of the bits before it.
+
+    A row of k + 1 symbols is there only if its first k are, so from the sorted rows the children of a
+    node stand together. Rows of contexts (STATE) have nodes of their own, to which those of symbols lead.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, base: np.ndarray, parent: np.ndarray, depth: int, n_other: int):
+        self.depth, self.base, self.parent = depth, base.ravel(), np.log10(parent).ravel()
+        self.other = math.log10(n_other)
+        n = int(np.searchsorted(keys, STATE))
+        self.values, self.weights = values[:n].copy(), values[n:].copy()
+        self.roots, self.nodes, _ = self._tree(keys[:n], 0, 1)
+        self.context_roots, self.contexts, _ = self._tree(keys[n:], STATE, 0)
+        self.context_of = np.empty(n, np.int32)
+        for k in range(BASE + 1, depth + 1):
+            a, b = np.searchsorted(keys[:n], [k << 48, k + 1 << 48])
+            wanted = keys[a:b] & ((1 << BITS * k) - 1) | k << 48 | STATE
+            self.context_of[a:b] = np.searchsorted(keys[n:], wanted)
+
+    def _tree(self, keys: np.ndarray, mark: int, more: int) -> tuple[tuple, tuple, int]:
+        """Masks and first children of the roots (all of BASE + more symbols, the last first) and of the nodes above the deepest level."""
+        bounds = [int(x) for x in np.searchsorted(keys, [mark | k << 48 for k in range(BASE + 1, self.depth + 2)])]
+        roots = np.zeros(1 << BITS * (BASE + more), np.uint64), np.zeros(1 << BITS * (BASE + more), np.int32)
+        inner = np.zeros(bounds[-2], np.uint64), np.zeros(bounds[-2], np.int32)
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            own = keys[a:b] & ((1 << 48) - 1)
+            if not len(own):
+                continue
+            up = own >> BITS
+            first = np.flatnonzero(np.concatenate(([True], up[1:] != up[:-1])))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (own & MASK).astype(np.uint64), first)
+            if i:
+                lo = bounds[i - 1]
+                at = lo + np.searchsorted(keys[lo:a], up[first] | mark | BASE + i << 48)
+                masks, firsts = inner
+            else:
+                at = turned(up[first], BASE + more)
+                masks, firsts = roots
+            masks[at], firsts[at] = bits, a + first
+        return roots, inner, bounds[-1]
+
+    @staticmethod
+    def _down(tree: tuple[np.ndarray, np.ndarray], node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which nodes have a child by that symbol, which have none, and the children."""
+        mask, symbol = tree[0][node], symbol.astype(np.uint64)
+        hit = (mask >> symbol & np.uint64(1)).astype(bool)
+        there = np.flatnonzero(hit)
+        before = np.bitwise_count(mask[there] & ((np.uint64(1) << symbol[there]) - np.uint64(1)))
+        return there, np.flatnonzero(~hit), tree[1][node[there]] + before
+
+    def log10_of(self, s: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol from place `depth` on after the longest kept suffix of the symbols before it."""
+        back = [s[self.depth - k : len(s) - k] for k in range(self.depth + 1)]
+        near = back[2].astype(np.int32) << BITS | back[1]
+        root = near << BITS | back[0]
+        seen, state = np.full(len(root), -1, np.int32), np.full(len(root), -1, np.int32)
+        left, node, tree = np.arange(len(root)), root, self.roots
+        loose, context = np.empty(0, np.int64), np.empty(0, np.int32)
+        for k in range(BASE + 1, self.depth + 1):
+            there, lost, child = self._down(tree, node, back[k][left])
+            # Where the symbol has no row, its context may still have one.
+            if k == BASE + 1:
+                at, of = left[lost], near[lost]
+            else:
+                at, of = np.concatenate((loose, left[lost])), np.concatenate((context, self.context_of[node[lost]]))
+            left, node, tree = left[there], child, self.nodes
+            seen[left] = node
+            found, _, context = self._down(self.context_roots if k == BASE + 1 else self.contexts, of, back[k][at])
+            loose = at[found]
+            state[loose] = context
+        known = seen >= 0
+        at = np.flatnonzero(known & (state < 0))
+        state[at] = self.context_of[seen[at]]
+        out = self.base[root]
+        at = np.flatnonzero(state >= 0)
+        out[at] = np.where(known[at], self.values[seen[at]], self.parent[root[at]]) + self.weights[state[at]].astype(np.float64) if len(self.values) else out[at]
+        out[back[0] == OTHER] -= self.other
+        return out
+
+
 def tree_rows(counts: DataFrame, parent: np.ndarray, depth: int, divergence: float, least: int, scorer=None) -> DataFrame:
     """The tree's rows (key, value), or with a scorer every gram with its log10 probability, group by group of `near`."""
     held = counts.sparkSession.sparkContext.broadcast(parent)
@@ -505,6 +586,19 @@ def loaded(uri: str, columns: tuple[str, str], rows: int) -> tuple[np.ndarray, n
     return _loaded[uri]
 
 
+def descents(uri: str, rows: int, *more) -> Descents:
+    """The tree written at `uri` as nodes, made once by a Python worker, which holds one tree."""
+    if uri + DESCENTS not in _loaded:
+        for other in [u for u in _loaded if u.endswith(DESCENTS)]:
+            del _loaded[other]
+        keys, values = loaded(uri, ("key", "value"), rows)
+        del _loaded[uri]
+        _loaded[uri + DESCENTS] = Descents(keys, values, *more)
+        del keys, values
+        give_back()
+    return _loaded[uri + DESCENTS]
+
+
 def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, divergence: float = DIVERGENCE, broadcast_words: int = BROADCAST_WORDS, broadcast_states: int = BROADCAST_STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
@@ -543,25 +637,20 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
     small = v <= broadcast_words
 
     def tree_scores(texts: list[np.ndarray]) -> list[float]:
-        """Scores of up to TEXTS texts given by their grams; each different gram of up to 4 PIECE symbols is looked up once."""
-        keys, values = loaded(tree_at, ("key", "value"), states)
-        every = np.concatenate(texts).astype(np.uint64) << np.uint64(16)
-        every |= np.repeat(np.arange(len(texts), dtype=np.uint64), list(map(len, texts)))
-        scores = np.zeros(len(texts))
-        for a in range(0, len(every), 4 * PIECE):
-            part = every[a : a + 4 * PIECE]
-            part.sort()  # grams with their texts as one number
-            first = np.flatnonzero(np.concatenate(([True], part[1:] ^ part[:-1] > 0xFFFF)))
-            logs = log10_of((part[first] >> np.uint64(16)).astype(np.int64), keys, values, *dense.value, depth, n_other)
-            scores += np.bincount((part & np.uint64(0xFFFF)).astype(np.int64), np.repeat(logs, np.diff(np.append(first, len(part)))), len(texts))
-        return scores.tolist()
+        """Scores of some texts, each with `depth` times SPACE before its symbols."""
+        tree, every = descents(tree_at, states, *dense.value, depth, n_other), np.concatenate(texts)
+        logs = np.concatenate([tree.log10_of(every[a : a + PIECE + depth]) for a in range(0, len(every) - depth, PIECE)])
+        ends = np.cumsum(list(map(len, texts)))
+        # A text's own symbols, and then what stands between it and the next one.
+        bounds = np.column_stack((ends - list(map(len, texts)), ends - depth)).ravel()[:-1]
+        return np.add.reduceat(logs, bounds)[::2].tolist()
 
     def scored_texts(texts: Iterator[list[bytes]]) -> list[float]:
         out, some, size = [], [], 0
         for tokens in texts:
-            some.append(turned_grams(coded(tokens, symbols), depth))
+            some.append(np.concatenate((np.zeros(depth, np.uint8), coded(tokens, symbols).astype(np.uint8))))
             size += len(some[-1])
-            if size > 4 * PIECE or len(some) == TEXTS:
+            if size > 4 * PIECE:
                 out += tree_scores(some)
                 some, size = [], 0
         return out + (tree_scores(some) if some else [])
