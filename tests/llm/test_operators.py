@@ -423,6 +423,29 @@ def test_descents_give_what_searches_of_the_rows_give():
         assert np.allclose(got, want, rtol=1e-12, atol=0)
 
 
+def test_texts_are_scored_by_each_different_gram_once(monkeypatch):
+    r, depth = np.random.default_rng(6), 7
+    s = np.minimum(r.geometric(0.3, 20_000), 63).astype(np.int64)
+    base = np.log10(parent := r.dirichlet(np.ones(64), 64 * 64))
+    tree = suffix_tree.Descents(*suffix_tree.grown(*np.unique(suffix_tree.grams(s, depth), return_counts=True), parent, depth, 3.0, 2), base, parent, depth, 7)
+    pad = np.zeros(depth, np.uint8)
+    texts = [np.concatenate((pad, s[a : a + n].astype(np.uint8))) for a, n in ((0, 5000), (3, 1), (100, 3000), (0, 5000), (9000, 900))]
+    want = [math.fsum(tree.log10_of(t)) for t in texts]
+    looked: list[int] = []
+    monkeypatch.setattr(suffix_tree.Descents, "of_grams", lambda self, g, f=suffix_tree.Descents.of_grams: looked.append(len(g)) or f(self, g))
+    assert tree.scores(texts) == pytest.approx(want, rel=1e-12)
+    assert sum(looked) == len(np.unique(np.concatenate([suffix_tree.turned_grams(t.astype(np.int64), depth)[depth:] for t in texts]))) < 9000
+    rows = suffix_tree.grown(*np.unique(suffix_tree.grams(s, depth), return_counts=True), parent, depth, 3.0, 2)
+    monkeypatch.setattr(suffix_tree, "PIECE", 97)  # nodes whose children stand in several pieces
+    again = suffix_tree.Descents(*rows, base, parent, depth, 7)
+    for name in ("roots", "nodes", "context_roots", "contexts"):
+        assert all(np.array_equal(x, y) for x, y in zip(getattr(again, name), getattr(tree, name)))
+    assert np.array_equal(again.context_of, tree.context_of)
+    for n in (1000, 5001, 5007):  # texts that go on in the next piece, and pieces that end between texts
+        monkeypatch.setattr(suffix_tree, "TOGETHER", n)
+        assert tree.scores(texts) == pytest.approx(want, rel=1e-12)
+
+
 def test_secrets_against_python_patterns(spark, odd):
     key = "c9Xk2LmQ7vRt5ZbW1aPsD8fG"
     texts = [f'x password = "{key}" y', "Token:short1 secret : abcdefghijklmnop", "AKIA" + "Z9" * 8 + " é 0123456789abcdef0 x", "token: secret: abcdefghijklmnopqrst", f"plain\n{key}{key[::-1]} tail", "averyveryverylongordinarywordindeed", None, "", "AKIAAKIA12"]

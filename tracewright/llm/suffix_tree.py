@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ BROADCAST_WORDS = 8_000_000
 #: The tree is loaded by each worker up to this many rows (12 bytes a row); beyond it, it's joined.
 BROADCAST_STATES = 24_000_000
 PIECE = 1 << 18
+#: Texts are scored together, up to about so many symbols at a time and fewer than 2^16 texts: the more, the more of their grams are equal.
+TOGETHER = 1 << 21
 #: Ends the name under which a worker holds the tree's nodes.
 DESCENTS = "#nodes"
 #: Contexts of up to BASE symbols are one dense table; longer ones are dealt over tasks by their last NEAR symbols.
@@ -48,6 +51,14 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words)
 
 
+class Numbers(dict):
+    """Numbers from 0 on for different keys, in the order in which they're first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 _loaded: dict[str, tuple[np.ndarray, np.ndarray] | Descents] = {}
 
 
@@ -154,6 +165,11 @@ def turned_grams(s: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
 def summed_counts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From (gram << 16 | count), which it sorts in place: the same with a row for each gram, and grams and counts of what is beyond 16 bits."""
     packed.sort()
@@ -379,14 +395,15 @@ class Descents:
         self.depth, self.base, self.parent = depth, base.ravel(), np.log10(parent).ravel()
         self.other = math.log10(n_other)
         n = int(np.searchsorted(keys, STATE))
-        self.values, self.weights = values[:n].copy(), values[n:].copy()
+        self.values, self.weights = values[:n], values[n:]
         self.roots, self.nodes, _ = self._tree(keys[:n], 0, 1)
         self.context_roots, self.contexts, _ = self._tree(keys[n:], STATE, 0)
         self.context_of = np.empty(n, np.int32)
         for k in range(BASE + 1, depth + 1):
-            a, b = np.searchsorted(keys[:n], [k << 48, k + 1 << 48])
-            wanted = keys[a:b] & ((1 << BITS * k) - 1) | k << 48 | STATE
-            self.context_of[a:b] = np.searchsorted(keys[n:], wanted)
+            a, b = (int(x) for x in np.searchsorted(keys[:n], [k << 48, k + 1 << 48]))
+            for i in range(a, b, PIECE):  # so that there is room for a piece's numbers only beside the tree
+                own = slice(i, min(i + PIECE, b))
+                self.context_of[own] = np.searchsorted(keys[n:], keys[own] & ((1 << BITS * k) - 1) | k << 48 | STATE)
 
     def _tree(self, keys: np.ndarray, mark: int, more: int) -> tuple[tuple, tuple, int]:
         """Masks and first children of the roots (all of BASE + more symbols, the last first) and of the nodes above the deepest level."""
@@ -394,20 +411,20 @@ class Descents:
         roots = np.zeros(1 << BITS * (BASE + more), np.uint64), np.zeros(1 << BITS * (BASE + more), np.int32)
         inner = np.zeros(bounds[-2], np.uint64), np.zeros(bounds[-2], np.int32)
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            own = keys[a:b] & ((1 << 48) - 1)
-            if not len(own):
-                continue
-            up = own >> BITS
-            first = np.flatnonzero(np.concatenate(([True], up[1:] != up[:-1])))
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (own & MASK).astype(np.uint64), first)
-            if i:
-                lo = bounds[i - 1]
-                at = lo + np.searchsorted(keys[lo:a], up[first] | mark | BASE + i << 48)
-                masks, firsts = inner
-            else:
-                at = turned(up[first], BASE + more)
-                masks, firsts = roots
-            masks[at], firsts[at] = bits, a + first
+            for start in range(a, b, PIECE):  # as above; a node's children may stand in several pieces
+                own = keys[start : min(start + PIECE, b)] & ((1 << 48) - 1)
+                up = own >> BITS
+                first = runs(up)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (own & MASK).astype(np.uint64), first)
+                if i:
+                    lo = bounds[i - 1]
+                    at = lo + np.searchsorted(keys[lo:a], up[first] | mark | BASE + i << 48)
+                    masks, firsts = inner
+                else:
+                    at = turned(up[first], BASE + more)
+                    masks, firsts = roots
+                firsts[at] = np.where(masks[at] > 0, firsts[at], start + first)
+                masks[at] |= bits
         return roots, inner, bounds[-1]
 
     @staticmethod
@@ -421,33 +438,77 @@ class Descents:
 
     def log10_of(self, s: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol from place `depth` on after the longest kept suffix of the symbols before it."""
-        back = [s[self.depth - k : len(s) - k] for k in range(self.depth + 1)]
-        near = back[2].astype(np.int32) << BITS | back[1]
-        root = near << BITS | back[0]
-        seen, state = np.full(len(root), -1, np.int32), np.full(len(root), -1, np.int32)
-        left, node, tree = np.arange(len(root)), root, self.roots
-        loose, context = np.empty(0, np.int64), np.empty(0, np.int32)
+        return self.of_grams(turned_grams(s.astype(np.int64), self.depth)[self.depth :])
+
+    def of_grams(self, g: np.ndarray) -> np.ndarray:
+        """log10 probability of each turned gram's symbol after the longest kept suffix of its context; fast if they're sorted.
+
+        Neighbours that begin alike take the steps of what they share together.
+        """
+        begun, many = [g], []
+        for _ in range(BASE + 1, self.depth):
+            up = begun[-1] >> BITS
+            first = runs(up)
+            begun.append(up[first])
+            many.append(np.diff(np.append(first, len(up))))
+        now = begun.pop()
+        own, near = now >> BITS * (BASE + 1), turned(now >> BITS, BASE)
+        root = near << BITS | own
+        seen, state = np.full(len(now), -1, np.int32), np.full(len(now), -1, np.int32)
+        left, loose = np.arange(len(now)), np.empty(0, np.int64)
         for k in range(BASE + 1, self.depth + 1):
-            there, lost, child = self._down(tree, node, back[k][left])
+            symbol = now & MASK
+            there, lost, child = self._down(self.roots if k == BASE + 1 else self.nodes, root if k == BASE + 1 else seen[left], symbol[left])
             # Where the symbol has no row, its context may still have one.
             if k == BASE + 1:
                 at, of = left[lost], near[lost]
             else:
-                at, of = np.concatenate((loose, left[lost])), np.concatenate((context, self.context_of[node[lost]]))
-            left, node, tree = left[there], child, self.nodes
-            seen[left] = node
-            found, _, context = self._down(self.context_roots if k == BASE + 1 else self.contexts, of, back[k][at])
+                at, of = np.concatenate((loose, left[lost])), np.concatenate((state[loose], self.context_of[seen[left[lost]]]))
+            left = left[there]
+            seen[left] = child
+            found, _, context = self._down(self.context_roots if k == BASE + 1 else self.contexts, of, symbol[at])
             loose = at[found]
             state[loose] = context
+            if begun:
+                going, held = np.zeros(len(now), bool), np.zeros(len(now), bool)
+                going[left], held[loose] = True, True
+                again = np.repeat(np.arange(len(now), dtype=np.int32), many.pop())
+                seen, state, root = seen[again], state[again], root[again]
+                left, loose, now = np.flatnonzero(going[again]), np.flatnonzero(held[again]), begun.pop()
         known = seen >= 0
         at = np.flatnonzero(known & (state < 0))
         state[at] = self.context_of[seen[at]]
         out = self.base[root]
         at = np.flatnonzero(state >= 0)
         out[at] = np.where(known[at], self.values[seen[at]], self.parent[root[at]]) + self.weights[state[at]].astype(np.float64) if len(self.values) else out[at]
-        out[back[0] == OTHER] -= self.other
+        out[root & MASK == OTHER] -= self.other
         return out
 
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The log10 probabilities of fewer than 2^16 texts, each with `depth` times SPACE before its symbols.
+
+        Each different gram is looked up once, in sorted order: grams are sorted with their text's number below them.
+        """
+        every, lengths = np.concatenate(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        text, total = np.repeat(np.arange(len(texts), dtype=np.uint16), lengths), np.zeros(len(texts))
+        inside = np.ones(len(every), bool)
+        starts = np.cumsum(lengths) - lengths
+        for k in range(self.depth):
+            inside[starts + k] = False
+        for a in range(self.depth, len(every), TOGETHER):
+            b = a + TOGETHER
+            packed = turned_grams(every[a - self.depth : b].astype(np.int64), self.depth)[self.depth :].view(np.uint64)
+            packed <<= np.uint64(16)
+            packed |= text[a:b]
+            packed = packed[inside[a:b]]
+            packed.sort()
+            g = (packed >> np.uint64(16)).astype(np.int64)
+            first = runs(g)
+            many, g = np.diff(np.append(first, len(g))), g[first]
+            logs = np.concatenate([self.of_grams(g[i : i + PIECE]) for i in range(0, len(g), PIECE)] or [np.empty(0)])
+            total += np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), np.repeat(logs, many), len(texts))
+        return total
+
 
 def tree_rows(counts: DataFrame, parent: np.ndarray, depth: int, divergence: float, least: int, scorer=None) -> DataFrame:
     """The tree's rows (key, value), or with a scorer every gram with its log10 probability, group by group of `near`."""
@@ -586,6 +647,17 @@ def loaded(uri: str, columns: tuple[str, str], rows: int) -> tuple[np.ndarray, n
     return _loaded[uri]
 
 
+def counts_of(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each hash by a table sorted by its keys, 0 for those that it lacks; asked for in sorted order, near places follow one another."""
+    out = np.zeros(len(h), np.int64)
+    if len(keys):
+        order = np.argsort(h)
+        at = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
+        hit = keys[at] == h[order]
+        out[order[hit]] = counts[at[hit]]
+    return out
+
+
 def descents(uri: str, rows: int, *more) -> Descents:
     """The tree written at `uri` as nodes, made once by a Python worker, which holds one tree."""
     if uri + DESCENTS not in _loaded:
@@ -636,51 +708,55 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAS
     floor = total + 0.5 * (v + 1)
     small = v <= broadcast_words
 
-    def tree_scores(texts: list[np.ndarray]) -> list[float]:
-        """Scores of some texts, each with `depth` times SPACE before its symbols."""
-        tree, every = descents(tree_at, states, *dense.value, depth, n_other), np.concatenate(texts)
-        logs = np.concatenate([tree.log10_of(every[a : a + PIECE + depth]) for a in range(0, len(every) - depth, PIECE)])
-        ends = np.cumsum(list(map(len, texts)))
-        # A text's own symbols, and then what stands between it and the next one.
-        bounds = np.column_stack((ends - list(map(len, texts)), ends - depth)).ravel()[:-1]
-        return np.add.reduceat(logs, bounds)[::2].tolist()
-
-    def scored_texts(texts: Iterator[list[bytes]]) -> list[float]:
-        out, some, size = [], [], 0
-        for tokens in texts:
-            some.append(np.concatenate((np.zeros(depth, np.uint8), coded(tokens, symbols).astype(np.uint8))))
-            size += len(some[-1])
-            if size > 4 * PIECE:
-                out += tree_scores(some)
-                some, size = [], 0
-        return out + (tree_scores(some) if some else [])
+    def grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
+        """The words of some rows' texts at a time, and the place of the first row."""
+        some, size, start = [], 0, 0
+        for i, text in enumerate(batch.column(1)):
+            data = text.as_py()
+            if some and (size + len(data) > TOGETHER or len(some) >= 0xFFFF):
+                yield start, some
+                some, size, start = [], 0, i
+            some.append(words_of(data))
+            size += len(data)
+        if some:
+            yield start, some
+
+    def tree_scores(texts: list[list[bytes]]) -> list[float]:
+        before = np.zeros(depth, np.uint8)
+        return descents(tree_at, states, *dense.value, depth, n_other).scores([np.concatenate((before, coded(t, symbols).astype(np.uint8))) for t in texts]).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
+        numbers = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())]))
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("row", pa.int64()), ("pairs", numbers), ("grams", numbers)])
         for batch in batches:
-            out = []
-            scores = scored_texts(words_of(t.as_py()) for t in batch.column(1)) if few else [0.0] * len(batch)
-            for doc_id, text, row, score in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), scores):
-                tokens = words_of(text.as_py())
-                distinct = Counter(tokens)
-                distinct[b"\n"] = 1  # no word is a newline
-                h = np.fromiter((digest(w) for w in distinct), np.uint64, len(distinct)).astype(np.int64)
-                tf = np.fromiter(distinct.values(), np.int64, len(distinct))
-                known, base, pairs = None, None, None
+            if few:  # read before any words are held
+                descents(tree_at, states, *dense.value, depth, n_other)
+            doc_ids, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for at, texts in grouped(batch):
+                n = len(texts)
+                scores = tree_scores(texts) if few else [0.0] * n
+                grams_of = [None] * n
+                if not few:
+                    grams_of = [[{"h": a, "tf": b} for a, b in zip(*(x.tolist() for x in np.unique(grams(coded(t, symbols), depth), return_counts=True)))] for t in texts]
+                # Each different word of these texts has a number and is hashed and looked up once; no word is a newline.
+                number = Numbers()
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                word = np.fromiter(map(number.__getitem__, chain.from_iterable(chain(t, (b"\n",)) for t in texts)), np.int32, ends[-1])
+                starts = np.append(0, ends[:-1])
+                h = np.fromiter(map(digest, number), np.uint64, len(number)).astype(np.int64)
+                known, base, pairs = [None] * n, [None] * n, [None] * n
                 if small:
-                    keys, values = loaded(words_at, ("h", "c"), v)
-                    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                    c = np.where(keys[at] == h, values[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-                    known, base = int(tf[c > 0].sum()), float((tf * np.log10((c + 0.5) / floor)).sum())
+                    c = counts_of(h, *loaded(words_at, ("h", "c"), v))
+                    known = np.add.reduceat((c > 0)[word], starts, dtype=np.int64).tolist()
+                    base = np.add.reduceat(np.log10((c + 0.5) / floor)[word], starts).tolist()
                 else:
-                    pairs = [{"h": int(a), "tf": int(b)} for a, b in zip(h, tf)]
-                own = None
-                if not few:
-                    g, n = np.unique(grams(coded(tokens, symbols), depth), return_counts=True)
-                    own = [{"h": a, "tf": b} for a, b in zip(g.tolist(), n.tolist())]
-                out.append((doc_id, held_out(doc_id), len(tokens) + 1, known, total, base, score, row, pairs, own))
-            schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("row", pa.int64()), ("pairs", (numbers := pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())])))), ("grams", numbers)])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+                    for i, (a, b) in enumerate(zip(starts, ends)):
+                        own, tf = np.unique(word[a:b], return_counts=True)
+                        pairs[i] = [{"h": x, "tf": y} for x, y in zip(h[own].tolist(), tf.tolist())]
+                ids = doc_ids[at : at + n]
+                columns = ids, map(held_out, ids), ends - starts, known, [total] * n, base, scores, rows[at : at + n], pairs, grams_of
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema)], schema=schema)
 
     def joined_scores(texts: DataFrame) -> DataFrame:
         """(row, score): each text's different grams joined to the log10 probability of each gram of the corpus."""
