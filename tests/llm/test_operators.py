@@ -411,6 +411,15 @@ def test_encoder_takes_words_with_punctuation_apart_and_keeps_what_recurs(monkey
     assert made.count("common") == 1 and len(made) == 40 * 20 + 2
 
 
+def test_encoder_encodes_a_word_once_whatever_punctuation_follows():
+    encoder, made = wavelet.Encoder(tokenizer_path()), []
+    words = encoder.words.encode
+    words.tokenize = lambda text, f=words.tokenize: made.append(text) or f(text)
+    text = "so word, (word) größe; word. größe word!? word größe... word,\nword größe"
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [made.count(encoder.spelled(" " + w)) for w in ("word", "größe")] == [1, 1]
+
+
 def test_descents_give_what_searches_of_the_rows_give():
     r, depth = np.random.default_rng(5), 6
     s = np.minimum(r.geometric(0.3, 20_000), 63).astype(np.int64)

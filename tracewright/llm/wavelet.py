@@ -81,12 +81,15 @@ class Words:
 
     def __call__(self, piece: str) -> bytes | None:
         if piece.isalpha():
+            if piece.isascii():  # most pieces, without another call
+                return array(self.kind, [t.id for t in self.tokenize(self.space + piece)]).tobytes()
             return self.letters(piece, self.space)
         line = piece[:1] == "\n"
         body = piece[1:] if line else piece
         stem = body.rstrip(PUNCTUATION)
         if stem.isalpha():  # the punctuation after letters is a pre-token of its own
-            out = self.letters(stem, "" if line else self.space)
+            # A word after a space is kept as a piece, whatever punctuation it is met with.
+            out = self.letters(stem, "") if line else self.encoder.words[stem]
             if len(stem) < len(body):
                 out += self.tails[body[len(stem) :]]
             return self.encoder.newline + out if line else out
@@ -171,7 +174,7 @@ class WaveletMatrix:
         pack = zstandard.ZstdCompressor(level=3)
         zeros, chunks, before = [], [], []
         for level in range(levels - 1, -1, -1):
-            bit = ((s >> level) & 1).astype(bool)
+            bit = (s & s.dtype.type(1 << level)) != 0
             plane = np.packbits(bit, bitorder="little")
             ones = _ONES[plane].astype(np.int64)
             sums = np.add.reduceat(ones, np.arange(0, len(ones), CHUNK)) if len(ones) else np.zeros(0, np.int64)
@@ -254,7 +257,7 @@ class WaveletMatrix:
         unpack = zstandard.ZstdDecompressor()
         for level in range(self.levels - 1, -1, -1):
             plane = b"".join(unpack.decompress(c) for c in self.chunks[level])
-            bit = np.unpackbits(np.frombuffer(plane, np.uint8), bitorder="little")[: self.n].astype(bool)
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8), bitorder="little")[: self.n].view(bool)
             up = np.empty_like(s)
             z = self.zeros[level]
             up[np.flatnonzero(~bit)] = s[:z]
