@@ -81,3 +81,20 @@ def test_suffix_tree_counting_starts_without_an_earlier_tree():
     """Workers stay for the next query: what the last one's scoring has loaded goes before texts are counted."""
     suffix_tree._loaded["file:/x/lm-tree-1"] = np.zeros(1000, np.int64), np.zeros(1000, np.float32)
     assert list(suffix_tree.training(lambda batches: (len(suffix_tree._loaded) for _ in batches))(iter("ab"))) == [0, 0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicates_broadcast_no_exploded_table(spark, monkeypatch):
+    """Spark takes an exploded table for as small as what it comes from, so a table of fingerprints that may be broadcast would be with all its variants."""
+    plans = {}
+    written = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.setdefault(name, []).append(_plan(df)) or written(df, name))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words, "more"])), (2, " ".join(words[30:])), (3, "other words")], "doc_id long, text string")
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert groups[0] == groups[1] and len(set(groups.values())) == 3
+    assert "Broadcast" not in plans["near-fingerprints"][0]
+    assert all("Broadcast" not in p for p in plans["near-sets"])

@@ -68,6 +68,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     The index holds for each segment its value and its one-wildcard variants. A pair whose
     segments differ in exactly bit j meets at variant j, one side holding 0 there and the other 1,
     so each side is indexed once per bit; the join verifies the whole distance before it emits.
+    It is a merge join whatever Spark takes the sizes for: an exploded table counts as no larger than
+    what it comes from, so a few hundred thousand fingerprints would be broadcast with all their variants.
     """
     fp = F.col("fp")
     segs = segments(max_bits)
@@ -86,7 +88,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     def verified(left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
         left, right = left.select("key", F.col("fp").alias("a")), right.select(F.col("key").alias("key_b"), F.col("fp").alias("b"))
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-        return left.join(right, (F.col("key") == F.col("key_b")) & near & (more if more is not None else F.lit(True))).select("a", "b")
+        return left.join(right.hint("merge"), (F.col("key") == F.col("key_b")) & near & (more if more is not None else F.lit(True))).select("a", "b")
 
     return verified(exact, exact, F.col("a") < F.col("b")).unionByName(verified(wild.where("not one"), wild.where("one")))
 
@@ -343,7 +345,7 @@ def verified_pairs(pairs: DataFrame, rare: DataFrame, docs: DataFrame, width: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     spelled = docs.select(as_text_bytes().alias("t")).mapInArrow(giving_back(run), "class long, s binary")
-    sets = materialize(spelled.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("s").alias("s")), "near-sets")
+    sets = materialize(spelled.join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("s").alias("s")), "near-sets")
     return materialize(met(close, sets, "s").mapInArrow(giving_back(compared), "a long, b long"), "near-links")
 
 
