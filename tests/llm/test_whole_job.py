@@ -98,3 +98,11 @@ def test_near_duplicates_broadcast_no_exploded_table(spark, monkeypatch):
     assert groups[0] == groups[1] and len(set(groups.values())) == 3
     assert "Broadcast" not in plans["near-fingerprints"][0]
     assert all("Broadcast" not in p for p in plans["near-sets"])
+
+
+def test_simhash_links_broadcast_no_variants(spark, tmp_path):
+    spark.createDataFrame([(x,) for x in (0, 1, 1 << 40, 3 << 40, -1)], "fp long").write.parquet(str(tmp_path / "fps"))
+    links = simhash.fingerprint_links(spark.read.parquet(str(tmp_path / "fps")))
+    assert "Broadcast" not in _plan(links)
+    near = {(0, 1), (0, 1 << 40), (0, 3 << 40), (1, 1 << 40), (1, 3 << 40), (1 << 40, 3 << 40)}
+    assert {tuple(sorted(x)) for x in links.collect()} == near
