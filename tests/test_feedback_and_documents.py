@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,21 @@ def test_python_entries_over_several_lines(spark):
     assert (one["line"], one["end_line"], one["access_level"], one["access_evidence"], one["conditions"]) == (8, 16, "role-restricted", ["requires('admin')"], ["flag_a and x"])
     assert (run["line"], run["end_line"], run["access_level"]) == (21, 21, "local-only") and run["provenance"] == "entrypoint:cli:local-only"
     assert set(rows) == {("one", "route"), ("run", "cli"), ("cli_parser", "cli")}
+
+
+def test_sarif_is_read_by_lines_and_no_result_carries_all_others(spark, found, tmp_path):
+    path, other = str(tmp_path / "own.sarif"), str(tmp_path / "other.sarif")
+    documents.write_sarif(found, path, tool='My "Sem" Tool')
+    with open(path) as f, open(other, "w") as g:
+        doc = json.load(f)
+        json.dump(doc, g)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    own, whole = sarif.read_hints(spark, [path]), sarif.read_hints(spark, [other])
+    assert " json" not in plan(own) and "Generate" not in plan(own)
+    # What a Generate leaves out is listed by number; before, it left out nothing and each result's row held its whole run.
+    assert all(re.search(r"\), \[\d+\], ", x) for x in plan(whole).splitlines() if "Generate explode(" in x)
+    rows = [tuple(r) for r in own.collect()]
+    assert len(rows) == 42 and rows == [tuple(r) for r in whole.collect()] and {r[3] for r in rows} == {'my_"sem"_tool'}
+    both = [tuple(r) for r in sarif.read_hints(spark, [path, other]).collect()]
+    assert sorted(both, key=str) == sorted(rows + rows, key=str)
+    assert sarif.read_hints(spark, [str(tmp_path / "none.sarif")]).count() == 0
