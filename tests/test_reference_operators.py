@@ -158,3 +158,32 @@ def test_judges_and_first_rows(spark):
     assert [r[0] for r in rows.select(verify.judged(F.col("label"), F.col("confidence"))).collect()] == ["accepted", "needs_evidence", "rejected", "rejected", "needs_evidence"]
     first = feedback.first_per_key(spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, n int"), ["k"], [F.col("n")])
     assert {tuple(r) for r in first.collect()} == {("a", 1), ("b", 3)}
+
+
+def test_calibration_joins_sums_of_directories(spark):
+    """Of 200 paths and 300 learnings of one directory no join makes a row per pair; repeated rows of the ledger count once."""
+    ranks = spark.createDataFrame([(f"d/e/{i}", 2.0) for i in range(200)] + [("x", 2.0), ("x", 1.0)], "path string, priority double")
+    rows = [(f"i{i:03}", f"d/e/{i}", "c", "d/e:c" if i % 2 else "d:c", 0.5 / 256) for i in range(300)]
+    rows += [rows[0], ("own", "d/e/7", "c", "elsewhere:c", 0.25), ("bare", "d/e/7", "c", "no colon", None), ("x", "x", "c", "x:c", 0.5)]
+    ledger = spark.createDataFrame(rows, "finding_id string, path string, vulnerability_class string, scope string, demotion double")
+    found = feedback.calibrated(ranks, ledger)
+    got = {(r["path"], r["priority"]): (r["demotion"], r["calibrated"], r["learnings"], len(set(r["learning_ids"]))) for r in found.collect()}
+    assert len(got) == 202 and got["x", 2.0] == (0.5, 1.5, 1, 1) and got["x", 1.0] == (0.5, 0.5, 1, 1)
+    assert got["d/e/7", 2.0] == (300 / 512 + 0.25, 1.16, 302, 302) and got["d/e/8", 2.0] == (300 / 512, 1.41, 300, 300)
+    plan = found.select("path", "learnings")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Generate" in plan
+    made = found.select("path", "learnings", "demotion")
+    made.collect()
+    assert max(_rows_out(made._jdf.queryExecution().executedPlan())) < 2000
+
+
+def _rows_out(plan) -> list[int]:
+    """The rows that each node of an executed plan has made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _rows_out(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _rows_out(plan.plan())
+    rows = [plan.metrics().apply("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else [0]
+    kids = plan.children()
+    return rows + [n for i in range(kids.size()) for n in _rows_out(kids.apply(i))]

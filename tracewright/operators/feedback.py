@@ -71,16 +71,20 @@ def scope_directory(scope: Column) -> Column:
 def calibrated(rankings: DataFrame, ledger: DataFrame) -> DataFrame:
     """rankings with demotion, calibrated priority max(0.1, min(priority, priority - demotions)) and the learnings' count, ids, constraints and adjustments.
 
-    A learning applies to its own path and to everything below its scope's directory. Both conditions are
-    equi-joins (each path meets its ancestors), united and deduplicated before they're summed. The constraints are a
+    A learning applies to its own path and to everything below its scope's directory. Learnings are summed per directory
+    and per path first, where a learning whose directory holds its own path counts for the directory alone; then each path
+    meets its ancestors and itself, so a directory's learnings aren't joined to its paths one by one. The constraints are a
     sentence per learning, the adjustments the scope of each class; where a class has several, the last by id counts.
     """
-    keyed = ledger.select("finding_id", F.col("path").alias("l_path"), "vulnerability_class", "scope", scope_directory(F.col("scope")).alias("l_directory"), "demotion")
-    taken = ("path", "finding_id", "l_path", "vulnerability_class", "scope", "demotion")
-    own = rankings.select("path").join(keyed, F.col("path") == F.col("l_path")).select(*taken)
-    below = rankings.select("path", F.explode(ancestors(F.col("path"))).alias("ancestor")).join(keyed, F.col("ancestor") == F.col("l_directory")).select(*taken)
-    learned = F.array_sort(F.collect_list(F.struct("finding_id", "vulnerability_class", "scope")))
-    sums = own.unionByName(below).distinct().groupBy("path").agg(F.sum("demotion").alias("demotion"), F.count("*").alias("learnings"), learned.alias("learned"))
+    keyed = ledger.select("finding_id", F.col("path").alias("l_path"), "vulnerability_class", "scope", scope_directory(F.col("scope")).alias("l_directory"), "demotion").distinct()
+    each = [F.sum("demotion").alias("demotion"), F.count("*").alias("learnings"), F.collect_list(F.struct("finding_id", "vulnerability_class", "scope")).alias("learned")]
+    of_directories = keyed.where("l_directory is not null").groupBy(F.col("l_directory").alias("place")).agg(*each)
+    of_paths = keyed.where(~F.coalesce(F.col("l_path").startswith(F.concat("l_directory", F.lit("/"))), F.lit(False))).groupBy(F.col("l_path").alias("place")).agg(*each)
+    paths = rankings.select("path").distinct()
+    below = paths.select("path", F.explode(ancestors(F.col("path"))).alias("place")).join(of_directories, "place")
+    own = paths.withColumn("place", F.col("path")).join(of_paths, "place")
+    learned = F.array_sort(F.flatten(F.collect_list("learned"))).alias("learned")
+    sums = below.unionByName(own).groupBy("path").agg(F.sum("demotion").alias("demotion"), F.sum("learnings").alias("learnings"), learned)
     joined = rankings.join(sums, "path", "left")
     lower = F.round(F.col("priority") - F.coalesce("demotion", F.lit(0.0)), 2)
     said = lambda x: F.concat(F.lit("Do not repeat unsupported "), x["vulnerability_class"], F.lit(" claim for scope "), x["scope"], F.lit(" without new evidence."))

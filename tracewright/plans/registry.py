@@ -142,7 +142,12 @@ def learning_rows(spark, sf):
 @query("q17_calibrate", LEARNINGS + """, sums as (select r.path, count(*) * 0.5 as demotion, count(*) as n from rankings r join learnings l on r.path = l.path or starts_with(r.path, regexp_replace(l.scope, ':[^:]*$', '') || '/') group by r.path)
  select path, priority, coalesce(demotion, 0.0)::double as demotion, greatest(0.1, least(priority, round(priority - coalesce(demotion, 0), 2)))::double as calibrated, coalesce(n, 0) as learnings from rankings left join sums using (path)""")
 def calibrate(spark, sf):
-    return feedback.calibrated(fr.rankings(spark, sf), feedback.learnings(fr.judged_findings(spark, sf))).select("path", "priority", "demotion", "calibrated", "learnings")
+    from tracewright.sources.scratch import stored
+
+    # Both are read several times; without this each time would scan the texts.
+    ranks = stored(fr.rankings(spark, sf).select("path", "priority"), "rankings")
+    ledger = stored(feedback.learnings(fr.judged_findings(spark, sf)), "learnings")
+    return feedback.calibrated(ranks, ledger).select("path", "priority", "demotion", "calibrated", "learnings")
 
 
 @query("q18_fp_override", LEARNINGS + """ select distinct finding_id, round(case reachability when 'reachable' then 1.0 when 'inferred-file-surface' then 0.6 else 0.4 end * 0.4, 3)::double as factor from findings f
