@@ -233,3 +233,20 @@ def test_sarif_is_read_by_lines_and_no_result_carries_all_others(spark, found, t
     both = [tuple(r) for r in sarif.read_hints(spark, [path, other]).collect()]
     assert sorted(both, key=str) == sorted(rows + rows, key=str)
     assert sarif.read_hints(spark, [str(tmp_path / "none.sarif")]).count() == 0
+
+
+def test_search_sorts_no_texts(spark, monkeypatch):
+    """What is scored and sorted for each query is ids; texts are looked up for the hits, rows that are the same or share an id included."""
+    rows = [(i, "n", f"text {i}", [1.0, float(i)]) for i in range(20)] + [(3, "n", "text 3", [1.0, 3.0]), (3, "n", "other", [1.0, 3.0]), (None, "n", "none", [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, namespace string, text string, embedding array<float>")
+    queries = spark.createDataFrame([(q, [1.0, float(q)], "n") for q in (1, 3)], "query_id int, q_embedding array<float>, namespace string")
+    plans, written = [], retrieve.stored
+    monkeypatch.setattr(retrieve, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    hits = retrieve.top_for_queries(vectors, queries, 4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hits if r["query_id"] == 3] == [(3, 1, 3, 1.0), (3, 2, 3, 1.0), (3, 3, 3, 1.0), (3, 4, 4, 0.997054)]
+    assert sorted(r["text"] for r in hits if r["query_id"] == 3) == ["other", "text 3", "text 3", "text 4"]
+    window = next(x for x in plans[0].splitlines() if "Window" in x)
+    below = plans[0].split(window)[1].split("Join")[0]
+    assert "text" not in below
+    every = retrieve.top_for_queries(vectors, queries, 100)
+    assert every.count() == 2 * len(rows) and every.where("vec_id is null").count() == 2

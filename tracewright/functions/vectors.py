@@ -10,7 +10,11 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 for vectors of different lengths or of norm 0."""
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity; 0 for vectors of different lengths or of norm 0. Norms that are at hand aren't computed again."""
+    norms = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.when((F.size(a) != F.size(b)) | (norms == 0), F.lit(0.0)).otherwise(_dot(a, b) / norms)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import chunk_id
-from tracewright.functions.vectors import cosine
+from tracewright.functions.vectors import cosine, norm
+from tracewright.sources.scratch import stored
 
 
 def chunks(files: DataFrame, lines_per_chunk: int) -> DataFrame:
@@ -29,12 +30,21 @@ def top_for_queries(vectors: DataFrame, queries: DataFrame, k: int, on: tuple[st
     """vectors' columns with query_id, score and rank: each query's k best by cosine, ties to the smaller vec_id.
 
     queries: query_id, q_embedding and the columns `on`, by which they meet the vectors: a table stored by namespace is read only
-    where a query looks. The k best are kept by every task before the shuffle.
+    where a query looks. Only keys and scores are compared, and the k best are kept by every task before the shuffle; these are
+    stored, and the vectors' other columns are looked up for them alone, by a hash of the row as ids may occur several times.
     """
-    met = vectors.join(queries.select("query_id", "q_embedding", *on), list(on))
-    scored = met.withColumn("score", F.round(cosine(F.col("embedding"), F.col("q_embedding")), 6)).drop("q_embedding", "embedding")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    rest = [c for c in vectors.columns if c != "embedding"]
+    hashed = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in vectors.dtypes if c != "embedding"])
+    wide = F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", *on, hashed.alias("_row"), wide.alias("_v"), norm(wide).alias("_n"))
+    asked = F.col("q_embedding").cast("array<double>")
+    met = rows.join(queries.select("query_id", *on, asked.alias("_q"), norm(asked).alias("_qn")), list(on))
+    score = F.round(cosine(F.col("_v"), F.col("_q"), F.col("_n"), F.col("_qn")), 6)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "_row"))
+    best = met.select("query_id", "vec_id", *on, "_row", score.alias("score")).withColumn("rank", place).where(F.col("rank") <= k)
+    best = stored(best.select("query_id", "score", "rank", *on, "_row"), "hits")
+    # Rows that are the same in all columns meet each other's hits; each hit is one row.
+    return vectors.select(*rest).withColumn("_row", hashed).join(best, [*on, "_row"]).dropDuplicates(["query_id", "rank"]).select(*rest, "query_id", "score", "rank")
 
 
 def packages(hits: DataFrame, budget: int = 4000) -> DataFrame:

@@ -597,7 +597,7 @@ def round_changes(spark, sf):
  select query_id, (count(*) filter (where running <= 4000))::int as hits, md5(coalesce(string_agg(block, chr(10) || chr(10) order by rank) filter (where running <= 4000), '')) as digest, bool_or(running > 4000) as truncated from r group by query_id""")
 def retrieval_packages(spark, sf):
     from tracewright.sources.files import read_vectors, write_vectors
-    from tracewright.sources.scratch import shared_folder
+    from tracewright.sources.scratch import shared_folder, stored
 
     space = F.concat(F.lit("n"), (F.col("label") % 3).cast("string")).alias("namespace")
     vectors = fr.table(spark, sf, "embeddings").select("vec_id", "embedding", space)
@@ -605,7 +605,8 @@ def retrieval_packages(spark, sf):
     path = shared_folder(spark, "vectors")
     write_vectors(vectors.join(chunks, "vec_id"), path)
     queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"), "namespace")
-    return retrieve.packages(retrieve.top_for_queries(read_vectors(spark, path), queries, 5)).select("query_id", "hits", F.md5("text").alias("digest"), "truncated")
+    asked = stored(queries, "queries")  # its size is known then, so that a few queries are sent to the vectors and not vectors to their namespace
+    return retrieve.packages(retrieve.top_for_queries(read_vectors(spark, path), asked, 5)).select("query_id", "hits", F.md5("text").alias("digest"), "truncated")
 
 
 @query("q61_category_counts", _SCORED + " select source, (select any_value(category) from policy p where p.cwe = s.cwe) as category, count(*) as findings, round(sum(penalty), 4) as penalty_total, max(level) as max_severity from scored s where static group by source, s.cwe")
